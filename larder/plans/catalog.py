@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.operators import inventory
+from larder.operators import bom, demand, inventory, kpi, service, supplier
 from larder.plans.operator import Operator
 from larder.sources.star import StarViews
 
@@ -29,4 +29,21 @@ QUERIES: dict[str, Query] = {
     "inventory_turnover": on_star(inventory.inventory_turnover),
     "eoq_sql": on_star(inventory.eoq_sql),
     "slow_moving_inventory": on_star(inventory.slow_moving_inventory),
+    "seasonal_decomposition": on_star(demand.seasonal_decomposition),
+    "demand_volatility": on_star(demand.demand_volatility),
+    # SKUs of the test tables share a handful of days at most, far below the default of 30.
+    "sku_cooccurrence": on_star(demand.sku_cooccurrence, min_days=3),
+    "demand_trend": on_star(demand.demand_trend),
+    "supplier_scorecard_po": on_star(supplier.supplier_scorecard_po),
+    "supplier_scorecard_master": on_star(supplier.supplier_scorecard_master),
+    "lead_time_variability": on_star(supplier.lead_time_variability),
+    "supplier_tco": on_star(supplier.supplier_tco),
+    # About 30 sales rows per SKU over seven years: the default six months would hold too few.
+    "fill_rate_analysis": on_star(service.fill_rate_analysis, lookback_months=None),
+    "stockout_root_cause": on_star(service.stockout_root_cause),
+    "stockout_root_cause_bounded": on_star(service.stockout_root_cause, mode="bounded"),
+    "warehouse_efficiency": on_star(service.warehouse_efficiency),
+    "bom_explosion": on_star(bom.bom_explosion),
+    "executive_kpis": on_star(kpi.executive_kpis),
+    "executive_kpis_corrected": on_star(kpi.executive_kpis, mode="corrected"),
 }

@@ -11,6 +11,19 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Stated, so that opening a table reads no file footer.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+}
+
 
 def _whole(value: Column | str) -> Column:
     value = F.col(value) if isinstance(value, str) else value
@@ -33,7 +46,7 @@ class StarViews:
         self._folder = folder
 
     def raw(self, name: str, *columns: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet").select(*columns)
+        return self._spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self._folder}/{name}.parquet").select(*columns)
 
     def table(self, name: str, columns: tuple[str, ...]) -> DataFrame:
         build: Callable[[set[str]], DataFrame] = getattr(self, f"_{name}")

@@ -1,7 +1,7 @@
 """All checking SQL, by query name."""
 
-from oracle import inventory
+from oracle import business, inventory
 
 
 def all_sql() -> dict[str, str]:
-    return {**inventory.SQL}
+    return {**inventory.SQL, **business.SQL}
