@@ -17,6 +17,11 @@ def money(cents: Column | str) -> Column:
     return as_col(cents) / F.lit(100.0)
 
 
+def rounded(amount: Column | str) -> Column:
+    """Two decimals for a product of doubles, whose noise must not decide an exact half."""
+    return F.round(F.round(as_col(amount), 6), 2)
+
+
 def cents(amount: Column | str) -> Column:
     """Currency units to whole cents."""
     return F.round(as_col(amount) * 100).cast("long")

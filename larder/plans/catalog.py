@@ -8,13 +8,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.operators import bom, demand, inventory, kpi, service, supplier
+from larder.operators import bom, dashboard, demand, explore, inventory, kpi, policy, quality, service, supplier
 from larder.plans.operator import Operator
-from larder.sources.star import StarViews
+from larder.sources.star import ALL_COLUMNS, StarViews
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = date(2001, 11, 5)
+HISTORY_YEARS = 7.0
 
 
 def on_star(op: Operator, **params: Any) -> Query:
@@ -24,6 +25,10 @@ def on_star(op: Operator, **params: Any) -> Query:
     return run
 
 
+def quality_of_all_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.data_quality(StarViews(spark, folder).tables(ALL_COLUMNS))
+
+
 QUERIES: dict[str, Query] = {
     "abc_classification": on_star(inventory.abc_classification),
     "inventory_turnover": on_star(inventory.inventory_turnover),
@@ -46,4 +51,30 @@ QUERIES: dict[str, Query] = {
     "bom_explosion": on_star(bom.bom_explosion),
     "executive_kpis": on_star(kpi.executive_kpis),
     "executive_kpis_corrected": on_star(kpi.executive_kpis, mode="corrected"),
+    # Exploratory figures
+    "data_quality": quality_of_all_tables,
+    **{op.name: on_star(op) for op in (
+        explore.sales_totals, explore.monthly_sales_trends, explore.monthly_sales_summary,
+        explore.seasonal_pattern, explore.category_performance, explore.stockout_summary,
+        explore.inventory_position, explore.top_warehouses, explore.below_reorder_point,
+        explore.excess_inventory, explore.supplier_tier_counts, explore.supplier_by_country,
+        explore.insights, explore.executive_summary,
+    )},
+    # Inventory policy: the test tables span seven years of sales
+    **{op.name: on_star(op, history_years=HISTORY_YEARS) for op in (
+        policy.demand_statistics, policy.eoq_policy, policy.safety_stock, policy.reorder_point,
+        policy.inventory_cost, policy.policy_comparison, policy.policy_savings, policy.policy_detail,
+        policy.policy_summary, dashboard.cost_pareto_top_n, dashboard.top_cost_drivers,
+        dashboard.category_cost, dashboard.policy_averages,
+    )},
+    "policy_comparison_corrected": on_star(policy.policy_comparison, mode="corrected", history_years=HISTORY_YEARS),
+    "policy_savings_corrected": on_star(policy.policy_savings, mode="corrected", history_years=HISTORY_YEARS),
+    # Dashboard tables
+    **{op.name: on_star(op) for op in (
+        dashboard.daily_sales, dashboard.year_month_units, dashboard.avg_by_month,
+        dashboard.category_sales_desc, dashboard.pareto_top_n, dashboard.top_suppliers,
+        dashboard.stockout_rate_by_category, dashboard.warehouse_utilization_band,
+        dashboard.dashboard_kpis, dashboard.monthly_revenue, dashboard.supplier_kpis,
+        dashboard.supplier_type_distribution, dashboard.day_of_week_pattern,
+    )},
 }
