@@ -131,7 +131,7 @@ def top_cost_drivers(t: Tables, *, top: int = 10, **params: float) -> DataFrame:
 def category_cost(t: Tables, **params: float) -> DataFrame:
     """Yearly policy cost per category, lowest first."""
     return policy_rows(t, **params).groupBy("category").agg(
-        F.round(F.sum("total_annual_cost"), 2).alias("total_annual_cost")
+        rounded(F.sum("total_annual_cost")).alias("total_annual_cost")
     ).orderBy("total_annual_cost")
 
 
@@ -141,7 +141,7 @@ def policy_averages(t: Tables, **params: float) -> DataFrame:
     return policy_rows(t, **params).agg(
         F.round(ratio(F.sum("eoq"), F.count("eoq")), 2).alias("avg_eoq"),
         F.round(ratio(F.sum("reorder_point"), F.count("reorder_point")), 2).alias("avg_reorder_point"),
-        F.round(F.sum("total_annual_cost"), 2).alias("total_annual_cost"),
+        rounded(F.sum("total_annual_cost")).alias("total_annual_cost"),
     )
 
 

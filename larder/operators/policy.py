@@ -92,7 +92,7 @@ def reorder_point(t: Tables, **params: float) -> DataFrame:
 def inventory_cost(t: Tables, *, ordered: bool = True, **params: float) -> DataFrame:
     """Yearly ordering and carrying cost per category."""
     names = ("total_annual_cost", "annual_ordering_cost", "annual_carrying_cost")
-    result = policy_rows(t, **params).groupBy("category").agg(*(F.round(F.sum(c), 2).alias(c) for c in names))
+    result = policy_rows(t, **params).groupBy("category").agg(*(rounded(F.sum(c)).alias(c) for c in names))
     return result.orderBy(F.desc("total_annual_cost")) if ordered else result
 
 
@@ -140,9 +140,9 @@ def policy_comparison(t: Tables, *, mode: str = "reference", ordered: bool = Tru
 def policy_savings(t: Tables, *, mode: str = "reference", **params: float) -> DataFrame:
     """Totals of the comparison and how many reorder points go up or down."""
     return compared(t, mode, **params).agg(
-        F.round(F.sum("current_carrying_cost"), 2).alias("current_cost"),
-        F.round(F.sum("optimized_carrying_cost"), 2).alias("optimized_cost"),
-        F.round(F.sum("potential_savings"), 2).alias("savings"),
+        rounded(F.sum("current_carrying_cost")).alias("current_cost"),
+        rounded(F.sum("optimized_carrying_cost")).alias("optimized_cost"),
+        rounded(F.sum("potential_savings")).alias("savings"),
         percent(F.sum("potential_savings"), F.sum("current_carrying_cost")).alias("savings_pct"),
         F.count_if(F.col("rop_difference") > 0).alias("increase_reorder_point"),
         F.count_if(F.col("rop_difference") < 0).alias("decrease_reorder_point"),

@@ -49,13 +49,13 @@ def _comparison(mode: str) -> str:
     SELECT sku_id, product_name, category, eoq, reorder_point AS reorder_point_optimized,
            safety_stock AS safety_stock_optimized, rop_now AS reorder_point_current, ss_now AS safety_stock_current,
            reorder_point - rop_now AS rop_difference, safety_stock - ss_now AS safety_stock_difference,
-           half_up(half_up(cur - opt, 6), 2) AS potential_savings
+           money(cur - opt) AS potential_savings
     FROM cmp"""
 
 
 def _savings(mode: str) -> str:
     return _compared(mode) + """
-    SELECT half_up(sum(cur), 2) AS current_cost, half_up(sum(opt), 2) AS optimized_cost, half_up(sum(cur - opt), 2) AS savings,
+    SELECT money(sum(cur)) AS current_cost, money(sum(opt)) AS optimized_cost, money(sum(cur - opt)) AS savings,
            half_up(sum(cur - opt) * 100 / sum(cur), 2) AS savings_pct,
            count(*) FILTER (reorder_point > rop_now) AS increase_reorder_point,
            count(*) FILTER (reorder_point < rop_now) AS decrease_reorder_point
@@ -77,14 +77,14 @@ SQL = {
     "safety_stock": _policy("SELECT sku_id, std_daily_demand, lead_time_days, safety_stock FROM policy"),
     "reorder_point": _policy("SELECT sku_id, lead_time_demand, safety_stock, reorder_point FROM policy"),
     "inventory_cost": _policy("""
-        SELECT category, half_up(sum(total_annual_cost), 2) AS total_annual_cost,
-               half_up(sum(annual_ordering_cost), 2) AS annual_ordering_cost,
-               half_up(sum(annual_carrying_cost), 2) AS annual_carrying_cost FROM policy GROUP BY 1"""),
+        SELECT category, money(sum(total_annual_cost)) AS total_annual_cost,
+               money(sum(annual_ordering_cost)) AS annual_ordering_cost,
+               money(sum(annual_carrying_cost)) AS annual_carrying_cost FROM policy GROUP BY 1"""),
     "policy_detail": _policy("""
         SELECT sku_id, product_name, category, avg_daily_demand, std_daily_demand, total_annual_demand, lead_time_days,
                unit_cost, carrying_cost_rate, eoq, orders_per_year, days_between_orders, safety_stock, reorder_point,
-               half_up(half_up(annual_ordering_cost, 6), 2) AS annual_ordering_cost,
-               half_up(half_up(annual_carrying_cost, 6), 2) AS annual_carrying_cost, half_up(half_up(total_annual_cost, 6), 2) AS total_annual_cost
+               money(annual_ordering_cost) AS annual_ordering_cost,
+               money(annual_carrying_cost) AS annual_carrying_cost, money(total_annual_cost) AS total_annual_cost
         FROM policy"""),
     "policy_comparison": q(_comparison("reference"), *VIEWS),
     "policy_comparison_corrected": q(_comparison("corrected"), *VIEWS),
@@ -107,15 +107,15 @@ SQL = {
         UNION ALL SELECT 'Cost Reduction Percentage', format('{:.1f}%', d * 100 / c) FROM b""", *VIEWS),
     "cost_pareto_top_n": _policy(""",
         c AS (SELECT sku_id, total_annual_cost AS v FROM policy ORDER BY v DESC, sku_id LIMIT 30)
-        SELECT sku_id, half_up(half_up(v, 6), 2) AS total_annual_cost,
+        SELECT sku_id, money(v) AS total_annual_cost,
                half_up(sum(v) OVER (ORDER BY v DESC, sku_id ROWS UNBOUNDED PRECEDING) * 100e0 / sum(v) OVER (), 2) AS cumulative_pct
         FROM c"""),
     "top_cost_drivers": _policy("""
-        SELECT sku_id, product_name, category, half_up(half_up(total_annual_cost, 6), 2) AS total_annual_cost FROM policy
+        SELECT sku_id, product_name, category, money(total_annual_cost) AS total_annual_cost FROM policy
         ORDER BY policy.total_annual_cost DESC, sku_id LIMIT 10"""),
     "category_cost": _policy("""
-        SELECT category, half_up(sum(total_annual_cost), 2) AS total_annual_cost FROM policy GROUP BY 1"""),
+        SELECT category, money(sum(total_annual_cost)) AS total_annual_cost FROM policy GROUP BY 1"""),
     "policy_averages": _policy("""
         SELECT half_up(avg(eoq), 2) AS avg_eoq, half_up(avg(reorder_point), 2) AS avg_reorder_point,
-               half_up(sum(total_annual_cost), 2) AS total_annual_cost FROM policy"""),
+               money(sum(total_annual_cost)) AS total_annual_cost FROM policy"""),
 }

@@ -68,24 +68,28 @@ VIEWS = {
 NEEDS = {"supplier_master": ("purchase_orders",), "current_inventory": ("sku_master",)}
 
 
-def _half_up(sql: str) -> str:
-    """Writes out ``half_up(x, n)``: decimal rounding of a double, ties away from zero.
+def _rounding(sql: str) -> str:
+    """Writes out two roundings of a double as decimals, ties away from zero.
 
-    DuckDB rounds the binary value, so that 1.025 becomes 1.02; the operators follow its decimal text.
+    ``half_up(x, n)`` is for ratios, ``money(x)`` for amounts that may be large (a cast with twelve
+    decimals would lose digits there). DuckDB itself rounds the binary value, so that 1.025 becomes
+    1.02; the operators follow the decimal text.
     """
-    while (start := sql.find("half_up(")) >= 0:
-        depth, at = 1, start + 8
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[at], 0)
-            at += 1
-        value, digits = sql[start + 8:at - 1].rsplit(",", 1)
-        sql = f"{sql[:start]}CAST(round(CAST({value} AS DECIMAL(38,12)),{digits}) AS DOUBLE){sql[at:]}"
+    for name, scale in (("half_up(", 12), ("money(", 6)):
+        while (start := sql.find(name)) >= 0:
+            at = start + len(name)
+            depth, end = 1, at
+            while depth:
+                depth += {"(": 1, ")": -1}.get(sql[end], 0)
+                end += 1
+            value, digits = sql[at:end - 1].rsplit(",", 1) if name == "half_up(" else (sql[at:end - 1], " 2")
+            sql = f"{sql[:start]}CAST(round(CAST({value} AS DECIMAL(38,{scale})),{digits}) AS DOUBLE){sql[end:]}"
     return sql
 
 
 def with_views(body: str, *names: str) -> str:
     """The query with the named views (and what they build on) as leading CTEs."""
-    return _half_up(_with_ctes(body, names))
+    return _rounding(_with_ctes(body, names))
 
 
 def _with_ctes(body: str, names: tuple[str, ...]) -> str:
