@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import labels
@@ -10,16 +10,24 @@ from larder.functions.columns import banded, money, paired_tier, percent, ratio,
 from larder.operators.policy import READS, policy_rows
 from larder.plans.operator import Tables, operator
 
-MEAN_QTY = ratio(F.sum("quantity_fulfilled"), F.count("quantity_fulfilled"))
-STOCKOUT = F.col("backorder_quantity") > 0
-REVENUE = money(F.sum("revenue_cents"))
+
+def mean_quantity() -> Column:
+    return ratio(F.sum("quantity_fulfilled"), F.count("quantity_fulfilled"))
+
+
+def stockouts() -> Column:
+    return F.count_if(F.col("backorder_quantity") > 0)
+
+
+def revenue() -> Column:
+    return money(F.sum("revenue_cents"))
 
 
 @operator(sales="date quantity_fulfilled revenue_cents")
 def daily_sales(t: Tables) -> DataFrame:
     """Revenue and units per day."""
     return t["sales"].groupBy("date").agg(
-        REVENUE.alias("revenue"), F.sum("quantity_fulfilled").alias("quantity_fulfilled")
+        revenue().alias("revenue"), F.sum("quantity_fulfilled").alias("quantity_fulfilled")
     ).orderBy("date")
 
 
@@ -34,7 +42,7 @@ def year_month_units(t: Tables) -> DataFrame:
 @operator(sales="date quantity_fulfilled")
 def avg_by_month(t: Tables) -> DataFrame:
     """Mean sold quantity per sales row and month of the year, with the month's short name."""
-    return t["sales"].groupBy(F.month("date").alias("month")).agg(MEAN_QTY.alias("avg_quantity")).withColumn(
+    return t["sales"].groupBy(F.month("date").alias("month")).agg(mean_quantity().alias("avg_quantity")).withColumn(
         "month_name", F.date_format(F.make_date(F.lit(2000), "month", F.lit(1)), "MMM")
     ).orderBy("month")
 
@@ -43,7 +51,7 @@ def avg_by_month(t: Tables) -> DataFrame:
 def category_sales_desc(t: Tables) -> DataFrame:
     """Revenue and units per category, highest revenue first."""
     return t["sales"].groupBy("category").agg(
-        REVENUE.alias("revenue"), F.sum("quantity_fulfilled").alias("quantity_fulfilled")
+        revenue().alias("revenue"), F.sum("quantity_fulfilled").alias("quantity_fulfilled")
     ).orderBy(F.desc("revenue"), "category")
 
 
@@ -89,8 +97,8 @@ def top_suppliers(t: Tables, *, top: int = 15) -> DataFrame:
 def stockout_rate_by_category(t: Tables) -> DataFrame:
     """Share of sales rows short of stock per category."""
     return t["sales"].groupBy("category").agg(
-        F.count_if(STOCKOUT).alias("stockouts"), F.count(F.lit(1)).alias("orders"),
-        percent(F.count_if(STOCKOUT), F.count(F.lit(1))).alias("stockout_rate"),
+        stockouts().alias("stockouts"), F.count(F.lit(1)).alias("orders"),
+        percent(stockouts(), F.count(F.lit(1))).alias("stockout_rate"),
     ).orderBy(F.desc("stockout_rate"))
 
 
@@ -108,8 +116,8 @@ def warehouse_utilization_band(t: Tables) -> DataFrame:
 def dashboard_kpis(t: Tables) -> DataFrame:
     """Revenue, units, stockout rate and fill rate."""
     return t["sales"].agg(
-        REVENUE.alias("total_revenue"), F.sum("quantity_fulfilled").alias("total_units"),
-        percent(F.count_if(STOCKOUT), F.count(F.lit(1))).alias("stockout_rate"),
+        revenue().alias("total_revenue"), F.sum("quantity_fulfilled").alias("total_units"),
+        percent(stockouts(), F.count(F.lit(1))).alias("stockout_rate"),
         percent(F.sum("quantity_fulfilled"), F.sum("quantity_ordered")).alias("fill_rate"),
     )
 
@@ -117,7 +125,7 @@ def dashboard_kpis(t: Tables) -> DataFrame:
 @operator(sales="date revenue_cents")
 def monthly_revenue(t: Tables) -> DataFrame:
     """Revenue per month."""
-    return t["sales"].groupBy(year_month("date").alias("month")).agg(REVENUE.alias("revenue")).orderBy("month")
+    return t["sales"].groupBy(year_month("date").alias("month")).agg(revenue().alias("revenue")).orderBy("month")
 
 
 @operator(**READS)
@@ -168,5 +176,5 @@ def supplier_type_distribution(t: Tables) -> DataFrame:
 def day_of_week_pattern(t: Tables) -> DataFrame:
     """Mean sold quantity per weekday, Monday first."""
     return t["sales"].groupBy((F.weekday("date") + 1).alias("day_number"), F.date_format("date", "EEEE").alias("day_of_week")).agg(
-        MEAN_QTY.alias("avg_quantity")
+        mean_quantity().alias("avg_quantity")
     ).orderBy("day_number")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions import labels
 from larder.functions.columns import banded, money, monday_week, ratio, squares, stddev_pop_exact, sunday_weekday
+from larder.functions.kernels import match_blocks
 from larder.operators.inventory import months_back
 from larder.plans.operator import Tables, operator
 
@@ -106,7 +104,7 @@ def sku_cooccurrence(t: Tables, *, min_days: int = 30, top: int | None = 50,
     id_type = t["sales"].schema["sku_id"].dataType
     schema = T.StructType([T.StructField("sku_a", id_type), T.StructField("sku_b", id_type),
                            T.StructField("days_sold_together", T.LongType())])
-    pairs = placed.groupBy("left", "right").applyInPandas(_match_blocks(min_days, top), schema)
+    pairs = placed.groupBy("left", "right").applyInPandas(match_blocks(min_days, top), schema)
     if top is not None:
         pairs = pairs.orderBy(F.desc("days_sold_together"), "sku_a", "sku_b").limit(top)
 
@@ -130,45 +128,6 @@ def sku_cooccurrence(t: Tables, *, min_days: int = 30, top: int | None = 50,
     return result.orderBy(F.desc("days_sold_together"), "sku_a", "sku_b")
 
 
-def _match_blocks(min_days: int, top: int | None, slab: int = 512) -> Callable[..., pd.DataFrame]:
-    def match(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows[rows["block"] == key[0]]
-        right = rows[rows["block"] == key[1]]
-        axis = np.unique(np.concatenate(rows["days"].to_list()))
-        ids = right["sku_id"].to_numpy()
-        across = _day_matrix(right, axis).T
-        found = pd.DataFrame({"sku_a": ids[:0], "sku_b": ids[:0], "days_sold_together": np.zeros(0, np.int64)})
-        for start in range(0, len(left), slab):
-            part = left.iloc[start:start + slab]
-            common = _day_matrix(part, axis) @ across
-            if key[0] == key[1]:  # one block with itself: each pair once
-                common = np.triu(common, start + 1)
-            common = np.where(common > min_days, common, 0)
-            if top is not None and np.count_nonzero(common) > top:
-                cut = np.partition(common, common.size - top, axis=None)[common.size - top]
-                common = np.where(common >= cut, common, 0)
-            i, j = np.nonzero(common)
-            a, b = part["sku_id"].to_numpy()[i], ids[j]
-            swap = a > b
-            here = pd.DataFrame({"sku_a": np.where(swap, b, a), "sku_b": np.where(swap, a, b),
-                                 "days_sold_together": common[i, j].astype(np.int64)})
-            found = here if found.empty else pd.concat([found, here])
-            if top is not None:
-                found = found.sort_values(["days_sold_together", "sku_a", "sku_b"],
-                                          ascending=[False, True, True]).head(top)
-        return found
-
-    return match
-
-
-def _day_matrix(rows: pd.DataFrame, axis: np.ndarray) -> np.ndarray:
-    """SKUs by days, 1 where sold; products of counts stay exact in float32 below 2**24 days."""
-    out = np.zeros((len(rows), len(axis)), np.float32)
-    sizes = [len(d) for d in rows["days"]]
-    out[np.repeat(np.arange(len(rows)), sizes), np.searchsorted(axis, np.concatenate(rows["days"].to_list()))] = 1
-    return out
-
-
 @operator(sales="date quantity_fulfilled")
 def demand_trend(t: Tables, *, short: int = 7, long: int = 30, lag_rows: int = 7, last: int = 90) -> DataFrame:
     """Daily demand with moving averages and change against seven rows before, latest days first."""

@@ -5,14 +5,17 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from larder.functions.columns import money, percent, ratio, year_month
 from larder.functions.report import dollars, key_values, with_percent
 from larder.plans.operator import Tables, operator
 
-ALL = Window.partitionBy()  # used on grouped rows only: months, categories
+
+def everything() -> WindowSpec:
+    """Window over all rows; used on grouped rows only: months, categories."""
+    return Window.partitionBy()
 
 
 def _stockout_share() -> Column:
@@ -60,8 +63,8 @@ def seasonal_pattern(t: Tables, *, ordered: bool = True) -> DataFrame:
     avg = F.col("avg_quantity")
     result = months.select(
         "month", "avg_quantity",
-        F.max_by("month", avg).over(ALL).alias("peak_month"), F.min_by("month", avg).over(ALL).alias("low_month"),
-        F.round(F.try_divide(F.max(avg).over(ALL), F.min(avg).over(ALL)), 2).alias("seasonal_variation"),
+        F.max_by("month", avg).over(everything()).alias("peak_month"), F.min_by("month", avg).over(everything()).alias("low_month"),
+        F.round(F.try_divide(F.max(avg).over(everything()), F.min(avg).over(everything())), 2).alias("seasonal_variation"),
     )
     return result.orderBy("month") if ordered else result
 
@@ -74,7 +77,7 @@ def category_performance(t: Tables, *, ordered: bool = True) -> DataFrame:
     )
     result = groups.select(
         "category", money("c").alias("revenue"), "quantity_fulfilled",
-        percent("c", F.sum("c").over(ALL)).alias("pct_of_revenue"),
+        percent("c", F.sum("c").over(everything())).alias("pct_of_revenue"),
         F.row_number().over(Window.orderBy(F.desc("c"), "category")).alias("revenue_rank"),
     )
     return result.orderBy("revenue_rank") if ordered else result
@@ -133,8 +136,12 @@ def excess_inventory(t: Tables, *, factor: int = 3) -> DataFrame:
     return _stock_subset(t["current_inventory"], F.col("quantity_on_hand") > F.col("safety_stock") * factor)
 
 
-TIER_1 = (F.col("on_time_delivery_rate") >= 0.95) & (F.col("quality_rating") >= 4.5)
-TIER_4 = (F.col("on_time_delivery_rate") < 0.70) | (F.col("quality_rating") < 3.5)
+def best_tier() -> Column:
+    return (F.col("on_time_delivery_rate") >= 0.95) & (F.col("quality_rating") >= 4.5)
+
+
+def worst_tier() -> Column:
+    return (F.col("on_time_delivery_rate") < 0.70) | (F.col("quality_rating") < 3.5)
 
 
 @operator(supplier_master="on_time_delivery_rate quality_rating")
@@ -145,8 +152,8 @@ def supplier_tier_counts(t: Tables) -> DataFrame:
         n.alias("suppliers"),
         F.round(F.avg("on_time_delivery_rate") * 100, 2).alias("avg_on_time_pct"),
         F.round(F.avg("quality_rating"), 2).alias("avg_quality_rating"),
-        F.count_if(TIER_1).alias("tier_1_count"), percent(F.count_if(TIER_1), n).alias("tier_1_pct"),
-        F.count_if(TIER_4).alias("tier_4_count"), percent(F.count_if(TIER_4), n).alias("tier_4_pct"),
+        F.count_if(best_tier()).alias("tier_1_count"), percent(F.count_if(best_tier()), n).alias("tier_1_pct"),
+        F.count_if(worst_tier()).alias("tier_4_count"), percent(F.count_if(worst_tier()), n).alias("tier_4_pct"),
     )
 
 
@@ -189,7 +196,7 @@ def insights(t: Tables) -> DataFrame:
         money(F.sum("total_value_cents")).alias("value"), F.count_if(low).alias("low"), F.count_if(high).alias("high"),
         money(F.sum(F.when(high, F.col("total_value_cents")))).alias("excess"),
     )
-    tiers = t["supplier_master"].agg(F.count_if(TIER_4).alias("poor"))
+    tiers = t["supplier_master"].agg(F.count_if(worst_tier()).alias("poor"))
     lines = (
         (sold, 1, None, F.format_string("Total revenue over %d months: $%,.2f", "months", "revenue")),
         (sold, 2, None, F.format_string("Demand peaks in month %d with %.2fx variation", "peak", "variation")),

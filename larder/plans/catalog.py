@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.operators import bom, dashboard, demand, explore, inventory, kpi, policy, quality, service, supplier
+from larder.operators import bom, dashboard, demand, explore, forecast, inventory, kpi, policy, quality, service, supplier
 from larder.plans.operator import Operator
 from larder.sources.star import ALL_COLUMNS, StarViews
 
@@ -77,4 +77,19 @@ QUERIES: dict[str, Query] = {
         dashboard.dashboard_kpis, dashboard.monthly_revenue, dashboard.supplier_kpis,
         dashboard.supplier_type_distribution, dashboard.day_of_week_pattern,
     )},
+    # Forecasts, one series per category
+    "daily_demand": on_star(forecast.daily_demand, by="category"),
+    "daily_demand_filled": on_star(forecast.daily_demand, by="category", fill=True),
+    "holdout_split": on_star(forecast.holdout_split, by="category"),
+    "forecast_naive": on_star(forecast.forecast, by="category", models=[forecast.NAIVE]),
+    "forecast_moving_average": on_star(forecast.forecast, by="category", models=forecast.BASELINES[1:]),
+    "forecast_holt_winters": on_star(forecast.forecast, by="category", models=[forecast.SMOOTHING]),
+    "forecast_seasonal_ar": on_star(forecast.forecast, by="category", models=[forecast.SEASONAL_AR]),
+    "forecast_trend_fourier": on_star(forecast.forecast_band, by="category"),
+    "forecast_metrics": on_star(forecast.forecast_metrics, by="category", models=forecast.BASELINES),
+    "forecast_ranking": on_star(forecast.forecast_ranking, by="category", models=forecast.BASELINES),
+    "forecast_ranking_all_models": on_star(forecast.forecast_ranking, by="category"),
+    "forecast_summary": on_star(forecast.forecast_summary, by="category", models=forecast.BASELINES),
+    "forecast_wide": on_star(forecast.forecast_wide, by="category", models=forecast.BASELINES),
+    "error_histogram": on_star(forecast.error_histogram, by="category", model=forecast.BASELINES[1]),
 }
