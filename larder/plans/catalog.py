@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.operators import bom, dashboard, demand, explore, forecast, inventory, kpi, policy, quality, service, supplier
+from larder.operators import bom, dashboard, demand, explore, forecast, inventory, kpi, models, policy, profit, quality, service, supplier
 from larder.plans.operator import Operator
 from larder.sources.star import ALL_COLUMNS, StarViews
 
@@ -29,6 +30,21 @@ def quality_of_all_tables(spark: SparkSession, folder: str) -> DataFrame:
     return quality.data_quality(StarViews(spark, folder).tables(ALL_COLUMNS))
 
 
+@lru_cache(maxsize=4)
+def fitted(spark: SparkSession, folder: str, by: str, regress: bool) -> models.ProfitModels:
+    """Fitted once per session and folder: several queries read the same models."""
+    reads = {table: tuple(names.split()) for table, names in profit.READS.items()}
+    return models.fit(StarViews(spark, folder).tables(reads), by=by, regress=regress)
+
+
+def with_models(use: Callable[[models.ProfitModels], DataFrame], by: str, regress: bool = True) -> Query:
+    return lambda spark, folder: use(fitted(spark, folder, by, regress))
+
+
+def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return models.feature_importance(spark, fitted(spark, folder, "sku_id", False))
+
+
 QUERIES: dict[str, Query] = {
     "abc_classification": on_star(inventory.abc_classification),
     "inventory_turnover": on_star(inventory.inventory_turnover),
@@ -92,4 +108,19 @@ QUERIES: dict[str, Query] = {
     "forecast_summary": on_star(forecast.forecast_summary, by="category", models=forecast.BASELINES),
     "forecast_wide": on_star(forecast.forecast_wide, by="category", models=forecast.BASELINES),
     "error_histogram": on_star(forecast.error_histogram, by="category", model=forecast.BASELINES[1]),
+    # Monthly profit and features, one entity per SKU
+    **{op.name: on_star(op, by="sku_id") for op in (
+        profit.monthly_profitability, profit.lag_features, profit.rolling_features, profit.mom_change,
+        profit.calendar_features, profit.cost_ratios, profit.risk_flags, profit.drop_incomplete,
+        profit.horizon_target, profit.train_test_sample, profit.standardize, profit.profit_summary,
+    )},
+    # Models: losses occur on SKU-months, so the classifier learns there; profit is predicted per category
+    "profit_classifier": with_models(models.classified, by="sku_id", regress=False),
+    "classifier_metrics": with_models(lambda m: models.classifier_metrics(models.classified(m)), by="sku_id", regress=False),
+    "feature_importance": feature_importance,
+    "profit_regressor": with_models(models.predicted_profit, by="category"),
+    "regressor_metrics": with_models(lambda m: models.regressor_metrics(models.predicted_profit(m)), by="category"),
+    "risk_alerts": with_models(models.risk_alerts, by="category"),
+    "alert_actions": with_models(lambda m: models.alert_actions(models.risk_alerts(m)), by="category"),
+    "high_risk_count": with_models(lambda m: models.high_risk_count(models.risk_alerts(m)), by="category"),
 }

@@ -68,22 +68,38 @@ VIEWS = {
 NEEDS = {"supplier_master": ("purchase_orders",), "current_inventory": ("sku_master",)}
 
 
+def _half_even(x: str) -> str:
+    d = f"CAST({x} AS DECIMAL(28,9))"
+    return (f"CAST(CASE WHEN abs({d} * 100 % 1) = 0.5 AND trunc({d} * 100) % 2 = 0 THEN trunc({d} * 100) / 100e0 "
+            f"ELSE CAST(round({d}, 2) AS DOUBLE) END AS DOUBLE)")
+
+
+def _decimal(x: str, digits: str, scale: int) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,{scale})),{digits}) AS DOUBLE)"
+
+
+ROUNDINGS = {
+    "half_even(": _half_even,
+    "half_up(": lambda inside: _decimal(*inside.rsplit(",", 1), 12),
+    "money(": lambda inside: _decimal(inside, " 2", 6),
+}
+
+
 def _rounding(sql: str) -> str:
-    """Writes out two roundings of a double as decimals, ties away from zero.
+    """Writes out the roundings of a double as decimals.
 
     ``half_up(x, n)`` is for ratios, ``money(x)`` for amounts that may be large (a cast with twelve
-    decimals would lose digits there). DuckDB itself rounds the binary value, so that 1.025 becomes
+    decimals would lose digits there), ``half_even(x)`` gives two decimals, ties to even. DuckDB itself rounds the binary value, so that 1.025 becomes
     1.02; the operators follow the decimal text.
     """
-    for name, scale in (("half_up(", 12), ("money(", 6)):
+    for name in ("half_even(", "half_up(", "money("):
         while (start := sql.find(name)) >= 0:
             at = start + len(name)
             depth, end = 1, at
             while depth:
                 depth += {"(": 1, ")": -1}.get(sql[end], 0)
                 end += 1
-            value, digits = sql[at:end - 1].rsplit(",", 1) if name == "half_up(" else (sql[at:end - 1], " 2")
-            sql = f"{sql[:start]}CAST(round(CAST({value} AS DECIMAL(38,{scale})),{digits}) AS DOUBLE){sql[end:]}"
+            sql = sql[:start] + ROUNDINGS[name](sql[at:end - 1]) + sql[end:]
     return sql
 
 
