@@ -1,20 +1,31 @@
-"""Cutting lineage so that lost executors never force a long recomputation."""
+"""Shared folders for checkpoints and hand-over files."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's reliable checkpoint folder.
+def shared_folder(session: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, seen by every executor.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a local one is set only
-    where neither that nor the context names any, as in tests.
+    A local one is set only where the session names none, as in tests.
     """
-    session = df.sparkSession
-    context = session.sparkContext
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    return folder or tempfile.mkdtemp(prefix="larder-")
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """The rows written to the reliable checkpoint folder, so that lost executors never force a
+    long recomputation."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def scratch_path(session: SparkSession, name: str) -> str:
+    """A fresh path for a table that one step writes and the next reads."""
+    return f"{shared_folder(session).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -33,6 +33,17 @@ def sales_totals(t: Tables) -> DataFrame:
     )
 
 
+@operator(sales="date quantity_fulfilled revenue_cents")
+def report_kv(t: Tables) -> DataFrame:
+    """The sales totals as (metric, value) text rows."""
+    return key_values(
+        sales_totals(t),
+        Total_Revenue=dollars(F.col("total_revenue")), Total_Units=F.col("total_units"),
+        Average_Order_Value=dollars(F.col("avg_order_value")),
+        Date_Range=F.concat_ws(" to ", "first_date", "last_date"),
+    )
+
+
 @operator(sales="date quantity_fulfilled backorder_quantity revenue_cents")
 def monthly_sales_trends(t: Tables, *, ordered: bool = True) -> DataFrame:
     """Revenue, units and backorders per month."""

@@ -156,15 +156,15 @@ def feature_names(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c not in NOT_FEATURES and c != "is_train"]
 
 
-def standard_scores(rows: DataFrame, names: list[str]) -> DataFrame:
+def standard_scores(rows: DataFrame, names: list[str], digits: int | None = None) -> DataFrame:
     """Each column less its mean, over its population deviation; zero where it does not vary."""
     ends = rows.agg(F.struct(
         *(F.avg(c).alias(f"{c}_mean") for c in names), *(F.stddev_pop(c).alias(f"{c}_sd") for c in names)
     )).scalar()
-    return rows.withColumns({
-        c: F.round(F.coalesce(F.try_divide(F.col(c) - ends[f"{c}_mean"], ends[f"{c}_sd"]), F.lit(0.0)), 6)
-        for c in names
-    })
+    scores = {
+        c: F.coalesce(F.try_divide(F.col(c) - ends[f"{c}_mean"], ends[f"{c}_sd"]), F.lit(0.0)) for c in names
+    }
+    return rows.withColumns(scores if digits is None else {c: F.round(s, digits) for c, s in scores.items()})
 
 
 # Operators.
@@ -238,11 +238,11 @@ def train_test_sample(t: Tables, *, by: str | None = None, horizon: int = 3, sha
 
 
 @operator(**READS)
-def standardize(t: Tables, *, by: str | None = None) -> DataFrame:
+def standardize(t: Tables, *, by: str | None = None, digits: int | None = None) -> DataFrame:
     """The features as standard scores."""
     rows = features(t, by)
     names = feature_names(rows)
-    return standard_scores(rows, names).select("entity", "year_month", *names)
+    return standard_scores(rows, names, digits).select("entity", "year_month", *names)
 
 
 @operator(**READS)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import lru_cache
+from functools import lru_cache, partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.operators import bom, dashboard, demand, explore, forecast, inventory, kpi, models, policy, profit, quality, service, supplier
+from larder.functions.pin import scratch_path
+from larder.plans.audit import query_audit
 from larder.plans.operator import Operator
+from larder.sources import files
 from larder.sources.star import ALL_COLUMNS, StarViews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +49,51 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     return models.feature_importance(spark, fitted(spark, folder, "sku_id", False))
 
 
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """SKU master written as CSV and read back by its schema."""
+    master = StarViews(spark, folder).table("sku_master", ALL_COLUMNS["sku_master"])
+    path, columns = scratch_path(spark, "sku_master"), files.file_columns(master, "sku_master")
+    files.write_csv(columns, path)
+    return files.read_csv(spark, path, "sku_master", columns.columns)
+
+
+def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Supplier master written as JSON records and read back by its schema."""
+    master = StarViews(spark, folder).table("supplier_master", ALL_COLUMNS["supplier_master"])
+    path = scratch_path(spark, "supplier_master")
+    files.write_json_records(files.file_columns(master, "supplier_master"), path)
+    return files.read_json_records(spark, path, "supplier_master", array_file=False)
+
+
+def table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales written by month and read back, summed over the months."""
+    columns = ("date", "sku_id", "quantity_ordered", "quantity_fulfilled", "backorder_quantity")
+    path = scratch_path(spark, "sales")
+    files.write_table(StarViews(spark, folder).table("sales", columns), path, by_month="date")
+    return files.read_table(spark, path).groupBy(F.col("sales_month").cast("string").alias("sales_month")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("quantity_ordered").alias("quantity_ordered"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+    )
+
+
+def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Order dates from text, counted."""
+    text = StarViews(spark, folder).raw("orders", "o_orderdate").select(F.col("o_orderdate").cast("string"))
+    return files.parse_dates(text, "o_orderdate").groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("orders"))
+
+
+# The queries whose runs are logged together.
+AUDITED = ("abc_classification", "inventory_turnover", "eoq_sql", "slow_moving_inventory", "seasonal_decomposition",
+           "demand_volatility", "supplier_scorecard_master", "fill_rate_analysis", "warehouse_efficiency",
+           "executive_kpis")
+
+
+def audited(spark: SparkSession, folder: str) -> DataFrame:
+    """Log of the ten standard queries, without the seconds (which differ from run to run)."""
+    log = query_audit(spark, {name: partial(QUERIES[name], spark, folder) for name in AUDITED})
+    return log.drop("execution_time_sec")
+
+
 QUERIES: dict[str, Query] = {
     "abc_classification": on_star(inventory.abc_classification),
     "inventory_turnover": on_star(inventory.inventory_turnover),
@@ -67,6 +116,13 @@ QUERIES: dict[str, Query] = {
     "bom_explosion": on_star(bom.bom_explosion),
     "executive_kpis": on_star(kpi.executive_kpis),
     "executive_kpis_corrected": on_star(kpi.executive_kpis, mode="corrected"),
+    # Sources and sinks
+    "read_csv": csv_round_trip,
+    "read_json_records": json_round_trip,
+    "write_table": table_round_trip,
+    "parse_dates": parsed_dates,
+    "query_audit": audited,
+    "report_kv": on_star(explore.report_kv),
     # Exploratory figures
     "data_quality": quality_of_all_tables,
     **{op.name: on_star(op) for op in (
@@ -112,8 +168,9 @@ QUERIES: dict[str, Query] = {
     **{op.name: on_star(op, by="sku_id") for op in (
         profit.monthly_profitability, profit.lag_features, profit.rolling_features, profit.mom_change,
         profit.calendar_features, profit.cost_ratios, profit.risk_flags, profit.drop_incomplete,
-        profit.horizon_target, profit.train_test_sample, profit.standardize, profit.profit_summary,
+        profit.horizon_target, profit.train_test_sample, profit.profit_summary,
     )},
+    "standardize": on_star(profit.standardize, by="sku_id", digits=4),
     # Models: losses occur on SKU-months, so the classifier learns there; profit is predicted per category
     "profit_classifier": with_models(models.classified, by="sku_id", regress=False),
     "classifier_metrics": with_models(lambda m: models.classifier_metrics(models.classified(m)), by="sku_id", regress=False),

@@ -104,5 +104,5 @@ NAMES = """revenue quantity_fulfilled quantity_ordered backorder_quantity unit_c
         ("stockout", "to_revenue_ratio"), ("carrying", "to_revenue_ratio"),
     ) for s in ends.split()]
 SQL["standardize"] = _of(FEATURES + " SELECT entity, year_month, " + ", ".join(
-    f"half_up(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 6) AS {c}" for c in NAMES
+    f"half_up(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 4) AS {c}" for c in NAMES
 ) + " FROM features")
