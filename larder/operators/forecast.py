@@ -205,11 +205,10 @@ def summarize(long: DataFrame, ranked: DataFrame, as_of: date, target: float = T
 def histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Counts in equal bins from the least to the greatest value; empty bins are left out."""
     ends = values.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
-    low, width = ends["low"], (ends["high"] - ends["low"]) / F.lit(float(bins))
+    low, width = F.col("_ends")["low"], (F.col("_ends")["high"] - F.col("_ends")["low"]) / F.lit(float(bins))
     bucket = F.least(F.coalesce(F.floor(F.try_divide(F.col(column) - low, width)), F.lit(0)), F.lit(bins - 1))
-    counted = values.filter(F.col(column).isNotNull()).groupBy((bucket + 1).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    placed = values.filter(F.col(column).isNotNull()).withColumn("_ends", ends)
+    counted = placed.groupBy((bucket + 1).cast("int").alias("bin"), "_ends").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("bin", F.round(low + (F.col("bin") - 1) * width, 4).alias("bin_start"),
                           F.round(low + F.col("bin") * width, 4).alias("bin_end"), "n").orderBy("bin")
 

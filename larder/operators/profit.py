@@ -161,10 +161,13 @@ def standard_scores(rows: DataFrame, names: list[str], digits: int | None = None
     ends = rows.agg(F.struct(
         *(F.avg(c).alias(f"{c}_mean") for c in names), *(F.stddev_pop(c).alias(f"{c}_sd") for c in names)
     )).scalar()
-    scores = {
-        c: F.coalesce(F.try_divide(F.col(c) - ends[f"{c}_mean"], ends[f"{c}_sd"]), F.lit(0.0)) for c in names
-    }
-    return rows.withColumns(scores if digits is None else {c: F.round(s, digits) for c, s in scores.items()})
+
+    def score(c: str) -> Column:
+        value = F.coalesce(F.try_divide(F.col(c) - F.col("_ends")[f"{c}_mean"], F.col("_ends")[f"{c}_sd"]), F.lit(0.0))
+        return value if digits is None else F.round(value, digits)
+
+    # Held in one column: the subquery then stands in the plan once, not once per feature.
+    return rows.withColumn("_ends", ends).withColumns({c: score(c) for c in names}).drop("_ends")
 
 
 # Operators.
