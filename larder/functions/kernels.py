@@ -89,40 +89,54 @@ def fit_waves(train: pd.DataFrame, test: pd.DataFrame, weekly: int, yearly: int,
             "forecast_upper": np.expm1(middle + spread)}
 
 
-def match_blocks(min_days: int, top: int | None, slab: int = 512) -> Callable[..., pd.DataFrame]:
+def match_blocks(min_days: int, top: int | None) -> Callable[..., pd.DataFrame]:
+    """Pairs across the two blocks of a group that share more than ``min_days`` days; the ``top``
+    best of them if given, by days and then by id."""
+
     def match(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
         left = rows[rows["block"] == key[0]]
         right = rows[rows["block"] == key[1]]
-        axis = np.unique(np.concatenate(rows["days"].to_list()))
-        ids = right["sku_id"].to_numpy()
-        across = _day_matrix(right, axis).T
-        found = pd.DataFrame({"sku_a": ids[:0], "sku_b": ids[:0], "days_sold_together": np.zeros(0, np.int64)})
-        for start in range(0, len(left), slab):
-            part = left.iloc[start:start + slab]
-            common = _day_matrix(part, axis) @ across
-            if key[0] == key[1]:  # one block with itself: each pair once
-                common = np.triu(common, start + 1)
-            common = np.where(common > min_days, common, 0)
-            if top is not None and np.count_nonzero(common) > top:
-                cut = np.partition(common, common.size - top, axis=None)[common.size - top]
-                common = np.where(common >= cut, common, 0)
-            i, j = np.nonzero(common)
-            a, b = part["sku_id"].to_numpy()[i], ids[j]
-            swap = a > b
-            here = pd.DataFrame({"sku_a": np.where(swap, b, a), "sku_b": np.where(swap, a, b),
-                                 "days_sold_together": common[i, j].astype(np.int64)})
-            found = here if found.empty else pd.concat([found, here])
-            if top is not None:
-                found = found.sort_values(["days_sold_together", "sku_a", "sku_b"],
-                                          ascending=[False, True, True]).head(top)
+        common = shared_days(left["days"].to_list(), right["days"].to_list())
+        if key[0] == key[1]:  # one block with itself: each pair once
+            common = np.triu(common, 1)
+        common[common <= min_days] = 0
+        if top is not None and np.count_nonzero(common) > top:
+            at_least = np.cumsum(np.bincount(common.ravel())[::-1])[::-1]  # pairs with that many days or more
+            common[common < np.flatnonzero(at_least >= top)[-1]] = 0
+        i, j = np.nonzero(common)
+        a, b = left["sku_id"].to_numpy()[i], right["sku_id"].to_numpy()[j]
+        swap = a > b
+        found = pd.DataFrame({"sku_a": np.where(swap, b, a), "sku_b": np.where(swap, a, b),
+                              "days_sold_together": common[i, j].astype(np.int64)})
+        if top is not None:
+            found = found.sort_values(["days_sold_together", "sku_a", "sku_b"], ascending=[False, True, True]).head(top)
         return found
 
     return match
 
 
-def _day_matrix(rows: pd.DataFrame, axis: np.ndarray) -> np.ndarray:
-    """SKUs by days, 1 where sold; products of counts stay exact in float32 below 2**24 days."""
-    out = np.zeros((len(rows), len(axis)), np.float32)
-    sizes = [len(d) for d in rows["days"]]
-    out[np.repeat(np.arange(len(rows)), sizes), np.searchsorted(axis, np.concatenate(rows["days"].to_list()))] = 1
-    return out
+def shared_days(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common days of every left row with every right row.
+
+    Where few rows share a day, each day adds one to its own rows and columns; where most do, a
+    product of two zero-one matrices is quicker (exact in float32 below 2**24 days).
+    """
+    if not left or not right:
+        return np.zeros((len(left), len(right)), np.int32)
+    axis = np.unique(np.concatenate(left + right))
+    sides = []
+    for days in (left, right):
+        row = np.repeat(np.arange(len(days)), [len(d) for d in days])
+        sides.append((row, np.searchsorted(axis, np.concatenate(days))))
+    per_day = [np.bincount(column, minlength=len(axis)) for _, column in sides]
+    if 20 * int(per_day[0] @ per_day[1]) < len(left) * len(right) * len(axis):
+        common = np.zeros((len(left), len(right)), np.int32)
+        grouped = [np.split(row[np.argsort(column, kind="stable")], np.cumsum(count)[:-1])
+                   for (row, column), count in zip(sides, per_day)]
+        for here, there in zip(*grouped):
+            common[np.ix_(here, there)] += 1
+        return common
+    dense = [np.zeros((len(days), len(axis)), np.float32) for days in (left, right)]
+    for matrix, (row, column) in zip(dense, sides):
+        matrix[row, column] = 1
+    return (dense[0] @ dense[1].T).astype(np.int32)

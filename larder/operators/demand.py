@@ -80,8 +80,9 @@ def sku_cooccurrence(t: Tables, *, min_days: int = 30, top: int | None = 50,
 
     A self join by day would emit every pair of every day. Here each SKU becomes the set of its
     selling days (bounded by the calendar), SKUs with too few days are dropped (they cannot
-    qualify), and blocks of SKUs are matched block against block: one group per pair of blocks
-    multiplies two small day matrices and returns only pairs that qualify, at most ``top`` of them.
+    qualify), and blocks of about ``block_rows`` SKUs are matched block against block: one group
+    per pair of blocks counts common days in memory and returns only pairs that qualify, at most
+    ``top`` of them.
     Quantities are joined back for the pairs that remain.
     """
     daily = (
