@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# Splits a hot join key over tasks even where a later grouping by that key needs another shuffle.
+SPLIT_HOT_KEYS = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+
 
 def build_session(app: str = "larder", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC dates.
@@ -16,6 +19,7 @@ def build_session(app: str = "larder", master: str | None = None, **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config(SPLIT_HOT_KEYS, "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
