@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import labels
 from larder.functions.columns import banded, percent
-from larder.functions.pin import pinned
+from larder.functions.pin import pinned, scratch_path
 from larder.operators import profit
 from larder.plans.operator import Tables
 
@@ -36,6 +36,14 @@ def _pipeline(names: list[str], model: RandomForestClassifier | GBTRegressor) ->
     return Pipeline(stages=[gather, scale, model])
 
 
+def _stored(model: PipelineModel) -> PipelineModel:
+    """The model written to the shared folder and read back: without its training summary, which
+    holds the session and cannot be sent to executors once the session has observed a query."""
+    path = scratch_path(SparkSession.getActiveSession(), "classifier")
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def fit(t: Tables, *, by: str | None = None, horizon: int = 3, split: str = "hash", seed: int = 42, trees: int = 100,
         forest_depth: int = 10, rounds: int = 100, boost_depth: int = 5, step: float = 0.1,
         classify: bool = True, regress: bool = True, point_in_time: bool = False) -> ProfitModels:
@@ -57,7 +65,7 @@ def fit(t: Tables, *, by: str | None = None, horizon: int = 3, split: str = "has
             forest = RandomForestClassifier(
                 labelCol="target_is_profitable", featuresCol="features", weightCol="weight", numTrees=trees,
                 maxDepth=forest_depth, minInstancesPerNode=2, seed=seed, probabilityCol="probability")
-            classifier = _pipeline(names, forest).fit(weighed)
+            classifier = _stored(_pipeline(names, forest).fit(weighed))
     if regress:
         boost = GBTRegressor(labelCol="target_profit", featuresCol="features", maxIter=rounds, maxDepth=boost_depth,
                              stepSize=step, seed=seed)

@@ -193,6 +193,13 @@ def test_models_learn_and_one_class_is_skipped(spark):
     assert models.risk_alerts(one).count() == 3
 
 
+def test_classifier_works_after_an_observed_query(spark):
+    query_audit(spark, {"any": lambda: spark.range(3)})
+    reads = {table: tuple(names.split()) for table, names in profit.READS.items()}
+    fitted = models.fit(StarViews(spark, SMALL).tables(reads), by="sku_id", trees=3, regress=False)
+    assert models.classified(fitted).count() > 0
+
+
 def test_audit_goes_on_after_a_failure(spark, tmp_path):
     good = spark.range(5)
     log = query_audit(spark, {"good": lambda: good, "bad": lambda: good.select("absent"), "more": lambda: good.limit(2)},
