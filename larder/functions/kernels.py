@@ -90,8 +90,8 @@ def fit_waves(train: pd.DataFrame, test: pd.DataFrame, weekly: int, yearly: int,
 
 
 def match_blocks(min_days: int, top: int | None) -> Callable[..., pd.DataFrame]:
-    """Pairs across the two blocks of a group that share more than ``min_days`` days; the ``top``
-    best of them if given, by days and then by id."""
+    """Pairs across the two blocks of a group that share more than ``min_days`` days, with the
+    quantities of both on those days; the ``top`` best pairs if given, by days and then by id."""
 
     def match(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
         left = rows[rows["block"] == key[0]]
@@ -105,16 +105,39 @@ def match_blocks(min_days: int, top: int | None) -> Callable[..., pd.DataFrame]:
             common[common < np.flatnonzero(at_least >= top)[-1]] = 0
         i, j = np.nonzero(common)
         a, b = left["sku_id"].to_numpy()[i], right["sku_id"].to_numpy()[j]
-        swap = a > b
-        found = pd.DataFrame({"sku_a": np.where(swap, b, a), "sku_b": np.where(swap, a, b),
-                              "days_sold_together": common[i, j].astype(np.int64)})
+        found = pd.DataFrame({"i": i, "j": j, "days_sold_together": common[i, j].astype(np.int64), "swap": a > b})
+        found["sku_a"], found["sku_b"] = np.where(a > b, b, a), np.where(a > b, a, b)
         if top is not None:
             found = found.sort_values(["days_sold_together", "sku_a", "sku_b"], ascending=[False, True, True]).head(top)
-        return found
+        one, two = shared_quantities(left, right, found["i"].to_numpy(), found["j"].to_numpy())
+        found["qty_a"], found["qty_b"] = np.where(found["swap"], two, one), np.where(found["swap"], one, two)
+        return found[["sku_a", "sku_b", "days_sold_together", "qty_a", "qty_b"]]
 
     return match
 
 
+def shared_quantities(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray,
+                      chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of a left and a right row, what both sold on their common days."""
+    totals = np.zeros((2, len(i)), np.int64)
+    if len(i):
+        axis = np.unique(np.concatenate(left["days"].to_list() + right["days"].to_list()))
+        sold, present = [], []
+        for side, used in ((left, np.unique(i)), (right, np.unique(j))):
+            quantity = np.zeros((len(side), len(axis)), np.int64)
+            there = np.zeros((len(side), len(axis)), bool)
+            for r in used:
+                at = np.searchsorted(axis, side["days"].iloc[r])
+                quantity[r, at], there[r, at] = side["quantities"].iloc[r], True
+            sold.append(quantity)
+            present.append(there)
+        for start in range(0, len(i), chunk):
+            a, b = i[start:start + chunk], j[start:start + chunk]
+            totals[0, start:start + chunk] = (sold[0][a] * present[1][b]).sum(axis=1)
+            totals[1, start:start + chunk] = (sold[1][b] * present[0][a]).sum(axis=1)
+    return totals[0], totals[1]
+
+
 def shared_days(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Number of common days of every left row with every right row.
 

@@ -82,40 +82,30 @@ def sku_cooccurrence(t: Tables, *, min_days: int = 30, top: int | None = 50,
     selling days (bounded by the calendar), SKUs with too few days are dropped (they cannot
     qualify), and blocks of about ``block_rows`` SKUs are matched block against block: one group
     per pair of blocks counts common days in memory and returns only pairs that qualify, at most
-    ``top`` of them.
-    Quantities are joined back for the pairs that remain.
+    ``top`` of them, with their quantities.
     """
-    daily = (
-        t["sales"].join(t["sku_master"].select("sku_id"), "sku_id", "left_semi")
-        .groupBy("sku_id", "date").agg(F.sum("quantity_fulfilled").alias("qty"))
-    )
+    daily = t["sales"].groupBy("sku_id", "date").agg(F.sum("quantity_fulfilled").alias("qty"))
     days = (
         daily.groupBy("sku_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.unix_date("date")).alias("days"))
+        .agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(F.unix_date("date").alias("day"), "qty")).alias("sold"))
         .filter(F.col("n") > min_days).drop("n")
+        .join(t["sku_master"].select("sku_id"), "sku_id", "left_semi")
     )
     blocks = days.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("n")).scalar()
-    mine = F.pmod(F.xxhash64("sku_id"), blocks).cast("int")
     placed = (
-        days.withColumn("block", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("sku_id", "days", "block",
+        days.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("sku_id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sku_id", F.col("sold.day").alias("days"), F.col("sold.qty").alias("quantities"), "block",
                 F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     )
-    id_type = t["sales"].schema["sku_id"].dataType
+    id_type, whole = t["sales"].schema["sku_id"].dataType, T.LongType()
     schema = T.StructType([T.StructField("sku_a", id_type), T.StructField("sku_b", id_type),
-                           T.StructField("days_sold_together", T.LongType())])
-    pairs = placed.groupBy("left", "right").applyInPandas(match_blocks(min_days, top), schema)
+                           *(T.StructField(c, whole) for c in ("days_sold_together", "qty_a", "qty_b"))])
+    sums = placed.groupBy("left", "right").applyInPandas(match_blocks(min_days, top), schema)
     if top is not None:
-        pairs = pairs.orderBy(F.desc("days_sold_together"), "sku_a", "sku_b").limit(top)
-
-    first = daily.select(F.col("sku_id").alias("sku_a"), "date", F.col("qty").alias("qty_a"))
-    second = daily.select(F.col("sku_id").alias("sku_b"), "date", F.col("qty").alias("qty_b"))
-    keys = ("sku_a", "sku_b", "days_sold_together")
-    sums = (
-        pairs.join(first, "sku_a").join(second, ["sku_b", "date"]).groupBy(*keys)
-        .agg(F.sum("qty_a").alias("qty_a"), F.sum("qty_b").alias("qty_b"))
-    )
+        sums = sums.orderBy(F.desc("days_sold_together"), "sku_a", "sku_b").limit(top)
+
     selling_days = t["sales"].agg(F.count_distinct("date")).scalar()
     names = [t["sku_master"].select(F.col("sku_id").alias(f"sku_{s}"), F.col("product_name").alias(f"product_{s}"))
              for s in "ab"]

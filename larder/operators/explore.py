@@ -121,9 +121,9 @@ def top_warehouses(t: Tables, *, top: int = 5) -> DataFrame:
     groups = t["current_inventory"].groupBy("warehouse_id").agg(
         F.sum("quantity_on_hand").alias("quantity_on_hand"), F.sum("total_value_cents").alias("c")
     )
-    whole = t["current_inventory"].agg(F.sum("total_value_cents")).scalar()
-    return groups.orderBy(F.desc("c"), "warehouse_id").limit(top).select(
-        "warehouse_id", "quantity_on_hand", money("c").alias("total_value"), percent("c", whole).alias("pct_of_total")
+    share = percent("c", F.sum("c").over(everything()))  # one row per warehouse
+    return groups.withColumn("pct_of_total", share).orderBy(F.desc("c"), "warehouse_id").limit(top).select(
+        "warehouse_id", "quantity_on_hand", money("c").alias("total_value"), "pct_of_total"
     )
 
 

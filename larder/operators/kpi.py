@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,44 +25,50 @@ def executive_kpis(t: Tables, *, as_of: date, mode: str = "reference", turnover_
     ``mode='reference'`` counts the cost of goods once per stocked warehouse, against the mean
     value per warehouse; ``mode='corrected'`` counts it once, against the SKU's whole stock.
     """
-    # Both sides shrink to one row per SKU before they meet.
+    # One pass over sales and one over stock: both shrink to one row per SKU before they meet.
+    day = F.col("date")
+    in_turnover, in_service = (day >= months_back(as_of, m) for m in (turnover_months, service_months))
+
+    def recent(column: Column) -> Column:
+        return F.sum(F.when(in_service, column))
+
     sold = (
-        t["sales"].filter(F.col("date") >= months_back(as_of, turnover_months))
-        .groupBy("sku_id").agg(F.sum("quantity_fulfilled").alias("sold"))
+        t["sales"].filter(day >= months_back(as_of, max(turnover_months, service_months))).groupBy("sku_id")
+        .agg(F.sum(F.when(in_turnover, F.col("quantity_fulfilled"))).alias("sold"),
+             recent(F.col("quantity_fulfilled")).alias("filled"), recent(F.col("quantity_ordered")).alias("wanted"),
+             F.count_if(in_service & (F.col("backorder_quantity") > 0)).alias("stockouts"))
     )
     stock = t["current_inventory"].groupBy("sku_id").agg(
-        F.count(F.lit(1)).alias("warehouses"), F.sum("quantity_on_hand").alias("on_hand")
+        F.count(F.lit(1)).alias("warehouses"), F.sum("quantity_on_hand").alias("on_hand"),
+        F.sum("total_value_cents").alias("stock_cents"),
     )
-    per_sku = sold.join(t["sku_master"], "sku_id").join(stock, "sku_id", "left")
+    per_sku = sold.join(stock, "sku_id", "full").join(t["sku_master"], "sku_id", "left")
     cogs = (F.col("sold") * F.col("unit_cost_cents")).cast("double")
     value = (F.col("on_hand") * F.col("unit_cost_cents")).cast("double")
     if mode == "reference":
         turns = F.try_divide(cogs * F.col("warehouses"), F.try_divide(value, F.col("warehouses").cast("double")))
     else:
         turns = F.try_divide(cogs, value)
-    recent = t["sales"].filter(F.col("date") >= months_back(as_of, service_months))
-    fill = percent(F.sum("quantity_fulfilled"), F.sum("quantity_ordered"))
-    service = recent.agg(fill.alias("fill"), F.count_if(F.col("backorder_quantity") > 0).alias("stockouts"))
-    rate = F.round(F.avg("on_time_delivery_rate") * 100, 2)
+    figures = per_sku.agg(
+        money(F.sum("stock_cents")).alias("stock"), F.round(F.avg(turns), 2).alias("turns"),
+        percent(F.sum("filled"), F.sum("wanted")).alias("fill"), F.sum("stockouts").alias("outs"),
+    )
+    punctual = t["supplier_master"].agg(F.round(F.avg("on_time_delivery_rate") * 100, 2).alias("punctual"))
+    stock_value, mean_turns, fill, outs, rate = map(F.col, ("stock", "turns", "fill", "outs", "punctual"))
+    return _rows(
+        figures,
+        _row("Total Inventory Value", stock_value, F.concat(F.lit("$"), plain_number(stock_value))),
+        _row("Average Inventory Turnover", mean_turns, plain_number(mean_turns)),
+        _row("Overall Fill Rate", fill, F.concat(plain_number(fill), F.lit("%"))),
+        _row("Number of Stockout Events", outs.cast("double"), outs.cast("string")),
+    ).unionByName(_rows(
+        punctual, _row("Average Supplier On-Time Delivery", rate, F.concat(plain_number(rate), F.lit("%")))
+    ))
+
 
-    value_row = t["current_inventory"].agg(money(F.sum("total_value_cents")).alias("v"))
-    turn_row = per_sku.agg(F.round(F.avg(turns), 2).alias("v"))
-    punctual_row = t["supplier_master"].agg(rate.alias("v"))
-    v = F.col("v")
-    rows = [
-        _row(value_row, "Total Inventory Value", v, F.concat(F.lit("$"), plain_number(v))),
-        _row(turn_row, "Average Inventory Turnover", v, plain_number(v)),
-        service.select(F.explode(F.array(
-            F.struct(F.lit("Overall Fill Rate").alias("metric"), F.col("fill").alias("value"),
-                     F.concat(plain_number(F.col("fill")), F.lit("%")).alias("value_text")),
-            F.struct(F.lit("Number of Stockout Events").alias("metric"),
-                     F.col("stockouts").cast("double").alias("value"),
-                     F.col("stockouts").cast("string").alias("value_text")),
-        )).alias("r")).select("r.*"),
-        _row(punctual_row, "Average Supplier On-Time Delivery", v, F.concat(plain_number(v), F.lit("%"))),
-    ]
-    return reduce(DataFrame.unionByName, rows)
+def _row(metric: str, value: Column, text: Column) -> Column:
+    return F.struct(F.lit(metric).alias("metric"), value.alias("value"), text.alias("value_text"))
 
 
-def _row(one: DataFrame, metric: str, value: Column, text: Column) -> DataFrame:
-    return one.select(F.lit(metric).alias("metric"), value.alias("value"), text.alias("value_text"))
+def _rows(one: DataFrame, *rows: Column) -> DataFrame:
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -43,9 +43,10 @@ def test_pairs_equal_brute_force(make, top, block):
     names = make("sku_id string, product_name string", *((f"s{i:02d}", f"n{i}") for i in range(40)))
     got = demand.sku_cooccurrence({"sales": sales, "sku_master": names}, min_days=12, top=top, block_rows=block).collect()
     assert [(-r.days_sold_together, r.sku_a, r.sku_b) for r in got] == want
-    first = got[0]
-    both = [d for d in days.values() if first.sku_a in d and first.sku_b in d]
-    assert first.avg_qty_a == pytest.approx(sum(d[first.sku_a] for d in both) / len(both), abs=0.051)
+    for pair in got[:40]:
+        both = [d for d in days.values() if pair.sku_a in d and pair.sku_b in d]
+        assert pair.avg_qty_a == pytest.approx(sum(d[pair.sku_a] for d in both) / len(both), abs=0.051)
+        assert pair.avg_qty_b == pytest.approx(sum(d[pair.sku_b] for d in both) / len(both), abs=0.051)
 
 
 def test_shared_days_both_ways():
@@ -58,9 +59,11 @@ def test_shared_days_both_ways():
 
 
 def test_match_keeps_exactly_the_best():
-    rows = pd.DataFrame({"sku_id": range(30), "block": 0, "days": [np.arange(20)] * 30})
+    rows = pd.DataFrame({"sku_id": range(30), "block": 0, "days": [np.arange(20)] * 30,
+                         "quantities": [np.full(20, k) for k in range(30)]})
     got = match_blocks(3, 5)((0, 0), rows)
     assert list(zip(got.sku_a, got.sku_b)) == [(0, j) for j in range(1, 6)]
+    assert got.qty_a.tolist() == [0] * 5 and got.qty_b.tolist() == [20 * j for j in range(1, 6)]
 
 
 def test_hot_sku_root_cause_equals_brute_force(make):
