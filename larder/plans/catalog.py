@@ -76,6 +76,29 @@ def table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def result_as_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """A result written as CSV and read back by its own schema."""
+    result = QUERIES["monthly_sales_trends"](spark, folder)
+    path = scratch_path(spark, "monthly_sales_trends")
+    files.write_csv(result, path)
+    return spark.read.schema(result.schema).option("header", True).csv(path)
+
+
+def result_as_json(spark: SparkSession, folder: str) -> DataFrame:
+    """A result written as JSON records and read back by its own schema."""
+    result = QUERIES["category_performance"](spark, folder)
+    path = scratch_path(spark, "category_performance")
+    files.write_json_records(result, path)
+    return spark.read.schema(result.schema).json(path)
+
+
+def stock_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Stock kept as a table, read whole."""
+    path = scratch_path(spark, "current_inventory")
+    files.write_table(StarViews(spark, folder).table("current_inventory", ALL_COLUMNS["current_inventory"]), path)
+    return files.read_table(spark, path)
+
+
 def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Order dates from text, counted."""
     text = StarViews(spark, folder).raw("orders", "o_orderdate").select(F.col("o_orderdate").cast("string"))
@@ -120,6 +143,9 @@ QUERIES: dict[str, Query] = {
     "read_csv": csv_round_trip,
     "read_json_records": json_round_trip,
     "write_table": table_round_trip,
+    "read_table": stock_table,
+    "write_csv": result_as_csv,
+    "write_json_records": result_as_json,
     "parse_dates": parsed_dates,
     "query_audit": audited,
     "report_kv": on_star(explore.report_kv),

@@ -1,6 +1,6 @@
 """SQL for the round trips through files, and for the log of the standard queries."""
 
-from oracle import business, inventory
+from oracle import business, explore, inventory
 from oracle.views import with_views as q
 
 # Query -> number of result columns.
@@ -21,6 +21,9 @@ SQL = {
         SELECT strftime(date, '%Y-%m') AS sales_month, count(*) AS rows,
                CAST(sum(quantity_ordered) AS BIGINT) AS quantity_ordered, min(date) AS first_date, max(date) AS last_date
         FROM sales GROUP BY 1""", "sales"),
+    "read_table": q(f"SELECT {explore.COLUMNS['current_inventory']} FROM current_inventory", "current_inventory"),
+    "write_csv": explore.SQL["monthly_sales_trends"],
+    "write_json_records": explore.SQL["category_performance"],
     "parse_dates": "SELECT CAST(o_orderdate AS DATE) AS o_orderdate, count(*) AS orders FROM orders GROUP BY 1",
     "query_audit": " UNION ALL ".join(
         f"SELECT '{name}' AS query_name, (SELECT count(*) FROM ({CHECKED[name]})) AS rows_returned, "
