@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from larder.functions.kernels import extend_ar, fit_waves, match_blocks, shared_days, smooth, smoothing_pass
@@ -238,3 +239,32 @@ def test_kernels_travel_by_value(tmp_path):
             "print(len(f(np.arange(50.0), 3)['forecast']))")
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.stdout == "3\n", out.stderr
+
+
+def test_a_hot_part_is_split_over_tasks(spark, tmp_path):
+    """A third of the line items on one part: the join with parts is split, and the sums stay right."""
+    raw = StarViews(spark, SMALL)
+    line = spark.read.parquet(f"{SMALL}/lineitem.parquet").repartition(16)
+    hot = F.when(F.xxhash64("l_orderkey", "l_linenumber", "l_shipdate") % 3 == 0, F.lit(1).cast("long"))
+    line.withColumn("l_partkey", F.coalesce(hot, "l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    raw.raw("part", "*").write.parquet(f"{tmp_path}/part.parquet")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.files.maxPartitionBytes": "64KB", "spark.sql.files.openCostInBytes": "0",
+    }
+    run = entry.queries()["monthly_profitability"]
+    plain = sorted(map(str, run(spark, str(tmp_path)).collect()))
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = run(spark, str(tmp_path))
+        split = sorted(map(str, df.collect()))
+        assert "skew=true" in plan_of(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert split == plain
