@@ -9,11 +9,12 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from larder import build_session
 
     session = build_session("larder-tests", "local[8]", spark__sql__shuffle__partitions="8",
-                            spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+                            spark__driver__memory="6g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
