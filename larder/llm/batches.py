@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_BYTES = 4 << 20
 
@@ -45,13 +46,15 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
 def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text",
            limit: int = SLICE_BYTES) -> DataFrame:
     """``work`` on slices of the batches; it returns columns by name (lists or arrays)."""
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema.fields]
+    shape = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    kinds = {f.name: f.type for f in shape}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for part in slices(batch, text, limit):
                 out = work(part)
-                yield pa.RecordBatch.from_arrays([pa.array(out[n]) if not isinstance(out[n], pa.Array) else out[n] for n in names], names)
+                columns = [out[n].cast(k) if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in kinds.items()]
+                yield pa.RecordBatch.from_arrays(columns, list(kinds))
 
     return df.mapInArrow(run, schema)
 

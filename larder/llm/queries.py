@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import simhash
+from larder.llm import ppm, simhash, winnow
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,5 +17,22 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnow.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op3_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = ppm.identify(docs, ppm.fit(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_winnowing": op2_winnowing,
+    "op3_ppm_language": op3_ppm_language,
+}
 ORACLE: dict[str, str] = {}
