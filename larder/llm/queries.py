@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import ppm, simhash, winnow
+from larder.llm import pieces, ppm, simhash, winnow
+
+MODEL = os.environ.get("LARDER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,9 +34,14 @@ def op3_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents"), pieces.load(MODEL), ids=False).drop("row_key")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
     "op3_ppm_language": op3_ppm_language,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 ORACLE: dict[str, str] = {}
