@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import pieces, ppm, simhash, winnow
+from larder.llm import forest, pieces, ppm, simhash, winnow
 
 MODEL = os.environ.get("LARDER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -38,10 +38,15 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), pieces.load(MODEL), ids=False).drop("row_key")
 
 
+def op8_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.nearest(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
     "op3_ppm_language": op3_ppm_language,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_forest": op8_forest,
 }
 ORACLE: dict[str, str] = {}
