@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import forest, pieces, ppm, simhash, winnow
+from larder.llm import chat, forest, pieces, ppm, simhash, winnow
 
 MODEL = os.environ.get("LARDER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -42,11 +42,16 @@ def op8_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.nearest(table(spark, folder, "embeddings"))
 
 
+def op9_role_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repaired(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
     "op3_ppm_language": op3_ppm_language,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_forest": op8_forest,
+    "op9_role_repair": op9_role_repair,
 }
 ORACLE: dict[str, str] = {}
