@@ -7,8 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, forest, pieces, ppm, simhash, winnow
+from larder.llm import chat, forest, pieces, ppm, simhash, surrogates, winnow
 
+# The key of the replacements: a secret in production, so it comes from outside.
+KEY = os.environ.get("LARDER_PII_KEY", "an example key").encode()
 MODEL = os.environ.get("LARDER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -46,6 +48,11 @@ def op9_role_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repaired(table(spark, folder, "conversations"))
 
 
+def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.anonymized(docs, KEY)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
@@ -53,5 +60,6 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_forest": op8_forest,
     "op9_role_repair": op9_role_repair,
+    "op10_surrogates": op10_surrogates,
 }
 ORACLE: dict[str, str] = {}
