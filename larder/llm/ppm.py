@@ -21,7 +21,7 @@ from larder.llm.batches import keyed, mapped, texts_of
 
 ORDER = 3
 SAMPLE = 400  # documents a language to fit on: the only bound, and it holds for fitting alone
-SALTS = 64
+SALTS = 8
 SLICE = 2 << 20  # bytes scored at once
 UNKNOWN = "und"
 # A letter in UTF-8: an ASCII one, or the lead byte of a longer sequence, which is then looked at.

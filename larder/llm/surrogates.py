@@ -27,7 +27,7 @@ SYLLABLES = {
     "GREEK": (["βα", "δο", "φε", "γα", "κι", "λο", "μα", "νι", "πε", "ρα", "σο", "τι", "βο", "ζα", "βε", "μο"], {"m": "ος", "f": "ια", "": "ις"}),
 }
 
-START = re.compile(r"\+?\(?\d")
+DIGITS = re.compile(r"\d+")
 NUMBER = re.compile(
     r"(?<![\w.])(?:"
     r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"
@@ -69,8 +69,19 @@ def entities(text: str) -> list[Entity]:
                 found.append((start, domain.end(), "email", text[start : domain.end()].lower()))
         at = text.find("@", at + 1)
     done = 0
-    for start in START.finditer(text):
-        if start.start() < done or not (m := NUMBER.match(text, start.start())):
+    for run in DIGITS.finditer(text):
+        start = run.start()
+        if start < done:
+            continue
+        if text[max(0, start - 2) : start].isupper() and (m := IBAN.match(text, max(0, start - 2))):
+            value = m[0].replace(" ", "")
+            if 15 <= len(value) <= 34 and _mod97(value) == 1:
+                found.append((m.start(), m.end(), "iban", value))
+                done = m.end()
+                continue
+        start -= text[start - 1 : start] == "("
+        start -= text[start - 1 : start] == "+"
+        if not (m := NUMBER.match(text, start)):
             continue
         kind, value = m.lastgroup, m[0]
         digits = re.sub(r"\D", "", value)
@@ -87,10 +98,6 @@ def entities(text: str) -> list[Entity]:
         found += [(m.start(), m.end(), "access_key", m[0]) for m in ACCESS_KEY.finditer(text)]
     if "PRIVATE KEY" in text:
         found += [(m.start(1), m.end(1), "secret", m[1]) for m in PRIVATE_KEY.finditer(text)]
-    for m in IBAN.finditer(text):
-        value = m[0].replace(" ", "")
-        if 15 <= len(value) <= 34 and _mod97(value) == 1:
-            found.append((m.start(), m.end(), "iban", value))
     names: dict[str, str] = {}
     for m in TITLED.finditer(text) if any(title in text for title in TITLES) else ():  # the search for plain text is much faster
         words = list(re.finditer(r"[^  ]+", m[2]))
