@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, forest, pieces, ppm, simhash, surrogates, winnow
+from larder.llm import chat, forest, pieces, ppm, simhash, surrogates, winnow, wrappers
 
 # The key of the replacements: a secret in production, so it comes from outside.
 KEY = os.environ.get("LARDER_PII_KEY", "an example key").encode()
@@ -36,6 +36,10 @@ def op3_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extracted(table(spark, folder, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), pieces.load(MODEL), ids=False).drop("row_key")
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
     "op3_ppm_language": op3_ppm_language,
+    "op4_wrappers": op4_wrappers,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_forest": op8_forest,
     "op9_role_repair": op9_role_repair,
