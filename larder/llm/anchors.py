@@ -118,7 +118,8 @@ def filter_of(rows: DataFrame, column: str):
 
 def distinct_chunks(docs: DataFrame, words: bool, span: int, gram: int) -> DataFrame:
     """Chunks that can hold a repeated run: ``anchor``, ``d1``, ``d2`` (digest), ``n`` occurrences,
-    ``source`` (least id and place), ``kinds`` (unlike chunks of the anchor) and ``single`` (those that occur once).
+    ``source`` (least id and place), ``kinds`` (unlike chunks of the anchor), ``single`` (those that occur once)
+    and ``total`` (occurrences of the anchor).
 
     Equal chunks of a slice are summed up in the task, so hot chunks are few rows when they are dealt.
     """
@@ -146,7 +147,7 @@ def distinct_chunks(docs: DataFrame, words: bool, span: int, gram: int) -> DataF
     rows = rows.repartition("anchor").groupBy(*KEYS).agg(F.sum("n").alias("n"), F.min(F.struct(F.col("source_id").isNull().alias("none"), "source_id", "source_at")).alias("source"))
     own = Window.partitionBy("anchor")
     rows = rows.withColumn("total", F.sum("n").over(own)).withColumn("kinds", F.count(F.lit(1)).over(own)).withColumn("single", F.sum((F.col("n") == 1).cast("long")).over(own))
-    return stored(rows.filter("total > 1").drop("total"), "chunks")
+    return stored(rows.filter("total > 1"), "chunks")
 
 
 def occurrences(docs: DataFrame, known: DataFrame, words: bool, span: int, gram: int) -> DataFrame:

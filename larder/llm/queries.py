@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bwt, chat, forest, pieces, ppm, simhash, surrogates, winnow, wrappers
+from larder.llm import bwt, chat, debruijn, forest, pieces, ppm, simhash, surrogates, winnow, wrappers
 
 # The key of the replacements: a secret in production, so it comes from outside.
 KEY = os.environ.get("LARDER_PII_KEY", "an example key").encode()
@@ -44,6 +44,10 @@ def op5_bwt(spark: SparkSession, folder: str) -> DataFrame:
     return bwt.deduplicated(table(spark, folder, "documents"), texts=False).drop("row_key")
 
 
+def op6_debruijn(spark: SparkSession, folder: str) -> DataFrame:
+    return debruijn.deduplicated(table(spark, folder, "documents"), texts=False).drop("row_key")
+
+
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), pieces.load(MODEL), ids=False).drop("row_key")
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_ppm_language": op3_ppm_language,
     "op4_wrappers": op4_wrappers,
     "op5_bwt": op5_bwt,
+    "op6_debruijn": op6_debruijn,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_forest": op8_forest,
     "op9_role_repair": op9_role_repair,
