@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.pin import pinned
-from larder.llm.batches import keyed, mapped, texts_of
+from larder.llm.batches import keyed, mapped, slices, texts_of
 
 ORDER = 3
 SAMPLE = 400  # documents a language to fit on: the only bound, and it holds for fitting alone
 SALTS = 8
 SLICE = 2 << 20  # bytes scored at once
 UNKNOWN = "und"
-# A letter in UTF-8: an ASCII one, or the lead byte of a longer sequence, which is then looked at.
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -173,6 +172,19 @@ def fit(docs: DataFrame, lang: str = "lang", per_language: int = SAMPLE) -> Tree
     return Trees(languages, [(part["gram"].to_numpy("i8"), part["n"].to_numpy("i8")) for part in (rows[rows["lang"] == x] for x in languages)])
 
 
+def judged(model: Trees, texts: list[bytes]) -> list[tuple[str, float]]:
+    """Language and score of each text."""
+    bits = model.bits(texts) if model.languages else None
+    out = []
+    for i, text in enumerate(texts):
+        if bits is None or not LETTER.search(text.decode()):
+            out.append((UNKNOWN, 0.0))
+            continue
+        best = int(np.argmin(bits[i]))
+        out.append((model.languages[best], float(1 / np.exp2(bits[i][best] - bits[i]).sum())))
+    return out
+
+
 def identify(docs: DataFrame, trees: Trees, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``row_key``, ``lang_pred`` and ``score`` of every row, from the text alone.
 
@@ -184,19 +196,9 @@ def identify(docs: DataFrame, trees: Trees, id: str = "doc_id", text: str = "tex
     shared = rows.sparkSession.sparkContext.broadcast(vars(trees))  # bounded by the sample
 
     def work(batch: pa.RecordBatch) -> dict:
-        model, texts = Trees.frozen(shared.value), texts_of(batch)
-        names, scores = [], []
-        lettered = [bool(LETTER.search(t.decode())) for t in texts]
-        bits = model.bits(texts) if model.languages else None
-        for i, fine in enumerate(lettered):
-            if not fine or bits is None:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            best = int(np.argmin(bits[i]))
-            names.append(model.languages[best])
-            scores.append(float(1 / np.exp2(bits[i][best] - bits[i]).sum()))
-        return {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+        found = judged(Trees.frozen(shared.value), texts_of(batch))
+        return {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "lang_pred": pa.array([n for n, _ in found], pa.string()),
+                "score": pa.array([s for _, s in found], pa.float64())}
 
     return mapped(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, lang_pred string, score double")
 
@@ -206,15 +208,12 @@ def keep_identified(docs: DataFrame, trees: Trees, id: str = "doc_id", text: str
 
     The whole row travels through the tasks, so nothing is shuffled.
     """
-    schema, columns = docs.schema, docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(vars(trees))
-    place = columns.index(text)
 
     def run(parts):
         model = Trees.frozen(shared.value)
         for batch in parts:
-            texts = [x or "" for x in batch.column(place).to_pylist()]
-            some = [bool(model.languages) and bool(LETTER.search(t)) for t in texts]
-            yield batch.filter(pa.array(some, pa.bool_()))
+            for part in slices(batch, text):
+                yield part.filter(pa.array([name != UNKNOWN for name, _ in judged(model, texts_of(part, text))], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
