@@ -17,7 +17,7 @@ from larder.llm.graph import components
 
 SEED = 42
 BLOCK = 2048  # fingerprints of one shard tree
-BANDS, ROWS, BINS = 10, 3, 256  # shards for wide radii, minima in each, and bins of the sketch
+BANDS, ROWS, BINS = 10, 3, 1024  # shards for wide radii, minima in each, and bins of the sketch
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -39,19 +39,22 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """The least hash in each of 256 bins, 16 bits each (0: empty): equal bins estimate the Jaccard similarity."""
-    out = np.zeros(BINS, "u8")
+    """The least hash in each of 1,024 bins, a byte of each (0: empty)."""
+    out = np.zeros(BINS, "u1")
     if len(hashes):
         top = np.sort(hashes)
-        bins, first = np.unique(top >> np.uint64(56), return_index=True)
-        out[bins.astype(int)] = (top[first] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) | np.uint64(1)
-    return out.astype("<u2").tobytes()
+        bins, first = np.unique(top >> np.uint64(54), return_index=True)
+        out[bins.astype(int)] = 1 + (top[first] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)) % np.uint64(255)
+    return out.tobytes()
 
 
 def similar(one: bytes, two: bytes) -> float:
-    a, b = np.frombuffer(one, "<u2"), np.frombuffer(two, "<u2")
-    either = np.count_nonzero((a > 0) | (b > 0))
-    return np.count_nonzero((a == b) & (a > 0)) / either if either else 1.0
+    """Jaccard similarity as the share of equal bins, less those that are equal by chance."""
+    a, b = np.frombuffer(one, "u1"), np.frombuffer(two, "u1")
+    either = np.count_nonzero(a | b)
+    equal = np.count_nonzero((a == b) & (a > 0))
+    chance = (np.count_nonzero((a > 0) & (b > 0)) - equal) / 254
+    return (equal - chance) / either if either else 1.0
 
 
 def bands(hashes: np.ndarray) -> list[int]:
