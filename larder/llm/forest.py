@@ -15,7 +15,9 @@ from larder.functions.pin import pinned
 from larder.llm.batches import runs_of_groups
 
 TREES, LEAF, SAMPLE = 8, 64, 65_536  # trees, sample rows in a leaf, rows to fit on
-SHARE, LEAST = 0.15, 256  # of all leaves, how many a query visits, and the least number
+SHARE, AT, FALL = 0.10, 10_000, 0.2  # of all leaves, how many a query visits among 10,000 rows; it falls by this power
+LEAST = 256  # leaves that a query visits in any case
+PRUNED = 200_000  # rows a task gathers before it keeps the best of each query only
 CHUNK = 4096  # rows compared at once; a fuller leaf is many chunks
 DEPTH = 24
 SEED = 11
@@ -107,7 +109,8 @@ def nearest(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", ever
 
     Queries are the rows whose id is divisible by ``every``; every row is indexed. The planes are
     fitted on about ``sample`` rows, chosen by the hash of their id, and on all if there are fewer. A
-    query visits ``share`` of the forest's leaves (``LEAST`` at least), nearest first over all trees, and every row in them
+    query visits ``share`` of the forest's leaves among 10,000 rows, and less among more, since recall at the same
+    share rises with their number (``LEAST`` leaves at least), nearest first over all trees, and every row in them
     is measured on its original vector. Recall rises with ``share``; the README has figures.
 
     A leaf with more than ``CHUNK`` rows (equal vectors share their leaves) is split into chunks that
@@ -139,7 +142,7 @@ def nearest(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", ever
     for row in counted:
         sizes[row["leaf"]] = row["count"]
     held = context.broadcast(sizes)
-    visits = max(LEAST, int(np.ceil(share * forest.leaves)))
+    visits = max(LEAST, int(np.ceil(share * (AT / max(total, AT)) ** FALL * forest.leaves)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = Forest.frozen(shared.value), held.value
@@ -164,28 +167,32 @@ def nearest(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", ever
     order = ["leaf", "chunk"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
         for group in runs_of_groups(batches, order):
             asks = group.column("asks").to_numpy()
             if asks.all() or not asks.any():
                 continue
-            ids = group.column("vec_id").combine_chunks()
+            names = group.column("vec_id").to_numpy()
             vectors = _matrix(group.column("v").combine_chunks())
-            queries, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-            names = ids.to_numpy(zero_copy_only=False)
-            base, base_names = vectors[others], names[others]
+            base, base_names = vectors[~asks], names[~asks]
             by_name = np.argsort(base_names, kind="stable")
             base, base_names = base[by_name], base_names[by_name]
-            out_q, out_v, out_d = [], [], []
-            for q in queries:
+            for q in np.flatnonzero(asks):
                 gaps = np.sqrt(((base - vectors[q]) ** 2).sum(1))
                 gaps[base_names == names[q]] = np.inf
                 # Rows stand by id, so a stable order keeps smaller ids first among equal distances.
-                best = np.argsort(gaps, kind="stable")[: k + 4]
+                best = np.argsort(gaps, kind="stable")[:k] if len(gaps) <= 4 * k else _first(gaps, k)
                 best = best[np.isfinite(gaps[best])]
-                out_q += [names[q]] * len(best)
-                out_v += base_names[best].tolist()
-                out_d += gaps[best].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, ids.type), pa.array(out_v, ids.type), pa.array(out_d, pa.float64())], ["query_id", "vec_id", "score"])
+                parts.append((np.full(len(best), names[q]), base_names[best], gaps[best]))
+                rows += len(best)
+            if rows > PRUNED:
+                parts = [_best(parts, k)]
+                rows = len(parts[0][0])
+                if rows > PRUNED // 2:  # many queries: what was found so far goes on as it is
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["query_id", "vec_id", "score"])
+                    parts, rows = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(parts, k)], ["query_id", "vec_id", "score"])
 
     both = held_rows.unionByName(asked).repartition(*order).sortWithinPartitions(*order)
     found = both.mapInArrow(measure, f"query_id {kind}, vec_id {kind}, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
@@ -199,6 +206,24 @@ def _chunks_of(session: SparkSession, sizes: np.ndarray) -> DataFrame:
     return session.createDataFrame(many, "leaf int, parts int")
 
 
+def _first(gaps: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least, in order, the first ones among equals."""
+    some = np.flatnonzero(gaps <= np.partition(gaps, k - 1)[k - 1])
+    return some[np.argsort(gaps[some], kind="stable")][:k]
+
+
+def _best(parts: list[tuple], k: int) -> tuple[np.ndarray, ...]:
+    """The k nearest rows of each query; one found in several trees counts once."""
+    query, vec, gap = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((vec, gap, query))
+    query, vec, gap = query[order], vec[order], gap[order]
+    fresh = np.r_[True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])]  # the same row has the same distance
+    query, vec, gap = query[fresh], vec[fresh], gap[fresh]
+    head = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    place = np.arange(len(query)) - np.repeat(head, np.diff(np.r_[head, len(query)]))
+    return query[place < k], vec[place < k], gap[place < k]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
