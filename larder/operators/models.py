@@ -51,9 +51,10 @@ def fit(t: Tables, *, by: str | None = None, horizon: int = 3, split: str = "has
 
     The feature table is pinned once: the trees pass over it many times.
     """
-    rows = pinned(profit.features(t, by, point_in_time))
-    names = profit.feature_names(rows)
-    marked = profit.mark_train(profit.add_target(rows, horizon), seed=seed, mode=split)
+    everything = pinned(profit.features(t, by, point_in_time, horizon))
+    targets = list(profit.TARGETS.values())
+    rows, names = everything.drop(*targets), profit.feature_names(everything)
+    marked = profit.mark_train(everything.na.drop(subset=targets), seed=seed, mode=split)
     train = pinned(marked.filter("is_train"))
     classifier = regressor = None
     if classify:

@@ -37,6 +37,12 @@ def months_of(entity: str = "entity") -> WindowSpec:
     return Window.partitionBy(entity).orderBy("year_month")
 
 
+def month_away(column: str, months: int) -> Column:
+    """The entity's value so many calendar months later (negative: earlier); NULL if it has no row there."""
+    number = F.year("year_month") * 12 + F.month("year_month")
+    return F.first(column).over(Window.partitionBy("entity").orderBy(number).rangeBetween(months, months))
+
+
 def monthly(t: Tables, by: str | None = None) -> DataFrame:
     """Month sums and profit per entity.
 
@@ -78,17 +84,17 @@ def monthly(t: Tables, by: str | None = None) -> DataFrame:
 
 
 def add_lags(rows: DataFrame, lags: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    w = months_of()
-    return rows.withColumns({f"{name}_lag_{k}": F.lag(c, k).over(w) for k in lags for c, name in LAGGED.items()})
+    return rows.withColumns({f"{name}_lag_{k}": month_away(c, -k) for k in lags for c, name in LAGGED.items()})
 
 
 def add_rolling(rows: DataFrame, size: int = 3) -> DataFrame:
-    w = months_of().rowsBetween(1 - size, 0)
+    number = F.year("year_month") * 12 + F.month("year_month")
+    w = Window.partitionBy("entity").orderBy(number).rangeBetween(1 - size, 0)  # calendar months, of those with a row
     return rows.withColumns({f"{name}_rolling_{size}m": F.round(F.avg(c).over(w), 6) for c, name in ROLLED.items()})
 
 
 def add_changes(rows: DataFrame) -> DataFrame:
-    before = {c: F.lag(c, 1).over(months_of()) for c in CHANGED}
+    before = {c: month_away(c, -1) for c in CHANGED}
     return rows.withColumns({
         f"{name}_mom_change": F.round(F.try_divide(F.col(c) - before[c], before[c]) * 100, 6)
         for c, name in CHANGED.items()
@@ -122,30 +128,53 @@ def add_risk_flags(rows: DataFrame, point_in_time: bool = False) -> DataFrame:
     })
 
 
-def features(t: Tables, by: str | None = None, point_in_time: bool = False) -> DataFrame:
-    """All features; months that lack any of them are dropped."""
+TARGETS = {"operating_profit": "target_profit", "is_profitable": "target_is_profitable"}
+
+
+def features(t: Tables, by: str | None = None, point_in_time: bool = False, horizon: int | None = None) -> DataFrame:
+    """All features, and with ``horizon`` the targets (NULL where that month has no row); months that
+    lack any feature are dropped."""
     rows = monthly(t, by)
+    if horizon is not None:
+        rows = with_target(rows, horizon)
     for step in (add_lags, add_rolling, add_changes, add_calendar, add_cost_ratios):
         rows = rows.transform(step)
-    return add_risk_flags(rows, point_in_time).na.drop("any")
+    return add_risk_flags(rows, point_in_time).na.drop("any", subset=[c for c in rows.columns if c not in TARGETS.values()])
 
 
-def add_target(rows: DataFrame, horizon: int = 3) -> DataFrame:
-    """Profit and its sign ``horizon`` rows later; rows without are dropped."""
-    w = months_of()
-    return rows.withColumns({
-        "target_profit": F.lead("operating_profit", horizon).over(w),
-        "target_is_profitable": F.lead("is_profitable", horizon).over(w),
-    }).na.drop(subset=["target_profit", "target_is_profitable"])
+def with_target(rows: DataFrame, horizon: int = 3) -> DataFrame:
+    """Profit and its sign ``horizon`` calendar months later."""
+    return rows.withColumns({name: month_away(c, horizon) for c, name in TARGETS.items()})
+
+
+def labelled(t: Tables, by: str | None = None, horizon: int = 3, point_in_time: bool = False) -> DataFrame:
+    """Features of the months whose target month has a row."""
+    return features(t, by, point_in_time, horizon).na.drop(subset=list(TARGETS.values()))
 
 
 def mark_train(rows: DataFrame, share: float = 0.75, seed: int = 42, mode: str = "hash") -> DataFrame:
-    """Adds ``is_train``. ``hash`` draws rows by key, the same on every run and in each class alike;
-    ``time`` trains on the earlier months only, so that nothing from the future leaks in."""
+    """Adds ``is_train``.
+
+    ``hash`` draws ``share`` of each class, the rows of the least hashes of their key: the same on every
+    run. Ranks need no global sort: a class is counted by the first bits of the hash, which tells the
+    bucket where its share ends, and only that bucket's rows are ranked. ``time`` trains on the earlier months
+    only, so that nothing from the future leaks in.
+    """
     if mode == "hash":
         key = F.concat_ws("|", F.lit(str(seed)), "entity", F.date_format("year_month", "yyyy-MM"))
-        draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 10000
-        return rows.withColumn("is_train", draw < int(share * 10000))
+        label = "target_is_profitable"
+        drawn = rows.withColumn("_draw", F.md5(key)).withColumn("_bucket", F.substring("_draw", 1, 3))
+        counts = drawn.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))  # 4,096 buckets a class
+        in_class = Window.partitionBy(label)
+        before = F.sum("_n").over(in_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+        wanted = F.round(F.sum("_n").over(in_class) * share).cast("long")
+        limits = counts.select(label, "_bucket", (wanted - F.coalesce(before, F.lit(0))).alias("_left"), "_n")
+        placed = drawn.join(limits, [label, "_bucket"])
+        cut = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
+        # Rows of other buckets get a window group of their own key, so none of them is sorted together.
+        group = F.when(cut, F.col("_bucket")).otherwise(F.col("_draw"))
+        rank = F.row_number().over(Window.partitionBy(label, group).orderBy("_draw"))
+        return placed.withColumn("is_train", F.when(cut, rank <= F.col("_left")).otherwise(F.col("_left") >= F.col("_n"))).drop("_draw", "_bucket", "_left", "_n")
     months = rows.select("year_month").distinct()  # bounded by the calendar
     cut = months.agg(F.element_at(
         F.array_sort(F.collect_list("year_month")), F.ceil(F.count("year_month") * share).cast("int"))).scalar()
@@ -229,14 +258,14 @@ def drop_incomplete(t: Tables, *, by: str | None = None, point_in_time: bool = F
 @operator(**READS)
 def horizon_target(t: Tables, *, by: str | None = None, horizon: int = 3) -> DataFrame:
     """Entity, month, and the profit to predict."""
-    return add_target(features(t, by), horizon).select("entity", "year_month", "target_profit", "target_is_profitable")
+    return labelled(t, by, horizon).select("entity", "year_month", "target_profit", "target_is_profitable")
 
 
 @operator(**READS)
 def train_test_sample(t: Tables, *, by: str | None = None, horizon: int = 3, share: float = 0.75, seed: int = 42,
                       mode: str = "hash") -> DataFrame:
     """Which rows train and which test."""
-    rows = mark_train(add_target(features(t, by), horizon), share, seed, mode)
+    rows = mark_train(labelled(t, by, horizon), share, seed, mode)
     return rows.select("entity", "year_month", "target_is_profitable", "is_train")
 
 

@@ -197,6 +197,12 @@ QUERIES: dict[str, Query] = {
         profit.horizon_target, profit.train_test_sample, profit.profit_summary,
     )},
     "standardize": on_star(profit.standardize, by="sku_id", digits=4),
+    # The same for the company as a whole
+    **{f"{op.name}_company": on_star(op) for op in (
+        profit.monthly_profitability, profit.lag_features, profit.rolling_features, profit.mom_change,
+        profit.calendar_features, profit.cost_ratios, profit.risk_flags, profit.drop_incomplete,
+        profit.horizon_target, profit.train_test_sample, profit.profit_summary,
+    )},
     # Models: losses occur on SKU-months, so the classifier learns there; profit is predicted per category
     "profit_classifier": with_models(models.classified, by="sku_id", regress=False),
     "classifier_metrics": with_models(lambda m: models.classifier_metrics(models.classified(m)), by="sku_id", regress=False),

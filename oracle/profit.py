@@ -27,15 +27,20 @@ MONTHLY = """
              CAST(operating_profit > 0 AS INT) AS is_profitable
       FROM shares)"""
 
+def _away(c: str, k: int) -> str:
+    """The value so many calendar months away, by a lookup of the month itself."""
+    return f"(SELECT o.{c} FROM monthly o WHERE o.entity = m.entity AND o.year_month = CAST(m.year_month + INTERVAL ({k}) MONTH AS DATE))"
+
+
 LAGS = ", ".join(
-    f"lag({c}, {k}) OVER w AS {n}_lag_{k}" for k in (1, 2, 3)
+    f"{_away(c, -k)} AS {n}_lag_{k}" for k in (1, 2, 3)
     for c, n in (("revenue", "revenue"), ("gross_margin_pct", "gross_margin"), ("fill_rate", "fill_rate"),
                  ("stockout_cost", "stockout_cost")))
 ROLLING = ", ".join(
-    f"half_up(avg({c}) OVER (PARTITION BY entity ORDER BY year_month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS {n}_rolling_3m"
+    f"half_up((SELECT avg(o.{c}) FROM monthly o WHERE o.entity = m.entity AND o.year_month BETWEEN CAST(m.year_month - INTERVAL 2 MONTH AS DATE) AND m.year_month), 6) AS {n}_rolling_3m"
     for c, n in (("revenue", "revenue"), ("operating_profit", "profit"), ("operating_margin_pct", "margin")))
 CHANGES = ", ".join(
-    f"half_up(({c} - lag({c}) OVER w) / nullif(lag({c}) OVER w, 0) * 100, 6) AS {n}_mom_change"
+    f"half_up(({c} - {_away(c, -1)}) / nullif({_away(c, -1)}, 0) * 100, 6) AS {n}_mom_change"
     for c, n in (("revenue", "revenue"), ("operating_profit", "profit"), ("fill_rate", "fill_rate")))
 CALENDAR = """CAST(month(year_month) AS INT) AS month, CAST(quarter(year_month) AS INT) AS quarter,
               CAST(quarter(year_month) = 4 AS INT) AS is_q4"""
@@ -45,10 +50,8 @@ RATIOS = ", ".join(
 FLAGS = """CAST(coalesce(fill_rate < 90, false) AS INT) AS low_fill_rate_flag,
            CAST(stockout_cost > median(stockout_cost) OVER (PARTITION BY entity) AS INT) AS high_stockout_flag,
            CAST(coalesce(revenue_mom_change < -5, false) AS INT) AS declining_revenue_flag"""
-W = " WINDOW w AS (PARTITION BY entity ORDER BY year_month)"
-
 FEATURES = MONTHLY + f""",
-    wide AS (SELECT *, {LAGS}, {ROLLING}, {CHANGES}, {CALENDAR}, {RATIOS} FROM monthly{W}),
+    wide AS (SELECT *, {LAGS}, {ROLLING}, {CHANGES}, {CALENDAR}, {RATIOS} FROM monthly m),
     flagged AS (SELECT *, {FLAGS} FROM wide),
     features AS (SELECT * FROM flagged WHERE revenue_lag_3 IS NOT NULL AND gross_margin_lag_3 IS NOT NULL
       AND gross_margin_lag_2 IS NOT NULL AND gross_margin_lag_1 IS NOT NULL AND gross_margin_pct IS NOT NULL
@@ -56,30 +59,30 @@ FEATURES = MONTHLY + f""",
       AND operating_margin_pct IS NOT NULL AND margin_rolling_3m IS NOT NULL AND cogs_to_revenue_ratio IS NOT NULL)"""
 
 TARGET = FEATURES + """,
-    ahead AS (SELECT *, lead(operating_profit, 3) OVER (PARTITION BY entity ORDER BY year_month) AS target_profit,
-                     lead(is_profitable, 3) OVER (PARTITION BY entity ORDER BY year_month) AS target_is_profitable
-              FROM features),
-    target AS (SELECT * FROM ahead WHERE target_profit IS NOT NULL)"""
+    target AS (SELECT f.*, o.operating_profit AS target_profit, o.is_profitable AS target_is_profitable
+               FROM features f JOIN monthly o ON o.entity = f.entity
+                 AND o.year_month = CAST(f.year_month + INTERVAL 3 MONTH AS DATE))"""
 
 
 def _of(body: str) -> str:
     return q(body, "sku_master", "sales")
 
 
+
 SQL = {
     "monthly_profitability": _of(MONTHLY + " SELECT * FROM monthly"),
-    "lag_features": _of(MONTHLY + f" SELECT entity, year_month, {LAGS} FROM monthly{W}"),
-    "rolling_features": _of(MONTHLY + f" SELECT entity, year_month, {ROLLING} FROM monthly"),
-    "mom_change": _of(MONTHLY + f" SELECT entity, year_month, {CHANGES} FROM monthly{W}"),
+    "lag_features": _of(MONTHLY + f" SELECT entity, year_month, {LAGS} FROM monthly m"),
+    "rolling_features": _of(MONTHLY + f" SELECT entity, year_month, {ROLLING} FROM monthly m"),
+    "mom_change": _of(MONTHLY + f" SELECT entity, year_month, {CHANGES} FROM monthly m"),
     "calendar_features": _of(MONTHLY + f" SELECT entity, year_month, {CALENDAR} FROM monthly"),
     "cost_ratios": _of(MONTHLY + f" SELECT entity, year_month, {RATIOS} FROM monthly"),
-    "risk_flags": _of(MONTHLY + f", c AS (SELECT *, {CHANGES} FROM monthly{W}) SELECT entity, year_month, {FLAGS} FROM c"),
+    "risk_flags": _of(MONTHLY + f", c AS (SELECT *, {CHANGES} FROM monthly m) SELECT entity, year_month, {FLAGS} FROM c"),
     "drop_incomplete": _of(FEATURES + " SELECT * FROM features"),
     "horizon_target": _of(TARGET + " SELECT entity, year_month, target_profit, target_is_profitable FROM target"),
     "train_test_sample": _of(TARGET + """
         SELECT entity, year_month, target_is_profitable,
-               CAST('0x' || substr(md5('42|' || entity || '|' || strftime(year_month, '%Y-%m')), 1, 8) AS BIGINT) % 10000 < 7500
-                 AS is_train
+               row_number() OVER (PARTITION BY target_is_profitable ORDER BY md5('42|' || entity || '|' || strftime(year_month, '%Y-%m')))
+                 <= round(count(*) OVER (PARTITION BY target_is_profitable) * 0.75) AS is_train
         FROM target"""),
     "profit_summary": _of(MONTHLY + """,
         a AS (SELECT min(year_month) AS lo, max(year_month) AS hi, count(*) AS n, sum(is_profitable) AS good,
@@ -106,3 +109,6 @@ NAMES = """revenue quantity_fulfilled quantity_ordered backorder_quantity unit_c
 SQL["standardize"] = _of(FEATURES + " SELECT entity, year_month, " + ", ".join(
     f"half_up(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 4) AS {c}" for c in NAMES
 ) + " FROM features")
+SQL |= {f"{name}_company": SQL[name].replace("CAST(s.sku_id AS VARCHAR) AS entity", "'ALL' AS entity") for name in (
+    "monthly_profitability", "lag_features", "rolling_features", "mom_change", "calendar_features", "cost_ratios", "risk_flags",
+    "drop_incomplete", "horizon_target", "train_test_sample", "profit_summary")}
