@@ -21,6 +21,7 @@ from larder.llm.batches import keyed, mapped, slices, texts_of
 from larder.llm.winnow import BASE, _powers, hash_filter, mix
 
 PART = 1 << 22  # units whose windows are searched at once
+SLICE = 1 << 20  # bytes of text held at once; the arrays over them take about a hundred times as much
 FILTER_BITS = 26  # the filters that thin out rows before a join have 2**26 bits (8 MB), however large the input
 KEYS = ["anchor", "d1", "d2"]
 
@@ -142,7 +143,7 @@ def distinct_chunks(docs: DataFrame, words: bool, span: int, gram: int) -> DataF
         return {"anchor": anchor[pick].view("i8"), "d1": digest[pick, 0], "d2": digest[pick, 1], "n": np.diff(np.r_[head, len(by)]),
                 "source_id": ids.take(pa.array(text[pick])), "source_at": local[pick]}
 
-    rows = mapped(docs, work, f"anchor long, d1 long, d2 long, n long, source_id {id_type}, source_at long")
+    rows = mapped(docs, work, f"anchor long, d1 long, d2 long, n long, source_id {id_type}, source_at long", limit=SLICE)
     # All later grouping is by the anchor or more, so the rows are dealt once.
     rows = rows.repartition("anchor").groupBy(*KEYS).agg(F.sum("n").alias("n"), F.min(F.struct(F.col("source_id").isNull().alias("none"), "source_id", "source_at")).alias("source"))
     own = Window.partitionBy("anchor")
@@ -166,7 +167,7 @@ def occurrences(docs: DataFrame, known: DataFrame, words: bool, span: int, gram:
         return {"anchor": anchor.view("i8"), "d1": digest[:, 0], "d2": digest[:, 1], "doc_id": batch.column("doc_id").take(at),
                 "row_key": batch.column("row_key").take(at), "lo": lo - base, "hi": hi - base, "shift": shift}
 
-    rows = mapped(docs, work, f"anchor long, d1 long, d2 long, doc_id {id_type}, row_key long, lo long, hi long, shift long")
+    rows = mapped(docs, work, f"anchor long, d1 long, d2 long, doc_id {id_type}, row_key long, lo long, hi long, shift long", limit=SLICE)
     return stored(rows.join(known, KEYS), "occurrences")
 
 
@@ -193,7 +194,7 @@ def chunk_texts(docs: DataFrame, chunks: DataFrame, words: bool, span: int) -> D
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 units = Units(texts_of(part), words)
                 out = {k: [] for k in (*KEYS, "n", "shift", "chunk")}
                 for i, want in enumerate(part.column("w").to_pylist()):
