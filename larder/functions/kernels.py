@@ -18,9 +18,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEASON = 7
 
 
-def smooth(y: np.ndarray, steps: int, season: int = SEASON) -> dict[str, np.ndarray]:
+def smooth(y: np.ndarray, steps: int, season: int = SEASON, weights: tuple[float, ...] | None = None) -> dict[str, np.ndarray]:
+    """Holt-Winters with the stated weights of level, trend and season, or with those of the least error."""
     if len(y) < 2 * season:
         return {}
+    ahead = np.arange(1, steps + 1)
+    if weights is not None:
+        _, (level, trend, seasonal) = smoothing_pass(y, np.array([weights]), season)
+        return {"forecast": level[0] + ahead * trend[0] + seasonal[(len(y) + ahead - 1) % season, 0]}
     axis = np.array([0.01, 0.05, 0.1, 0.2, 0.4, 0.7])
     best, width = None, 0.1
     for _ in range(4):  # a coarse grid, then three finer ones around the best point
@@ -31,7 +36,6 @@ def smooth(y: np.ndarray, steps: int, season: int = SEASON) -> dict[str, np.ndar
         at = int(np.argmin(error))
         best, width = grid[at], width / 3
         level, trend, seasonal = (part[..., at] for part in state)
-    ahead = np.arange(1, steps + 1)
     return {"forecast": level + ahead * trend + seasonal[(len(y) + ahead - 1) % season]}
 
 
@@ -152,6 +156,7 @@ def shared_days(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         row = np.repeat(np.arange(len(days)), [len(d) for d in days])
         sides.append((row, np.searchsorted(axis, np.concatenate(days))))
     per_day = [np.bincount(column, minlength=len(axis)) for _, column in sides]
+    # Sparse days are counted day by day, dense ones by a matrix product: two ways to the same counts.
     if 20 * int(per_day[0] @ per_day[1]) < len(left) * len(right) * len(axis):
         common = np.zeros((len(left), len(right)), np.int32)
         grouped = [np.split(row[np.argsort(column, kind="stable")], np.cumsum(count)[:-1])

@@ -11,7 +11,8 @@ DIGIT_BITS = 16
 def running_total_desc(df: DataFrame, value: str, out: str, total: str) -> DataFrame:
     """Adds the running total ``out`` and the grand total ``total``.
 
-    Running sum of a non-negative ``long`` column in descending order, ties sharing one total.
+    Running sum of a non-negative ``long`` column in descending order, ties sharing one total. NULLs
+    come last and add nothing, so their running total is the grand total. A negative value is an error.
 
     Equal to ``sum(value) OVER (ORDER BY value DESC)`` with its default RANGE frame, which Spark
     would sort in a single task. Instead the value is read as digits of 16 bits. Sums are built
@@ -21,7 +22,8 @@ def running_total_desc(df: DataFrame, value: str, out: str, total: str) -> DataF
     the top one for values below 2**48, however the values are distributed. Heavy values collapse
     in the map-side half of the first aggregation.
     """
-    level0 = df.groupBy(F.col(value).alias("_v")).agg(F.sum(value).alias("_s"))
+    checked = F.when(F.col(value) < 0, F.raise_error(F.lit(f"{value} is negative")).cast("long")).otherwise(F.col(value))
+    level0 = df.filter(F.col(value).isNotNull()).groupBy(checked.alias("_v")).agg(F.sum(value).alias("_s"))
     level0 = level0.withColumn("_m", F.shiftright("_v", DIGIT_BITS))
     level1 = level0.groupBy("_m").agg(F.sum("_s").alias("_ms"))
     level1 = level1.withColumn("_h", F.shiftright("_m", DIGIT_BITS))
@@ -40,7 +42,9 @@ def running_total_desc(df: DataFrame, value: str, out: str, total: str) -> DataF
     upto = Window.partitionBy("_m").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
     low = level0.select("_v", "_m", F.sum("_s").over(upto).alias("_low"))
     totals = low.join(mid, "_m").select("_v", (F.col("_low") + F.col("_mtop")).alias(out), total)
-    return df.join(totals, df[value] == totals["_v"], "left").drop("_v")
+    whole = level2.agg(F.sum("_hs")).scalar()
+    joined = df.join(totals.drop(total), df[value] == totals["_v"], "left").drop("_v").withColumn(total, whole)
+    return joined.withColumn(out, F.coalesce(out, total))
 
 
 def _above(name: str, order, frame: tuple[int, int]) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from larder.plans.operator import Tables, operator
 
 # Model names, horizon and target.
 NAIVE, SMOOTHING, SEASONAL_AR, TREND_FOURIER = "Naive", "Exp_Smoothing", "Seasonal_AR", "Trend_Fourier"
+FITTED, TOO_SHORT = "ok", "series too short"
 HOLDOUT_DAYS = 90
 TARGET_ACCURACY = 75
 
@@ -45,13 +47,13 @@ def demand_series(sales: DataFrame, by: str | None = None, fill: bool = False) -
     daily = sales.groupBy(series.alias("series"), "date").agg(
         F.sum("quantity_fulfilled").alias("demand"), F.sum("revenue_cents").alias("revenue_cents")
     )
-    if fill:
-        span = daily.groupBy("series").agg(F.sequence(F.min("date"), F.max("date")).alias("days"))
-        zero = F.lit(0).cast("long")
-        gaps = span.select("series", F.explode("days").alias("date"), zero.alias("demand"), zero.alias("revenue_cents"))
-        daily = daily.unionByName(gaps).groupBy("series", "date").agg(
-            F.sum("demand").alias("demand"), F.sum("revenue_cents").alias("revenue_cents")
-        )
+    if fill:  # each day also stands for the empty days up to the next one, so sales are read once
+        after = F.lead("date").over(Window.partitionBy("series").orderBy("date"))
+        upto = F.coalesce(F.date_sub(after, 1), F.col("date"))
+        spread = daily.withColumn("upto", upto).withColumn("day", F.explode(F.sequence("date", "upto")))
+        sold = F.col("day") == F.col("date")
+        daily = spread.select("series", F.col("day").alias("date"), *(
+            F.when(sold, F.col(c)).otherwise(F.lit(0)).cast("long").alias(c) for c in ("demand", "revenue_cents")))
     return daily.select("series", "date", "demand", money("revenue_cents").alias("revenue"))
 
 
@@ -62,8 +64,9 @@ def split(series: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
 
 
 def _long(rows: DataFrame, model: str, forecast: Column) -> DataFrame:
-    return rows.select("series", "date", F.lit(model).alias("model"), F.col("demand").alias("actual"),
-                       forecast.cast("double").alias("forecast"))
+    value = forecast.cast("double")
+    return rows.select("series", "date", F.lit(model).alias("model"), F.col("demand").alias("actual"), value.alias("forecast"),
+                       F.when(value.isNull(), TOO_SHORT).otherwise(FITTED).alias("status"))
 
 
 def naive(rows: DataFrame) -> DataFrame:
@@ -84,70 +87,85 @@ def moving_average(rows: DataFrame, window: int) -> DataFrame:
 LONG = T.StructType([
     T.StructField("series", T.StringType()), T.StructField("date", T.DateType()),
     T.StructField("model", T.StringType()), T.StructField("actual", T.LongType()),
-    T.StructField("forecast", T.DoubleType()),
+    T.StructField("forecast", T.DoubleType()), T.StructField("status", T.StringType()),
 ])
 BANDED = T.StructType(LONG.fields + [
     T.StructField("forecast_lower", T.DoubleType()), T.StructField("forecast_upper", T.DoubleType()),
 ])
 
 
-def _fitted(rows: DataFrame, model: str, fit: Callable[[pd.DataFrame, pd.DataFrame], dict[str, np.ndarray]],
-            schema: T.StructType = LONG) -> DataFrame:
-    """One fit per series; a series too short for the model gives no rows."""
+Fit = Callable[[pd.DataFrame, pd.DataFrame], dict[str, np.ndarray]]
+
+
+def _fitted(rows: DataFrame, fits: dict[str, Fit], schema: T.StructType = LONG) -> DataFrame:
+    """All fits of a series in one pass. A model gives every test row; where the series is too short
+    for it, the forecast is NULL and ``status`` says so."""
     names = schema.names
+    fitted, too_short = FITTED, TOO_SHORT
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("date")
         train, test = frame[~frame["is_test"]], frame[frame["is_test"]]
-        columns = fit(train, test) if len(test) else {}
-        if not columns:
-            return pd.DataFrame(columns=names)
-        made = {"series": test["series"].to_numpy(), "date": test["date"].to_numpy(), "model": model,
-                "actual": test["demand"].to_numpy(), **columns}
-        return pd.DataFrame(made)[names]
+        parts = [pd.DataFrame(columns=names)]
+        for model, fit in fits.items():
+            columns = fit(train, test) if len(test) else {}
+            made = pd.DataFrame({"series": test["series"].to_numpy(), "date": test["date"].to_numpy(), "model": model,
+                                 "actual": test["demand"].to_numpy(), "status": fitted if columns else too_short, **columns})
+            parts.append(made.reindex(columns=names))
+        return pd.concat([p for p in parts if len(p)] or parts[:1])
 
     return rows.select("series", "date", "demand", "is_test").groupBy("series").applyInPandas(run, schema)
 
 
-def holt_winters(rows: DataFrame, season: int = SEASON) -> DataFrame:
-    """Additive trend and season; the three weights minimise the one-step squared error."""
-    return _fitted(rows, SMOOTHING, lambda train, test: smooth(train["demand"].to_numpy(float), len(test), season))
+def smoothing_fit(season: int = SEASON, weights: tuple[float, ...] | None = None) -> Fit:
+    """Additive trend and season; the three weights are stated or minimise the one-step squared error."""
+    return lambda train, test: smooth(train["demand"].to_numpy(float), len(test), season, weights)
 
 
-def seasonal_ar(rows: DataFrame, season: int = SEASON) -> DataFrame:
+def seasonal_ar_fit(season: int = SEASON) -> Fit:
     """Autoregression on the series differenced by a day and by a season, carried back to levels."""
-    return _fitted(rows, SEASONAL_AR, lambda train, test: extend_ar(train["demand"].to_numpy(float), len(test), season))
+    return lambda train, test: extend_ar(train["demand"].to_numpy(float), len(test), season)
 
 
-def trend_fourier(rows: DataFrame, weekly: int = 3, yearly: int = 10, level: float = 0.8) -> DataFrame:
+def waves_fit(weekly: int = 3, yearly: int = 10, level: float = 0.8) -> Fit:
     """Log demand on a trend and weekly and yearly waves, with a band around the forecast."""
-    from statistics import NormalDist
-
     z = NormalDist().inv_cdf((1 + level) / 2)
-    return _fitted(rows, TREND_FOURIER, lambda train, test: fit_waves(train, test, weekly, yearly, z), BANDED)
+    return lambda train, test: fit_waves(train, test, weekly, yearly, z)
+
+
+def trend_fourier(rows: DataFrame, weekly: int = 3, yearly: int = 10, level: float = 0.8) -> DataFrame:
+    return _fitted(rows, {TREND_FOURIER: waves_fit(weekly, yearly, level)}, BANDED)
 
 
-FORECASTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+PLAIN: dict[str, Callable[[DataFrame], DataFrame]] = {
     NAIVE: naive,
     moving_average_name(7): lambda rows: moving_average(rows, 7),
     moving_average_name(30): lambda rows: moving_average(rows, 30),
-    SMOOTHING: holt_winters,
-    SEASONAL_AR: seasonal_ar,
-    TREND_FOURIER: lambda rows: trend_fourier(rows).select(LONG.names),
 }
+FITS: dict[str, Fit] = {SMOOTHING: smoothing_fit(), SEASONAL_AR: seasonal_ar_fit(), TREND_FOURIER: waves_fit()}
+FORECASTERS = (*PLAIN, *FITS)
 BASELINES = (NAIVE, moving_average_name(7), moving_average_name(30))
 
 
 def forecasts(sales: DataFrame, by: str | None, models: Sequence[str], holdout_days: int, fill: bool) -> DataFrame:
     rows = split(demand_series(sales, by, fill), holdout_days)
-    return reduce(DataFrame.unionByName, [FORECASTERS[m](rows) for m in models])
+    fits = {m: FITS[m] for m in models if m in FITS}
+    parts = [PLAIN[m](rows) for m in models if m not in FITS] + ([_fitted(rows, fits)] if fits else [])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def common(long: DataFrame) -> DataFrame:
+    """The rows of those series and days for which every model has a forecast: only they compare models."""
+    point = Window.partitionBy("series", "date")
+    return long.withColumn("_missing", F.count_if(F.col("forecast").isNull()).over(point)).filter("_missing = 0").drop("_missing")
 
 
 # Scoring, on any table of (series, date, model, actual, forecast).
 
 
 def score(long: DataFrame, *keys: str) -> DataFrame:
-    """MAE, RMSE, MAPE, bias and accuracy per model; zero actuals stay out of MAPE and are counted."""
+    """MAE, RMSE, MAPE, bias and accuracy per model; zero actuals stay out of MAPE and are counted.
+    ``points`` are the rows with a forecast."""
     error = F.col("forecast") - F.col("actual")
     share = F.try_divide(F.abs(error), F.abs(F.col("actual").cast("double"))) * 100
     mape = F.round(F.avg(share), 2)
@@ -155,7 +173,7 @@ def score(long: DataFrame, *keys: str) -> DataFrame:
         F.round(F.avg(F.abs(error)), 2).alias("mae"), F.round(F.sqrt(F.avg(error * error)), 2).alias("rmse"),
         mape.alias("mape"), F.round(F.avg(error), 2).alias("bias"),
         F.round(100 - F.avg(share), 2).alias("forecast_accuracy"),
-        F.count(F.lit(1)).alias("points"), F.count_if(F.col("actual") == 0).alias("zero_actuals"),
+        F.count("forecast").alias("points"), F.count_if((F.col("actual") == 0) & F.col("forecast").isNotNull()).alias("zero_actuals"),
     )
 
 
@@ -203,14 +221,17 @@ def summarize(long: DataFrame, ranked: DataFrame, as_of: date, target: float = T
 
 
 def histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """Counts in equal bins from the least to the greatest value; empty bins are left out."""
-    ends = values.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
-    low, width = F.col("_ends")["low"], (F.col("_ends")["high"] - F.col("_ends")["low"]) / F.lit(float(bins))
-    bucket = F.least(F.coalesce(F.floor(F.try_divide(F.col(column) - low, width)), F.lit(0)), F.lit(bins - 1))
-    placed = values.filter(F.col(column).isNotNull()).withColumn("_ends", ends)
-    counted = placed.groupBy((bucket + 1).cast("int").alias("bin"), "_ends").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("bin", F.round(low + (F.col("bin") - 1) * width, 4).alias("bin_start"),
-                          F.round(low + F.col("bin") * width, 4).alias("bin_end"), "n").orderBy("bin")
+    """Counts in equal bins from the least to the greatest value, empty ones included."""
+    span = values.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    ends = span.select(F.struct("low", "high")).scalar()
+    width = (F.col("high") - F.col("low")) / F.lit(float(bins))
+    placed = values.filter(F.col(column).isNotNull()).withColumn("_ends", ends).select(column, "_ends.low", "_ends.high")
+    bucket = F.least(F.coalesce(F.floor(F.try_divide(F.col(column) - F.col("low"), width)), F.lit(0)), F.lit(bins - 1))
+    counted = placed.groupBy((bucket + 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = span.filter("low is not null").select("low", "high", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    return every.join(counted, "bin", "left").select(
+        "bin", F.round(F.col("low") + (F.col("bin") - 1) * width, 4).alias("bin_start"),
+        F.round(F.col("low") + F.col("bin") * width, 4).alias("bin_end"), F.coalesce("n", F.lit(0)).alias("n")).orderBy("bin")
 
 
 # Operators over sales.
@@ -229,10 +250,19 @@ def holdout_split(t: Tables, *, by: str | None = None, holdout_days: int = HOLDO
 
 
 @operator(sales=SALES)
-def forecast(t: Tables, *, models: Sequence[str] = tuple(FORECASTERS), by: str | None = None,
-             holdout_days: int = HOLDOUT_DAYS, fill: bool = False) -> DataFrame:
+def forecast(t: Tables, *, models: Sequence[str] = FORECASTERS, by: str | None = None,
+             holdout_days: int = HOLDOUT_DAYS, fill: bool = False, digits: int | None = None) -> DataFrame:
     """Forecasts of the held-out days by the named models."""
-    return forecasts(t["sales"], by, models, holdout_days, fill)
+    long = forecasts(t["sales"], by, models, holdout_days, fill)
+    return long if digits is None else long.withColumn("forecast", F.round("forecast", digits))
+
+
+@operator(sales=SALES)
+def smoothed(t: Tables, *, weights: tuple[float, float, float], by: str | None = None, holdout_days: int = HOLDOUT_DAYS,
+             fill: bool = False, digits: int | None = None) -> DataFrame:
+    """Holt-Winters with stated weights of level, trend and season."""
+    long = _fitted(split(demand_series(t["sales"], by, fill), holdout_days), {SMOOTHING: smoothing_fit(weights=weights)})
+    return long if digits is None else long.withColumn("forecast", F.round("forecast", digits))
 
 
 @operator(sales=SALES)
@@ -242,29 +272,29 @@ def forecast_band(t: Tables, *, by: str | None = None, holdout_days: int = HOLDO
 
 
 @operator(sales=SALES)
-def forecast_metrics(t: Tables, *, models: Sequence[str] = tuple(FORECASTERS), by: str | None = None,
+def forecast_metrics(t: Tables, *, models: Sequence[str] = FORECASTERS, by: str | None = None,
                      holdout_days: int = HOLDOUT_DAYS, fill: bool = False, per_series: bool = False) -> DataFrame:
     """Scores per model, over all series or per series."""
     return score(forecasts(t["sales"], by, models, holdout_days, fill), *(["series"] if per_series else []))
 
 
 @operator(sales=SALES)
-def forecast_ranking(t: Tables, *, models: Sequence[str] = tuple(FORECASTERS), by: str | None = None,
+def forecast_ranking(t: Tables, *, models: Sequence[str] = FORECASTERS, by: str | None = None,
                      holdout_days: int = HOLDOUT_DAYS, fill: bool = False) -> DataFrame:
-    """Models ranked by MAPE."""
-    return rank_models(score(forecasts(t["sales"], by, models, holdout_days, fill)))
+    """Models ranked by MAPE on the rows that all of them forecast."""
+    return rank_models(score(common(forecasts(t["sales"], by, models, holdout_days, fill))))
 
 
 @operator(sales=SALES)
-def forecast_summary(t: Tables, *, as_of: date, models: Sequence[str] = tuple(FORECASTERS), by: str | None = None,
+def forecast_summary(t: Tables, *, as_of: date, models: Sequence[str] = FORECASTERS, by: str | None = None,
                      holdout_days: int = HOLDOUT_DAYS, fill: bool = False) -> DataFrame:
     """Headline of the comparison as text."""
-    long = forecasts(t["sales"], by, models, holdout_days, fill)
+    long = common(forecasts(t["sales"], by, models, holdout_days, fill))
     return summarize(long, rank_models(score(long)), as_of)
 
 
 @operator(sales=SALES)
-def forecast_wide(t: Tables, *, models: Sequence[str] = tuple(FORECASTERS), by: str | None = None,
+def forecast_wide(t: Tables, *, models: Sequence[str] = FORECASTERS, by: str | None = None,
                   holdout_days: int = HOLDOUT_DAYS, fill: bool = False) -> DataFrame:
     """Forecasts and errors side by side."""
     return widen(forecasts(t["sales"], by, models, holdout_days, fill), models)

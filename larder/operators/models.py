@@ -16,7 +16,7 @@ from larder.functions import labels
 from larder.functions.columns import banded, percent
 from larder.functions.pin import pinned, scratch_path
 from larder.operators import profit
-from larder.plans.operator import Tables
+from larder.plans.operator import Tables, operator
 
 
 @dataclass(frozen=True)
@@ -107,6 +107,17 @@ def classifier_metrics(predicted: DataFrame) -> DataFrame:
     )
 
 
+def class_report(predicted: DataFrame) -> DataFrame:
+    """Precision, recall and F1 in percent, and support, of loss (0) and profit (1)."""
+    both = predicted.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("class"), "label", "prediction")
+    hit = F.count_if((F.col("label") == F.col("class")) & (F.col("prediction") == F.col("class")))
+    counts = both.groupBy("class").agg(
+        hit.alias("hit"), F.count_if(F.col("prediction") == F.col("class")).alias("named"), F.count_if(F.col("label") == F.col("class")).alias("support"))
+    return counts.select(
+        "class", percent("hit", "named").alias("precision_pct"), percent("hit", "support").alias("recall_pct"),
+        percent(F.col("hit") * 2, F.col("named") + F.col("support")).alias("f1_pct"), "support")
+
+
 def feature_importance(spark: SparkSession, models: ProfitModels, top: int | None = None) -> DataFrame:
     """Importance per feature (a fixed list of names), greatest first; all zero without classifier."""
     weights = [0.0] * len(models.names)
@@ -153,10 +164,21 @@ def alerts_from(scored: DataFrame) -> DataFrame:
     )
 
 
+def newest(rows: DataFrame, last: int) -> DataFrame:
+    """The last months of each entity."""
+    by_month = Window.partitionBy("entity").orderBy(F.desc("year_month"))
+    return rows.withColumn("age", F.row_number().over(by_month)).filter(F.col("age") <= last).drop("age")
+
+
+def persisted(rows: DataFrame) -> DataFrame:
+    """The plainest prediction: profit stays as it is. Without a fit, so every figure made of it can be checked."""
+    now = F.col("operating_profit")
+    return rows.withColumns({"predicted": now, "prediction": F.col("is_profitable"), "loss": margin_rule(now, F.col("revenue"))})
+
+
 def risk_alerts(models: ProfitModels, last: int = 3) -> DataFrame:
     """Predicted profit and risk of the last months of each entity."""
-    newest = Window.partitionBy("entity").orderBy(F.desc("year_month"))
-    recent = models.rows.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= last).drop("age")
+    recent = newest(models.rows, last)
     scored = models.regressor.transform(recent).withColumnRenamed("prediction", "predicted").drop("raw", "features")
     if models.classifier is not None:
         scored = models.classifier.transform(scored).withColumn("loss", loss_probability())
@@ -186,3 +208,48 @@ def high_risk_count(alerts: DataFrame) -> DataFrame:
         F.count_if(F.col("risk_level") == level).alias(level.lower().replace(" ", "_"))
         for level in (labels.RISK_BANDS[0][1], labels.RISK_BANDS[1][1], labels.RISK_REST)
     ))
+
+
+# The same tables for the prediction that profit stays as it is.
+
+
+@operator(**profit.READS)
+def persistent_alerts(t: Tables, *, by: str | None = None, last: int = 3) -> DataFrame:
+    """Alerts of the last months of each entity."""
+    return alerts_from(persisted(newest(profit.features(t, by), last)))
+
+
+@operator(**profit.READS)
+def persistent_actions(t: Tables, *, by: str | None = None, last: int = 3) -> DataFrame:
+    """What to do about them, joined to one text."""
+    actions = alert_actions(alerts_from(persisted(newest(profit.features(t, by), last))))
+    return actions.withColumn("actions", F.concat_ws("; ", "actions"))
+
+
+@operator(**profit.READS)
+def persistent_risk_count(t: Tables, *, by: str | None = None, last: int = 3) -> DataFrame:
+    """Alerts per level."""
+    return high_risk_count(alerts_from(persisted(newest(profit.features(t, by), last))))
+
+
+def _judged(t: Tables, by: str | None, horizon: int) -> DataFrame:
+    return persisted(profit.labelled(t, by, horizon)).select(
+        F.col("target_is_profitable").alias("label"), "prediction", F.col("target_profit").alias("actual"), "predicted")
+
+
+@operator(**profit.READS)
+def persistent_classes(t: Tables, *, by: str | None = None, horizon: int = 3) -> DataFrame:
+    """Scores of the class that stays as it is."""
+    return classifier_metrics(_judged(t, by, horizon))
+
+
+@operator(**profit.READS)
+def persistent_report(t: Tables, *, by: str | None = None, horizon: int = 3) -> DataFrame:
+    """Its scores by class."""
+    return class_report(_judged(t, by, horizon))
+
+
+@operator(**profit.READS)
+def persistent_errors(t: Tables, *, by: str | None = None, horizon: int = 3) -> DataFrame:
+    """Errors of the profit that stays as it is."""
+    return regressor_metrics(_judged(t, by, horizon))

@@ -32,7 +32,7 @@ def query_audit(spark: SparkSession, queries: Mapping[str, Callable[[], DataFram
                 counted.write.format("noop").mode("overwrite").save()
             entry = (seen.get["rows"], len(df.columns), "SUCCESS")
         except Exception as error:
-            entry = (0, 0, f"FAILED: {str(error).splitlines()[0] if str(error) else type(error).__name__}")
+            entry = (0, 0, f"FAILED: {str(error) or type(error).__name__}")
         log.append((name, entry[0], entry[1], round(time.monotonic() - start, 2), entry[2]))
     return spark.createDataFrame(log, LOG)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import lru_cache, partial
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +34,8 @@ def quality_of_all_tables(spark: SparkSession, folder: str) -> DataFrame:
     return quality.data_quality(StarViews(spark, folder).tables(ALL_COLUMNS))
 
 
-@lru_cache(maxsize=4)
 def fitted(spark: SparkSession, folder: str, by: str, regress: bool) -> models.ProfitModels:
-    """Fitted once per session and folder: several queries read the same models."""
+    """Fitted by every query that needs them: nothing outlives a session or a change of its tables."""
     reads = {table: tuple(names.split()) for table, names in profit.READS.items()}
     return models.fit(StarViews(spark, folder).tables(reads), by=by, regress=regress)
 
@@ -71,7 +70,7 @@ def table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "sales")
     files.write_table(StarViews(spark, folder).table("sales", columns), path, by_month="date")
     return files.read_table(spark, path).groupBy(F.col("sales_month").cast("string").alias("sales_month")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("quantity_ordered").alias("quantity_ordered"),
+        F.count(F.lit(1)).alias("rows"), *(F.sum(c).alias(c) for c in columns[2:]), F.count_distinct("sku_id").alias("skus"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )
 
@@ -133,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "supplier_tco": on_star(supplier.supplier_tco),
     # About 30 sales rows per SKU over seven years: the default six months would hold too few.
     "fill_rate_analysis": on_star(service.fill_rate_analysis, lookback_months=None),
+    "fill_rate_analysis_six_months": on_star(service.fill_rate_analysis, min_orders=1),
     "stockout_root_cause": on_star(service.stockout_root_cause),
     "stockout_root_cause_bounded": on_star(service.stockout_root_cause, mode="bounded"),
     "warehouse_efficiency": on_star(service.warehouse_efficiency),
@@ -182,7 +182,8 @@ QUERIES: dict[str, Query] = {
     "forecast_naive": on_star(forecast.forecast, by="category", models=[forecast.NAIVE]),
     "forecast_moving_average": on_star(forecast.forecast, by="category", models=forecast.BASELINES[1:]),
     "forecast_holt_winters": on_star(forecast.forecast, by="category", models=[forecast.SMOOTHING]),
-    "forecast_seasonal_ar": on_star(forecast.forecast, by="category", models=[forecast.SEASONAL_AR]),
+    "forecast_holt_winters_stated": on_star(forecast.smoothed, by="category", weights=(0.2, 0.1, 0.3), digits=2),
+    "forecast_seasonal_ar": on_star(forecast.forecast, by="category", models=[forecast.SEASONAL_AR], digits=2),
     "forecast_trend_fourier": on_star(forecast.forecast_band, by="category"),
     "forecast_metrics": on_star(forecast.forecast_metrics, by="category", models=forecast.BASELINES),
     "forecast_ranking": on_star(forecast.forecast_ranking, by="category", models=forecast.BASELINES),
@@ -190,6 +191,13 @@ QUERIES: dict[str, Query] = {
     "forecast_summary": on_star(forecast.forecast_summary, by="category", models=forecast.BASELINES),
     "forecast_wide": on_star(forecast.forecast_wide, by="category", models=forecast.BASELINES),
     "error_histogram": on_star(forecast.error_histogram, by="category", model=forecast.BASELINES[1]),
+    # Other grains: the company as a whole, and every SKU with its empty days
+    "daily_demand_company": on_star(forecast.daily_demand),
+    "forecast_metrics_company": on_star(forecast.forecast_metrics, models=forecast.BASELINES),
+    "forecast_ranking_company": on_star(forecast.forecast_ranking, models=forecast.BASELINES),
+    "daily_demand_sku_filled": on_star(forecast.daily_demand, by="sku_id", fill=True),
+    "forecast_metrics_sku": on_star(forecast.forecast_metrics, by="sku_id", fill=True, models=forecast.BASELINES),
+    "forecast_ranking_sku": on_star(forecast.forecast_ranking, by="sku_id", fill=True),
     # Monthly profit and features, one entity per SKU
     **{op.name: on_star(op, by="sku_id") for op in (
         profit.monthly_profitability, profit.lag_features, profit.rolling_features, profit.mom_change,
@@ -206,10 +214,16 @@ QUERIES: dict[str, Query] = {
     # Models: losses occur on SKU-months, so the classifier learns there; profit is predicted per category
     "profit_classifier": with_models(models.classified, by="sku_id", regress=False),
     "classifier_metrics": with_models(lambda m: models.classifier_metrics(models.classified(m)), by="sku_id", regress=False),
+    "class_report": with_models(lambda m: models.class_report(models.classified(m)), by="sku_id", regress=False),
     "feature_importance": feature_importance,
     "profit_regressor": with_models(models.predicted_profit, by="category"),
     "regressor_metrics": with_models(lambda m: models.regressor_metrics(models.predicted_profit(m)), by="category"),
     "risk_alerts": with_models(models.risk_alerts, by="category"),
     "alert_actions": with_models(lambda m: models.alert_actions(models.risk_alerts(m)), by="category"),
+    # Without a fit: profit stays as it is
+    **{op.name: on_star(op, by="sku_id") for op in (
+        models.persistent_alerts, models.persistent_actions, models.persistent_risk_count, models.persistent_classes,
+        models.persistent_report, models.persistent_errors,
+    )},
     "high_risk_count": with_models(lambda m: models.high_risk_count(models.risk_alerts(m)), by="category"),
 }

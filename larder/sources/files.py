@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.functions.columns import cents, money, year_month
 from larder.schemas import FILE_SCHEMAS, MONEY_COLUMNS
@@ -29,7 +30,42 @@ def file_columns(df: DataFrame, table: str) -> DataFrame:
     return df.select([f.name for f in FILE_SCHEMAS[table] if f.name in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, table: str, columns: list[str] | None = None) -> DataFrame:
+# Spellings of booleans in the input files, in any case.
+TRUE, FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
+CORRUPT = "_corrupt_record"
+
+
+def as_text(schema: T.StructType) -> T.StructType:
+    """Booleans are read as text, since files spell them in several ways."""
+    return T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BooleanType) else f.dataType) for f in schema])
+
+
+def with_booleans(df: DataFrame, schema: T.StructType, strict: bool) -> DataFrame:
+    """Text to booleans; another spelling is an error, or NULL if not ``strict``."""
+    for f in schema:
+        if isinstance(f.dataType, T.BooleanType):
+            text = F.lower(F.trim(f.name))
+            other = F.raise_error(F.concat(F.lit(f"{f.name} is no boolean: "), f.name)) if strict else F.lit(None)
+            value = F.when(text.isin(*TRUE), True).when(text.isin(*FALSE), False).when(text.isNull() | (text == ""), F.lit(None))
+            df = df.withColumn(f.name, value.otherwise(other.cast("boolean")))
+    return df
+
+
+def _reader(spark: SparkSession, schema: T.StructType, strict: bool):
+    """Fails at a malformed value; if not ``strict``, the row is kept with what could be read, and its
+    text in ``_corrupt_record``, which ``corrupt_rows`` counts."""
+    read = as_text(schema)
+    if strict:
+        return spark.read.schema(read).option("mode", "FAILFAST")
+    return spark.read.schema(read.add(CORRUPT, T.StringType())).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def corrupt_rows(df: DataFrame) -> DataFrame:
+    """How many rows of a table read without ``strict`` had a malformed value."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("corrupt_rows"))
+
+
+def read_csv(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, strict: bool = True) -> DataFrame:
     """A CSV file with header row, by the table's stated schema; header names are checked.
 
     ``columns`` names the columns the file holds if it lacks some.
@@ -37,24 +73,40 @@ def read_csv(spark: SparkSession, path: str, table: str, columns: list[str] | No
     schema = FILE_SCHEMAS[table]
     if columns:
         schema = type(schema)([schema[c] for c in columns])
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    return canonical(reader.csv(path), table)
+    reader = _reader(spark, schema, strict).option("header", True).option("enforceSchema", not strict)
+    return canonical(with_booleans(reader.csv(path), schema, strict), table)
 
 
-def read_json_records(spark: SparkSession, path: str, table: str, array_file: bool = True) -> DataFrame:
+def read_json_records(spark: SparkSession, path: str, table: str, array_file: bool = True, strict: bool = True) -> DataFrame:
     """Records from one JSON array per file, or from JSON Lines (splittable) with ``array_file=False``."""
-    reader = spark.read.schema(FILE_SCHEMAS[table]).option("multiLine", array_file)
-    return canonical(reader.json(path), table)
+    reader = _reader(spark, FILE_SCHEMAS[table], strict).option("multiLine", array_file)
+    return canonical(with_booleans(reader.json(path), FILE_SCHEMAS[table], strict), table)
+
+
+def is_path(name: str) -> bool:
+    """A path has a scheme or starts with a slash or a dot; everything else is a catalog name."""
+    return "://" in name or name.startswith(("/", ".", "file:"))
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """A catalog table, or a parquet folder if the name is a path."""
-    return spark.read.parquet(name) if "/" in name else spark.table(name)
+    return spark.read.parquet(name) if is_path(name) else spark.table(name)
 
 
 def parse_dates(df: DataFrame, *columns: str) -> DataFrame:
-    """ISO text (with or without a time) as dates."""
-    return df.withColumns({c: F.to_date(F.substring(c, 1, 10), "yyyy-MM-dd") for c in columns})
+    """ISO text (with or without a time) as dates. The whole text is read: what is no date or time is
+    NULL, and ``unparsed`` counts it."""
+    return df.withColumns({c: iso_date(c) for c in columns})
+
+
+def iso_date(column: str) -> Column:
+    text = F.trim(column)
+    return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_timestamp(text).cast("date"))
+
+
+def unparsed(df: DataFrame, *columns: str) -> DataFrame:
+    """How many texts of each column are no date."""
+    return df.agg(*(F.count_if(F.col(c).isNotNull() & iso_date(c).isNull()).alias(c) for c in columns))
 
 
 def load_files(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
@@ -87,4 +139,4 @@ def write_table(df: DataFrame, name: str, by_month: str | None = None) -> None:
     out = df.write.mode("overwrite").format("parquet")
     if by_month:
         out = out.partitionBy("sales_month")
-    out.save(name) if "/" in name else out.saveAsTable(name)
+    out.save(name) if is_path(name) else out.saveAsTable(name)

@@ -164,7 +164,7 @@ class StarViews:
                 .agg(F.count(F.lit(1)).alias("n"), F.count_if("on_time").alias("punctual"),
                      F.count_if("quality_accepted").alias("good"))
             )
-            rows = rows.join(record, rows["s_suppkey"] == record["supplier_id"])
+            rows = rows.join(record, rows["s_suppkey"] == record["supplier_id"], "left")  # no deliveries: no rates
             rows = rows.withColumns({
                 "on_time_delivery_rate":
                     F.round(F.col("punctual") * F.lit(1000.0) / F.col("n")).cast("long") / F.lit(1000.0),
@@ -186,9 +186,9 @@ class StarViews:
         key = F.col("n_nationkey")
         rows = (
             self.raw("nation", "n_nationkey", "n_name", "n_regionkey")
-            .join(suppliers, F.col("n_nationkey") == F.col("s_nationkey"))
+            .join(suppliers, F.col("n_nationkey") == F.col("s_nationkey"), "left")
             .join(self.raw("region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-            .withColumn("capacity_units", F.col("n_suppliers") * (80000 + 20000 * (key % 10)))
+            .withColumn("capacity_units", F.coalesce("n_suppliers", F.lit(0)) * (80000 + 20000 * (key % 10)))
         )
         return rows.select(
             key.alias("warehouse_id"), F.col("n_name").alias("warehouse_name"), F.col("r_name").alias("city"),
@@ -198,10 +198,10 @@ class StarViews:
         )
 
     def _current_inventory(self, columns: set[str]) -> DataFrame:
-        line = self.raw("lineitem", "l_partkey", "l_suppkey", "l_quantity").filter(F.col("l_partkey") % 4 != 0)
+        line = self.raw("lineitem", "l_partkey", "l_suppkey", "l_quantity")
         key = F.col("l_partkey")
         rows = (
-            line.join(self.raw("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+            line.join(self.raw("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
             .groupBy("l_partkey", "s_nationkey")
             .agg((F.sum(F.col("l_quantity").cast("long")) * 10).alias("quantity_on_hand"))
             .select(

@@ -200,3 +200,5 @@ SQL = {
         UNION ALL SELECT 'Average Supplier On-Time Delivery', v, CAST(v AS DECIMAL(38,2)) || '%' FROM p""",
         "sku_master", "sales", "current_inventory", "supplier_master"),
 }
+SQL["fill_rate_analysis_six_months"] = SQL["fill_rate_analysis"].replace(
+    "FROM sales GROUP BY 1 HAVING count(*) > 10", "FROM sales WHERE date >= DATE '2001-05-05' GROUP BY 1 HAVING count(*) > 1")

@@ -15,7 +15,7 @@ LONG = SPLIT + """,
       SELECT series, 'Naive' AS model, CAST(max(demand) FILTER (age = 1) AS DOUBLE) AS forecast FROM tr GROUP BY 1
       UNION ALL SELECT series, 'MA_7day', avg(demand) FILTER (age <= 7) FROM tr GROUP BY 1
       UNION ALL SELECT series, 'MA_30day', avg(demand) FILTER (age <= 30) FROM tr GROUP BY 1),
-    long AS (SELECT s.series, date, model, demand AS actual, forecast FROM s JOIN f ON s.series = f.series WHERE is_test)"""
+    long AS (SELECT s.series, date, model, demand AS actual, forecast, 'ok' AS status FROM s JOIN f ON s.series = f.series WHERE is_test)"""
 
 SCORE = LONG + """,
     m AS (
@@ -70,7 +70,69 @@ SQL = {
         e AS (SELECT actual - forecast AS x FROM long WHERE model = 'MA_7day'),
         w AS (SELECT min(x) AS low, (max(x) - min(x)) / 30e0 AS width FROM e),
         b AS (SELECT least(CAST(floor((x - low) / width) AS INT), 29) + 1 AS bin FROM e, w)
-        SELECT bin, half_up(any_value(low) + (bin - 1) * any_value(width), 4) AS bin_start,
-               half_up(any_value(low) + bin * any_value(width), 4) AS bin_end, count(*) AS n
-        FROM b, w GROUP BY 1""", "sales"),
+        SELECT CAST(i AS INT) AS bin, half_up(low + (i - 1) * width, 4) AS bin_start, half_up(low + i * width, 4) AS bin_end,
+               (SELECT count(*) FROM b WHERE b.bin = i) AS n
+        FROM generate_series(1, 30) g(i), w""", "sales"),
 }
+
+# Seasonal autoregression: the normal equations of three lags, solved by Cramer's rule, then one step at a time.
+AR = SPLIT + """,
+    n AS (SELECT series, date, demand, row_number() OVER (PARTITION BY series ORDER BY date) AS i FROM s WHERE NOT is_test),
+    w AS (SELECT a.series, a.i, CAST(a.demand - b.demand - c.demand + e.demand AS DOUBLE) AS w
+          FROM n a JOIN n b ON b.series = a.series AND b.i = a.i - 1 JOIN n c ON c.series = a.series AND c.i = a.i - 7
+          JOIN n e ON e.series = a.series AND e.i = a.i - 8),
+    p AS (SELECT y.series, y.w AS y, a.w AS a, b.w AS b, c.w AS c FROM w y
+          JOIN w a ON a.series = y.series AND a.i = y.i - 1 JOIN w b ON b.series = y.series AND b.i = y.i - 7
+          JOIN w c ON c.series = y.series AND c.i = y.i - 8),
+    g AS (SELECT series, sum(a*a) AS aa, sum(a*b) AS ab, sum(a*c) AS ac, sum(b*b) AS bb, sum(b*c) AS bc, sum(c*c) AS cc,
+                 sum(a*y) AS ay, sum(b*y) AS yb, sum(c*y) AS cy FROM p GROUP BY 1),
+    k AS (SELECT *, aa*(bb*cc - bc*bc) - ab*(ab*cc - bc*ac) + ac*(ab*bc - bb*ac) AS det FROM g),
+    coef AS (SELECT series, (ay*(bb*cc - bc*bc) - ab*(yb*cc - bc*cy) + ac*(yb*bc - bb*cy)) / det AS u,
+                    (aa*(yb*cc - bc*cy) - ay*(ab*cc - bc*ac) + ac*(ab*cy - yb*ac)) / det AS v,
+                    (aa*(bb*cy - yb*bc) - ab*(ab*cy - yb*ac) + ay*(ab*bc - bb*ac)) / det AS x FROM k),
+    step AS (
+      SELECT series, 0 AS h, list(CAST(demand AS DOUBLE) ORDER BY i DESC)[1:17] AS y FROM n GROUP BY 1
+      UNION ALL
+      SELECT s.series, h + 1, list_prepend(
+        u * (y[1] - y[2] - y[8] + y[9]) + v * (y[7] - y[8] - y[14] + y[15]) + x * (y[8] - y[9] - y[15] + y[16]) + y[1] + y[7] - y[8],
+        y)[1:17]
+      FROM step s JOIN coef c ON c.series = s.series WHERE h < (SELECT max(k) FROM (SELECT count(*) AS k FROM s WHERE is_test GROUP BY series))),
+    t AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS h FROM s WHERE is_test)
+    SELECT t.series, t.date, 'Seasonal_AR' AS model, t.demand AS actual, half_up(y[1], 2) AS forecast, 'ok' AS status
+    FROM t JOIN step ON step.series = t.series AND step.h = t.h"""
+SQL["forecast_seasonal_ar"] = q(AR.replace("WITH d AS", "WITH RECURSIVE d AS"), "sales")
+
+# Holt-Winters with the weights 0.2, 0.1, 0.3; the seasonal values stand as a queue, the next day's first.
+SMOOTHED = SPLIT + """,
+    n AS (SELECT series, CAST(demand AS DOUBLE) AS y, row_number() OVER (PARTITION BY series ORDER BY date) AS i FROM s WHERE NOT is_test),
+    first AS (SELECT series, avg(y) FILTER (i <= 7) AS m1, avg(y) FILTER (i > 7) AS m2, list(y ORDER BY i)[1:7] AS y7, any_value(k) AS k
+              FROM (SELECT *, count(*) OVER (PARTITION BY series) AS k FROM n) WHERE i <= 14 GROUP BY 1),
+    run AS (
+      SELECT series, 7 AS i, m1 AS level, (m2 - m1) / 7 AS trend, [v - m1 for v in y7] AS q FROM first
+      UNION ALL
+      SELECT r.series, r.i + 1, 0.2e0 * (y - q[1]) + 0.8e0 * (level + trend),
+             0.1e0 * (0.2e0 * (y - q[1]) + 0.8e0 * (level + trend) - level) + 0.9e0 * trend,
+             list_append(q[2:], 0.3e0 * (y - level - trend) + 0.7e0 * q[1])
+      FROM run r JOIN n ON n.series = r.series AND n.i = r.i + 1),
+    last AS (SELECT run.* FROM run JOIN first ON first.series = run.series AND first.k = run.i),
+    t AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS h FROM s WHERE is_test)
+    SELECT t.series, t.date, 'Exp_Smoothing' AS model, t.demand AS actual,
+           half_up(level + h * trend + q[CAST((h - 1) % 7 AS INT) + 1], 2) AS forecast, 'ok' AS status
+    FROM t JOIN last ON last.series = t.series"""
+SQL["forecast_holt_winters_stated"] = q(SMOOTHED.replace("WITH d AS", "WITH RECURSIVE d AS"), "sales")
+
+
+def _company(name: str) -> str:
+    return SQL[name].replace("SELECT category AS series", "SELECT 'ALL' AS series")
+
+
+SQL |= {f"{name}_company": _company(name) for name in ("daily_demand", "forecast_metrics", "forecast_ranking")}
+# Every SKU, with its empty days as zero.
+FILLED = """
+    WITH raw AS (SELECT CAST(sku_id AS VARCHAR) AS series, date, sum(quantity_fulfilled) AS demand, sum(revenue_cents) AS cents FROM sales GROUP BY 1, 2),
+    days AS (SELECT series, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM raw GROUP BY 1),
+    d AS (SELECT days.series, days.date, CAST(coalesce(demand, 0) AS BIGINT) AS demand, CAST(coalesce(cents, 0) AS BIGINT) / 100e0 AS revenue
+          FROM days LEFT JOIN raw ON raw.series = days.series AND raw.date = days.date),"""
+_HEAD = SPLIT[:SPLIT.index("    s AS (")]
+SQL["daily_demand_sku_filled"] = q(FILLED.rstrip(",") + " SELECT * FROM d", "sales")
+SQL["forecast_metrics_sku"] = q(SCORE.replace(_HEAD, FILLED + "\n") + " SELECT * FROM m", "sales")

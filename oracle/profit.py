@@ -112,3 +112,40 @@ SQL["standardize"] = _of(FEATURES + " SELECT entity, year_month, " + ", ".join(
 SQL |= {f"{name}_company": SQL[name].replace("CAST(s.sku_id AS VARCHAR) AS entity", "'ALL' AS entity") for name in (
     "monthly_profitability", "lag_features", "rolling_features", "mom_change", "calendar_features", "cost_ratios", "risk_flags",
     "drop_incomplete", "horizon_target", "train_test_sample", "profit_summary")}
+
+# Predictions without a fit: profit stays as it is.
+ALERTS = FEATURES + """,
+    recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY year_month DESC) AS age FROM features) WHERE age <= 3),
+    risk AS (SELECT *, CASE WHEN operating_profit < 0 THEN 1e0
+                            ELSE greatest(0e0, 1 - (CASE WHEN revenue > 0 THEN operating_profit / revenue * 100 ELSE 0e0 END) / 30) END AS loss FROM recent),
+    alerts AS (SELECT entity, strftime(year_month, '%Y-%m') AS month, operating_profit AS current_profit,
+                      operating_profit AS predicted_profit_3m_ahead, loss * 100 AS loss_probability,
+                      CASE WHEN loss > 0.7 THEN 'HIGH RISK' WHEN loss > 0.4 THEN 'MEDIUM RISK' ELSE 'LOW RISK' END AS risk_level,
+                      fill_rate, stockout_cost, operating_margin_pct AS operating_margin FROM risk)"""
+SQL["persistent_alerts"] = _of(ALERTS + " SELECT * FROM alerts")
+SQL["persistent_actions"] = _of(ALERTS + """
+    SELECT entity, month, risk_level, concat_ws('; ',
+      CASE WHEN fill_rate < 90 THEN format('Fill rate is low ({:.1f}%) - improve inventory', half_up(fill_rate, 1)) END,
+      CASE WHEN stockout_cost > 50000 THEN format('High stockout costs (${:,.0f}) - fix supplier issues', stockout_cost) END,
+      CASE WHEN operating_margin < 10 THEN format('Low margin ({:.1f}%) - reduce costs', half_up(operating_margin, 1)) END) AS actions
+    FROM alerts WHERE risk_level <> 'LOW RISK'""")
+SQL["persistent_risk_count"] = _of(ALERTS + """
+    SELECT count(*) FILTER (risk_level = 'HIGH RISK') AS high_risk, count(*) FILTER (risk_level = 'MEDIUM RISK') AS medium_risk,
+           count(*) FILTER (risk_level = 'LOW RISK') AS low_risk FROM alerts""")
+JUDGED = TARGET + """,
+    j AS (SELECT target_is_profitable AS label, is_profitable AS prediction, target_profit AS actual, operating_profit AS predicted FROM target)"""
+SQL["persistent_classes"] = _of(JUDGED + """,
+    c AS (SELECT count(*) AS rows, count(*) FILTER (label = 0 AND prediction = 0) AS loss_found, count(*) FILTER (label = 0 AND prediction = 1) AS loss_missed,
+                 count(*) FILTER (label = 1 AND prediction = 0) AS false_alarm, count(*) FILTER (label = 1 AND prediction = 1) AS profit_found FROM j)
+    SELECT *, half_up((loss_found + profit_found) * 100e0 / nullif(rows, 0), 2) AS accuracy_pct,
+           half_up(loss_found * 100e0 / nullif(loss_found + false_alarm, 0), 2) AS loss_precision_pct,
+           half_up(loss_found * 100e0 / nullif(loss_found + loss_missed, 0), 2) AS loss_recall_pct FROM c""")
+SQL["persistent_report"] = _of(JUDGED + """,
+    c AS (SELECT CAST(k AS INT) AS class, count(*) FILTER (label = k AND prediction = k) AS hit, count(*) FILTER (prediction = k) AS named,
+                 count(*) FILTER (label = k) AS support FROM j, generate_series(0, 1) g(k) GROUP BY k)
+    SELECT class, half_up(hit * 100e0 / nullif(named, 0), 2) AS precision_pct, half_up(hit * 100e0 / nullif(support, 0), 2) AS recall_pct,
+           half_up(hit * 200e0 / nullif(named + support, 0), 2) AS f1_pct, support FROM c""")
+SQL["persistent_errors"] = _of(JUDGED + """
+    SELECT half_up(avg(abs(predicted - actual)), 2) AS mae, half_up(sqrt(avg((predicted - actual) * (predicted - actual))), 2) AS rmse,
+           half_up(1 - sum((predicted - actual) * (predicted - actual)) / nullif(var_pop(actual) * count(*), 0), 4) AS r2,
+           half_up(avg(abs((predicted - actual) / nullif(actual, 0)) * 100), 2) AS mape FROM j""")

@@ -19,7 +19,9 @@ SQL = {
         "supplier_master"),
     "write_table": q("""
         SELECT strftime(date, '%Y-%m') AS sales_month, count(*) AS rows,
-               CAST(sum(quantity_ordered) AS BIGINT) AS quantity_ordered, min(date) AS first_date, max(date) AS last_date
+               CAST(sum(quantity_ordered) AS BIGINT) AS quantity_ordered, CAST(sum(quantity_fulfilled) AS BIGINT) AS quantity_fulfilled,
+               CAST(sum(backorder_quantity) AS BIGINT) AS backorder_quantity, count(DISTINCT sku_id) AS skus,
+               min(date) AS first_date, max(date) AS last_date
         FROM sales GROUP BY 1""", "sales"),
     "read_table": q(f"SELECT {explore.COLUMNS['current_inventory']} FROM current_inventory", "current_inventory"),
     "write_csv": explore.SQL["monthly_sales_trends"],

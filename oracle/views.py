@@ -42,22 +42,22 @@ VIEWS = {
                CAST(30 + 15 * (s_suppkey % 4) AS INT) AS payment_terms_days,
                CAST(100 + 98 * (s_suppkey % 50) AS INT) AS minimum_order_quantity, s_acctbal > 0 AS is_preferred
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        JOIN (SELECT supplier_id, count(*) AS n, count(*) FILTER (on_time) AS punctual,
+        LEFT JOIN (SELECT supplier_id, count(*) AS n, count(*) FILTER (on_time) AS punctual,
                      count(*) FILTER (quality_accepted) AS good FROM purchase_orders GROUP BY supplier_id)
           ON supplier_id = s_suppkey""",
     "warehouse_master": """
         SELECT n_nationkey AS warehouse_id, n_name AS warehouse_name, r_name AS city, capacity_units,
                capacity_units * (50 + 10 * (n_nationkey % 8)) AS monthly_operating_cost_cents,
                (40 + (n_nationkey * 7) % 60) / 100e0 AS current_utilization_rate
-        FROM (SELECT n_nationkey, n_name, n_regionkey, n_sup * (80000 + 20000 * (n_nationkey % 10)) AS capacity_units
-              FROM nation JOIN (SELECT s_nationkey, count(*) AS n_sup FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey)
+        FROM (SELECT n_nationkey, n_name, n_regionkey, coalesce(n_sup, 0) * (80000 + 20000 * (n_nationkey % 10)) AS capacity_units
+              FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n_sup FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey)
         JOIN region ON n_regionkey = r_regionkey""",
     "current_inventory": """
         SELECT l_partkey AS sku_id, s_nationkey AS warehouse_id, quantity_on_hand,
                500 + (l_partkey * 37) % 1500 AS reorder_point, 200 + (l_partkey * 53) % 800 AS safety_stock,
                unit_cost_cents, quantity_on_hand * unit_cost_cents AS total_value_cents
         FROM (SELECT l_partkey, s_nationkey, CAST(sum(CAST(l_quantity AS BIGINT)) * 10 AS BIGINT) AS quantity_on_hand
-              FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 4 <> 0 GROUP BY 1, 2)
+              FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
         JOIN sku_master ON sku_id = l_partkey""",
     "bom": """
         SELECT CAST(floor(p_partkey / 6e0) AS BIGINT) AS parent_sku, p_partkey AS component_sku,

@@ -99,7 +99,7 @@ def test_results_do_not_depend_on_partitions(spark, name):
     assert len(seen) == 1
 
 
-MODEL_QUERIES = {"profit_classifier", "classifier_metrics", "feature_importance", "profit_regressor",
+MODEL_QUERIES = {"profit_classifier", "classifier_metrics", "class_report", "feature_importance", "profit_regressor",
                  "regressor_metrics", "risk_alerts", "alert_actions", "high_risk_count"}
 WRITING = {"query_audit", "read_csv", "read_json_records", "write_table", "read_table", "write_csv",
            "write_json_records"}
@@ -167,12 +167,67 @@ def test_forecasters_follow_a_clean_season():
     assert smooth(y[:10], 5) == {} and extend_ar(y[:10], 5) == {}
 
 
-def test_short_series_only_drops_its_own_model(make):
+def test_short_series_keep_their_rows(make):
     rows = [(START + timedelta(i), s, "c", 5 + i % 7, 100) for s, n in (("long", 120), ("short", 12)) for i in range(n)]
     sales = make("date date, sku_id string, category string, quantity_fulfilled long, revenue_cents long", *rows)
-    long = forecast.forecast({"sales": sales}, by="sku_id", holdout_days=5).collect()
-    assert {r.model for r in long if r.series == "long"} == set(forecast.FORECASTERS)
-    assert {r.model for r in long if r.series == "short"} == set(forecast.BASELINES)
+    long = forecast.forecast({"sales": sales}, by="sku_id", holdout_days=5)
+    got = long.collect()
+    assert len(got) == 2 * 5 * len(forecast.FORECASTERS)
+    assert all(r.status == forecast.FITTED and r.forecast is not None for r in got if r.series == "long")
+    short = {r.model for r in got if r.series == "short" and r.status == forecast.TOO_SHORT and r.forecast is None}
+    assert short == set(forecast.FITS)
+    assert {r.points for r in forecast.forecast_ranking({"sales": sales}, by="sku_id", holdout_days=5).collect()} == {5}
+
+
+def test_targets_are_three_calendar_months_ahead(spark):
+    reads = {table: tuple(names.split()) for table, names in profit.READS.items()}
+    tables = StarViews(spark, SMALL).tables(reads)
+    by_month = {(r.entity, r.year_month): r.operating_profit for r in profit.monthly(tables, "sku_id").collect()}
+    rows = profit.labelled(tables, "sku_id").collect()
+    assert rows
+    for r in rows:
+        m = r.year_month.month - 1 + 3
+        ahead = r.year_month.replace(year=r.year_month.year + m // 12, month=m % 12 + 1)
+        assert by_month[r.entity, ahead] == r.target_profit
+
+
+def test_split_draws_each_class_alike(make):
+    rows = [(str(i), START, int(i % 10 > 0)) for i in range(400)]
+    drawn = profit.mark_train(make("entity string, year_month date, target_is_profitable int", *rows)).collect()
+    for label, size in ((0, 40), (1, 360)):
+        assert sum(r.is_train for r in drawn if r.target_is_profitable == label) == size * 3 // 4
+
+
+def test_views_keep_their_rows_for_any_columns(spark):
+    views = StarViews(spark, SMALL)
+    every = views.raw("supplier", "s_suppkey").count()
+    assert {views.table("supplier_master", c).count() for c in (("supplier_id",), ("supplier_id", "quality_rating"), ("country", "on_time_delivery_rate"))} == {every}
+    assert views.table("warehouse_master", ("warehouse_id",)).count() == views.raw("nation", "n_nationkey").count()
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    from larder.functions import pin
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+            master, applicationId = "spark://somewhere", "a"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        pin.shared_folder(Bare)
+    pin.local_fallback(Bare)  # names nothing on a cluster
+    with pytest.raises(ValueError):
+        pin.scratch_path(Bare, "x")
+
+
+def test_running_total_gives_nulls_the_grand_total(make):
+    from larder.functions.running import running_total_desc
+
+    got = running_total_desc(make("v long", (5,), (None,), (3,), (5,)), "v", "run", "all").collect()
+    assert sorted((r.v or 0, r.run, r.all) for r in got) == [(0, 13, 13), (3, 13, 13), (5, 10, 13), (5, 10, 13)]
 
 
 def test_series_fill_adds_empty_days(make):

@@ -40,6 +40,36 @@ def test_promotion_categories_become_a_list(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "p.csv"), "promotional_calendar").first().categories_included == ["A", "B"]
 
 
+def test_malformed_numbers_are_an_error(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("parent_sku,component_sku,quantity_per,is_critical\nA,B,x1,True\nA,C,2,1\n")
+    with pytest.raises(Exception, match="(?i)malformed|parse|convert|x1"):
+        files.read_csv(spark, str(tmp_path / "b.csv"), "bom").collect()
+    kept = files.read_csv(spark, str(tmp_path / "b.csv"), "bom", strict=False)
+    assert [(r.quantity_per, r.is_critical) for r in kept.orderBy("component_sku").collect()] == [(None, True), (2, True)]
+    assert tuple(files.corrupt_rows(kept).first()) == (2, 1)
+
+
+def test_spellings_of_booleans(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"on_time": "true", "quality_accepted": 0}\n{"on_time": 1, "quality_accepted": "No"}\n{"on_time": true}\n')
+    rows = files.read_json_records(spark, str(tmp_path / "p.json"), "purchase_orders", array_file=False)
+    assert [(r.on_time, r.quality_accepted) for r in rows.collect()] == [(True, False), (True, False), (True, None)]
+    (tmp_path / "q.json").write_text('{"on_time": "maybe"}\n')
+    with pytest.raises(Exception, match="no boolean"):
+        files.read_json_records(spark, str(tmp_path / "q.json"), "purchase_orders", array_file=False).collect()
+
+
+def test_text_that_is_no_date_is_null_and_counted(make):
+    df = make("d string", ("2024-03-01xyz",), ("2024-03-01",), (None,))
+    assert [r.d for r in files.parse_dates(df, "d").collect()] == [None, date(2024, 3, 1), None]
+    assert files.unparsed(df, "d").first().d == 1
+
+
+def test_report_by_class(make):
+    rows = [(0, 0)] * 3 + [(0, 1)] + [(1, 0)] * 2 + [(1, 1)] * 4
+    got = {r["class"]: (r.precision_pct, r.recall_pct, r.f1_pct, r.support) for r in models.class_report(make("label int, prediction int", *rows)).collect()}
+    assert got == {0: (60.0, 75.0, 66.67, 4), 1: (80.0, 66.67, 72.73, 6)}
+
+
 def test_dates_from_text(make):
     df = make("d string", ("2024-02-29",), ("2024-03-01 10:11:12",))
     assert [r.d for r in files.parse_dates(df, "d").collect()] == [date(2024, 2, 29), date(2024, 3, 1)]
