@@ -20,10 +20,6 @@ def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         "row_key", F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), "text"))
 
 
-def same_row(left: DataFrame, right: DataFrame):
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["row_key"] == right["row_key"])
-
-
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each; one longer text is a part alone."""
     sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(batch.schema.get_field_index(text))]

@@ -88,8 +88,8 @@ class Trees:
         for i, (grams, n) in enumerate(counts):
             deep, low = self._unfold(grams, n, contexts)
             cost[..., i], short[..., i] = deep, low
-        self.cost = cost.reshape(-1, len(languages))
-        self.short = short.reshape(-1, len(languages))
+        self.cost = cost.reshape(len(contexts) * size, len(languages))
+        self.short = short.reshape(size**3, len(languages))
 
     @classmethod
     def frozen(cls, tables: dict) -> Trees:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.pin import pinned, stored
-from larder.llm.batches import keyed, mapped, runs_of_groups, same_row, texts_of
+from larder.llm.anchors import narrowed
+from larder.llm.batches import keyed, mapped, runs_of_groups, texts_of
 from larder.llm.graph import components
 
 SEED = 42
@@ -132,23 +133,22 @@ def stars(first: list, second: list | None, radius: int, likeness: float | None)
     return [(x, r) for x in list(up) if (r := top(x)) != x]
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, sketches: bool = False) -> DataFrame:
-    """``doc_id``, ``row_key`` and ``fp`` (64 bits as a long) of every row; with ``sketches`` also
-    ``sketch`` and ``bands``. Null and word-less texts have the fingerprint 0."""
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, banded: bool = False) -> DataFrame:
+    """``doc_id``, ``row_key`` and ``fp`` (64 bits as a long) of every row; with ``banded`` also
+    ``bands``. Null and word-less texts have the fingerprint 0."""
     size = shingle
 
     def work(batch: pa.RecordBatch) -> dict:
         hashes = [shingle_hashes(t, size) for t in texts_of(batch)]
         marks = np.array([fingerprint(h) for h in hashes], "u8").view("i8")
         out = {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "fp": marks}
-        if sketches:
-            out["sketch"] = pa.array([sketch(h) for h in hashes], pa.binary())
+        if banded:
             out["bands"] = pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))
         return out
 
     rows = keyed(docs, id, text)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, fp long"
-    return mapped(rows, work, schema + (", sketch binary, bands array<long>" if sketches else ""))
+    return mapped(rows, work, schema + (", bands array<long>" if banded else ""))
 
 
 def block_keys(radius: int) -> Callable:
@@ -160,23 +160,37 @@ def block_keys(radius: int) -> Callable:
     return lambda fp: F.array(*(F.xxhash64(fp.bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(signed)))
 
 
-def links(nodes: DataFrame, keys, radius: int, likeness: float | None = None, block: int = BLOCK) -> DataFrame:
+def sketches(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``fp`` and ``sketch`` of the wanted fingerprints, from one row of ``docs`` (``keyed``) each."""
+    one = pinned(rows.join(wanted, "fp").groupBy("fp").agg(F.min("row_key").alias("row_key")))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"row_key": batch.column("row_key"), "sketch": pa.array([sketch(shingle_hashes(t, shingle)) for t in texts_of(batch)], pa.binary())}
+
+    made = mapped(narrowed(docs, one), work, "row_key long, sketch binary")
+    return made.join(one, "row_key").dropDuplicates(["fp"]).select("fp", "sketch")
+
+
+def links(nodes: DataFrame, keys, radius: int, likeness: float | None = None, block: int = BLOCK,
+          sketch_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Stars of fingerprints within ``radius`` that share a shard key.
 
     A shard of more than ``block`` fingerprints is split into blocks; every block's tree meets every
     other block of the shard as queries, so a hot shard becomes many groups of bounded size. A tree
     is given to the queries of its own shard only, since all trees together grow with the corpus.
+    Sketches are made for those fingerprints alone that share a shard with another one.
     """
-    carried = [F.col("sketch")] if "sketch" in nodes.columns else []
-    shards = nodes.select("fp", *carried, F.explode(keys).alias("shard"))
+    shards = nodes.select("fp", F.explode(keys).alias("shard"))
     sizes = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     parts = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.col("parts")).cast("int")
-    met = (
-        shards.join(sizes, "shard").withColumn("parts", parts).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp", *carried)
-    )
+    shared = pinned(shards.join(sizes, "shard").withColumn("parts", parts).withColumn("own", own).drop("members"))
+    carried = []
+    if likeness is not None:
+        shared = shared.join(sketch_of(shared.select("fp").distinct()), "fp")
+        carried = [F.col("sketch")]
+    met = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp", *carried)
     order = ["shard", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +235,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     full, or only by text, share a fingerprint. Null ids take part and never name a component
     unless no other id does. An empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, id, text, shingle, likeness is not None), "fingerprints")
-    extra = [F.first("sketch").alias("sketch"), F.first("bands").alias("bands")] if likeness is not None else []
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *extra)
-    nodes = pinned(nodes)
-    keys = F.col("bands") if likeness is not None else block_keys(radius)(F.col("fp"))
-    roots = components(links(nodes, keys, radius, likeness))
+    banded = likeness is not None
+    rows = stored(fingerprints(docs, id, text, shingle, banded), "fingerprints")
+    nodes = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *([F.first("bands").alias("bands")] if banded else [])))
+    keys = F.col("bands") if banded else block_keys(radius)(F.col("fp"))
+    roots = components(links(nodes, keys, radius, likeness, sketch_of=lambda wanted: sketches(keyed(docs, id, text), rows, wanted, shingle)))
     named = nodes.select("fp", "least_id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = pinned(named)
@@ -247,11 +260,15 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
         F.min(rank).alias("first")).select("first.doc_id", "first.row_key")
     # A row is chosen once, but may stand in the table several times.
     chosen = pinned(chosen)
-    copies = found.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marked = chosen.join(copies, same_row(chosen, copies), "left").select(chosen["doc_id"], chosen["row_key"], (F.coalesce("n", F.lit(1)) > 1).alias("many"))
-    marked = marked.select(F.struct("doc_id", "row_key", "many").alias("__kept"))
+    counted = found.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
+    judged = counted.join(chosen.withColumnsRenamed({"doc_id": "of_id", "row_key": "of_key"}), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row_key") == F.col("of_key")), "left")
+    # Most rows stay: only those that may go, or stand there several times, are looked up by a shuffle.
+    doubtful = stored(judged.select("doc_id", "row_key", F.col("of_key").isNotNull().alias("stays"), (F.col("n") > 1).alias("many")).filter("not stays or many"), "doubtful")
     key = F.xxhash64(F.col(id).cast("string"), F.lit("|"), text)
-    kept = docs.select(F.struct("*").alias("__row"), F.col(id).alias("__id"), key.alias("__key")).join(
-        marked, F.col("__id").eqNullSafe(F.col("__kept.doc_id")) & (F.col("__key") == F.col("__kept.row_key")))
-    single = kept.filter("not __kept.many").select("__row.*")
-    return single.unionByName(kept.filter("__kept.many").dropDuplicates(["__id", "__key"]).select("__row.*"))
+    wrapped = docs.select(F.struct("*").alias("__row"), F.col(id).alias("__id"), key.alias("row_key"))
+    sure = narrowed(wrapped, doubtful, inside=False).select("__row.*")
+    marks = doubtful.select(F.struct("doc_id", "row_key", "stays", "many").alias("__mark"))
+    rest = narrowed(wrapped, doubtful).join(marks, F.col("__id").eqNullSafe(F.col("__mark.doc_id")) & (F.col("row_key") == F.col("__mark.row_key")), "left")
+    single = rest.filter("__mark is null").select("__row.*")
+    twice = rest.filter("__mark.stays and __mark.many").dropDuplicates(["__id", "row_key"]).select("__row.*")
+    return sure.unionByName(single).unionByName(twice)
