@@ -156,8 +156,8 @@ class Searcher:
         while begin.size:
             # Each symbol with the next one of its unit, the rank of the two together, the best of the unit.
             paired = np.r_[owner[1:] == owner[:-1], False]
-            stop = np.r_[begin[2:], 0, 0]
-            last = np.r_[owner[2:] != owner[:-2], True, True] if len(owner) > 1 else np.array([True])
+            stop, last = np.zeros(len(begin), "i8"), np.ones(len(begin), bool)
+            stop[:-2], last[:-2] = begin[2:], owner[2:] != owner[:-2]
             stop = np.where(last, ends[owner], stop)
             span = stop - begin
             value = np.full(len(begin), np.int64(NONE) << 32)
