@@ -23,7 +23,8 @@ from larder.llm.batches import keyed, mapped, texts_of
 SPACE = "▁"  # fixed value of the format: stands for a blank
 NONE = np.iinfo("i4").max
 CHARS = 1 << 20  # characters indexed at once; one longer unit is indexed alone
-CACHED = 400_000  # units a task remembers between batches; more are encoded again, with equal results
+CACHED = 150_000  # units a task remembers between batches; more are encoded again, with equal results
+SLICE = 4 << 20  # bytes of text whose units are indexed together
 UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -282,7 +283,7 @@ def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row_key long, n_tokens long, ids_sha256 string, round_trip boolean"
-    return mapped(rows, work, schema + (", token_ids array<int>" if ids else ""), limit=16 << 20)
+    return mapped(rows, work, schema + (", token_ids array<int>" if ids else ""), limit=SLICE)
 
 
 def decode(coded: DataFrame, model: Model, id: str = "doc_id", ids: str = "token_ids") -> DataFrame:

@@ -22,7 +22,7 @@ from larder.llm.batches import keyed, mapped, slices, texts_of
 ORDER = 3
 SAMPLE = 400  # documents a language to fit on: the only bound, and it holds for fitting alone
 SALTS = 8
-SLICE = 2 << 20  # bytes scored at once
+SLICE = 1 << 19  # bytes scored at once
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
