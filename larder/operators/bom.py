@@ -14,29 +14,20 @@ def bom_explosion(t: Tables, *, depth: int = 5, ordered: bool = True) -> DataFra
     """Every path of up to ``depth`` edges below every parent, with quantities multiplied along it.
 
     Paths are kept, not merged, and the depth is the only guard against cycles. The depth is
-    fixed, so the recursion is written as that many joins on the parent key; each level reads the
-    shuffle of the level before. Names and costs are attached to the edges first: there are far
-    fewer edges than paths.
+    fixed, so the recursion is written as that many joins on the parent key. They carry ids and
+    quantities alone; names and costs are attached once, to all levels together.
     """
-    master = t["sku_master"]
-    part = master.select(F.col("sku_id").alias("component_sku"), F.col("product_name").alias("component_name"),
-                         "unit_cost_cents", F.lit(True).alias("known"))
-    edges = t["bom"].join(part, "component_sku", "left")
-    roots = master.select(F.col("sku_id").alias("parent_sku"), F.col("product_name").alias("root_product_name"))
-    level = edges.join(roots, "parent_sku").select(
-        F.col("parent_sku").alias("root_product"), "root_product_name", "component_sku", "component_name",
-        "unit_cost_cents", "known", F.col("quantity_per").cast("double").alias("total_quantity_needed"),
-    )
-    result = level.withColumn("level", F.lit(1))
+    edges = t["bom"].select("parent_sku", "component_sku", "quantity_per")
+    roots = t["sku_master"].select(F.col("sku_id").alias("root_product"), F.col("product_name").alias("root_product_name"))
+    level = edges.select(F.col("parent_sku").alias("root_product"), "component_sku", F.col("quantity_per").cast("double").alias("total_quantity_needed"))
+    paths = level.withColumn("level", F.lit(1))
     for number in range(2, depth + 1):
-        above = level.select("root_product", "root_product_name", F.col("component_sku").alias("parent_sku"),
-                             F.col("total_quantity_needed").alias("above"))
+        above = level.select("root_product", F.col("component_sku").alias("parent_sku"), F.col("total_quantity_needed").alias("above"))
         level = above.join(edges, "parent_sku").select(
-            "root_product", "root_product_name", "component_sku", "component_name", "unit_cost_cents", "known",
-            (F.col("above") * F.col("quantity_per")).alias("total_quantity_needed"),
-        )
-        result = result.unionByName(level.withColumn("level", F.lit(number)))
-    result = result.filter("known").select(
+            "root_product", "component_sku", (F.col("above") * F.col("quantity_per")).alias("total_quantity_needed"))
+        paths = paths.unionByName(level.withColumn("level", F.lit(number)))
+    part = t["sku_master"].select(F.col("sku_id").alias("component_sku"), F.col("product_name").alias("component_name"), "unit_cost_cents")
+    result = paths.join(roots, "root_product").join(part, "component_sku").select(
         "root_product", "root_product_name", "component_sku", "component_name", "level", "total_quantity_needed",
         F.round(F.col("total_quantity_needed") * money("unit_cost_cents"), 2).alias("component_cost_per_unit"),
     )

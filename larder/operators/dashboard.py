@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import labels
-from larder.functions.columns import banded, money, paired_tier, percent, ratio, rounded, year_month
+from larder.functions.columns import banded, money, month_start, paired_tier, percent, ratio, rounded, year_month
 from larder.operators.policy import READS, policy_rows
 from larder.plans.operator import Tables, operator
 
+MONDAY = date(2024, 1, 1)
+
 
 def mean_quantity() -> Column:
     return ratio(F.sum("quantity_fulfilled"), F.count("quantity_fulfilled"))
@@ -56,7 +60,8 @@ def category_sales_desc(t: Tables) -> DataFrame:
 
 
 def _pareto(top: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Running share within the rows given (already cut to the top n, so one window is enough)."""
+    """Running share within the rows given. They are cut to the top n before, and sorted in one task:
+    ``top`` has to stay a number that a chart can show."""
     order = Window.orderBy(F.desc(value), *keys)
     running = F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return top.withColumn("cumulative_pct", percent(running, F.sum(value).over(Window.partitionBy())))
@@ -125,7 +130,8 @@ def dashboard_kpis(t: Tables) -> DataFrame:
 @operator(sales="date revenue_cents")
 def monthly_revenue(t: Tables) -> DataFrame:
     """Revenue per month."""
-    return t["sales"].groupBy(year_month("date").alias("month")).agg(revenue().alias("revenue")).orderBy("month")
+    sums = t["sales"].groupBy(month_start("date").alias("start")).agg(revenue().alias("revenue"))
+    return sums.select(year_month("start").alias("month"), "revenue").orderBy("month")
 
 
 @operator(**READS)
@@ -175,6 +181,6 @@ def supplier_type_distribution(t: Tables) -> DataFrame:
 @operator(sales="date quantity_fulfilled")
 def day_of_week_pattern(t: Tables) -> DataFrame:
     """Mean sold quantity per weekday, Monday first."""
-    return t["sales"].groupBy((F.weekday("date") + 1).alias("day_number"), F.date_format("date", "EEEE").alias("day_of_week")).agg(
-        mean_quantity().alias("avg_quantity")
-    ).orderBy("day_number")
+    sums = t["sales"].groupBy((F.weekday("date") + 1).alias("day_number")).agg(mean_quantity().alias("avg_quantity"))
+    name = F.date_format(F.date_add(F.lit(MONDAY), F.col("day_number") - 1), "EEEE")
+    return sums.select("day_number", name.alias("day_of_week"), "avg_quantity").orderBy("day_number")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from larder.functions.columns import money, percent, ratio, year_month
+from larder.functions.columns import money, month_start, percent, ratio, year_month
 from larder.functions.report import dollars, key_values, with_percent
 from larder.plans.operator import Tables, operator
 
@@ -47,18 +47,20 @@ def report_kv(t: Tables) -> DataFrame:
 @operator(sales="date quantity_fulfilled backorder_quantity revenue_cents")
 def monthly_sales_trends(t: Tables, *, ordered: bool = True) -> DataFrame:
     """Revenue, units and backorders per month."""
-    result = t["sales"].groupBy(year_month("date").alias("month")).agg(
+    sums = t["sales"].groupBy(month_start("date").alias("start")).agg(
         money(F.sum("revenue_cents")).alias("revenue"),
         F.sum("quantity_fulfilled").alias("quantity_fulfilled"),
         F.sum("backorder_quantity").alias("backorder_quantity"),
     )
+    # Dates are the key of the sum and become text once a month, not once a row.
+    result = sums.select(year_month("start").alias("month"), "revenue", "quantity_fulfilled", "backorder_quantity")
     return result.orderBy("month") if ordered else result
 
 
 @operator(sales="date revenue_cents")
 def monthly_sales_summary(t: Tables) -> DataFrame:
     """Mean, highest and lowest revenue of a month."""
-    months = t["sales"].groupBy(year_month("date").alias("month")).agg(F.sum("revenue_cents").alias("c"))
+    months = t["sales"].groupBy(month_start("date").alias("month")).agg(F.sum("revenue_cents").alias("c"))
     return months.agg(
         F.round(ratio(F.sum("c"), F.count("c")) / 100, 2).alias("avg_monthly_revenue"),
         money(F.max("c")).alias("peak_month_revenue"), money(F.min("c")).alias("lowest_month_revenue"),
@@ -187,7 +189,7 @@ def supplier_by_country(t: Tables, *, ordered: bool = True) -> DataFrame:
 def insights(t: Tables) -> DataFrame:
     """Findings in words, numbered; those about counts appear only where the count is positive."""
     # One scan of sales: per month first, then the year's months.
-    months = t["sales"].groupBy(year_month("date").alias("ym"), F.month("date").alias("month")).agg(
+    months = t["sales"].groupBy(month_start("date").alias("ym"), F.month("date").alias("month")).agg(
         F.sum("revenue_cents").alias("c"), F.sum("quantity_fulfilled").alias("q"),
         F.count("quantity_fulfilled").alias("n"), F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("backorder_quantity") > 0).alias("outs"),
