@@ -22,7 +22,7 @@ from larder.llm.batches import keyed, mapped, texts_of
 
 SPACE = "▁"  # fixed value of the format: stands for a blank
 NONE = np.iinfo("i4").max
-CHARS = 1 << 20  # characters indexed at once; one longer unit is indexed alone
+CHARS = 1 << 19  # characters indexed at once; one longer unit is indexed alone
 CACHED = 150_000  # units a task remembers between batches; more are encoded again, with equal results
 SLICE = 4 << 20  # bytes of text whose units are indexed together
 UNIT = re.compile(" *[^ ]+| +")
