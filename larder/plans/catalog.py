@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators import bom, dashboard, demand, explore, forecast, inventory, kpi, models, policy, profit, quality, service, supplier
+from larder.functions.columns import month_start
 from larder.functions.pin import scratch_path
 from larder.plans.audit import query_audit
 from larder.plans.operator import Operator
@@ -98,6 +99,13 @@ def stock_table(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_table(spark, path)
 
 
+def stock_movements(spark: SparkSession, folder: str) -> DataFrame:
+    """Receipts and shipments per warehouse and month."""
+    moves = StarViews(spark, folder).table("inventory_transactions", ALL_COLUMNS["inventory_transactions"])
+    return moves.groupBy("warehouse_id", "transaction_type", month_start("transaction_date").alias("month")).agg(
+        F.count(F.lit(1)).alias("transactions"), F.sum("quantity").alias("quantity"), F.sum("total_value_cents").alias("value_cents"))
+
+
 def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Order dates from text, counted."""
     text = StarViews(spark, folder).raw("orders", "o_orderdate").select(F.col("o_orderdate").cast("string"))
@@ -147,6 +155,7 @@ QUERIES: dict[str, Query] = {
     "write_csv": result_as_csv,
     "write_json_records": result_as_json,
     "parse_dates": parsed_dates,
+    "inventory_transactions": stock_movements,
     "query_audit": audited,
     "report_kv": on_star(explore.report_kv),
     # Exploratory figures

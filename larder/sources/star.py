@@ -219,6 +219,23 @@ class StarViews:
             )
         return rows
 
+    def _inventory_transactions(self, columns: set[str]) -> DataFrame:
+        """Every line item as a receipt by its supplier's nation and as a shipment from there."""
+        line = self.raw("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+        place = self.raw("supplier", "s_suppkey", "s_nationkey")
+        part = self.raw("part", "p_partkey", "p_size", "p_retailprice").select("p_partkey", _cost_cents().alias("unit_cost_cents"))
+        rows = line.join(place, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+        kinds = F.array(F.lit("RECEIPT"), F.lit("SHIPMENT"))
+        rows = rows.withColumn("transaction_type", F.explode(kinds))
+        number = F.concat_ws("-", F.substring("transaction_type", 1, 1), "l_orderkey", "l_linenumber")
+        sign = F.when(F.col("transaction_type") == "RECEIPT", 1).otherwise(-1)
+        quantity = F.col("l_quantity").cast("long")
+        return rows.select(
+            number.alias("transaction_id"), F.col("l_shipdate").cast("date").alias("transaction_date"), F.col("l_partkey").alias("sku_id"),
+            F.col("s_nationkey").alias("warehouse_id"), "transaction_type", (sign * quantity).alias("quantity"), "unit_cost_cents",
+            (quantity * F.col("unit_cost_cents")).alias("total_value_cents"),
+        )
+
     def _bom(self, _: set[str]) -> DataFrame:
         key = F.col("p_partkey")
         return self.raw("part", "p_partkey").filter(key > 0).select(
@@ -243,5 +260,7 @@ ALL_COLUMNS: dict[str, tuple[str, ...]] = {
     "purchase_orders": ("order_date", "expected_delivery_date", "actual_delivery_date", "sku_id", "supplier_id",
                         "order_quantity", "received_quantity", "unit_cost_cents", "total_cost_cents",
                         "lead_time_expected", "lead_time_actual", "on_time", "quality_accepted"),
+    "inventory_transactions": ("transaction_id", "transaction_date", "sku_id", "warehouse_id", "transaction_type", "quantity",
+                               "unit_cost_cents", "total_value_cents"),
     "bom": ("parent_sku", "component_sku", "quantity_per"),
 }

@@ -15,6 +15,8 @@ COLUMNS = {
     "purchase_orders": "order_date, expected_delivery_date, actual_delivery_date, sku_id, supplier_id, order_quantity, "
                        "received_quantity, unit_cost_cents, total_cost_cents, lead_time_expected, lead_time_actual, "
                        "on_time, quality_accepted",
+    "inventory_transactions": "transaction_id, transaction_date, sku_id, warehouse_id, transaction_type, quantity, unit_cost_cents, "
+                              "total_value_cents",
     "bom": "parent_sku, component_sku, quantity_per",
 }
 

@@ -52,6 +52,13 @@ VIEWS = {
         FROM (SELECT n_nationkey, n_name, n_regionkey, coalesce(n_sup, 0) * (80000 + 20000 * (n_nationkey % 10)) AS capacity_units
               FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n_sup FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey)
         JOIN region ON n_regionkey = r_regionkey""",
+    "inventory_transactions": """
+        SELECT left(kind, 1) || '-' || l_orderkey || '-' || l_linenumber AS transaction_id, CAST(l_shipdate AS DATE) AS transaction_date,
+               l_partkey AS sku_id, s_nationkey AS warehouse_id, kind AS transaction_type,
+               CASE kind WHEN 'RECEIPT' THEN 1 ELSE -1 END * CAST(l_quantity AS BIGINT) AS quantity, unit_cost_cents,
+               CAST(l_quantity AS BIGINT) * unit_cost_cents AS total_value_cents
+        FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN sku_master ON l_partkey = sku_id,
+             (VALUES ('RECEIPT'), ('SHIPMENT')) k(kind)""",
     "current_inventory": """
         SELECT l_partkey AS sku_id, s_nationkey AS warehouse_id, quantity_on_hand,
                500 + (l_partkey * 37) % 1500 AS reorder_point, 200 + (l_partkey * 53) % 800 AS safety_stock,
@@ -65,7 +72,7 @@ VIEWS = {
         FROM part WHERE p_partkey > 0""",
 }
 
-NEEDS = {"supplier_master": ("purchase_orders",), "current_inventory": ("sku_master",)}
+NEEDS = {"supplier_master": ("purchase_orders",), "current_inventory": ("sku_master",), "inventory_transactions": ("sku_master",)}
 
 
 def _half_even(x: str) -> str:
