@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.pin import pinned
+
 DIGIT_BITS = 16
 
 
@@ -24,7 +26,8 @@ def running_total_desc(df: DataFrame, value: str, out: str, total: str) -> DataF
     """
     checked = F.when(F.col(value) < 0, F.raise_error(F.lit(f"{value} is negative")).cast("long")).otherwise(F.col(value))
     level0 = df.filter(F.col(value).isNotNull()).groupBy(checked.alias("_v")).agg(F.sum(value).alias("_s"))
-    level0 = level0.withColumn("_m", F.shiftright("_v", DIGIT_BITS))
+    # Four windows read these sums, one row a distinct value; written once, the input is read for them once.
+    level0 = pinned(level0).withColumn("_m", F.shiftright("_v", DIGIT_BITS))
     level1 = level0.groupBy("_m").agg(F.sum("_s").alias("_ms"))
     level1 = level1.withColumn("_h", F.shiftright("_m", DIGIT_BITS))
     level2 = level1.groupBy("_h").agg(F.sum("_ms").alias("_hs"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from larder.functions import labels
 from larder.functions.columns import banded, money, percent, ratio
-from larder.functions.pin import pinned
 from larder.functions.running import running_total_desc
 from larder.plans.operator import Tables, operator
 
@@ -31,9 +30,7 @@ def abc_classification(t: Tables, *, a_cut: float = 80, b_cut: float = 95,
     ``method='digits'`` spreads the running total over the cluster; ``'window'`` sorts all rows in
     one task, hardly quicker even on a small table, and serves as a check.
     """
-    # The running total reads the joined stock several times, so it is written once.
     stock = t["current_inventory"].join(t["sku_master"], "sku_id")
-    stock = stock if method == "window" else pinned(stock)
     if method == "window":
         by_value = Window.orderBy(F.desc("total_value_cents"))
         running = stock.withColumns({

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import partial
+from functools import lru_cache, partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +35,16 @@ def quality_of_all_tables(spark: SparkSession, folder: str) -> DataFrame:
     return quality.data_quality(StarViews(spark, folder).tables(ALL_COLUMNS))
 
 
-def fitted(spark: SparkSession, folder: str, by: str, regress: bool) -> models.ProfitModels:
-    """Fitted by every query that needs them: nothing outlives a session or a change of its tables."""
+@lru_cache(maxsize=4)
+def _fitted(application: str, folder: str, by: str, regress: bool) -> models.ProfitModels:
     reads = {table: tuple(names.split()) for table, names in profit.READS.items()}
-    return models.fit(StarViews(spark, folder).tables(reads), by=by, regress=regress)
+    return models.fit(StarViews(SparkSession.getActiveSession(), folder).tables(reads), by=by, regress=regress)
+
+
+def fitted(spark: SparkSession, folder: str, by: str, regress: bool) -> models.ProfitModels:
+    """Fitted once per application and folder: several queries read the same models, none those of
+    an application that has ended."""
+    return _fitted(spark.sparkContext.applicationId, folder, by, regress)
 
 
 def with_models(use: Callable[[models.ProfitModels], DataFrame], by: str, regress: bool = True) -> Query:
