@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.pin import stored
-from larder.llm.batches import keyed, mapped, slices, texts_of
+from larder.llm.batches import keyed, mapped, slices, small_batches, texts_of
 from larder.llm.winnow import BASE, _powers, hash_filter, mix
 
 PART = 1 << 22  # units whose windows are searched at once
@@ -181,7 +181,7 @@ def narrowed(docs: DataFrame, wanted: DataFrame, inside: bool = True) -> DataFra
             fits = tested(bits.value, np.ascontiguousarray(batch.column("row_key").to_numpy()))
             yield batch.filter(pa.array(fits == inside))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def chunk_texts(docs: DataFrame, chunks: DataFrame, words: bool, span: int) -> DataFrame:

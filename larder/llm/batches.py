@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's limit for batches of Arrow rows to 4 MB: texts are long, and ten thousand of
+    them at once would fill a small executor. A lower limit is left as it is."""
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH_SETTING, "")
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > SLICE_BYTES:
+        conf.set(BATCH_SETTING, str(SLICE_BYTES))
+    return df
 
 
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``text`` and ``row_key``, a digest of both. Only these columns go on, so columns of
     the input never clash with columns that an operator adds."""
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).withColumn(
+    return small_batches(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text")).withColumn(
         "row_key", F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), "text"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.pin import pinned
-from larder.llm.batches import keyed
+from larder.llm.batches import keyed, small_batches
 
 # Words before a secret, and titles with the gender they tell.
 SECRET_WORDS = "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth"
@@ -277,7 +277,7 @@ def anonymized(docs: DataFrame, key: bytes, id: str = "doc_id", text: str = "tex
         mark = F.xxhash64(F.col(f"__row.`{id}`").cast("string"), F.lit("|"), F.col(f"__row.`{text}`"))
         inner = inner.join(by_doc, F.col(f"__row.`{id}`").eqNullSafe(F.col("__of.doc_id")) & (mark == F.col("__of.row_key")), "left").select("__row.*", "__moved")
     else:
-        inner = docs
+        inner = small_batches(docs)
 
     def run(batches):
         for batch in batches:
