@@ -18,7 +18,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     """Lowers the session's limit for batches of Arrow rows to 4 MB: texts are long, and ten thousand of
     them at once would fill a small executor. A lower limit is left as it is."""
     conf = df.sparkSession.conf
-    now = conf.get(BATCH_SETTING, "")
+    now = conf.get(BATCH_SETTING)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > SLICE_BYTES:
         conf.set(BATCH_SETTING, str(SLICE_BYTES))
     return df
