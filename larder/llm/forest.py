@@ -15,7 +15,7 @@ from larder.functions.pin import pinned
 from larder.llm.batches import runs_of_groups
 
 TREES, LEAF, SAMPLE = 8, 64, 65_536  # trees, sample rows in a leaf, rows to fit on
-SHARE, AT, FALL = 0.10, 10_000, 0.2  # of all leaves, how many a query visits among 10,000 rows; it falls by this power
+SHARE = 0.15  # of all leaves, how many a query visits, however many rows there are
 LEAST = 256  # leaves that a query visits in any case
 PRUNED = 200_000  # rows a task gathers before it keeps the best of each query only
 CHUNK = 4096  # rows compared at once; a fuller leaf is many chunks
@@ -109,9 +109,9 @@ def nearest(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", ever
 
     Queries are the rows whose id is divisible by ``every``; every row is indexed. The planes are
     fitted on about ``sample`` rows, chosen by the hash of their id, and on all if there are fewer. A
-    query visits ``share`` of the forest's leaves among 10,000 rows, and less among more, since recall at the same
-    share rises with their number (``LEAST`` leaves at least), nearest first over all trees, and every row in them
-    is measured on its original vector. Recall rises with ``share``; the README has figures.
+    query visits ``share`` of the forest's leaves whatever the number of rows (``LEAST`` leaves at least), nearest
+    first over all trees, and every row in them is measured on its original vector. Recall rises with ``share``,
+    and falls if the share falls with the number of rows; the README has figures.
 
     A leaf with more than ``CHUNK`` rows (equal vectors share their leaves) is split into chunks that
     are searched in separate groups and give ``k`` rows a query each. Rows repeated in full count once; ids without a
@@ -142,7 +142,7 @@ def nearest(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", ever
     for row in counted:
         sizes[row["leaf"]] = row["count"]
     held = context.broadcast(sizes)
-    visits = max(LEAST, int(np.ceil(share * (AT / max(total, AT)) ** FALL * forest.leaves)))
+    visits = max(LEAST, int(np.ceil(share * forest.leaves)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = Forest.frozen(shared.value), held.value

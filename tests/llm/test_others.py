@@ -164,6 +164,14 @@ def test_recall_of_a_deep_forest(spark):
     assert np.mean([len(got[k] & {v for v, _ in want}) / 10 for k, want in brute(rows)]) >= 0.9
 
 
+def test_recall_holds_as_the_table_grows(spark):
+    rows = list(enumerate(np.random.default_rng(7).standard_normal((20_000, 64)).tolist()))
+    got = defaultdict(set)
+    for r in forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=500).collect():
+        got[r.query_id].add(r.vec_id)
+    assert np.mean([len(got[k] & {v for v, _ in want}) / 10 for k, want in brute(rows, 500)]) >= 0.93
+
+
 def test_odd_and_equal_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(0, 230)] + [(1000, None), (1100, [0.0, 0.0]), (1200, [nan, 1.0]), (1300, [inf, 1.0]), (1400, [None, 1.0]), (1500, [1.0, 2.0, 3.0]),
