@@ -103,52 +103,57 @@ class BKTree:
                 open_nodes.extend(below for edge, below in node[2].items() if gap - radius <= edge <= gap + radius)
 
 
-def stars(first: list, second: list | None, radius: int, likeness: float | None) -> list[tuple[int, int]]:
+def stars(first: list, second: list | None, radius: int, alike: Callable | None) -> list[tuple]:
     """Links (node, least node of its group) among ``first``, or between ``first`` and ``second``.
 
-    Members are (fingerprint, sketch). A group of linked members becomes a star, never all its pairs.
+    Members are (fingerprint, node, content); ``alike`` tells whether two contents are to be linked. A
+    group of linked members becomes a star, never all its pairs.
     """
     tree, up = BKTree(), {}
 
-    def top(x: int) -> int:
+    def top(x):
         while (y := up.setdefault(x, x)) != x:
             up[x] = up[y]
             x = y
         return x
 
-    def visit(value: int, own: bytes) -> None:
-        mine = top(value)
-        for other, theirs in tree.within(value, radius):
+    def visit(value: int, node, own: bytes) -> None:
+        mine = top(node)
+        for _, (other, theirs) in tree.within(value, radius):
             root = top(other)
-            if root != mine and (likeness is None or similar(own, theirs) >= likeness):
+            if root != mine and (alike is None or alike(own, theirs)):
                 low, high = min(root, mine), max(root, mine)
                 up[high] = mine = low
 
-    for value, own in first:
+    for value, node, own in first:
         if second is None:
-            visit(value, own)
-        tree.add(value, own)
-    for value, own in second or []:
-        visit(value, own)
+            visit(value, node, own)
+        tree.add(value, (node, own))
+    for value, node, own in second or []:
+        visit(value, node, own)
     return [(x, r) for x in list(up) if (r := top(x)) != x]
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, banded: bool = False) -> DataFrame:
     """``doc_id``, ``row_key`` and ``fp`` (64 bits as a long) of every row; with ``banded`` also
-    ``bands``. Null and word-less texts have the fingerprint 0."""
+    ``bands`` and ``node``, a 128-bit digest of the set of shingles, and ``fp`` is that of the set, as
+    similarity does not count repeats. Null and word-less texts have the fingerprint 0."""
     size = shingle
 
     def work(batch: pa.RecordBatch) -> dict:
         hashes = [shingle_hashes(t, size) for t in texts_of(batch)]
+        if banded:
+            hashes = [np.unique(h) for h in hashes]
         marks = np.array([fingerprint(h) for h in hashes], "u8").view("i8")
         out = {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "fp": marks}
         if banded:
             out["bands"] = pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))
+            out["node"] = pa.array([xxhash.xxh128_digest(h.tobytes(), SEED) for h in hashes], pa.binary())
         return out
 
     rows = keyed(docs, id, text)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, fp long"
-    return mapped(rows, work, schema + (", bands array<long>" if banded else ""))
+    return mapped(rows, work, schema + (", bands array<long>, node binary" if banded else ""))
 
 
 def block_keys(radius: int) -> Callable:
@@ -160,62 +165,63 @@ def block_keys(radius: int) -> Callable:
     return lambda fp: F.array(*(F.xxhash64(fp.bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(signed)))
 
 
-def sketches(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``fp`` and ``sketch`` of the wanted fingerprints, from one row of ``docs`` (``keyed``) each."""
-    one = pinned(rows.join(wanted, "fp").groupBy("fp").agg(F.min("row_key").alias("row_key")))
+def contents(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``node`` and ``content``, made of the shingle hashes, of the wanted nodes, from one row of ``docs`` (``keyed``) each."""
+    one = pinned(rows.join(wanted, "node").groupBy("node").agg(F.min("row_key").alias("row_key")))
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"row_key": batch.column("row_key"), "sketch": pa.array([sketch(shingle_hashes(t, shingle)) for t in texts_of(batch)], pa.binary())}
+        return {"row_key": batch.column("row_key"), "content": pa.array([make(shingle_hashes(t, shingle)) for t in texts_of(batch)], pa.binary())}
 
-    made = mapped(narrowed(docs, one), work, "row_key long, sketch binary")
-    return made.join(one, "row_key").dropDuplicates(["fp"]).select("fp", "sketch")
+    made = mapped(narrowed(docs, one), work, "row_key long, content binary")
+    return made.join(one, "row_key").dropDuplicates(["node"]).select("node", "content")
 
 
-def links(nodes: DataFrame, keys, radius: int, likeness: float | None = None, block: int = BLOCK,
-          sketch_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Stars of fingerprints within ``radius`` that share a shard key.
+def links(nodes: DataFrame, keys, radius: int, alike: Callable | None = None, block: int = BLOCK,
+          content_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Stars of nodes within ``radius`` that share a shard key. A node is a fingerprint, or, with
+    ``alike``, a set of shingles with a fingerprint, and ``alike`` judges the contents of two.
 
-    A shard of more than ``block`` fingerprints is split into blocks; every block's tree meets every
+    A shard of more than ``block`` nodes is split into blocks; every block's tree meets every
     other block of the shard as queries, so a hot shard becomes many groups of bounded size. A tree
     is given to the queries of its own shard only, since all trees together grow with the corpus.
-    Sketches are made for those fingerprints alone that share a shard with another one.
+    Contents are made for those nodes alone that share a shard with another one.
     """
-    shards = nodes.select("fp", F.explode(keys).alias("shard"))
+    name, kind = ("fp", pa.int64()) if alike is None else ("node", pa.binary())
+    columns = ["fp"] if alike is None else ["fp", "node"]
+    shards = nodes.select(*columns, F.explode(keys).alias("shard"))
     sizes = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     parts = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64(F.col(name), F.lit(7)), F.col("parts")).cast("int")
     shared = pinned(shards.join(sizes, "shard").withColumn("parts", parts).withColumn("own", own).drop("members"))
-    carried = []
-    if likeness is not None:
-        shared = shared.join(sketch_of(shared.select("fp").distinct()), "fp")
-        carried = [F.col("sketch")]
+    if alike is not None:
+        shared = shared.join(content_of(shared.select("node").distinct()), "node")
+        columns = [*columns, "content"]
     met = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp", *carried)
+        "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *columns)
     order = ["shard", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
+        found: list[tuple] = []
         for group in runs_of_groups(batches, order):
             low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
             marks = group.column("fp").to_numpy().view("u8").tolist()
-            extra = group.column("sketch").to_pylist() if likeness is not None else [None] * len(marks)
-            members = sorted(zip(marks, extra))
+            names = group.column("node").to_pylist() if alike else group.column("fp").to_pylist()
+            members = sorted(zip(marks, names, group.column("content").to_pylist() if alike else [None] * len(marks)))
             if low == high:
-                found += stars(members, None, radius, likeness)
+                found += stars(members, None, radius, alike)
             else:
-                mine = dict(zip(marks, group.column("own").to_pylist()))
-                found += stars([m for m in members if mine[m[0]] == low], [m for m in members if mine[m[0]] == high], radius, likeness)
+                mine = dict(zip(names, group.column("own").to_pylist()))
+                found += stars([m for m in members if mine[m[1]] == low], [m for m in members if mine[m[1]] == high], radius, alike)
             if len(found) > 50_000:
-                yield _pairs(found)
+                yield _pairs(found, kind)
                 found = []
-        yield _pairs(found)
+        yield _pairs(found, kind)
 
-    return met.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return met.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long" if alike is None else "a binary, b binary")
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(found, "u8").reshape(-1, 2).view("i8")
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], ["a", "b"])
+def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2,
@@ -229,23 +235,33 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     Without ``likeness`` the shards are pairs of equal bit blocks, which lose no link. A radius that
     suits a Jaccard similarity of 0.8 is too wide for that, so with ``likeness`` the shards are ten
     bands of three minimum hashes (a pair of 0.8 is missed with probability 0.001), and both the
-    Hamming distance and the sketch must agree.
+    Hamming distance and the sketch must agree. Texts with one set of shingles are one node then; texts
+    that share the fingerprint alone are judged like any other two.
 
     Null texts and texts without words share the fingerprint 0 and one component; rows repeated in
     full, or only by text, share a fingerprint. Null ids take part and never name a component
     unless no other id does. An empty table gives no rows.
     """
+    return _classed(docs, id, text, shingle, radius, likeness).drop("root")
+
+
+def _classed(docs: DataFrame, id: str, text: str, shingle: int, radius: int, likeness: float | None) -> DataFrame:
+    """``near_duplicates`` with ``root``, which tells components apart where their smallest ids are the same."""
     banded = likeness is not None
+    node = "node" if banded else "fp"
     rows = stored(fingerprints(docs, id, text, shingle, banded), "fingerprints")
-    nodes = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *([F.first("bands").alias("bands")] if banded else [])))
-    keys = F.col("bands") if banded else block_keys(radius)(F.col("fp"))
-    roots = components(links(nodes, keys, radius, likeness, sketch_of=lambda wanted: sketches(keyed(docs, id, text), rows, wanted, shingle)))
-    named = nodes.select("fp", "least_id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    firsts = [F.first("fp").alias("fp"), F.first("bands").alias("bands")] if banded else []  # a set's are all the same
+    nodes = pinned(rows.groupBy(node).agg(F.min("doc_id").alias("least_id"), *firsts))
+    if banded:
+        roots = components(links(nodes, F.col("bands"), radius, lambda a, b: similar(a, b) >= likeness, content_of=lambda wanted: contents(keyed(docs, id, text), rows, wanted, shingle, sketch)))
+    else:
+        roots = components(links(nodes, block_keys(radius)(F.col("fp")), radius))
+    named = nodes.select(node, "least_id").join(roots.select(F.col("node").alias(node), "root"), node, "left").select(
+        node, "least_id", F.coalesce("root", node).alias("root"))
     named = pinned(named)
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return rows.select("doc_id", "row_key", "fp").join(classes, "fp")
+    classes = named.select(node, "root").join(ids, "root").select(node, "component_id", "root")
+    return rows.select("doc_id", "row_key", *dict.fromkeys(["fp", node])).join(classes, node).select("doc_id", "row_key", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 18,
@@ -254,10 +270,9 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
 
     Rows with a null id come last; of rows repeated in full one stays.
     """
-    found = near_duplicates(docs, id, text, shingle, radius, likeness)
+    found = _classed(docs, id, text, shingle, radius, likeness)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
-        F.min(rank).alias("first")).select("first.doc_id", "first.row_key")
+    chosen = found.groupBy("root").agg(F.min(rank).alias("first")).select("first.doc_id", "first.row_key")
     # A row is chosen once, but may stand in the table several times.
     chosen = pinned(chosen)
     counted = found.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))

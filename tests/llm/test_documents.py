@@ -101,6 +101,17 @@ def test_near_duplicates_keep_one_row_each(spark):
     assert sorted(r.doc_id for r in kept) == [1, 5, 7]
 
 
+def test_a_repeated_line_makes_no_near_duplicates(spark):
+    rng = random.Random(8)
+    line = " ".join(f"line{i}" for i in range(9)) + "\n"
+    stories = [" ".join(f"s{rng.randrange(10**6)}" for _ in range(100)) for _ in range(2)]
+    rows = [(i, line * 100 + story + "\n" + line * 100) for i, story in enumerate(stories)]
+    rows += [(5, "a clean text that shares its id with another one"), (5, "quite other words stand in the second text of this id")]
+    assert plain_print(rows[0][1], 5) == plain_print(rows[1][1], 5)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted(t for _, t in rows)
+
+
 # Winnowing
 
 
