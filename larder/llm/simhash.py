@@ -18,6 +18,7 @@ from larder.llm.graph import components
 
 SEED = 42
 BLOCK = 2048  # fingerprints of one shard tree
+MARGIN, SETS = 0.05, 512  # a sketch passes pairs so much below the likeness; sets compared in one group
 BANDS, ROWS, BINS = 10, 3, 1024  # shards for wide radii, minima in each, and bins of the sketch
 
 
@@ -58,6 +59,14 @@ def similar(one: bytes, two: bytes) -> float:
     return (equal - chance) / either if either else 1.0
 
 
+def jaccard(one: bytes, two: bytes) -> float:
+    """Jaccard similarity of two sets of hashes, each sorted."""
+    a, b = np.frombuffer(one, "u8"), np.frombuffer(two, "u8")
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return both / either if either else 1.0
+
+
 def bands(hashes: np.ndarray) -> list[int]:
     """Keys that two texts share with probability J**3 each, J their Jaccard similarity."""
     if not len(hashes):
@@ -229,13 +238,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     """``doc_id``, ``row_key``, ``fp`` and ``component_id`` of every row of ``docs``.
 
     Documents are linked if their fingerprints differ in ``radius`` bits at most, and, with
-    ``likeness``, if their sketches also show that Jaccard similarity of their shingles. A component
+    ``likeness``, if the Jaccard similarity of their sets of shingles is as much at least. A component
     is named by its smallest id.
 
     Without ``likeness`` the shards are pairs of equal bit blocks, which lose no link. A radius that
     suits a Jaccard similarity of 0.8 is too wide for that, so with ``likeness`` the shards are ten
-    bands of three minimum hashes (a pair of 0.8 is missed with probability 0.001), and both the
-    Hamming distance and the sketch must agree. Texts with one set of shingles are one node then; texts
+    bands of three minimum hashes (a pair of 0.8 is missed with probability 0.001). Sketches of pairs within
+    the radius make groups that are alike in ``likeness`` less ``MARGIN``, and inside these groups the sets of
+    shingles themselves decide. Texts with one set of shingles are one node then; texts
     that share the fingerprint alone are judged like any other two.
 
     Null texts and texts without words share the fingerprint 0 and one component; rows repeated in
@@ -253,7 +263,12 @@ def _classed(docs: DataFrame, id: str, text: str, shingle: int, radius: int, lik
     firsts = [F.first("fp").alias("fp"), F.first("bands").alias("bands")] if banded else []  # a set's are all the same
     nodes = pinned(rows.groupBy(node).agg(F.min("doc_id").alias("least_id"), *firsts))
     if banded:
-        roots = components(links(nodes, F.col("bands"), radius, lambda a, b: similar(a, b) >= likeness, content_of=lambda wanted: contents(keyed(docs, id, text), rows, wanted, shingle, sketch)))
+        def made(make: Callable) -> Callable:
+            return lambda wanted: contents(keyed(docs, id, text), rows, wanted, shingle, make)
+
+        loose = pinned(components(links(nodes, F.col("bands"), radius, lambda a, b: similar(a, b) >= likeness - MARGIN, content_of=made(sketch))))
+        groups = nodes.select("fp", "node").join(loose, "node")
+        roots = components(links(groups, F.array("root"), radius, lambda a, b: jaccard(a, b) >= likeness, SETS, made(lambda hashes: np.unique(hashes).tobytes())))
     else:
         roots = components(links(nodes, block_keys(radius)(F.col("fp")), radius))
     named = nodes.select(node, "least_id").join(roots.select(F.col("node").alias(node), "root"), node, "left").select(
@@ -264,7 +279,7 @@ def _classed(docs: DataFrame, id: str, text: str, shingle: int, radius: int, lik
     return rows.select("doc_id", "row_key", *dict.fromkeys(["fp", node])).join(classes, node).select("doc_id", "row_key", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 18,
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 26,
              likeness: float | None = 0.8) -> DataFrame:
     """One row of ``docs`` for each component: the smallest id, in the columns of ``docs``.
 

@@ -112,6 +112,22 @@ def test_a_repeated_line_makes_no_near_duplicates(spark):
     assert sorted(r.text for r in kept) == sorted(t for _, t in rows)
 
 
+def test_near_duplicates_equal_exact_similarity(spark):
+    rng = random.Random(12)
+    rows = []
+    for pair in range(24):  # similarities around 0.8
+        words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        near = list(words)
+        for at in rng.sample(range(10, 2990), 58 + pair):
+            near[at] = f"n{rng.randrange(10**6)}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(near))]
+    sets = [(k, {tuple(w[i:i + 5]) for i in range(len(w) - 4)}) for k, w in ((k, t.split()) for k, t in rows)]
+    want = classes(sets, lambda x, y: len(x & y) / len(x | y) >= 0.8)
+    assert 0 < sum(k != top for k, top in want.items()) < 24
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+
+
 # Winnowing
 
 
