@@ -129,6 +129,18 @@ def test_odd_pages(spark):
     assert wrappers.extracted(pages.limit(0)).count() == 0
 
 
+def test_template_texts_are_counted_over_all_pages(spark):
+    def page(i, foot="Write to us", extra=""):
+        return f"<body><div class=x><p>Story {i} goes on</p><div><p>{foot}</p><p>Small print</p></div>{extra}</div></body>"
+
+    copies = [page(0)] * 200  # copies of one page fill any sample of rows
+    pages = [page(i, extra="<p class=z>odd</p>" if i == 7 else "") for i in range(1, 30)]
+    rows = [(i, f"http://a.example/{i}", p) for i, p in enumerate(copies + pages + [page(99, "An odd foot")])]
+    got = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Story 0 goes on" and got[206] == "Story 7 goes on\nodd" and got[210] == "Story 11 goes on"
+    assert got[229] == "Story 99 goes on\nAn odd foot"
+
+
 # Vectors
 
 
