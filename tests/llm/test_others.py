@@ -120,6 +120,17 @@ def test_wrapper_of_a_host():
     assert same["fixed"] == []  # copies of one page tell nothing
 
 
+def test_a_long_page_hides_no_template_text():
+    def page(i, blocks):
+        body = "".join(f"<p>part {i} {k}</p><h2>head {i} {k}</h2><ul class=c{k % 3}><li>x{i}{k}</li></ul>" for k in range(blocks))
+        return f"<body><div class=top>My site</div><div class=x>{body}</div><div class=foot>Write to us</div></body>"
+
+    pages = [page(i, 3) for i in range(6)] + [page(6, 2500), page(7, 2600)]
+    assert max(len(wrappers.folded(wrappers.parse(p)[0])) for p in pages) ** 2 > 16_000_000
+    assert ["/body/div.top", "My site"] in wrappers.infer(pages)["fixed"]
+    assert ["/body/div.foot", "Write to us"] in wrappers.infer(pages)["fixed"]
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://a.example/x", None), (2, None, "<p>x"), (3, "no url", "<p>y"), (None, "http://a.example/", "<p>z"), (1, "http://a.example/x", ""),
             (4, "HTTP://A.example:80/q", "<p>z"), (4, "HTTP://A.example:80/q", "<p>z")]
