@@ -49,7 +49,7 @@ def op6_debruijn(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.encode(table(spark, folder, "documents"), pieces.load(MODEL), ids=False).drop("row_key")
+    return pieces.encode(table(spark, folder, "documents"), pieces.load(MODEL)).drop("row_key")
 
 
 def op8_forest(spark: SparkSession, folder: str) -> DataFrame:

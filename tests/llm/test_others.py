@@ -82,6 +82,13 @@ def test_all_documents_come_back(spark, reference):
         assert r.round_trip and (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(want.tobytes()).hexdigest())
 
 
+def test_the_query_returns_the_ids(spark, codec):
+    docs = {r.doc_id: r.text for r in queries.table(spark, SMALL, "documents").collect()}
+    for r in queries.QUERIES["op7_sentencepiece"](spark, SMALL).collect():
+        data = np.array(r.token_ids, "<i4").tobytes()
+        assert (r.n_tokens, r.ids_sha256) == (len(r.token_ids), hashlib.sha256(data).hexdigest()) and codec.decode(data) == docs[r.doc_id]
+
+
 # Pages
 
 
