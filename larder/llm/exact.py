@@ -18,39 +18,44 @@ HEAD = 64  # code points of a text that the second step looks at
 PARTS = 10_000  # a group is hot if it holds more than this part of all rows, so at most so many are hot
 
 
-def suspects(docs: DataFrame, id: str = "doc_id", text: str = "text", blanks: str = BLANKS, head: int = HEAD) -> DataFrame:
-    """``doc_id`` and ``row_key`` of the rows that share their length with another row, and with one of
-    those the beginning: the first two steps. Only lengths and 64-bit hashes are shuffled.
+def _shape(text: str, blanks: str, head: int) -> tuple[Column, Column]:
+    """Length without ``blanks``, and a hash of the beginning."""
+    bare = F.translate(F.coalesce(F.col(text), F.lit("")), blanks, "")
+    return F.octet_length(bare).alias("size"), F.xxhash64(F.substring(bare, 1, head)).alias("head")
 
-    Length and beginning are taken after ``blanks`` are deleted. Null texts count as empty.
+
+def shared_beginnings(docs: DataFrame, text: str = "text", blanks: str = BLANKS, head: int = HEAD) -> DataFrame:
+    """``size``, ``head`` and ``n`` of lengths that several rows share, and of those the beginnings that several rows
+    share: the first two steps.
+
+    Lengths and beginnings are counted in the task before they are dealt, so a hot one is a row a task. Length and
+    beginning are taken after ``blanks`` are deleted. Null texts count as empty.
     """
-    bare = F.translate(F.coalesce("text", F.lit("")), blanks, "")
-    rows = stored(keyed(docs, id, text).select(
-        "doc_id", "row_key", F.octet_length(bare).alias("size"), F.xxhash64(F.substring(bare, 1, head)).alias("head")), "heads")
-    shared = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    alike = rows.join(shared, "size", "left_semi")
-    begun = alike.groupBy("size", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return alike.join(begun, ["size", "head"], "left_semi").select("doc_id", "row_key")
+    rows = stored(docs.select(*_shape(text, blanks, head)).groupBy("size", "head").agg(F.count(F.lit(1)).alias("n")), "heads")
+    shared = rows.groupBy("size").agg(F.sum("n").alias("all")).filter("all > 1").select("size")
+    return rows.join(shared, "size", "left_semi").filter("n > 1")
 
 
 def digests(docs: DataFrame, id: str = "doc_id", text: str = "text", blanks: str = BLANKS, every: bool = False) -> DataFrame:
     """``doc_id``, ``row_key``, ``chars`` (code points of the text as it is), ``suspect`` and ``digest`` (SHA-256
     without ``blanks``): the third step, which reads whole texts of suspects alone, or of ``every`` row.
 
-    Suspects are known by a filter of fixed size. It may let others through, whose digests then
-    stand alone; it never keeps a suspect back.
+    Suspects are known by a filter of fixed size over lengths and beginnings. It may let others through,
+    whose digests then stand alone; it never keeps a suspect back.
     """
-    bits = filter_of(suspects(docs, id, text, blanks), "row_key")
+    mark = F.xxhash64("size", "head")
+    bits = filter_of(shared_beginnings(docs, text, blanks).select(mark.alias("mark")), "mark")
     drop = blanks.encode()
 
     def work(batch: pa.RecordBatch) -> dict:
-        again = tested(bits.value, batch.column("row_key").to_numpy()).tolist()
+        again = tested(bits.value, batch.column("mark").to_numpy()).tolist()
         whole = [hashlib.sha256(t.translate(None, drop)).digest() if s or every else None for t, s in zip(texts_of(batch), again)]
         chars = pc.fill_null(pc.utf8_length(batch.column("text")), 0)
         return {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "chars": chars, "suspect": again, "digest": whole}
 
     kind = docs.schema[id].dataType.simpleString()
-    return stored(mapped(keyed(docs, id, text), work, f"doc_id {kind}, row_key long, chars long, suspect boolean, digest binary"), "digests")
+    rows = keyed(docs, id, text).select("*", *_shape("text", blanks, HEAD)).select("doc_id", "text", "row_key", mark.alias("mark"))
+    return stored(mapped(rows, work, f"doc_id {kind}, row_key long, chars long, suspect boolean, digest binary"), "digests")
 
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", blanks: str = BLANKS, every: bool = False) -> DataFrame:

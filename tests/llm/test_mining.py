@@ -157,9 +157,8 @@ def test_exact_groups_spread_hot_ones(spark):
 def test_only_suspects_are_read_whole(spark):
     rows = [(1, "abc d"), (2, "abcd"), (3, "abcx"), (4, "a much longer text")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    suspects = {r.doc_id for r in exact.suspects(table).collect()}
-    assert suspects == {1, 2}
-    assert {r.doc_id: r.digest is None for r in exact.digests(table).collect()}[4]
+    assert [(r.size, r.n) for r in exact.shared_beginnings(table).collect()] == [(4, 2)]
+    assert {r.doc_id: r.digest is None for r in exact.digests(table).collect()} == {1: False, 2: False, 3: True, 4: True}
     long = [(1, "x" * 64 + "a"), (2, "x" * 64 + "b")]  # one length and one beginning, but unlike
     found = exact.groups(spark.createDataFrame(long, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in found} == {(1, 1, 1, True), (2, 2, 1, True)}
