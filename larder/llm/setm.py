@@ -8,7 +8,8 @@ occurrences of k words that overlap in k - 1 is a step along a run.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,100 +19,207 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.functions.pin import stored
+from larder.functions.pin import pinned, stored
 from larder.llm.anchors import tested
-from larder.llm.batches import mapped, small_batches, texts_of
-from larder.llm.winnow import hash_filter
+from larder.llm.batches import mapped, slices, small_batches, texts_of
+from larder.llm.winnow import ODD, hash_filter, mix
 
 LONGEST, SUPPORT, SHARE, TOP = 5, 100, 100, 2000
-FILTER_BITS = 26  # 8 MB, however many phrases are frequent
+LEAST_BITS, MOST_BITS = 20, 28  # the filter of frequent phrases has 64 bits for each, and 32 MB at most
+PART = 1 << 20  # words whose phrases are counted in one group, about
+GATHERED = 1 << 21  # hashes that a task holds before it sends them
 STOP = b"."
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 
 
 def occurrences(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """``lang`` and ``words`` of every row: lower-cased words between blanks, and a full stop between pieces."""
+    """``lang``, ``words`` and ``n`` of every row: lower-cased words between blanks with a full stop between
+    pieces, and the number of words. This is the one relation that is not written: it is the text itself."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"lang": batch.column("lang"), "words": [t.translate(CLEAN).replace(STOP, b" . ").decode() for t in texts_of(batch)]}
+        clean = [t.translate(CLEAN).replace(STOP, b" . ") for t in texts_of(batch)]
+        return {"lang": batch.column("lang"), "words": [c.decode() for c in clean], "n": [len(c.split()) - c.count(STOP) for c in clean]}
 
     rows = small_batches(docs).select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return stored(mapped(rows, work, "lang string, words string"), "occurrences_0")
+    return mapped(rows, work, "lang string, words string, n long")
 
 
 class Runs:
     """Words of one language in order, as codes; code 0 ends a run."""
 
-    def __init__(self, rows: list[bytes]):
+    def __init__(self, lang: str, rows: list[bytes]):
         self.words = b" . ".join(rows).split()
         codes: dict[bytes, int] = defaultdict(lambda: len(codes))
         codes[STOP]
         self.codes = np.fromiter(map(codes.__getitem__, self.words), "i8", len(self.words))
-        self.kinds = len(codes)
-
-    def phrases(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places where ``size`` words of one run start, the phrase of each, and each phrase's first place and count."""
-        inside = self.codes > 0
-        for _ in range(size - 1):
-            inside = inside[:-1] & (self.codes[-len(inside) + 1 :] > 0) if len(inside) > 1 else inside[:0]
-        at = np.flatnonzero(inside)
-        phrase = self.codes[at]
+        self.kinds = list(codes)
+        digest, seed = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(lang)
+        self.hash = np.array([digest(w, seed) for w in codes], "u8")
+
+    def places(self, size: int) -> np.ndarray:
+        """Where ``size`` words of one run start."""
+        stops = np.cumsum(np.r_[0, self.codes == 0])
+        return np.flatnonzero(stops[size:] == stops[:-size]) if len(stops) > size else np.zeros(0, "i8")
+
+    def distinct(self, at: np.ndarray, size: int) -> list[tuple[bytes, int]]:
+        """The phrases at these places, and how often each stands there."""
+        if size == 1:
+            n = np.bincount(self.codes[at], minlength=1)
+            return [(self.kinds[c], m) for c, m in enumerate(n.tolist()) if m]
+        phrase, kinds = self.codes[at], len(self.hash)
         for k in range(1, size):
-            phrase = np.unique(phrase, return_inverse=True)[1] * self.kinds + self.codes[at + k]
-        _, first, which, count = np.unique(phrase, return_index=True, return_inverse=True, return_counts=True)
-        return at, which, at[first], count
-
-    def texts(self, starts: np.ndarray, size: int) -> list[bytes]:
-        return [b" ".join(self.words[s : s + size]) for s in starts.tolist()]
+            if kinds ** (k + 1) >= 2**63:
+                phrase = np.unique(phrase, return_inverse=True)[1]
+            phrase = phrase * kinds + self.codes[at + k]
+        _, first, n = np.unique(phrase, return_index=True, return_counts=True)
+        return [(b" ".join(self.words[a : a + size]), m) for a, m in zip(at[first].tolist(), n.tolist())]
+
+    def marks(self, at: np.ndarray, size: int) -> np.ndarray:
+        """A hash of the phrase at each place."""
+        if size == 1:
+            return mix(ODD + self.hash)[self.codes[at]]
+        out = np.full(len(at), size, "u8")
+        for k in range(size):
+            out = out * ODD + self.hash[self.codes[at + k]]
+        return mix(out)
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, Runs]]:
     rows: dict[str, list[bytes]] = defaultdict(list)
     for lang, words in zip(batch.column("lang").to_pylist(), texts_of(batch, "words")):
         rows[lang].append(words)
-    return ((lang, Runs(found)) for lang, found in rows.items())
-
+    return ((lang, Runs(lang, found)) for lang, found in rows.items())
 
-def counted(relation: DataFrame, size: int) -> DataFrame:
-    """``lang``, ``phrase`` and ``f``, its occurrences. With ``size`` 1, the phrase '' counts all words.
 
-    Phrases are summed up in the task twice, in a slice of text and by Spark, before they are dealt.
-    """
-
-    def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"lang": [], "phrase": [], "n": []}
-        for lang, runs in _by_language(batch):
-            _, _, first, count = runs.phrases(size)
-            phrases, counts = runs.texts(first, size), count.tolist()
-            if size == 1:
-                phrases, counts = [*phrases, b""], [*counts, sum(counts)]
-            out["lang"] += [lang] * len(phrases)
-            out["phrase"] += [p.decode() for p in phrases]
-            out["n"] += counts
-        return out
+def _lead(total: int) -> int:
+    """Leading bits of a mark that name its group."""
+    return max((total // PART).bit_length(), 4)
 
-    rows = mapped(relation, work, "lang string, phrase string, n long", text="words")
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
+def heavy_marks(relation: DataFrame, size: int, support: int, total: int) -> DataFrame:
+    """``mark``: hashes of phrases whose occurrences, or those of a few phrases together, reach ``support``.
 
-def restricted(relation: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
+    The first half of the group-count. Each task sends the hashes of its phrases, once each, in sorted
+    arrays by the leading bits: about two bytes a phrase, however long its words. The groups grow in number with
+    the ``total`` of words, not in size, and a group has 16 times as many hashes as words.
+    """
+    lead = _lead(total)
+    away = np.uint64(64 - lead - 24)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gathered() -> pa.RecordBatch:
+            marks, n = np.unique(np.concatenate(held), return_counts=True)
+            group, high, low = (marks >> np.uint64(24)).astype("i8"), (marks >> np.uint64(16)).astype("u1"), marks.astype("u2")
+            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, "i8")
+            counts = np.minimum(n, 2**16 - 1).astype("u2") if support < 2**16 else n.astype("u4")
+            rows = [[x[a:b].tobytes() for x in (high, low, counts)] for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(group)])]
+            return pa.RecordBatch.from_arrays([pa.array(group[cut], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(3))],
+                                              ["part", "high", "low", "counts"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for part in slices(batch, "words"):
+                held += [runs.marks(runs.places(size), size) >> away for _, runs in _by_language(part)]
+                if sum(map(len, held)) > GATHERED:
+                    yield gathered()
+                    held = []
+        if held:
+            yield gathered()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def heavy() -> pa.RecordBatch:
+            keys = np.concatenate([np.frombuffer(h, "u1").astype("u4") << np.uint32(16) | np.frombuffer(w, "u2") for h, w, _ in held])
+            counts = np.concatenate([np.frombuffer(n, "u2" if support < 2**16 else "u4") for _, _, n in held])
+            found, which = np.unique(keys, return_inverse=True)
+            found = found[np.bincount(which, counts) >= support].astype("u8")
+            return pa.RecordBatch.from_arrays([pa.array(((np.uint64(now) << np.uint64(24) | found) << away).view("i8"))], ["mark"])
+
+        held, now = [], None
+        for batch in batches:
+            for part, *arrays in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and part != now:
+                    yield heavy()
+                    held = []
+                now = part
+                held.append(arrays)
+        if held:
+            yield heavy()
+
+    rows = relation.select("lang", "words").mapInArrow(spread, "part long, high binary, low binary, counts binary")
+    return stored(rows.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "mark long"), f"marks_{size}")
+
+
+class Known:
+    """A broadcast filter of marks. It lets all of them pass, and some others."""
+
+    def __init__(self, marks: DataFrame):
+        self.size = min(max(marks.count().bit_length() + 6, LEAST_BITS), MOST_BITS)
+        self.bits = marks.sparkSession.sparkContext.broadcast(hash_filter(marks, self.size))
+
+    def __call__(self, marks: np.ndarray) -> np.ndarray:
+        return tested(self.bits.value, marks, self.size)
+
+
+def counted(relation: DataFrame, size: int, known: Known, support: int, total: int) -> DataFrame:
+    """``lang``, ``phrase`` and ``f``, its occurrences, of known phrases that reach ``support``: the second half of the
+    group-count, by their words. Each task sends its phrases and their counts in sorted arrays, dealt in as many groups as in the first half."""
+    away = 32 - _lead(total)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gathered() -> pa.RecordBatch:
+            rows: dict[tuple[int, str], list] = defaultdict(list)
+            for lang, counts in held.items():
+                for phrase, n in sorted(counts.items()):
+                    rows[zlib.crc32(phrase) >> away, lang].append((phrase, n))
+            columns = ([k for k, _ in rows], [lang for _, lang in rows], [b"\n".join(p for p, _ in found) for found in rows.values()],
+                       [np.array([n for _, n in found], "u4").tobytes() for found in rows.values()])
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "lang", "phrases", "counts"])
+
+        held: dict[str, Counter] = defaultdict(Counter)
+        for batch in batches:
+            for part in slices(batch, "words"):
+                for lang, runs in _by_language(part):
+                    at = runs.places(size)
+                    held[lang].update(dict(runs.distinct(at[known(runs.marks(at, size))], size)))
+                if sum(map(len, held.values())) > GATHERED // 8:
+                    yield gathered()
+                    held.clear()
+        yield gathered()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent() -> pa.RecordBatch:
+            found = {p: n for p, n in held.items() if n >= support}
+            return pa.RecordBatch.from_arrays([pa.array([now[1]] * len(found), pa.string()), pa.array([p.decode() for p in found], pa.string()),
+                                               pa.array(found.values(), pa.int64())], ["lang", "phrase", "f"])
+
+        held, now = Counter(), None
+        for batch in batches:
+            for part, lang, phrases, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if (part, lang) != now:
+                    if held:
+                        yield frequent()
+                    held, now = Counter(), (part, lang)
+                held.update(dict(zip(phrases.split(b"\n"), np.frombuffer(counts, "u4").tolist())))
+        if held:
+            yield frequent()
+
+    rows = relation.select("lang", "words").mapInArrow(spread, "part long, lang string, phrases binary, counts binary")
+    return rows.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(summed, "lang string, phrase string, f long")
+
+
+def restricted(relation: DataFrame, size: int, known: Known) -> DataFrame:
     """Runs of the relation in which every ``size`` neighbours are frequent and that one more word can follow.
 
-    The semi-join is by a filter of fixed size, tested where the relation lies: it keeps every frequent phrase, and what it
+    The semi-join with the frequent phrases is a test where the relation lies: it keeps each of them, and what it
     keeps besides is counted, and dropped, at the next length.
     """
-    marks = frequent.select(F.xxhash64(F.concat_ws(" ", "lang", "phrase")).alias("mark"))
-    bits = relation.sparkSession.sparkContext.broadcast(hash_filter(marks, FILTER_BITS))
 
     def work(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"lang": [], "words": []}
         for lang, runs in _by_language(batch):
-            at, which, first, _ = runs.phrases(size)
-            if not len(at):
-                continue
-            digest, ahead = xxhash.xxh64_intdigest, lang.encode() + b" "
-            known = tested(bits.value, np.array([digest(ahead + p, 42) for p in runs.texts(first, size)], "u8"), FILTER_BITS)
-            at = at[known[which]]
+            at = runs.places(size)
+            at = at[known(runs.marks(at, size))]
             if not len(at):
                 continue
             cut = np.flatnonzero(np.diff(at) > 1) + 1
@@ -123,7 +231,7 @@ def restricted(relation: DataFrame, frequent: DataFrame, size: int) -> DataFrame
                 out["words"].append(b" . ".join(found).decode())
         return out
 
-    return stored(mapped(relation, work, "lang string, words string", text="words"), f"occurrences_{size}")
+    return stored(mapped(relation.select("lang", "words"), work, "lang string, words string", text="words"), f"occurrences_{size}")
 
 
 def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, support: int = SUPPORT) -> DataFrame:
@@ -132,14 +240,16 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lo
 
     Null texts count as empty, a null language as ``und``. Other columns are not read. An empty table gives no rows.
     """
-    relation, levels = occurrences(docs, lang, text), None
+    relation = occurrences(docs, lang, text)
+    levels = pinned(relation.groupBy("lang").agg(F.sum("n").alias("f")).select("lang", F.lit("").alias("phrase"), F.lit(0).alias("k"), "f"))
+    total = levels.agg(F.sum("f")).first()[0] or 0
     for size in range(1, longest + 1):
-        found = counted(relation, size).select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(size).alias("k"), "f")
-        level = stored(found.filter((F.col("k") == 0) | (F.col("f") >= support)), f"frequent_{size}")
-        levels = level if levels is None else levels.unionByName(level)
+        known = Known(heavy_marks(relation, size, support, total))
+        level = stored(counted(relation, size, known, support, total).select("lang", "phrase", F.lit(size).alias("k"), "f"), f"frequent_{size}")
+        levels = levels.unionByName(level)
         if size < longest:
-            relation = restricted(relation, level.filter("k > 0"), size)
-    return levels
+            relation = restricted(relation, size, known)
+    return stored(levels, "frequent")
 
 
 def _parts(first: Column | str, count: Column | str) -> Column:
