@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.pin import stored
-from larder.llm.batches import keyed, mapped, slices, small_batches, texts_of
+from larder.llm.batches import keyed, mapped, slices, small_batches, texts_of, tidy
 from larder.llm.winnow import BASE, _powers, hash_filter, mix
 
 PART = 1 << 22  # units whose windows are searched at once
@@ -181,7 +181,7 @@ def narrowed(docs: DataFrame, wanted: DataFrame, inside: bool = True) -> DataFra
             fits = tested(bits.value, np.ascontiguousarray(batch.column("row_key").to_numpy()))
             yield batch.filter(pa.array(fits == inside))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def chunk_texts(docs: DataFrame, chunks: DataFrame, words: bool, span: int) -> DataFrame:
@@ -206,7 +206,7 @@ def chunk_texts(docs: DataFrame, chunks: DataFrame, words: bool, span: int) -> D
                 yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in (*KEYS, "n", "shift")), pa.array(out["chunk"], pa.binary())], list(out))
 
     # Rows repeated in full give the same chunk twice.
-    return rows.mapInArrow(run, "anchor long, d1 long, d2 long, n long, shift long, chunk binary").dropDuplicates(KEYS)
+    return rows.mapInArrow(tidy(run), "anchor long, d1 long, d2 long, n long, shift long, chunk binary").dropDuplicates(KEYS)
 
 
 def by_document(docs: DataFrame, spans: DataFrame, work, schema: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +17,23 @@ SLICE_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow, which gives freed memory back to the system when a task ends: Spark keeps workers
+    alive between tasks, and what their allocators hold adds up over the workers of an executor."""
+
+    def wrapped(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(parts)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+                trim and trim(0)
+
+    return wrapped
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Lowers the session's limit for batches of Arrow rows to 4 MB: texts are long, and ten thousand of
     them at once would fill a small executor. A lower limit is left as it is."""
@@ -63,7 +83,7 @@ def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, t
                 columns = [out[n].cast(k) if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in kinds.items()]
                 yield pa.RecordBatch.from_arrays(columns, list(kinds))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def runs_of_groups(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from larder.functions.pin import stored
 from larder.llm import anchors
 from larder.llm.anchors import KEYS, merged  # by name: modules do not travel to tasks by value
-from larder.llm.batches import runs_of_groups, texts_of
+from larder.llm.batches import runs_of_groups, texts_of, tidy
 
 SPAN, GRAM = 200, 32  # bytes of a repeated string, bytes of a hashed k-gram
 STRIDE = 4  # bytes in a symbol of the transform; divides SPAN
@@ -159,7 +159,7 @@ def merge_chunks(chunks: DataFrame, span: int = SPAN, gram: int = GRAM, stride:
         if held:
             yield flush(held)
 
-    return chunks.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "d1 long, d2 long, found array<struct<a:bigint,b:bigint>>")
+    return chunks.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), "d1 long, d2 long, found array<struct<a:bigint,b:bigint>>")
 
 
 def split_chunks(chunks: DataFrame, span: int = SPAN) -> DataFrame:
@@ -172,7 +172,7 @@ def split_chunks(chunks: DataFrame, span: int = SPAN) -> DataFrame:
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(chunk[i : i + span]) for i in range(n)), ">i8").reshape(-1, 2).astype("i8")
                 yield pa.RecordBatch.from_arrays([pa.array([d1] * n), pa.array([d2] * n), pa.array(range(n), pa.int64()), pa.array(digest[:, 0]), pa.array(np.ascontiguousarray(digest[:, 1]))], ["d1", "d2", "at", "w1", "w2"])
 
-    starts = chunks.mapInArrow(run, "d1 long, d2 long, at long, w1 long, w2 long")
+    starts = chunks.mapInArrow(tidy(run), "d1 long, d2 long, at long, w1 long, w2 long")
     many = starts.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     hit = starts.join(many, ["w1", "w2"]).select("d1", "d2", F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b")).alias("s"))
     return hit.groupBy("d1", "d2").agg(F.collect_list("s").alias("found"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.pin import pinned
+from larder.llm.batches import tidy
 
 # States of the automaton: what the last rendered turn is. A conversation is an optional system turn,
 # then user and assistant in turn; it ends with the assistant.
@@ -133,7 +134,7 @@ def repaired(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn"
                 [pa.array([b[0] for b in blocks], pa.int32()), pa.array([{"conv_id": b[1]} for b in blocks], batch.column("c").type),
                  pa.array([b[2] for b in blocks], pa.int64()), pa.array(flat, pa.list_(pa.string()))], ["part", "c", "n", "costs"])
 
-    ends = narrow.mapInArrow(limits, f"part int, c struct<conv_id:{kind}>, n long, costs array<string>").collect()  # two rows a partition
+    ends = narrow.mapInArrow(tidy(limits), f"part int, c struct<conv_id:{kind}>, n long, costs array<string>").collect()  # two rows a partition
     known = joints([(r["part"], r["c"]["conv_id"], r["n"], [int(x) for x in r["costs"]]) for r in ends])
     shared = dealt.sparkSession.sparkContext.broadcast(known)
 
@@ -164,7 +165,7 @@ def repaired(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn"
 
     conv_type, turn_type = (to_arrow_type(dealt.schema[n].dataType) for n in ("conv_id", "turn"))
     shape = f"conv_id {kind}, turn {dealt.schema['turn'].dataType.simpleString()}, position long, role string, action string, inserted string, rendered string, units long"
-    return dealt.mapInArrow(render, shape)
+    return dealt.mapInArrow(tidy(render), shape)
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from larder.functions.pin import pinned, stored
 from larder.llm import anchors
 from larder.llm.anchors import KEYS, merged  # by name: modules do not travel to tasks by value
-from larder.llm.batches import texts_of
+from larder.llm.batches import texts_of, tidy
 
 SPAN, GRAM = 50, 8  # words of a k-mer, words of a hashed gram
 EDGE = ["d1", "d2"]
@@ -71,7 +71,7 @@ def kmers(texts: DataFrame, span: int, id_type: str) -> DataFrame:
             both = np.frombuffer(b"".join(digest), ">i8").reshape(-1, 2).astype("i8")
             yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(at, pa.int64()), *(pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1))], ["d1", "d2", "at", "w1", "w2"])
 
-    return texts.mapInArrow(run, "d1 long, d2 long, at long, w1 long, w2 long")
+    return texts.mapInArrow(tidy(run), "d1 long, d2 long, at long, w1 long, w2 long")
 
 
 def repeated_spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:

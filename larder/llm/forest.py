@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.pin import pinned
-from larder.llm.batches import runs_of_groups
+from larder.llm.batches import runs_of_groups, tidy
 
 TREES, LEAF, SAMPLE = 8, 64, 65_536  # trees, sample rows in a leaf, rows to fit on
 SHARE = 0.15  # of all leaves, how many a query visits, however many rows there are
@@ -136,7 +136,7 @@ def nearest(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", ever
                 leaves = own.place(_matrix(batch.column("v")).astype("f4"))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(leaves.tolist(), pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
 
-    placed = pinned(good.mapInArrow(place, f"vec_id {kind}, v array<double>, leaves array<int>"))
+    placed = pinned(good.mapInArrow(tidy(place), f"vec_id {kind}, v array<double>, leaves array<int>"))
     counted = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()  # one row a leaf at most
     sizes = np.zeros(forest.leaves, "i8")
     for row in counted:
@@ -160,7 +160,7 @@ def nearest(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", ever
                      pa.concat_arrays([one.column("v")] * n) if n else one.column("v").slice(0, 0)], ["leaf", "chunk", "asks", "vec_id", "v"])
 
     shape = f"leaf int, chunk int, asks boolean, vec_id {kind}, v array<double>"
-    asked = good.filter(F.col("vec_id") % every == 0).mapInArrow(search, shape)
+    asked = good.filter(F.col("vec_id") % every == 0).mapInArrow(tidy(search), shape)
     fuller = F.broadcast(_chunks_of(good.sparkSession, sizes))
     spread_rows = placed.select("vec_id", "v", F.explode("leaves").alias("leaf")).join(fuller, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     held_rows = spread_rows.select("leaf", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("parts")).cast("int").alias("chunk"), F.lit(False).alias("asks"), "vec_id", "v")
@@ -195,7 +195,7 @@ def nearest(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", ever
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(parts, k)], ["query_id", "vec_id", "score"])
 
     both = held_rows.unionByName(asked).repartition(*order).sortWithinPartitions(*order)
-    found = both.mapInArrow(measure, f"query_id {kind}, vec_id {kind}, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = both.mapInArrow(tidy(measure), f"query_id {kind}, vec_id {kind}, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 

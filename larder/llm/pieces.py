@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.batches import keyed, mapped, texts_of
+from larder.llm.batches import keyed, mapped, texts_of, tidy
 
 SPACE = "▁"  # fixed value of the format: stands for a blank
 NONE = np.iinfo("i4").max
 CHARS = 1 << 19  # characters indexed at once; one longer unit is indexed alone
-CACHED = 150_000  # units a task remembers between batches; more are encoded again, with equal results
+CACHED = 100_000  # units after which a task forgets those that it has not met again; they are encoded anew, with equal results
 SLICE = 4 << 20  # bytes of text whose units are indexed together
 UNIT = re.compile(" *[^ ]+| +")
 
@@ -72,36 +72,48 @@ class Searcher:
         self.model = model
 
     def suffix_array(self, text: np.ndarray) -> np.ndarray:
-        """Suffixes in order of their first ``longest`` characters, by doubling."""
-        n, reach = len(text), 1
-        _, rank = np.unique(text, return_inverse=True)
-        rank = rank.astype("i8") + 1
-        order = np.argsort(rank, kind="stable")
-        while reach < self.longest:
+        """Suffixes in order of their first ``longest`` characters, by doubling from as many as fit a key."""
+        n = len(text)
+        _, code = np.unique(text, return_inverse=True)
+        bits = int(code.max(initial=0) + 1).bit_length()
+        reach = max(62 // bits, 1)
+        padded = np.concatenate([code.astype("i8") + 1, np.zeros(reach, "i8")])
+        both = np.zeros(n, "i8")
+        for k in range(reach):
+            both = both << bits | padded[k : k + n]
+        while True:
+            order = np.argsort(both, kind="stable")
+            if reach >= self.longest:
+                return order
+            keys = both[order]
+            rank = np.empty(n, "i8")
+            rank[order] = np.cumsum(np.r_[True, keys[1:] != keys[:-1]])
             after = np.zeros(n, "i8")
             after[: max(n - reach, 0)] = rank[reach:]
-            both = rank * (n + 2) + after
-            order = np.argsort(both, kind="stable")
-            sorted_keys = both[order]
-            fresh = np.empty(n, "i8")
-            fresh[order] = np.cumsum(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
-            rank, reach = fresh, reach * 2
-        return order
-
-    def ranges(self, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and end place in the suffix array of every piece, all pieces searched side by side."""
+            both, reach = rank * (n + 2) + after, reach * 2
+
+    def present(self, text: np.ndarray) -> np.ndarray:
+        """Pieces whose first two characters stand side by side in the text."""
+        pairs = np.unique(text[:-1].astype("u8") << np.uint64(32) | text[1:])
+        first, second = self.names[:, 0].astype("u8"), self.names[:, min(1, self.longest - 1)]
+        return np.flatnonzero(np.where(self.lengths > 1, np.isin(first << np.uint64(32) | second, pairs), np.isin(self.names[:, 0], text)))
+
+    def ranges(self, text: np.ndarray, order: np.ndarray, pieces: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First and end place of these (or all) pieces in the suffix array, searched side by side."""
+        pieces = np.arange(len(self.ids)) if pieces is None else pieces
         padded = np.concatenate([text, np.zeros(self.longest, "u4")])
 
-        def search(upper: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(self.ids), "i8"), np.full(len(self.ids), len(order), "i8")
+        def search(lo: np.ndarray, upper: bool) -> np.ndarray:
+            lo, hi = lo.copy(), np.full(len(pieces), len(order), "i8")
             while (open_ := np.flatnonzero(lo < hi)).size:
                 mid = (lo[open_] + hi[open_]) // 2
-                below = self._before(padded, order[mid], open_, upper)
+                below = self._before(padded, order[mid], pieces[open_], upper)
                 lo[open_[below]] = mid[below] + 1
                 hi[open_[~below]] = mid[~below]
             return lo
 
-        return search(False), search(True)
+        first = search(np.zeros(len(pieces), "i8"), False)
+        return first, search(first, True)
 
     def _before(self, padded: np.ndarray, at: np.ndarray, piece: np.ndarray, upper: bool) -> np.ndarray:
         """Whether the suffix stands before the piece, or, with ``upper``, before or at it."""
@@ -119,10 +131,10 @@ class Searcher:
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that starts at a position with a length, by (position, length)."""
-        order = self.suffix_array(text)
-        first, end = self.ranges(text, order)
+        order, pieces = self.suffix_array(text), self.present(text)
+        first, end = self.ranges(text, order, pieces)
         count = end - first
-        piece = np.repeat(np.arange(len(self.ids)), count)
+        piece = np.repeat(pieces, count)
         place = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         slot = order[place] * (self.longest + 1) + self.lengths[piece]
         rank = np.full(len(text) * (self.longest + 1), NONE, "i4")
@@ -230,7 +242,7 @@ class Codec:
     """Encodes and decodes texts; remembers units between batches."""
 
     def __init__(self, model: Model):
-        self.searcher, self.known = Searcher(model), {}
+        self.searcher, self.known, self.before = Searcher(model), {}, {}
         self.prefix = " " if model.prefix else ""
         self.bytes = [t.replace(SPACE, " ").encode() for t in model.texts]
         for i in range(256):
@@ -239,12 +251,15 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [UNIT.findall(self.prefix + t.replace(SPACE, " ")) if t else [] for t in texts]
-        fresh = list(set().union(*split) - self.known.keys())
+        new = set().union(*split) - self.known.keys()
+        kept = new & self.before.keys()
+        fresh = list(new - kept)
         self.known.update(zip(fresh, self.searcher.encode(fresh)))
+        self.known.update((unit, self.before[unit]) for unit in kept)
         get = self.known.__getitem__
         out = [b"".join(map(get, units)) for units in split]
-        if len(self.known) > CACHED:
-            self.known.clear()
+        if len(self.known) > CACHED:  # units that don't occur until the next change are forgotten
+            self.known, self.before = {}, self.known
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -297,4 +312,4 @@ def decode(coded: DataFrame, model: Model, id: str = "doc_id", ids: str = "token
             texts = [None if x is None else codec.decode(np.array(x, "<i4").tobytes()) for x in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

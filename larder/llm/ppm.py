@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.pin import pinned
-from larder.llm.batches import keyed, mapped, slices, small_batches, texts_of
+from larder.llm.batches import keyed, mapped, slices, small_batches, texts_of, tidy
 
 ORDER = 3
 SAMPLE = 400  # documents a language to fit on: the only bound, and it holds for fitting alone
@@ -216,4 +216,4 @@ def keep_identified(docs: DataFrame, trees: Trees, id: str = "doc_id", text: str
             for part in slices(batch, text):
                 yield part.filter(pa.array([name != UNKNOWN for name, _ in judged(model, texts_of(part, text))], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from larder.functions.pin import pinned, stored
 from larder.llm.anchors import tested
-from larder.llm.batches import mapped, slices, small_batches, texts_of
+from larder.llm.batches import mapped, slices, small_batches, texts_of, tidy
 from larder.llm.winnow import ODD, hash_filter, mix
 
 LONGEST, SUPPORT, SHARE, TOP = 5, 100, 100, 2000
@@ -145,8 +145,8 @@ def heavy_marks(relation: DataFrame, size: int, support: int, total: int) -> Dat
         if held:
             yield heavy()
 
-    rows = relation.select("lang", "words").mapInArrow(spread, "part long, high binary, low binary, counts binary")
-    return stored(rows.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "mark long"), f"marks_{size}")
+    rows = relation.select("lang", "words").mapInArrow(tidy(spread), "part long, high binary, low binary, counts binary")
+    return stored(rows.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(summed), "mark long"), f"marks_{size}")
 
 
 class Known:
@@ -204,8 +204,8 @@ def counted(relation: DataFrame, size: int, known: Known, support: int, total: i
         if held:
             yield frequent()
 
-    rows = relation.select("lang", "words").mapInArrow(spread, "part long, lang string, phrases binary, counts binary")
-    return rows.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(summed, "lang string, phrase string, f long")
+    rows = relation.select("lang", "words").mapInArrow(tidy(spread), "part long, lang string, phrases binary, counts binary")
+    return rows.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(tidy(summed), "lang string, phrase string, f long")
 
 
 def restricted(relation: DataFrame, size: int, known: Known) -> DataFrame:

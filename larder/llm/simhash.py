@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.pin import pinned, stored
 from larder.llm.anchors import narrowed
-from larder.llm.batches import keyed, mapped, runs_of_groups, texts_of
+from larder.llm.batches import keyed, mapped, runs_of_groups, texts_of, tidy
 from larder.llm.graph import components
 
 SEED = 42
@@ -226,7 +226,7 @@ def links(nodes: DataFrame, keys, radius: int, alike: Callable | None = None, bl
                 found = []
         yield _pairs(found, kind)
 
-    return met.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long" if alike is None else "a binary, b binary")
+    return met.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), "a long, b long" if alike is None else "a binary, b binary")
 
 
 def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.pin import pinned, stored
-from larder.llm.batches import mapped, small_batches, texts_of
+from larder.llm.batches import mapped, small_batches, texts_of, tidy
 
 SHORTEST, LEAST, RATIO, EVERY = 5, 3, 2, 97
 BLOCK = 20_000  # words composed at once; a larger partition is split by narrower windows
@@ -204,7 +204,7 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
         yield _near_rows(composed(held))
 
     dealt = done.select("part", (F.col("hi") - F.col("lo")).alias("size"), (F.col("hi") == F.col("m")).alias("ends"), "inner", "word", "n")
-    found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, "word string, n_near long, less long, near string")
+    found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), "word string, n_near long, less long, near string")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct("less", "near")).alias("best"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.pin import pinned
-from larder.llm.batches import keyed, small_batches
+from larder.llm.batches import keyed, small_batches, tidy
 
 # Words before a secret, and titles with the gender they tell.
 SECRET_WORDS = "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth"
@@ -225,7 +225,7 @@ def found_entities(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
             columns = [pa.array(c, k) for c, k in zip(list(zip(*spans)) or [[]] * 4, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row_key").take(at), *columns], ["doc_id", "row_key", "start", "end", "kind", "value"])
 
-    return rows.mapInArrow(run, f"doc_id {type_}, row_key long, start long, end long, kind string, value string")
+    return rows.mapInArrow(tidy(run), f"doc_id {type_}, row_key long, start long, end long, kind string, value string")
 
 
 def collisions(values: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
@@ -240,7 +240,7 @@ def collisions(values: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
             new = [surrogate(key, k, v, a) for k, v, a in zip(*(batch.column(n).to_pylist() for n in ("kind", "value", "attempt")))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*batch.schema.names, "new"])
 
-    now = pinned(values.select("kind", "value").distinct().withColumn("attempt", F.lit(0)).mapInArrow(draw, "kind string, value string, attempt int, new string"))
+    now = pinned(values.select("kind", "value").distinct().withColumn("attempt", F.lit(0)).mapInArrow(tidy(draw), "kind string, value string, attempt int, new string"))
     real = now.select("kind", F.col("value").alias("new"), F.lit(True).alias("taken"))
     for _ in range(rounds):
         owners = now.groupBy("kind", "new").agg(F.min("value").alias("owner"))
@@ -248,7 +248,7 @@ def collisions(values: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
         judged = pinned(judged.select("kind", "value", "attempt", "new", "moves"))
         if judged.filter("moves").isEmpty():
             return now.filter("attempt > 0").select("kind", "value", "attempt")
-        moved = judged.filter("moves").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, "kind string, value string, attempt int, new string")
+        moved = judged.filter("moves").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(tidy(draw), "kind string, value string, attempt int, new string")
         now = pinned(judged.filter("not moves").drop("moves").unionByName(moved))
     raise RuntimeError(f"replacements still collide after {rounds} rounds")
 
@@ -294,4 +294,4 @@ def anonymized(docs: DataFrame, key: bytes, id: str = "doc_id", text: str = "tex
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType(list(docs.schema.fields))
-    return inner.mapInArrow(run, schema.add(count, LongType()) if count else schema)
+    return inner.mapInArrow(tidy(run), schema.add(count, LongType()) if count else schema)
