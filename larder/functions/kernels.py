@@ -1,4 +1,4 @@
-"""Numeric work inside tasks: one series, or one pair of blocks, at a time.
+"""Numeric work inside tasks: one series, or one group of rows, at a time.
 
 Plain numpy and pandas. The functions travel to the executors by value, so that a cluster needs
 no copy of this package.
@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEASON = 7
+PAIRS = 20_000_000  # pairs of one day counted one by one; more are counted by a matrix product
 
 
 def smooth(y: np.ndarray, steps: int, season: int = SEASON, weights: tuple[float, ...] | None = None) -> dict[str, np.ndarray]:
@@ -93,28 +94,27 @@ def fit_waves(train: pd.DataFrame, test: pd.DataFrame, weekly: int, yearly: int,
             "forecast_upper": np.expm1(middle + spread)}
 
 
-def match_blocks(min_days: int, top: int | None) -> Callable[..., pd.DataFrame]:
-    """Pairs across the two blocks of a group that share more than ``min_days`` days, with the
-    quantities of both on those days; the ``top`` best pairs if given, by days and then by id."""
+def match_group(min_days: int, top: int | None) -> Callable[..., pd.DataFrame]:
+    """Pairs in a group (of one block, or across two) that share more than ``min_days`` of the days given, with
+    the quantities of both on those days; the ``top`` best pairs if given, by days and then by id."""
 
-    def match(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows[rows["block"] == key[0]]
-        right = rows[rows["block"] == key[1]]
-        common = shared_days(left["days"].to_list(), right["days"].to_list())
-        if key[0] == key[1]:  # one block with itself: each pair once
-            common = np.triu(common, 1)
+    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sku_id", ignore_index=True)
+        common = common_days(rows["days"].to_list())
         common[common <= min_days] = 0
+        if key[1] != key[2]:
+            block = rows["block"].to_numpy()
+            common[block[:, None] == block[None, :]] = 0
         if top is not None and np.count_nonzero(common) > top:
             at_least = np.cumsum(np.bincount(common.ravel())[::-1])[::-1]  # pairs with that many days or more
             common[common < np.flatnonzero(at_least >= top)[-1]] = 0
         i, j = np.nonzero(common)
-        a, b = left["sku_id"].to_numpy()[i], right["sku_id"].to_numpy()[j]
-        found = pd.DataFrame({"i": i, "j": j, "days_sold_together": common[i, j].astype(np.int64), "swap": a > b})
-        found["sku_a"], found["sku_b"] = np.where(a > b, b, a), np.where(a > b, a, b)
-        if top is not None:
-            found = found.sort_values(["days_sold_together", "sku_a", "sku_b"], ascending=[False, True, True]).head(top)
-        one, two = shared_quantities(left, right, found["i"].to_numpy(), found["j"].to_numpy())
-        found["qty_a"], found["qty_b"] = np.where(found["swap"], two, one), np.where(found["swap"], one, two)
+        found = pd.DataFrame({"i": i, "j": j, "days_sold_together": common[i, j].astype(np.int64)})
+        if top is not None:  # rows stand in the order of their ids
+            found = found.sort_values(["days_sold_together", "i", "j"], ascending=[False, True, True]).head(top)
+        i, j = found["i"].to_numpy(), found["j"].to_numpy()
+        found["sku_a"], found["sku_b"] = rows["sku_id"].to_numpy()[i], rows["sku_id"].to_numpy()[j]
+        found["qty_a"], found["qty_b"] = shared_quantities(rows, rows, i, j)
         return found[["sku_a", "sku_b", "days_sold_together", "qty_a", "qty_b"]]
 
     return match
@@ -142,29 +142,23 @@ def shared_quantities(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j:
     return totals[0], totals[1]
 
 
-def shared_days(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Number of common days of every left row with every right row.
+def common_days(days: list[np.ndarray]) -> np.ndarray:
+    """Number of common days of every row with every later row, above the diagonal.
 
-    Where few rows share a day, each day adds one to its own rows and columns; where most do, a
-    product of two zero-one matrices is quicker (exact in float32 below 2**24 days).
+    Where few rows share a day, the pairs of each day are counted; where most do, a product of a
+    zero-one matrix with itself is quicker (exact in float32 below 2**24 days).
     """
-    if not left or not right:
-        return np.zeros((len(left), len(right)), np.int32)
-    axis = np.unique(np.concatenate(left + right))
-    sides = []
-    for days in (left, right):
-        row = np.repeat(np.arange(len(days)), [len(d) for d in days])
-        sides.append((row, np.searchsorted(axis, np.concatenate(days))))
-    per_day = [np.bincount(column, minlength=len(axis)) for _, column in sides]
-    # Sparse days are counted day by day, dense ones by a matrix product: two ways to the same counts.
-    if 20 * int(per_day[0] @ per_day[1]) < len(left) * len(right) * len(axis):
-        common = np.zeros((len(left), len(right)), np.int32)
-        grouped = [np.split(row[np.argsort(column, kind="stable")], np.cumsum(count)[:-1])
-                   for (row, column), count in zip(sides, per_day)]
-        for here, there in zip(*grouped):
-            common[np.ix_(here, there)] += 1
-        return common
-    dense = [np.zeros((len(days), len(axis)), np.float32) for days in (left, right)]
-    for matrix, (row, column) in zip(dense, sides):
-        matrix[row, column] = 1
-    return (dense[0] @ dense[1].T).astype(np.int32)
+    n = len(days)
+    row = np.repeat(np.arange(n), [len(d) for d in days])
+    axis, day = np.unique(np.concatenate(days), return_inverse=True)
+    order = np.argsort(day, kind="stable")  # rows stay in order within a day
+    row, day = row[order], day[order]
+    later = np.cumsum(np.bincount(day))[day] - np.arange(1, len(day) + 1)  # rows of the same day that follow
+    pairs = int(later.sum())
+    if 20 * pairs < n * n * len(axis) and pairs < PAIRS:
+        first = np.repeat(np.arange(len(row)), later)
+        second = first + 1 + np.arange(pairs) - np.repeat(np.cumsum(later) - later, later)
+        return np.bincount(row[first] * n + row[second], minlength=n * n).reshape(n, n)
+    dense = np.zeros((n, len(axis)), np.float32)
+    dense[row, day] = 1
+    return np.triu((dense @ dense.T).astype(np.int64), 1)

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from larder.functions import labels
 from larder.functions.columns import banded, money, monday_week, ratio, squares, stddev_pop_exact, sunday_weekday
-from larder.functions.kernels import match_blocks
+from larder.functions.kernels import match_group
+from larder.functions.pin import pinned
 from larder.operators.inventory import months_back
 from larder.plans.operator import Tables, operator
 
@@ -78,31 +79,39 @@ def sku_cooccurrence(t: Tables, *, min_days: int = 30, top: int | None = 50,
                      block_rows: int = 2048) -> DataFrame:
     """Pairs of SKUs sold on more than ``min_days`` common days, most common first.
 
-    A self join by day would emit every pair of every day. Here each SKU becomes the set of its
-    selling days (bounded by the calendar), SKUs with too few days are dropped (they cannot
-    qualify), and blocks of about ``block_rows`` SKUs are matched block against block: one group
-    per pair of blocks counts common days in memory and returns only pairs that qualify, at most
-    ``top`` of them, with their quantities.
+    An overlap join with prefix filtering. Each SKU becomes the list of its selling days (bounded by the
+    calendar), rarest day first. Two lists with more than ``min_days`` common days have the first of
+    these among their first n - ``min_days`` days, so a SKU goes to the groups of those days only, and
+    brings only what follows there. A group counts the common days of its members; the pair's count
+    is complete in the group of its first common day, and what later groups find of it is less.
+
+    A day on which more than ``block_rows`` SKUs are sold is split into blocks, and these are matched against each other:
+    the work of a day grows with the pairs that share it, and SKUs without a common rare day never meet.
     """
     daily = t["sales"].groupBy("sku_id", "date").agg(F.sum("quantity_fulfilled").alias("qty"))
-    days = (
-        daily.groupBy("sku_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(F.unix_date("date").alias("day"), "qty")).alias("sold"))
-        .filter(F.col("n") > min_days).drop("n")
-        .join(t["sku_master"].select("sku_id"), "sku_id", "left_semi")
-    )
-    blocks = days.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("n")).scalar()
-    placed = (
-        days.withColumn("blocks", blocks)
+    daily = pinned(daily.join(t["sku_master"].select("sku_id"), "sku_id", "left_semi"))
+    rarity = daily.groupBy("date").agg(F.count(F.lit(1)).alias("skus")).select(
+        "date", F.row_number().over(Window.orderBy("skus", "date")).alias("day"))  # one row a calendar day
+    listed = pinned(daily.join(rarity, "date").groupBy("sku_id").agg(F.sort_array(F.collect_list(F.struct("day", "qty"))).alias("sold"))
+                    .filter(F.size("sold") > min_days))
+    prefix = F.sequence(F.lit(1), F.size("sold") - min_days)
+    # One row a calendar day: how many blocks the SKUs of a day need.
+    blocks = listed.select(F.explode(F.slice("sold", F.lit(1), F.size("sold") - min_days).day).alias("day")).groupBy("day").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    members = (
+        listed.select("sku_id", "sold", F.explode(prefix).alias("at"))
+        .select("sku_id", F.slice("sold", F.col("at"), F.size("sold")).alias("sold"))
+        .withColumn("day", F.element_at("sold", 1).day).join(F.broadcast(blocks), "day")
         .withColumn("block", F.pmod(F.xxhash64("sku_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sku_id", F.col("sold.day").alias("days"), F.col("sold.qty").alias("quantities"), "block",
-                F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     )
     id_type, whole = t["sales"].schema["sku_id"].dataType, T.LongType()
     schema = T.StructType([T.StructField("sku_a", id_type), T.StructField("sku_b", id_type),
                            *(T.StructField(c, whole) for c in ("days_sold_together", "qty_a", "qty_b"))])
-    sums = placed.groupBy("left", "right").applyInPandas(match_blocks(min_days, top), schema)
+    found = members.select("sku_id", F.col("sold.day").alias("days"), F.col("sold.qty").alias("quantities"), "day", "block",
+                           F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    sums = found.groupBy("day", "left", "right").applyInPandas(match_group(min_days, top), schema)
+    sums = sums.groupBy("sku_a", "sku_b").agg(F.max(F.struct("days_sold_together", "qty_a", "qty_b")).alias("s")).select("sku_a", "sku_b", "s.*")
     if top is not None:
         sums = sums.orderBy(F.desc("days_sold_together"), "sku_a", "sku_b").limit(top)
 

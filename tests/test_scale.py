@@ -13,7 +13,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from larder.functions.kernels import extend_ar, fit_waves, match_blocks, shared_days, smooth, smoothing_pass
+from larder.functions.kernels import common_days, extend_ar, fit_waves, match_group, smooth, smoothing_pass
 from larder.operators import demand, forecast, models, profit, service
 from larder.plans.audit import audit_summary, query_audit
 from larder.sources.star import StarViews
@@ -53,16 +53,15 @@ def test_pairs_equal_brute_force(make, top, block):
 def test_shared_days_both_ways():
     rng = np.random.default_rng(1)
     for share in (0.02, 0.9):
-        left, right = ([np.flatnonzero(rng.random(400) < share) for _ in range(30)] for _ in range(2))
-        want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
-        assert shared_days(left, right).tolist() == want
-    assert shared_days([], right).shape == (0, 30)
+        rows = [np.flatnonzero(rng.random(400) < share) for _ in range(30)]
+        want = [[len(np.intersect1d(a, b)) if i < j else 0 for j, b in enumerate(rows)] for i, a in enumerate(rows)]
+        assert common_days(rows).tolist() == want
 
 
 def test_match_keeps_exactly_the_best():
-    rows = pd.DataFrame({"sku_id": range(30), "block": 0, "days": [np.arange(20)] * 30,
+    rows = pd.DataFrame({"sku_id": range(30), "days": [np.arange(20)] * 30,
                          "quantities": [np.full(20, k) for k in range(30)]})
-    got = match_blocks(3, 5)((0, 0), rows)
+    got = match_group(3, 5)((0, 0, 0), rows)
     assert list(zip(got.sku_a, got.sku_b)) == [(0, j) for j in range(1, 6)]
     assert got.qty_a.tolist() == [0] * 5 and got.qty_b.tolist() == [20 * j for j in range(1, 6)]
 
