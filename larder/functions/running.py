@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.pin import pinned
-
-DIGIT_BITS = 16
+from larder.functions.pin import stored
 
 
 def running_total_desc(df: DataFrame, value: str, out: str, total: str) -> DataFrame:
@@ -17,38 +15,26 @@ def running_total_desc(df: DataFrame, value: str, out: str, total: str) -> DataF
     come last and add nothing, so their running total is the grand total. A negative value is an error.
 
     Equal to ``sum(value) OVER (ORDER BY value DESC)`` with its default RANGE frame, which Spark
-    would sort in a single task. Instead the value is read as digits of 16 bits. Sums are built
-    per value, per value >> 16 and per value >> 32; each running total is then (sum of the larger
-    high digits) + (larger middle digits under the same high digit) + (larger or equal values
-    under the same middle digit). Middle and low windows hold at most 65,536 rows, and so does
-    the top one for values below 2**48, however the values are distributed. Heavy values collapse
-    in the map-side half of the first aggregation.
+    would sort in a single task. Instead the rows are dealt once by ranges of the value, and written. A row's total is the
+    sum of all ranges before its own, and that of its own range up to its value. A value that holds many
+    rows is spread over several ranges by a digest of the row; its rows in later ranges, found by the least
+    value of a range being the largest of a later one, are added too. What is summed up by range has as
+    many rows as there are partitions.
     """
     checked = F.when(F.col(value) < 0, F.raise_error(F.lit(f"{value} is negative")).cast("long")).otherwise(F.col(value))
-    level0 = df.filter(F.col(value).isNotNull()).groupBy(checked.alias("_v")).agg(F.sum(value).alias("_s"))
-    # Four windows read these sums, one row a distinct value; written once, the input is read for them once.
-    level0 = pinned(level0).withColumn("_m", F.shiftright("_v", DIGIT_BITS))
-    level1 = level0.groupBy("_m").agg(F.sum("_s").alias("_ms"))
-    level1 = level1.withColumn("_h", F.shiftright("_m", DIGIT_BITS))
-    level2 = level1.groupBy("_h").agg(F.sum("_ms").alias("_hs"))
-
-    before = (Window.unboundedPreceding, -1)
-    top = level2.select(
-        "_h",
-        _above("_hs", Window.orderBy(F.desc("_h")), before).alias("_htop"),
-        F.sum("_hs").over(Window.partitionBy()).alias(total),
-    )
-    mid = level1.select(
-        "_m", "_h", _above("_ms", Window.partitionBy("_h").orderBy(F.desc("_m")), before).alias("_mtop")
-    )
-    mid = mid.join(top, "_h").select("_m", (F.col("_mtop") + F.col("_htop")).alias("_mtop"), total)
-    upto = Window.partitionBy("_m").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    low = level0.select("_v", "_m", F.sum("_s").over(upto).alias("_low"))
-    totals = low.join(mid, "_m").select("_v", (F.col("_low") + F.col("_mtop")).alias(out), total)
-    whole = level2.agg(F.sum("_hs")).scalar()
-    joined = df.join(totals.drop(total), df[value] == totals["_v"], "left").drop("_v").withColumn(total, whole)
-    return joined.withColumn(out, F.coalesce(out, total))
-
-
-def _above(name: str, order, frame: tuple[int, int]) -> Column:
-    return F.coalesce(F.sum(name).over(order.rowsBetween(*frame)), F.lit(0).cast("long"))
+    spread = df.withColumn(value, checked).repartitionByRange(F.desc_nulls_last(value), F.xxhash64(*df.columns))
+    rows = stored(spread.withColumn("_part", F.spark_partition_id()), "ranges")
+
+    by_value = rows.groupBy("_part", F.col(value).alias("_v")).agg(F.sum(value).alias("_s"))
+    ranges = by_value.groupBy("_part").agg(
+        F.sum("_s").alias("_sum"), F.max(F.struct("_v", "_s")).alias("_most"), F.min(F.struct("_v", "_s")).alias("_least"))
+    later = ranges.select(F.col("_part").alias("_behind"), F.col("_most._v").alias("_v"), F.col("_most._s").alias("_more"))
+    cut = ranges.select("_part", "_least._v").join(later, "_v").filter("_behind > _part").groupBy("_part").agg(F.sum("_more").alias("_more"))
+    before = F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    limits = ranges.select("_part", F.coalesce(before, F.lit(0).cast("long")).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias(total),
+                           F.col("_least._v").alias("_last")).join(cut, "_part", "left")
+
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(F.desc_nulls_last(value)))
+    joined = rows.withColumn("_within", within).join(F.broadcast(limits), "_part")
+    shared = F.when(F.col(value) == F.col("_last"), F.coalesce("_more", F.lit(0).cast("long"))).otherwise(0)
+    return joined.withColumn(out, F.col("_before") + F.coalesce("_within", F.lit(0).cast("long")) + shared).select(*df.columns, out, total)

@@ -23,11 +23,11 @@ def months_back(as_of: date, months: int) -> Column:
     sku_master="sku_id product_name category",
 )
 def abc_classification(t: Tables, *, a_cut: float = 80, b_cut: float = 95,
-                       method: str = "digits", ordered: bool = True) -> DataFrame:
+                       method: str = "ranges", ordered: bool = True) -> DataFrame:
     """Share and running share of stock value, largest first, with class A, B or C.
 
     Ties share their running total and the class follows the rounded percentage.
-    ``method='digits'`` spreads the running total over the cluster; ``'window'`` sorts all rows in
+    ``method='ranges'`` spreads the running total over the cluster; ``'window'`` sorts all rows in
     one task, hardly quicker even on a small table, and serves as a check.
     """
     stock = t["current_inventory"].join(t["sku_master"], "sku_id")

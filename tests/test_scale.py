@@ -322,3 +322,33 @@ def test_a_hot_part_is_split_over_tasks(spark, tmp_path):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert split == plain
+
+
+def test_running_total_of_a_hot_value_over_many_ranges(make):
+    """Half of the rows tie, so their value lies in several ranges; NULLs and zeros lie behind."""
+    from larder.functions.running import running_total_desc
+
+    rng = random.Random(5)
+    values = [50] * 400 + [rng.randrange(100) for _ in range(300)] + [None] * 60 + [0] * 60
+    df = make("v long, k long", *((v, i) for i, v in enumerate(values)))
+    got = running_total_desc(df.repartition(7), "v", "run", "all")
+    whole = sum(v or 0 for v in values)
+    want = {v: sum(x for x in values if x is not None and x >= v) for v in set(values) - {None}}
+    rows = got.collect()
+    assert got.columns == ["v", "k", "run", "all"] and sorted(r.k for r in rows) == list(range(len(values)))
+    assert all((r.run, r.all) == (want.get(r.v, whole), whole) for r in rows)
+    spread = got.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    got.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = running_total_desc(df, "v", "run", "all").collect()
+    finally:
+        got.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", spread)
+    assert all((r.run, r.all) == (want.get(r.v, whole), whole) for r in rows)
+    assert running_total_desc(df.limit(0), "v", "run", "all").collect() == []
+
+
+def test_running_total_refuses_negative_values(make):
+    from larder.functions.running import running_total_desc
+
+    with pytest.raises(Exception, match="is negative"):
+        running_total_desc(make("v long", (1,), (-1,)), "v", "run", "all").collect()
