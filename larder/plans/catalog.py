@@ -71,6 +71,17 @@ def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_json_records(spark, path, "supplier_master", array_file=False)
 
 
+def json_array_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Supplier master written as JSON arrays of about a thousand records and read back in splits."""
+    master = files.file_columns(StarViews(spark, folder).table("supplier_master", ALL_COLUMNS["supplier_master"]), "supplier_master")
+    arrays = master.agg(F.ceil(F.count(F.lit(1)) / F.lit(1000.0))).scalar()
+    record = F.to_json(F.struct(*master.columns))
+    rows = master.select(record.alias("record"), F.pmod(F.xxhash64(*master.columns), arrays).alias("array"))
+    path = scratch_path(spark, "supplier_arrays")
+    rows.groupBy("array").agg(F.concat(F.lit("["), F.array_join(F.collect_list("record"), ",\n"), F.lit("]")).alias("value")).select("value").write.text(path)
+    return files.read_json_records(spark, path, "supplier_master")
+
+
 def table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Sales written by month and read back, summed over the months."""
     columns = ("date", "sku_id", "quantity_ordered", "quantity_fulfilled", "backorder_quantity")
@@ -156,6 +167,7 @@ QUERIES: dict[str, Query] = {
     # Sources and sinks
     "read_csv": csv_round_trip,
     "read_json_records": json_round_trip,
+    "read_json_arrays": json_array_round_trip,
     "write_table": table_round_trip,
     "read_table": stock_table,
     "write_csv": result_as_csv,

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from larder.functions.columns import cents, money, year_month
 from larder.schemas import FILE_SCHEMAS, MONEY_COLUMNS
+from larder.sources.json_arrays import array_records
 
 
 def canonical(df: DataFrame, table: str) -> DataFrame:
@@ -81,9 +82,14 @@ def read_csv(spark: SparkSession, path: str, table: str, columns: list[str] | No
 
 
 def read_json_records(spark: SparkSession, path: str, table: str, array_file: bool = True, strict: bool = True) -> DataFrame:
-    """Records from one JSON array per file, or from JSON Lines (splittable) with ``array_file=False``."""
-    reader = _reader(spark, FILE_SCHEMAS[table], strict).option("multiLine", array_file)
-    return canonical(with_booleans(reader.json(path), FILE_SCHEMAS[table], strict), table)
+    """Records from JSON arrays, or from JSON Lines with ``array_file=False``; both are read in splits."""
+    schema = FILE_SCHEMAS[table]
+    if not array_file:
+        return canonical(with_booleans(_reader(spark, schema, strict).json(path), schema, strict), table)
+    options = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    shape = as_text(schema) if strict else as_text(schema).add(CORRUPT, T.StringType())
+    records = array_records(spark, path).select(F.from_json("value", shape, options).alias("record")).select("record.*")
+    return canonical(with_booleans(records, schema, strict), table)
 
 
 def is_path(name: str) -> bool:

@@ -42,3 +42,5 @@ SQL["inventory_transactions"] = q("""
     SELECT warehouse_id, transaction_type, CAST(date_trunc('month', transaction_date) AS DATE) AS month, count(*) AS transactions,
            CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(total_value_cents) AS BIGINT) AS value_cents
     FROM inventory_transactions GROUP BY 1, 2, 3""", "inventory_transactions")
+
+SQL["read_json_arrays"] = SQL["read_json_records"]
