@@ -22,9 +22,9 @@ from larder.llm.batches import keyed, mapped, texts_of, tidy
 
 SPACE = "▁"  # fixed value of the format: stands for a blank
 NONE = np.iinfo("i4").max
-CHARS = 1 << 19  # characters indexed at once; one longer unit is indexed alone
-CACHED = 100_000  # units after which a task forgets those that it has not met again; they are encoded anew, with equal results
-SLICE = 4 << 20  # bytes of text whose units are indexed together
+CHARS = 1 << 18  # characters indexed at once; one longer unit is indexed alone
+CACHED = 75_000  # units after which a task forgets those that it has not met again; they are encoded anew, with equal results
+SLICE = 1 << 20  # bytes of text whose units are indexed together
 UNIT = re.compile(" *[^ ]+| +")
 
 

@@ -8,7 +8,6 @@ and the trees unfold into two tables: context -> state, and (state, byte) -> cos
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,6 @@ SAMPLE = 400  # documents a language to fit on: the only bound, and it holds for
 SALTS = 8
 SLICE = 1 << 19  # bytes scored at once
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(id):
@@ -177,7 +175,7 @@ def judged(model: Trees, texts: list[bytes]) -> list[tuple[str, float]]:
     bits = model.bits(texts) if model.languages else None
     out = []
     for i, text in enumerate(texts):
-        if bits is None or not LETTER.search(text.decode()):
+        if bits is None or not any(map(str.isalpha, text.decode())):
             out.append((UNKNOWN, 0.0))
             continue
         best = int(np.argmin(bits[i]))

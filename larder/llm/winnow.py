@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.functions.pin import stored
 from larder.llm.batches import keyed, mapped, texts_of
 
+PART = 1 << 20  # bytes of text whose words are hashed together
 SPAN, GRAM = 10, 5  # words of a shared span, words of a hashed k-gram
 FILTER_BITS = 24  # the filter of benchmark hashes has 2**24 bits (2 MB), however large the benchmark
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -187,7 +188,7 @@ def hits(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "tex
         return {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "n_words": np.diff(words.first), "found": pa.array(found, kind)}
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    read = stored(mapped(rows, work, f"doc_id {id_type}, row_key long, n_words long, found array<struct<pos:bigint,size:int,mark:bigint,before:int,words:array<string>>>"), "document_marks")
+    read = stored(mapped(rows, work, f"doc_id {id_type}, row_key long, n_words long, found array<struct<pos:bigint,size:int,mark:bigint,before:int,words:array<string>>>", limit=PART), "document_marks")
     marks = read.select("doc_id", "row_key", F.explode("found").alias("f")).select("doc_id", "row_key", "f.*")
     joined = marks.join(wanted, ["mark", "size"])
     # The k-gram itself, then as many equal words as there are on either side of it.

@@ -383,3 +383,10 @@ def test_odd_rows_are_judged_as_stated(odd):
     assert words[6, 30_000] < words[8, 30_000] == 30_000 and words[7, 30_001] == 30_000
     classes_of = {r.doc_id: r.component_id for r in simhash.near_duplicates(odd).collect() if r.doc_id}
     assert classes_of[2] == classes_of[3] == classes_of[4] == 2 and classes_of[8] == 6
+
+
+def test_numbers_that_are_no_letters_have_no_language(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(1, 40)] + [(100, "½ ² Ⅷ 12", "en"), (101, "½ a", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in ppm.identify(table, ppm.fit(table)).collect()}
+    assert got[100] == "und" and got[101] == "en"
