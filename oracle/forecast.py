@@ -121,6 +121,43 @@ SMOOTHED = SPLIT + """,
     FROM t JOIN last ON last.series = t.series"""
 SQL["forecast_holt_winters_stated"] = q(SMOOTHED.replace("WITH d AS", "WITH RECURSIVE d AS"), "sales")
 
+# Holt-Winters with searched weights: a fold over the series for each candidate. The state is the error, level and trend, the
+# seasonal values as a queue, and the three weights.
+_FOLD = """list_reduce(y, lambda s, x: [
+        s[1] + (x[1] - (s[2] + s[3]) - s[4]) * (x[1] - (s[2] + s[3]) - s[4]),
+        s[11] * (x[1] - s[4]) + (1 - s[11]) * (s[2] + s[3]),
+        s[12] * (s[11] * (x[1] - s[4]) + (1 - s[11]) * (s[2] + s[3]) - s[2]) + (1 - s[12]) * s[3],
+        s[5], s[6], s[7], s[8], s[9], s[10], s[13] * (x[1] - (s[2] + s[3])) + (1 - s[13]) * s[4], s[11], s[12], s[13]],
+        list_concat(start, [a, b, g]))"""
+
+
+def _round(k: int, values: str) -> str:
+    """The best state of each series over the weights that ``values`` gives for each of a, b and g."""
+    grid = ", ".join(f"(SELECT series, unnest({values.format(w)}) AS {n} FROM best{k - 1}) {n}{k}" for n, w in zip("abg", (11, 12, 13)))
+    return f"""
+    best{k} AS (
+      SELECT series, arg_min(st, st[1]) AS st FROM (
+        SELECT f.series, {_FOLD} AS st FROM first f, {grid} WHERE f.series = a{k}.series AND f.series = b{k}.series AND f.series = g{k}.series)
+      GROUP BY 1)"""
+
+
+def _near(width: float) -> str:
+    return f"list_transform([-1e0, -0.5e0, 0e0, 0.5e0, 1e0], lambda u: least(greatest(st[{{}}] + {width!r}::DOUBLE * u, 0.001e0), 0.999e0))"
+
+
+SEARCHED = SPLIT + """,
+    n AS (SELECT series, CAST(demand AS DOUBLE) AS y, row_number() OVER (PARTITION BY series ORDER BY date) AS i FROM s WHERE NOT is_test),
+    first AS (SELECT series, list_concat([0e0, m1, (m2 - m1) / 7], [v - m1 for v in y7]) AS start, y
+              FROM (SELECT series, avg(y) FILTER (i <= 7) AS m1, avg(y) FILTER (i BETWEEN 8 AND 14) AS m2, list(y ORDER BY i)[1:7] AS y7,
+                           list([y] ORDER BY i)[8:] AS y FROM n GROUP BY 1)),
+    best0 AS (SELECT series, NULL AS st FROM first),""" + ",".join([
+    _round(1, "[0.01e0, 0.05e0, 0.1e0, 0.2e0, 0.4e0, 0.7e0]"),
+    *(_round(k, _near(w)) for k, w in ((2, 0.1 / 3), (3, 0.1 / 3 / 3), (4, 0.1 / 3 / 3 / 3)))]) + """,
+    t AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS h FROM s WHERE is_test)
+    SELECT t.series, t.date, 'Exp_Smoothing' AS model, t.demand AS actual, st[2] + h * st[3] + st[CAST((h - 1) % 7 AS INT) + 4] AS forecast, 'ok' AS status
+    FROM t JOIN best4 ON best4.series = t.series"""
+SQL["forecast_holt_winters"] = q(SEARCHED, "sales")
+
 
 def _company(name: str) -> str:
     return SQL[name].replace("SELECT category AS series", "SELECT 'ALL' AS series")
