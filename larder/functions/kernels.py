@@ -59,17 +59,32 @@ def smoothing_pass(y: np.ndarray, weights: np.ndarray, season: int) -> tuple[np.
 
 
 def extend_ar(y: np.ndarray, steps: int, season: int = SEASON) -> dict[str, np.ndarray]:
-    lags = (1, season, season + 1)
-    if len(y) < 4 * (season + 1):
+    """Autoregression with moving-average terms on the series differenced by a day and by a season.
+
+    Two stages of least squares: a long autoregression (two seasons) leaves residuals, and the second one explains the
+    series by itself a day, a season and both before, and by the residuals of a day and a season before. Days
+    ahead have no residual.
+    """
+    lags, shocks, deep = (1, season, season + 1), (1, season), 2 * season
+    if len(y) < 8 * (season + 1):
         return {}
     w = np.diff(y)
     w = w[season:] - w[:-season]
-    deep = max(lags)
-    past = np.stack([w[deep - k:len(w) - k] for k in lags], axis=1)
-    weights = np.linalg.lstsq(past, w[deep:], rcond=None)[0]
-    values, changes = list(y), list(w)
+
+    def behind(values: np.ndarray, ks: range | tuple[int, ...], start: int) -> list[np.ndarray]:
+        return [values[start - k:len(values) - k] for k in ks]
+
+    long = np.stack(behind(w, range(1, deep + 1), deep), axis=1)
+    residual = np.zeros(len(w))
+    residual[deep:] = w[deep:] - long @ np.linalg.lstsq(long, w[deep:], rcond=None)[0]
+    start = deep + season
+    past = np.stack(behind(w, lags, start) + behind(residual, shocks, start), axis=1)
+    weights = np.linalg.lstsq(past, w[start:], rcond=None)[0]
+    values, changes, errors = list(y), list(w), list(residual)
     for _ in range(steps):
-        changes.append(float(sum(c * changes[-k] for c, k in zip(weights, lags))))
+        known = [changes[-k] for k in lags] + [errors[-k] for k in shocks]
+        changes.append(float(sum(c * x for c, x in zip(weights, known))))
+        errors.append(0.0)
         values.append(changes[-1] + values[-1] + values[-season] - values[-season - 1])
     return {"forecast": np.array(values[len(y):])}
 

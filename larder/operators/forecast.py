@@ -123,7 +123,7 @@ def smoothing_fit(season: int = SEASON, weights: tuple[float, ...] | None = None
 
 
 def seasonal_ar_fit(season: int = SEASON) -> Fit:
-    """Autoregression on the series differenced by a day and by a season, carried back to levels."""
+    """Autoregression with moving-average terms on the series differenced by a day and by a season, carried back to levels."""
     return lambda train, test: extend_ar(train["demand"].to_numpy(float), len(test), season)
 
 

@@ -75,27 +75,42 @@ SQL = {
         FROM generate_series(1, 30) g(i), w""", "sales"),
 }
 
-# Seasonal autoregression: the normal equations of three lags, solved by Cramer's rule, then one step at a time.
-AR = SPLIT + """,
+
+
+def _solved(name: str, rows: str, n: int) -> str:
+    """Least squares of y on the list x of n values, by series: sums of products, then elimination row by row."""
+    return f"""
+    {name}_sums AS (SELECT series, r, c, sum(x[r] * z[c]) AS v FROM (SELECT *, list_append(x, y) AS z FROM {rows}),
+                    (SELECT unnest(range(1, {n + 1})) AS r), (SELECT unnest(range(1, {n + 2})) AS c) GROUP BY 1, 2, 3),
+    {name}_rows AS (SELECT series, r, list(v ORDER BY c) AS v FROM {name}_sums GROUP BY 1, 2),
+    {name}_steps AS (
+      SELECT series, 1 AS k, list(v ORDER BY r) AS m FROM {name}_rows GROUP BY 1
+      UNION ALL
+      SELECT series, k + 1, list_transform(range(1, {n + 1}), lambda r: list_transform(range(1, {n + 2}), lambda c:
+        CASE WHEN r = k THEN m[k][c] / m[k][k] ELSE m[r][c] - m[r][k] * m[k][c] / m[k][k] END))
+      FROM {name}_steps WHERE k <= {n}),
+    {name} AS (SELECT series, list_transform(m, lambda v: v[{n + 1}]) AS b FROM {name}_steps WHERE k = {n + 1})"""
+
+
+# Seasonal autoregression with moving-average terms: a long autoregression, then one on three lags and two residuals, then a step at a time.
+AR = SPLIT + f""",
     n AS (SELECT series, date, demand, row_number() OVER (PARTITION BY series ORDER BY date) AS i FROM s WHERE NOT is_test),
     w AS (SELECT a.series, a.i, CAST(a.demand - b.demand - c.demand + e.demand AS DOUBLE) AS w
           FROM n a JOIN n b ON b.series = a.series AND b.i = a.i - 1 JOIN n c ON c.series = a.series AND c.i = a.i - 7
           JOIN n e ON e.series = a.series AND e.i = a.i - 8),
-    p AS (SELECT y.series, y.w AS y, a.w AS a, b.w AS b, c.w AS c FROM w y
-          JOIN w a ON a.series = y.series AND a.i = y.i - 1 JOIN w b ON b.series = y.series AND b.i = y.i - 7
-          JOIN w c ON c.series = y.series AND c.i = y.i - 8),
-    g AS (SELECT series, sum(a*a) AS aa, sum(a*b) AS ab, sum(a*c) AS ac, sum(b*b) AS bb, sum(b*c) AS bc, sum(c*c) AS cc,
-                 sum(a*y) AS ay, sum(b*y) AS yb, sum(c*y) AS cy FROM p GROUP BY 1),
-    k AS (SELECT *, aa*(bb*cc - bc*bc) - ab*(ab*cc - bc*ac) + ac*(ab*bc - bb*ac) AS det FROM g),
-    coef AS (SELECT series, (ay*(bb*cc - bc*bc) - ab*(yb*cc - bc*cy) + ac*(yb*bc - bb*cy)) / det AS u,
-                    (aa*(yb*cc - bc*cy) - ay*(ab*cc - bc*ac) + ac*(ab*cy - yb*ac)) / det AS v,
-                    (aa*(bb*cy - yb*bc) - ab*(ab*cy - yb*ac) + ay*(ab*bc - bb*ac)) / det AS x FROM k),
+    x1 AS (SELECT series, i, w AS y, [{", ".join(f"lag(w, {k}) OVER o" for k in range(1, 15))}] AS x FROM w
+           WINDOW o AS (PARTITION BY series ORDER BY i) QUALIFY lag(w, 14) OVER o IS NOT NULL),
+    {_solved("long_ar", "x1", 14)},
+    e AS (SELECT x1.series, i, y, x, y - list_sum(list_transform(range(1, 15), lambda j: x[j] * b[j])) AS e FROM x1 JOIN long_ar USING (series)),
+    x2 AS (SELECT series, i, y, [x[1], x[7], x[8], lag(e, 1) OVER o, lag(e, 7) OVER o] AS x FROM e
+           WINDOW o AS (PARTITION BY series ORDER BY i) QUALIFY lag(e, 7) OVER o IS NOT NULL),
+    {_solved("coef", "x2", 5)},
+    last AS (SELECT series, list(e ORDER BY i DESC)[1:7] AS e FROM e GROUP BY 1),
     step AS (
-      SELECT series, 0 AS h, list(CAST(demand AS DOUBLE) ORDER BY i DESC)[1:17] AS y FROM n GROUP BY 1
+      SELECT series, 0 AS h, list(CAST(demand AS DOUBLE) ORDER BY i DESC)[1:17] AS y, any_value(last.e) AS e FROM n JOIN last USING (series) GROUP BY 1
       UNION ALL
-      SELECT s.series, h + 1, list_prepend(
-        u * (y[1] - y[2] - y[8] + y[9]) + v * (y[7] - y[8] - y[14] + y[15]) + x * (y[8] - y[9] - y[15] + y[16]) + y[1] + y[7] - y[8],
-        y)[1:17]
+      SELECT s.series, h + 1, list_prepend(b[1] * (y[1] - y[2] - y[8] + y[9]) + b[2] * (y[7] - y[8] - y[14] + y[15])
+        + b[3] * (y[8] - y[9] - y[15] + y[16]) + b[4] * e[1] + b[5] * e[7] + y[1] + y[7] - y[8], y)[1:17], list_prepend(0e0, e)[1:7]
       FROM step s JOIN coef c ON c.series = s.series WHERE h < (SELECT max(k) FROM (SELECT count(*) AS k FROM s WHERE is_test GROUP BY series))),
     t AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS h FROM s WHERE is_test)
     SELECT t.series, t.date, 'Seasonal_AR' AS model, t.demand AS actual, half_up(y[1], 2) AS forecast, 'ok' AS status

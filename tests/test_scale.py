@@ -352,3 +352,25 @@ def test_running_total_refuses_negative_values(make):
 
     with pytest.raises(Exception, match="is negative"):
         running_total_desc(make("v long", (1,), (-1,)), "v", "run", "all").collect()
+
+
+def test_moving_average_terms_follow_shocks():
+    """Daily changes that are shocks, and part of the shock before: three lags alone miss what the residuals tell."""
+    rng = np.random.default_rng(4)
+    shocks = rng.normal(size=900)
+    w = shocks + 0.8 * np.r_[0, shocks[:-1]]
+    y = np.zeros(len(w) + 8)
+    for i, change in enumerate(w):
+        y[i + 8] = change + y[i + 7] + y[i + 1] - y[i]
+
+    def plain(y):
+        w = np.diff(y)
+        w = w[7:] - w[:-7]
+        past = np.stack([w[8 - k:len(w) - k] for k in (1, 7, 8)], axis=1)
+        weights = np.linalg.lstsq(past, w[8:], rcond=None)[0]
+        return y[-1] + y[-7] - y[-8] + sum(c * w[-k] for c, k in zip(weights, (1, 7, 8)))
+
+    cuts = range(700, 900)
+    errors = np.array([[extend_ar(y[:n], 1)["forecast"][0] - y[n], plain(y[:n]) - y[n]] for n in cuts])
+    mine, theirs = (errors**2).mean(axis=0)
+    assert mine < 0.9 * theirs
