@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.columns import cents, money, year_month
+from larder.functions.pin import scratch_path
 from larder.schemas import FILE_SCHEMAS, MONEY_COLUMNS
 from larder.sources.json_arrays import array_records
 
@@ -137,15 +139,76 @@ def write_json_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_table(df: DataFrame, name: str, by_month: str | None = None) -> None:
+def write_table(df: DataFrame, name: str, by_month: str | None = None, only_months: bool = False) -> None:
     """Replaces a catalog table, or a parquet folder if the name is a path.
 
+    The rows are written beside the old ones first: rows that can't be computed leave the old table as it was, and they
+    may come from the table itself. A folder is then swapped by renaming, a catalog table is written
+    from the finished rows, which are read back.
+
     ``by_month`` names a date column: files are then laid out by month, for pruned reads. The
-    rebalance hint evens out the files: small months merge, a heavy month is split over tasks.
+    rebalance hint evens out the files: small months merge, a heavy month is split over tasks. With
+    ``only_months``, months without new rows stay, and the others are replaced one by one at the commit.
     """
     if by_month:
         df = df.withColumn("sales_month", year_month(by_month)).hint("rebalance", "sales_month")
-    out = df.write.mode("overwrite").format("parquet")
-    if by_month:
-        out = out.partitionBy("sales_month")
-    out.save(name) if is_path(name) else out.saveAsTable(name)
+    elif only_months:
+        raise ValueError("only_months needs by_month")
+    spark = df.sparkSession
+    path = is_path(name)
+    there = _exists(spark, name) if path else spark.catalog.tableExists(name)
+    if only_months and there:
+        if path:
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sales_month").parquet(name)
+        else:
+            _insert_months(df, name)
+        return
+    beside = f"{name.rstrip('/')}_{uuid.uuid4().hex}" if path else scratch_path(spark, name)
+    parts = ["sales_month"] if by_month else []
+    try:
+        df.write.partitionBy(*parts).parquet(beside)
+        if path:
+            _swap(spark, beside, name)
+        else:
+            rows = spark.read.schema(df.schema).parquet(beside)
+            rows.write.format("parquet").mode("overwrite").partitionBy(*parts).saveAsTable(name)
+    finally:
+        files, at = _file_system(spark, beside)
+        files.delete(at, True)
+
+
+def _insert_months(df: DataFrame, name: str) -> None:
+    """Catalog tables take the mode from the session alone; its own setting comes back afterwards."""
+    conf, setting = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(setting)
+    conf.set(setting, "dynamic")
+    try:
+        df.select(*df.sparkSession.table(name).columns).write.mode("overwrite").insertInto(name)
+    finally:
+        conf.set(setting, before)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Two renames; the old folder is deleted only when the new one has its name, and comes back if that fails."""
+    files, at = _file_system(spark, path)
+    _, beside = _file_system(spark, new)
+    _, away = _file_system(spark, f"{new}_old")
+    had = files.exists(at)
+    if had and not files.rename(at, away):
+        raise OSError(f"{path} could not be moved")
+    if not files.rename(beside, at):
+        if had:
+            files.rename(away, at)
+        raise OSError(f"{new} could not be moved to {path}")
+    if had:
+        files.delete(away, True)

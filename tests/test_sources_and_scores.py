@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from larder.operators import forecast, models, profit
 from larder.sources import files
@@ -126,3 +127,38 @@ def test_point_in_time_median_looks_back_only(make):
 def test_scores_of_a_constant_are_zero(make):
     got = profit.standard_scores(make("a double, b double", (1.0, 2.0), (1.0, 4.0)), ["a", "b"]).collect()
     assert [(r.a, r.b) for r in got] == [(0.0, -1.0), (0.0, 1.0)]
+
+
+@pytest.fixture(params=["path", "table"])
+def place(request, spark, tmp_path):
+    name = str(tmp_path / "sold") if request.param == "path" else f"sold_{tmp_path.name.replace('-', '_')}"
+    yield name
+    if request.param == "table":
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def sold(make, *rows):
+    return make("date date, n long", *((date(2024, m, 1), n) for m, n in rows))
+
+
+def held(spark, place):
+    return sorted((r.date.month, r.n, str(r.sales_month)) for r in files.read_table(spark, place).collect())
+
+
+def test_failing_write_leaves_the_old_table(spark, make, place):
+    files.write_table(sold(make, (1, 10), (2, 20)), place, by_month="date")
+    before = held(spark, place)
+    bad = sold(make, (1, 1), (3, 3)).withColumn("n", F.when(F.col("n") == 3, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="stop"):
+        files.write_table(bad, place, by_month="date")
+    assert held(spark, place) == before == [(1, 10, "2024-01"), (2, 20, "2024-02")]
+
+
+def test_table_is_replaced_from_itself_and_month_by_month(spark, make, place):
+    files.write_table(sold(make, (1, 10), (2, 20)), place, by_month="date", only_months=True)  # the first write makes it
+    files.write_table(sold(make, (2, 21), (2, 22), (3, 30)), place, by_month="date", only_months=True)
+    assert held(spark, place) == [(1, 10, "2024-01"), (2, 21, "2024-02"), (2, 22, "2024-02"), (3, 30, "2024-03")]
+    files.write_table(files.read_table(spark, place).select("date", (F.col("n") * 2).alias("n")).filter("n > 40"), place, by_month="date")
+    assert held(spark, place) == [(2, 42, "2024-02"), (2, 44, "2024-02"), (3, 60, "2024-03")]
+    with pytest.raises(ValueError):
+        files.write_table(sold(make, (1, 1)), place, only_months=True)
