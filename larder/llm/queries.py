@@ -94,6 +94,34 @@ QUERIES = {
     "op13_setm": op13_setm,
 }
 ORACLE: dict[str, str] = {
+    "op2_winnowing": r"""
+        WITH texts AS (
+            SELECT 0 AS item, doc_id, '' AS item_id, text FROM documents UNION ALL SELECT 1, 0, item_id::VARCHAR, text FROM benchmark),
+        words AS (
+            SELECT item, doc_id, item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts),
+        marks AS (
+            SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS mark
+            FROM (SELECT *, least(len(w), 10) AS size FROM words WHERE item = 1 AND len(w) > 0)),
+        places AS (
+            SELECT doc_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: {'i': i, 'mark': array_to_string(w[i : i + size - 1], ' ')})) AS p
+            FROM words, (SELECT DISTINCT size FROM marks) WHERE item = 0),
+        met AS (SELECT doc_id, places.p.i AS i, places.size, item_id FROM places JOIN marks ON marks.size = places.size AND marks.mark = places.p.mark),
+        hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS spot FROM met) GROUP BY 1),
+        named AS (SELECT doc_id, list(DISTINCT item_id ORDER BY item_id) AS items FROM met GROUP BY 1)
+        SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+               sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words w LEFT JOIN hit ON hit.doc_id = w.doc_id LEFT JOIN named ON named.doc_id = w.doc_id WHERE item = 0""",
+    "op6_debruijn": r"""
+        WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        runs AS (
+            SELECT doc_id, p.i, p.mark FROM (
+                SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i: {'i': i, 'mark': md5(array_to_string(w[i : i + 49], ' '))})) AS p FROM words)),
+        late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY mark) AS one FROM runs) WHERE doc_id > one),
+        gone AS (SELECT doc_id, list(DISTINCT spot) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS spot FROM late) GROUP BY 1)
+        SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: w[i]), ' ')) AS kept_sha256
+        FROM words w LEFT JOIN gone ON gone.doc_id = w.doc_id""",
     "op11_spelling": r"""
         WITH RECURSIVE steps AS (
             SELECT list(list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
