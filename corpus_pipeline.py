@@ -20,8 +20,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike in 0.8 of their five-word shingles, the one of the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of documents linked by SimHash fingerprints of three-word shingles, two bits apart at most, the one of the smallest id stays.
+
+    Texts without a word share the fingerprint 0; of rows without an id, or repeated in full, one stays.
+    """
+    return simhash.keep_one(docs, shingle=3, radius=2, likeness=None)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
