@@ -147,24 +147,30 @@ def _name(kind: str, value: str, stream: Iterator[int]) -> str:
     return stem + ("" if kind == "surname" else ends[kind.removeprefix("given_")])
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """Canonical form of the replacement. Later attempts are other draws, longer ones after the eighth
-    where the format has room, so every value finds one of its own."""
+def surrogate(key: bytes, kind: str, value: str, attempt: int = 0, host_attempt: int = 0) -> str:
+    """Canonical form of the replacement. Later attempts are other draws, and from the ninth on longer
+    ones where the format has few values, so every value finds one of its own. Addresses of a full
+    private block move to the largest private block, and from the thirteenth attempt on to any.
+    ``host_attempt`` is that of an address's domain."""
     stream = _stream(key, kind, value, attempt)
     more = "".join(_digit(stream) for _ in range(max(0, attempt - 8)))
     if kind == "email":
         local, domain = value.split("@")
-        *labels, top = domain.split(".")
         # A domain keeps one replacement in all addresses.
-        host = ".".join(_like(x, _stream(key, "domain", x, 0)) if x not in ("example",) else x for x in labels)
-        return f"{_like(local, stream)}{more}@{host}.{top}"
+        return f"{_like(local, stream)}{more}@{surrogate(key, 'domain', domain, host_attempt)}"
+    if kind == "domain":
+        *labels, top = value.split(".")
+        host = [_like(x, _stream(key, "domain", x, attempt)) if x != "example" else x for x in labels]
+        return ".".join([*host[:-1], host[-1] + more, top])
     if kind == "ip":
         parts = value.split(".")
-        keep = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
+        if parts[:2] == ["192", "168"] and attempt >= 4:
+            parts[0] = "10"
+        keep = 0 if attempt >= 12 else 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
         return ".".join(parts[:keep] + [str(1 + (next(stream) * 256 + next(stream)) % 254) for _ in parts[keep:]])
     if kind == "phone":
         plain = "".join(_digit(stream, 2 if len(value) == 10 and i in (0, 3) else 0) for i in range(len(value)))
-        return value[: len(value) - 9] + plain[len(value) - 9 :] if len(value) > 10 else plain
+        return (value[: len(value) - 9] + plain[len(value) - 9 :] if len(value) > 10 else plain) + more
     if kind == "ssn":
         return _digit(stream, 1) + "".join(_digit(stream) for _ in range(8))
     if kind == "card":
@@ -180,14 +186,15 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     return _name(kind, value, stream) + ("" if not more else "".join(SYLLABLES["LATIN"][0][int(d)] for d in more))
 
 
-def fitted(original: str, kind: str, new: str) -> str:
-    """The replacement in the format of the text: digits go into its slots, names take its case."""
+def fitted(original: str, kind: str, new: str, surplus: int = 0) -> str:
+    """The replacement in the format of the text: digits go into its slots, ``surplus`` last ones behind
+    them, and names take its case."""
     if kind in ("phone", "card", "ssn"):
-        slots, digits = list(original), list(new)
+        slots, digits = list(original), list(new[: len(new) - surplus])
         for i in range(len(slots) - 1, -1, -1):
             if slots[i].isdigit() and digits:
                 slots[i] = digits.pop()
-        return "".join(slots)
+        return "".join(slots) + new[len(new) - surplus :]
     if kind == "iban":
         rest = iter(new)
         return "".join(c if c == " " else next(rest) for c in original)
@@ -201,10 +208,10 @@ def fitted(original: str, kind: str, new: str) -> str:
 def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None, spans: list[Entity] | None = None) -> tuple[str, list[Entity]]:
     """The text with its entities replaced, and what was found."""
     spans = entities(text) if spans is None else spans
-    parts, at = [], 0
+    parts, at, attempts = [], 0, attempts or {}
     for start, end, kind, value in spans:
-        new = surrogate(key, kind, value, (attempts or {}).get((kind, value), 0))
-        parts += [text[at:start], fitted(text[start:end], kind, new)]
+        new = surrogate(key, kind, value, attempts.get((kind, value), 0), attempts.get(("domain", value.rpartition("@")[2]), 0))
+        parts += [text[at:start], fitted(text[start:end], kind, new, len(new) - len(value) if kind == "phone" else 0)]
         at = end
     return "".join(parts) + text[at:], spans
 
@@ -228,6 +235,13 @@ def found_entities(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     return rows.mapInArrow(tidy(run), f"doc_id {type_}, row_key long, start long, end long, kind string, value string")
 
 
+def with_domains(values: DataFrame) -> DataFrame:
+    """``values`` and, as values of the kind ``domain``, the domains of addresses. Domains that stay as they are
+    (``example.com``) are left out: their addresses differ before the sign."""
+    domains = values.filter("kind = 'email'").withColumns({"kind": F.lit("domain"), "value": F.substring_index("value", "@", -1)})
+    return values.unionByName(domains.filter(~F.col("value").rlike(r"^(example\.)+[a-z]+$")))
+
+
 def collisions(values: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
     """``kind``, ``value`` and ``attempt`` of the values whose first replacement can't stay.
 
@@ -259,13 +273,13 @@ def anonymized(docs: DataFrame, key: bytes, id: str = "doc_id", text: str = "tex
 
     The same value has the same replacement in every document under the same ``key`` (coreference),
     two values of a kind never share one, and no replacement is a real value of its kind
-    (distinctness). Replacements are computed from the key alone; only the few values whose first draw
+    (distinctness); both hold for the domains of addresses as well. Replacements are computed from the key alone; only the few values whose first draw
     collides are looked up. Null and empty texts stay as they are; rows repeated in full, null ids
     and an empty table need nothing special. A column of ``docs`` named as ``count`` is an error.
     """
     if count in docs.columns:
         raise ValueError(f"the input has a column {count}")
-    spans = pinned(found_entities(docs, id, text))
+    spans = pinned(with_domains(found_entities(docs, id, text).select("doc_id", "row_key", "kind", "value")))
     moved = collisions(spans.select("kind", "value"), key)
     columns, place = docs.columns, docs.columns.index(text)
     inner = docs.select(F.struct("*").alias("__row"))

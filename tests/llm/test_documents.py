@@ -351,6 +351,29 @@ def test_surrogates_keep_type_format_and_identity(spark, none):
     assert surrogates.anonymized(none, b"k", count="n_new").count() == 0
 
 
+def test_full_blocks_of_values_still_settle(spark):
+    """More addresses of a private block than it has free ones, and more short numbers than their length has."""
+    addresses = [f"192.168.{i // 250 + 1}.{i % 250 + 1}" for i in range(40_000)]
+    numbers = [f"{i:05d}" for i in range(60_000)]
+    domains = [f"{a}{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    values = [("ip", x) for x in addresses] + [("phone", x) for x in numbers] + [("email", f"me@{x}") for x in domains]
+    rows = surrogates.with_domains(spark.createDataFrame(values, "kind string, value string"))
+    moved = {(r.kind, r.value): r.attempt for r in surrogates.collisions(rows, b"k").collect()}
+    for kind, own in ("ip", addresses), ("phone", numbers), ("domain", domains):
+        new = [surrogates.surrogate(b"k", kind, x, moved.get((kind, x), 0)) for x in own]
+        assert len({*new, *own}) == 2 * len(own)
+        assert all(surrogates.entities(f" {x} ") and surrogates.entities(f" {x} ")[0][2] == "ip" for x in new[:100]) or kind != "ip"
+
+
+def test_domains_keep_apart_and_longer_numbers_keep_their_format():
+    moved = {("domain", "ab.com"): 1, ("phone", "12345"): 11}
+    plain, _ = surrogates.replaced("a@ab.com, b@ab.com +1 23 45", b"k")
+    new, _ = surrogates.replaced("a@ab.com, b@ab.com +1 23 45", b"k", moved)
+    one, two = new.split(", ")
+    assert one.split("@")[1] == two.split(" ")[0].split("@")[1] != plain.split(", ")[0].split("@")[1]
+    assert re.fullmatch(r"\+\d \d\d \d{5}", two.split(" ", 1)[1])
+
+
 def test_values_never_share_a_surrogate(spark):
     values = [(f"{c}@example.com",) for c in "abcdefghijklmnopqrstuvwxyz"]
     rows = spark.createDataFrame([(i, f"mail {v[0]} now") for i, v in enumerate(values)] * 2, "doc_id long, text string")
