@@ -113,6 +113,16 @@ def test_parts_of_a_page(page, want):
     assert wrappers.main_text(page, None) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>&<b>lt;</b> x</p>", "&lt; x"),
+    ("<p>&#65<i>5</i></p>", "A5"),
+    ("<article><h2 id='share-price'>Share price</h2><p>It rose.</p><section id='search'><p>How search works</p></section></article>", "Share price\nIt rose.\nHow search works"),
+    ("<article><p class='notice-of-motion'>Moved.</p><div class='ad-slot'>Buy</div><ul class='social share-links'><li>Send</li></ul></article>", "Moved."),
+])
+def test_references_by_token_and_names_in_articles(page, want):
+    assert wrappers.main_text(page, None) == want
+
+
 def test_wrapper_of_a_host():
     def page(i):
         items = "".join(f"<li>item {i}{k}</li>" for k in range(2 + i % 3))
