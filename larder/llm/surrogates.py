@@ -238,8 +238,12 @@ def found_entities(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 def with_domains(values: DataFrame) -> DataFrame:
     """``values`` and, as values of the kind ``domain``, the domains of addresses. Domains that stay as they are
     (``example.com``) are left out: their addresses differ before the sign."""
-    domains = values.filter("kind = 'email'").withColumns({"kind": F.lit("domain"), "value": F.substring_index("value", "@", -1)})
-    return values.unionByName(domains.filter(~F.col("value").rlike(r"^(example\.)+[a-z]+$")))
+    own = F.struct("kind", "value")
+    host = F.substring_index("value", "@", -1)
+    both = F.array(own, F.struct(F.lit("domain").alias("kind"), host.alias("value")))
+    named = (F.col("kind") == "email") & ~host.rlike(r"^(example\.)+[a-z]+$")
+    rest = [c for c in values.columns if c not in ("kind", "value")]
+    return values.select(*rest, F.explode(F.when(named, both).otherwise(F.array(own))).alias("one")).select(*rest, "one.*")
 
 
 def collisions(values: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
