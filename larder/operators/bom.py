@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import money
+from larder.functions.pin import pinned
 from larder.plans.operator import Tables, operator
 
 
@@ -32,3 +33,43 @@ def bom_explosion(t: Tables, *, depth: int = 5, ordered: bool = True) -> DataFra
         F.round(F.col("total_quantity_needed") * money("unit_cost_cents"), 2).alias("component_cost_per_unit"),
     )
     return result.orderBy("root_product", "level", "component_sku") if ordered else result
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    """Every path without a repeated SKU but perhaps its last: ``path``, ``component_sku``, ``needed`` and ``closed``.
+
+    Each round extends only the paths that the round before found new, and is written to the checkpoint
+    folder; a path that meets itself is closed and goes no further, so the rounds end with the longest path.
+    """
+    edges = edges.select("parent_sku", "component_sku", F.col("quantity_per").cast("double").alias("quantity_per"))
+    closed = F.array_contains("path", F.col("component_sku")).alias("closed")
+    first = edges.select(F.array("parent_sku").alias("path"), "component_sku", F.col("quantity_per").alias("needed"))
+    new = pinned(first.select("*", closed))
+    found = new
+    while not (open_ends := new.filter("not closed")).isEmpty():
+        above = open_ends.select(F.concat("path", F.array("component_sku")).alias("path"), F.col("component_sku").alias("parent_sku"), "needed")
+        longer = above.join(edges, "parent_sku").select("path", "component_sku", (F.col("needed") * F.col("quantity_per")).alias("needed"))
+        new = pinned(longer.select("*", closed))
+        found = found.unionByName(new)
+    return found
+
+
+@operator(bom="parent_sku component_sku quantity_per")
+def bom_paths(t: Tables) -> DataFrame:
+    """``root_product``, ``component_sku``, ``level`` and ``total_quantity_needed`` of every path, however deep.
+
+    Edges with a null end, and edges that would close a cycle (see ``bom_cycles``), are on no path. An edge
+    that stands several times is that many paths, as in ``bom_explosion``.
+    """
+    edges = t["bom"].filter("parent_sku is not null and component_sku is not null")
+    return _walked(edges).filter("not closed").select(
+        F.element_at("path", 1).alias("root_product"), "component_sku", F.size("path").alias("level"), F.col("needed").alias("total_quantity_needed"))
+
+
+@operator(bom="parent_sku component_sku quantity_per")
+def bom_cycles(t: Tables) -> DataFrame:
+    """``cycle``, the SKUs of every cycle in order from the smallest one, and ``length``; each cycle once."""
+    edges = t["bom"].filter("parent_sku is not null and component_sku is not null")
+    once = edges.groupBy("parent_sku", "component_sku").agg(F.first("quantity_per").alias("quantity_per"))
+    round_trips = _walked(once).filter("closed").filter("component_sku = path[0] and path[0] = array_min(path)")
+    return round_trips.select(F.col("path").alias("cycle"), F.size("path").alias("length"))
