@@ -68,8 +68,8 @@ def bom_paths(t: Tables) -> DataFrame:
 
 @operator(bom="parent_sku component_sku quantity_per")
 def bom_cycles(t: Tables) -> DataFrame:
-    """``cycle``, the SKUs of every cycle in order from the smallest one, and ``length``; each cycle once."""
+    """``cycle``, the SKUs of every cycle in order from the smallest one (``a > b``), and ``length``; each cycle once."""
     edges = t["bom"].filter("parent_sku is not null and component_sku is not null")
     once = edges.groupBy("parent_sku", "component_sku").agg(F.first("quantity_per").alias("quantity_per"))
     round_trips = _walked(once).filter("closed").filter("component_sku = path[0] and path[0] = array_min(path)")
-    return round_trips.select(F.col("path").alias("cycle"), F.size("path").alias("length"))
+    return round_trips.select(F.array_join("path", " > ").alias("cycle"), F.size("path").alias("length"))

@@ -162,6 +162,8 @@ QUERIES: dict[str, Query] = {
     "stockout_root_cause_bounded": on_star(service.stockout_root_cause, mode="bounded"),
     "warehouse_efficiency": on_star(service.warehouse_efficiency),
     "bom_explosion": on_star(bom.bom_explosion),
+    "bom_paths": on_star(bom.bom_paths),
+    "bom_cycles": on_star(bom.bom_cycles),
     "executive_kpis": on_star(kpi.executive_kpis),
     "executive_kpis_corrected": on_star(kpi.executive_kpis, mode="corrected"),
     # Sources and sinks

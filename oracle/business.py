@@ -156,6 +156,22 @@ SQL = {
                CASE WHEN pct < 50 THEN 'Underutilized - Consolidation Candidate'
                     WHEN pct > 90 THEN 'Over Capacity - Expansion Needed' ELSE 'Optimal Utilization' END AS efficiency_status
         FROM u""", "warehouse_master", "current_inventory"),
+    "bom_paths": q("""
+        WITH RECURSIVE w AS (
+          SELECT [parent_sku] AS path, component_sku AS part, CAST(quantity_per AS DOUBLE) AS need, parent_sku = component_sku AS closed FROM bom
+          UNION ALL
+          SELECT list_append(path, part), component_sku, need * quantity_per, list_contains(list_append(path, part), component_sku)
+          FROM w JOIN bom ON parent_sku = part WHERE NOT closed)
+        SELECT path[1] AS root_product, part AS component_sku, CAST(len(path) AS INTEGER) AS level, need AS total_quantity_needed
+        FROM w WHERE NOT closed""", "bom"),
+    "bom_cycles": q("""
+        WITH RECURSIVE w AS (
+          SELECT [parent_sku] AS path, component_sku AS part, CAST(quantity_per AS DOUBLE) AS need, parent_sku = component_sku AS closed FROM bom
+          UNION ALL
+          SELECT list_append(path, part), component_sku, need * quantity_per, list_contains(list_append(path, part), component_sku)
+          FROM w JOIN bom ON parent_sku = part WHERE NOT closed)
+        SELECT DISTINCT array_to_string(path, ' > ') AS cycle, CAST(len(path) AS INTEGER) AS length
+        FROM w WHERE closed AND part = path[1] AND path[1] = list_min(path)""", "bom"),
     "bom_explosion": q("""
         WITH RECURSIVE x AS (
           SELECT parent_sku AS root, component_sku AS comp, 1 AS level, CAST(quantity_per AS DOUBLE) AS need FROM bom
