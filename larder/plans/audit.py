@@ -1,39 +1,105 @@
-"""Runs named queries one after the other and keeps a log of rows, columns, seconds and status."""
+"""Runs named queries side by side and keeps a log of rows, columns, seconds and status."""
 
 from __future__ import annotations
 
 import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Mapping
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from larder.sources.files import write_csv
 
 LOG = "query_name string, rows_returned bigint, columns int, execution_time_sec double, status string"
+POLL_SEC = 0.02
+GRACE_SEC = 10.0  # for a cancelled query to end; one that hangs outside Spark's jobs is left behind
 
 
-def query_audit(spark: SparkSession, queries: Mapping[str, Callable[[], DataFrame]], folder: str | None = None) -> DataFrame:
-    """One log row per query. A query that fails is logged and the run goes on.
+class _Run:
+    """One query in a thread and a job group of its own."""
 
-    Results go to CSV under ``folder``, or are computed and dropped without one. Rows are counted
-    while they are written, so no query runs twice.
-    """
-    log = []
-    for name, build in queries.items():
-        start = time.monotonic()
+    def __init__(self, spark: SparkSession, name: str, build: Callable[[], DataFrame], path: str | None):
+        self.name, self.group = name, f"audit-{name}-{uuid.uuid4().hex}"
+        self.entry: tuple[int, int, str] | None = None
+        self.seconds = 0.0
+        self._spark, self._build, self._path = spark, build, path
+        self._stopped = False
+        self._thread = InheritableThread(target=self._work, session=spark, daemon=True)
+        self._start = time.monotonic()
+        self._thread.start()
+
+    def _work(self) -> None:
+        # Interrupting task threads could hurt file clients, so tasks end at their next check.
+        self._spark.sparkContext.setJobGroup(self.group, self.name, interruptOnCancel=False)
+        self._spark.sparkContext.setLocalProperty("spark.scheduler.pool", self.group)
         try:
             seen = Observation()
-            df = build()
+            df = self._build()
+            if self._stopped:  # cancelled between two jobs: nothing is written late
+                return
             counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-            if folder:
-                write_csv(counted, f"{folder.rstrip('/')}/{name}")
+            if self._path:
+                write_csv(counted, self._path)
             else:
                 counted.write.format("noop").mode("overwrite").save()
             entry = (seen.get["rows"], len(df.columns), "SUCCESS")
         except Exception as error:
             entry = (0, 0, f"FAILED: {str(error) or type(error).__name__}")
-        log.append((name, entry[0], entry[1], round(time.monotonic() - start, 2), entry[2]))
+        if not self._stopped:
+            self.seconds = time.monotonic() - self._start
+            self.entry = entry
+
+    def ended(self, limit_sec: float | None) -> bool:
+        if not self._thread.is_alive():
+            return True
+        if limit_sec is None or time.monotonic() - self._start <= limit_sec:
+            return False
+        self._stopped = True
+        if self.entry is not None:  # it ended in this very moment
+            return True
+        until = time.monotonic() + GRACE_SEC
+        while self._thread.is_alive() and time.monotonic() < until:  # a query may start another job after the first is gone
+            self._spark.sparkContext.cancelJobGroup(self.group)
+            self._thread.join(0.1)
+        self.seconds = time.monotonic() - self._start
+        self.entry = (0, 0, f"FAILED: stopped after {limit_sec:g} seconds")
+        return True
+
+    def cancel(self) -> None:
+        self._stopped = True
+        self._spark.sparkContext.cancelJobGroup(self.group)
+
+
+def query_audit(spark: SparkSession, queries: Mapping[str, Callable[[], DataFrame]], folder: str | None = None, *,
+                at_once: int = 4, limit_sec: float | None = None) -> DataFrame:
+    """One log row per query, in the order given. A query that fails is logged and the run goes on.
+
+    Up to ``at_once`` queries run side by side, each in its own job group, so small ones fill the
+    executors that a large one's last tasks leave idle; in a session with ``spark.scheduler.mode`` FAIR they
+    share the cores evenly, else the first one comes first. One that takes more than ``limit_sec`` is
+    cancelled and logged as failed; its time counts from its own start. Results go to CSV under
+    ``folder``, or are computed and dropped without one. Rows are counted while they are written, so no query runs twice.
+    """
+    if at_once < 1:
+        raise ValueError("at_once must be at least 1")
+    waiting, active, done = deque(queries.items()), [], {}
+    try:
+        while waiting or active:
+            while waiting and len(active) < at_once:
+                name, build = waiting.popleft()
+                active.append(_Run(spark, name, build, f"{folder.rstrip('/')}/{name}" if folder else None))
+            for run in list(active):
+                if run.ended(limit_sec):
+                    active.remove(run)
+                    done[run.name] = run
+            time.sleep(POLL_SEC)
+    finally:
+        for run in active:  # the audit itself was interrupted
+            run.cancel()
+    log = [(name, run.entry[0], run.entry[1], round(run.seconds, 2), run.entry[2]) for name, run in ((n, done[n]) for n in queries)]
     return spark.createDataFrame(log, LOG)
 
 
