@@ -89,26 +89,74 @@ def extend_ar(y: np.ndarray, steps: int, season: int = SEASON) -> dict[str, np.n
     return {"forecast": np.array(values[len(y):])}
 
 
-def fit_waves(train: pd.DataFrame, test: pd.DataFrame, weekly: int, yearly: int, z: float) -> dict[str, np.ndarray]:
+def fit_waves(train: pd.DataFrame, test: pd.DataFrame, weekly: int, yearly: int, z: float,
+              breaks: int = 25) -> dict[str, np.ndarray]:
+    """Log demand on a line that may bend, and on weekly and yearly waves, with a band of ``z`` deviations.
+
+    ``breaks`` places spread evenly over the first four fifths of the days may each change the slope. The sum of the
+    absolute changes is penalised, so most of them stay zero; the last slope goes on into the forecast.
+    """
     if len(train) < 4 * SEASON:
         return {}
     start = pd.Timestamp(train["date"].iloc[0])
 
-    def design(frame: pd.DataFrame) -> np.ndarray:
-        days = (pd.to_datetime(frame["date"]) - start).dt.days.to_numpy(float)
+    def years(frame: pd.DataFrame) -> np.ndarray:
+        return (pd.to_datetime(frame["date"]) - start).dt.days.to_numpy(float) / 365.25
+
+    def design(t: np.ndarray) -> np.ndarray:
         waves = [(k, SEASON) for k in range(1, weekly + 1)] + [(k, 365.25) for k in range(1, yearly + 1)]
-        turns = [2 * np.pi * k * days / period for k, period in waves]
-        return np.column_stack([np.ones_like(days), days / 365.25, *map(np.sin, turns), *map(np.cos, turns)])
+        turns = [2 * np.pi * k * 365.25 * t / period for k, period in waves]
+        return np.column_stack([np.ones_like(t), t, *map(np.sin, turns), *map(np.cos, turns)])
 
-    x, y = design(train), np.log1p(train["demand"].to_numpy(float))
+    t, ahead = years(train), years(test)
+    places = t[0] + (t[-1] - t[0]) * 0.8 * np.arange(1, breaks + 1) / (breaks + 1)
+
+    def bends(at: np.ndarray) -> np.ndarray:
+        return np.maximum(at[:, None] - places[None, :], 0.0)
+
+    x, h, y = design(t), bends(t), np.log1p(train["demand"].to_numpy(float))
     ridge = 1e-3 * len(y) * np.diag([0.0, 0.0] + [1e-2] * (x.shape[1] - 2))
-    weights = np.linalg.solve(x.T @ x + ridge, x.T @ y)
-    spread = z * np.std(y - x @ weights)
-    middle = design(test) @ weights
+    # The line and the waves are solved for in closed form, so only the bends are left to search.
+    solved = np.linalg.solve(x.T @ x + ridge, x.T @ np.column_stack([y, h]))
+    left_y, left_h = y - x @ solved[:, 0], h - x @ solved[:, 1:]
+    changes = sparse_weights(h.T @ left_h, h.T @ left_y, noise(left_y))
+    weights = solved[:, 0] - solved[:, 1:] @ changes
+    spread = z * np.std(left_y - left_h @ changes)
+    middle = design(ahead) @ weights + bends(ahead) @ changes
     return {"forecast": np.expm1(middle), "forecast_lower": np.expm1(middle - spread),
             "forecast_upper": np.expm1(middle + spread)}
 
 
+def noise(values: np.ndarray) -> float:
+    """Deviation of the noise from steps between neighbours, which a slow drift hardly moves; of normal
+    values the median step is 0.6745 times the square root of two deviations."""
+    return float(np.median(np.abs(np.diff(values)))) / (0.6745 * np.sqrt(2.0))
+
+
+def sparse_weights(gram: np.ndarray, target: np.ndarray, sigma: float, rounds: int = 1000, close: float = 1e-6) -> np.ndarray:
+    """Weights of the least squares with a penalty on their absolute sum, one coordinate after the other.
+
+    ``gram`` and ``target`` are sums of products. The penalty of a column is what noise of deviation ``sigma`` alone
+    would hardly reach in any of them, so a series without a break keeps zeros.
+    """
+    size = np.sqrt(np.clip(np.diag(gram), 0.0, None))
+    penalty = sigma * np.sqrt(2.0 * np.log(max(len(target), 2))) * size
+    weights, gradient = np.zeros(len(target)), target.astype(float).copy()
+    for _ in range(rounds):
+        moved = 0.0
+        for j in np.flatnonzero(size > 1e-12):
+            pull = gradient[j] + gram[j, j] * weights[j]
+            new = np.sign(pull) * max(abs(pull) - penalty[j], 0.0) / gram[j, j]
+            step = new - weights[j]
+            if step:
+                gradient -= gram[:, j] * step
+                weights[j] = new
+                moved = max(moved, abs(step) * size[j])
+        if moved <= close * max(sigma, 1e-9):
+            break
+    return weights
+
+
 def match_group(min_days: int, top: int | None) -> Callable[..., pd.DataFrame]:
     """Pairs in a group (of one block, or across two) that share more than ``min_days`` of the days given, with
     the quantities of both on those days; the ``top`` best pairs if given, by days and then by id."""

@@ -128,7 +128,7 @@ def seasonal_ar_fit(season: int = SEASON) -> Fit:
 
 
 def waves_fit(weekly: int = 3, yearly: int = 10, level: float = 0.8) -> Fit:
-    """Log demand on a trend and weekly and yearly waves, with a band around the forecast."""
+    """Log demand on a trend that may break, and weekly and yearly waves, with a band around the forecast."""
     z = NormalDist().inv_cdf((1 + level) / 2)
     return lambda train, test: fit_waves(train, test, weekly, yearly, z)
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from datetime import date, timedelta
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from larder.functions.kernels import common_days, extend_ar, fit_waves, match_group, smooth, smoothing_pass
+from larder.functions.kernels import common_days, extend_ar, fit_waves, match_group, smooth, smoothing_pass, sparse_weights
 from larder.operators import demand, forecast, models, profit, service
 from larder.plans.audit import audit_summary, query_audit
 from larder.sources.star import StarViews
@@ -374,3 +375,77 @@ def test_moving_average_terms_follow_shocks():
     errors = np.array([[extend_ar(y[:n], 1)["forecast"][0] - y[n], plain(y[:n]) - y[n]] for n in cuts])
     mine, theirs = (errors**2).mean(axis=0)
     assert mine < 0.9 * theirs
+
+
+def test_audit_runs_side_by_side_and_stops_what_hangs(spark, tmp_path):
+    import threading
+
+    both = threading.Barrier(2, timeout=30)  # passes only if two queries are built at the same time
+
+    def met():
+        both.wait()
+        return spark.range(4)
+
+    def sleeping(parts):
+        import time
+
+        for part in parts:
+            time.sleep(600)
+            yield part
+
+    def hanging():
+        return spark.range(0, 2, 1, 2).mapInPandas(sleeping, "id long")
+
+    log = query_audit(spark, {"one": met, "stuck": hanging, "two": met, "last": lambda: spark.range(7)}, str(tmp_path), at_once=3, limit_sec=15)
+    rows = log.collect()
+    assert [r.query_name for r in rows] == ["one", "stuck", "two", "last"]
+    assert [(r.rows_returned, r.status) for r in rows if r.query_name != "stuck"] == [(4, "SUCCESS"), (4, "SUCCESS"), (7, "SUCCESS")]
+    assert rows[1].status == "FAILED: stopped after 15 seconds" and rows[1].rows_returned == 0
+    assert spark.range(3).count() == 3  # the session's own jobs are in no cancelled group
+    with pytest.raises(ValueError):
+        query_audit(spark, {}, at_once=0)
+    assert query_audit(spark, {}).count() == 0
+
+
+def broken_trend(days, bend=None, seed=3):
+    t = np.arange(days)
+    slope = 0.004 * t if bend is None else 0.004 * np.minimum(t, bend) - 0.002 * np.maximum(t - bend, 0)
+    wave = 0.2 * np.sin(2 * np.pi * t / 7)
+    demand = np.expm1(4 + slope + wave + np.random.default_rng(seed).normal(0, 0.05, days))
+    return pd.DataFrame({"date": pd.date_range("2022-01-01", periods=days).date, "demand": demand})
+
+
+def test_a_broken_trend_is_followed():
+    frame = broken_trend(500, 250)
+    train, test = frame[:440], frame[440:]
+    real = test["demand"].to_numpy()
+    error = {n: np.abs(fit_waves(train, test, 3, 0, 1.28, n)["forecast"] / real - 1).mean() for n in (0, 25)}
+    assert error[25] < 0.15 and error[25] < error[0] / 3
+    made = fit_waves(train, test, 3, 0, 1.28, 25)
+    assert np.all(made["forecast_lower"] < made["forecast"]) and np.all(made["forecast"] < made["forecast_upper"])
+
+
+def test_the_band_holds_its_share_and_a_straight_trend_keeps_its_line():
+    inside = []
+    for seed in range(20):
+        frame = broken_trend(400, None, seed)
+        made = fit_waves(frame[:370], frame[370:], 3, 0, NormalDist().inv_cdf(0.9), 25)
+        real = frame["demand"].to_numpy()[370:]
+        inside.append(np.mean((made["forecast_lower"] <= real) & (real <= made["forecast_upper"])))
+    assert 0.7 <= np.mean(inside) <= 0.9  # of 0.8
+    line = [fit_waves(f[:370], f[370:], 3, 0, 1.28, n)["forecast"] for f in (broken_trend(400),) for n in (0, 25)]
+    assert np.abs(line[1] / line[0] - 1).max() < 0.05
+
+
+def test_sparse_weights_meet_their_conditions():
+    rng = np.random.default_rng(5)
+    h, sigma = rng.normal(size=(200, 12)), 0.5
+    y = h @ np.array([3.0, 0, 0, -2.0] + [0] * 8) + rng.normal(0, sigma, 200)
+    gram, target = h.T @ h, h.T @ y
+    weights = sparse_weights(gram, target, sigma)
+    penalty = sigma * np.sqrt(2 * np.log(12)) * np.sqrt(np.diag(gram))
+    left = target - gram @ weights
+    kept = weights != 0
+    assert kept[[0, 3]].all() and kept.sum() < 6
+    assert np.allclose(left[kept], np.sign(weights[kept]) * penalty[kept], atol=1e-3) and np.all(np.abs(left[~kept]) <= penalty[~kept] + 1e-6)
+    assert not sparse_weights(np.zeros((3, 3)), np.zeros(3), 1.0).any()
