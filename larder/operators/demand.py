@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions import labels
-from larder.functions.columns import banded, money, monday_week, ratio, squares, stddev_pop_exact, sunday_weekday
+from larder.functions.columns import banded, money, monday_week, ratio, stddev_pop_exact, sunday_weekday
 from larder.functions.kernels import match_group
 from larder.functions.pin import pinned
 from larder.operators.inventory import months_back
 from larder.plans.operator import Tables, operator
+from larder.sources.summary import instead, measures, merged, since
 
 
 def trailing_mean(name: str, rows: int, *partition: str, by: str) -> Column:
@@ -51,15 +52,19 @@ def seasonal_decomposition(t: Tables, *, short: int = 7, long: int = 30, ordered
     return result.orderBy("sale_date") if ordered else result
 
 
-@operator(sales="date sku_id quantity_fulfilled", sku_master="sku_id product_name category")
+@operator(
+    instead=instead("date sku_id sales_rows fulfilled_rows quantity_fulfilled fulfilled_squares fulfilled_min fulfilled_max"),
+    sales="date sku_id quantity_fulfilled",
+    sku_master="sku_id product_name category",
+)
 def demand_volatility(t: Tables, *, as_of: date, lookback_months: int = 12, ordered: bool = True) -> DataFrame:
     """Mean, spread and coefficient of variation of the sold quantity per SKU."""
-    qty = F.col("quantity_fulfilled")
+    recent = measures(since(t["sales"], months_back(as_of, lookback_months)))
     stats = (
-        t["sales"].filter(F.col("date") >= months_back(as_of, lookback_months)).groupBy("sku_id")
-        .agg(F.count(qty).alias("n"), F.sum(qty).alias("total"), squares(qty).alias("squares"),
-             F.min(qty).alias("min_demand"), F.max(qty).alias("max_demand"),
-             F.count(F.lit(1)).alias("num_transactions"))
+        recent.groupBy("sku_id")
+        .agg(*merged("fulfilled_rows", "quantity_fulfilled", "fulfilled_squares", "fulfilled_min", "fulfilled_max", "sales_rows"))
+        .withColumnsRenamed({"fulfilled_rows": "n", "quantity_fulfilled": "total", "fulfilled_squares": "squares",
+                             "fulfilled_min": "min_demand", "fulfilled_max": "max_demand", "sales_rows": "num_transactions"})
         .withColumns({"mean": ratio("total", "n"), "sd": stddev_pop_exact("n", "total", "squares")})
         .withColumn("cv", F.try_divide(F.col("sd"), F.col("mean")) * 100)
     )

@@ -11,6 +11,7 @@ from larder.functions import labels
 from larder.functions.columns import banded, money, percent, ratio
 from larder.functions.running import running_total_desc
 from larder.plans.operator import Tables, operator
+from larder.sources.summary import instead, since
 
 
 def months_back(as_of: date, months: int) -> Column:
@@ -55,6 +56,7 @@ def abc_classification(t: Tables, *, a_cut: float = 80, b_cut: float = 95,
 
 
 @operator(
+    instead=instead("date sku_id quantity_fulfilled"),
     sales="date sku_id quantity_fulfilled",
     sku_master="sku_id product_name category unit_cost_cents",
     warehouse_master="warehouse_id warehouse_name",
@@ -68,7 +70,7 @@ def inventory_turnover(t: Tables, *, as_of: date, lookback_months: int = 12,
     splits it by stock value instead.
     """
     sold = (
-        t["sales"].filter(F.col("date") >= months_back(as_of, lookback_months))
+        since(t["sales"], months_back(as_of, lookback_months))
         .groupBy("sku_id").agg(F.sum("quantity_fulfilled").alias("sold"))
     )
     stock = (
@@ -97,6 +99,7 @@ def inventory_turnover(t: Tables, *, as_of: date, lookback_months: int = 12,
 
 
 @operator(
+    instead=instead("date sku_id quantity_fulfilled"),
     sales="date sku_id quantity_fulfilled",
     sku_master="sku_id product_name category unit_cost_cents carrying_cost_rate",
 )
@@ -104,7 +107,7 @@ def eoq_sql(t: Tables, *, as_of: date, lookback_months: int = 12,
             order_cost: int = labels.ORDER_COST, ordered: bool = True) -> DataFrame:
     """Economic order quantity per SKU from the demand of the look-back."""
     demand = (
-        t["sales"].filter(F.col("date") >= months_back(as_of, lookback_months))
+        since(t["sales"], months_back(as_of, lookback_months))
         .groupBy("sku_id").agg(F.sum("quantity_fulfilled").alias("annual_units_sold"))
         .filter(F.col("annual_units_sold") > 0)
     )
@@ -129,6 +132,7 @@ def order_quantities(rows: DataFrame, order_cost: int, ordered: bool = True) ->
 
 
 @operator(
+    instead=instead("date sku_id quantity_fulfilled"),
     sales="date sku_id quantity_fulfilled",
     sku_master="sku_id product_name category",
     current_inventory="sku_id warehouse_id quantity_on_hand total_value_cents",
@@ -137,7 +141,7 @@ def slow_moving_inventory(t: Tables, *, as_of: date, lookback_days: int = 90,
                           ordered: bool = True) -> DataFrame:
     """Days of stock per SKU and warehouse from recent sales, and whether it is slow or dead."""
     recent = (
-        t["sales"].filter(F.col("date") >= F.date_sub(F.lit(as_of), lookback_days))
+        since(t["sales"], F.date_sub(F.lit(as_of), lookback_days))
         .groupBy("sku_id")
         .agg(F.max("date").alias("last_sale_date"), F.sum("quantity_fulfilled").alias("sold"))
     )

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from larder.functions.columns import money, percent, plain_number
 from larder.operators.inventory import months_back
 from larder.plans.operator import Tables, operator
+from larder.sources.summary import instead, measures, since
 
 
 @operator(
+    instead=instead("date sku_id sales_rows quantity_ordered quantity_fulfilled backorder_rows"),
     sales="date sku_id quantity_ordered quantity_fulfilled backorder_quantity",
     sku_master="sku_id unit_cost_cents",
     current_inventory="sku_id quantity_on_hand total_value_cents",
@@ -33,10 +35,10 @@ def executive_kpis(t: Tables, *, as_of: date, mode: str = "reference", turnover_
         return F.sum(F.when(in_service, column))
 
     sold = (
-        t["sales"].filter(day >= months_back(as_of, max(turnover_months, service_months))).groupBy("sku_id")
+        measures(since(t["sales"], months_back(as_of, max(turnover_months, service_months)))).groupBy("sku_id")
         .agg(F.sum(F.when(in_turnover, F.col("quantity_fulfilled"))).alias("sold"),
              recent(F.col("quantity_fulfilled")).alias("filled"), recent(F.col("quantity_ordered")).alias("wanted"),
-             F.count_if(in_service & (F.col("backorder_quantity") > 0)).alias("stockouts"))
+             F.coalesce(recent(F.col("backorder_rows")), F.lit(0)).alias("stockouts"))
     )
     stock = t["current_inventory"].groupBy("sku_id").agg(
         F.count(F.lit(1)).alias("warehouses"), F.sum("quantity_on_hand").alias("on_hand"),

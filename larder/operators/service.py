@@ -11,25 +11,24 @@ from larder.functions import labels
 from larder.functions.columns import banded, money, percent, ratio
 from larder.operators.inventory import months_back
 from larder.plans.operator import Tables, operator
+from larder.sources.summary import instead, measures, merged, since
 
 
 @operator(
+    instead=instead("date sku_id sales_rows quantity_ordered quantity_fulfilled backorder_quantity short_rows"),
     sales="date sku_id quantity_ordered quantity_fulfilled backorder_quantity",
     sku_master="sku_id product_name category unit_price_cents",
 )
 def fill_rate_analysis(t: Tables, *, as_of: date, lookback_months: int | None = 6, min_orders: int = 10,
                        ordered: bool = True) -> DataFrame:
     """Fill rate, stockouts, lost revenue and service level per SKU; ``None`` looks at all dates."""
-    sales = t["sales"]
-    if lookback_months is not None:
-        sales = sales.filter(F.col("date") >= months_back(as_of, lookback_months))
-    per_sku = sales.groupBy("sku_id").agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.sum("quantity_ordered").alias("total_units_ordered"),
-        F.sum("quantity_fulfilled").alias("total_units_fulfilled"),
-        F.sum("backorder_quantity").alias("total_backorders"),
-        F.count_if(F.col("quantity_fulfilled") < F.col("quantity_ordered")).alias("num_stockout_events"),
-    ).filter(F.col("total_orders") > min_orders)
+    sales = t["sales"] if lookback_months is None else since(t["sales"], months_back(as_of, lookback_months))
+    per_sku = measures(sales).groupBy("sku_id").agg(
+        *merged("sales_rows", "quantity_ordered", "quantity_fulfilled", "backorder_quantity", "short_rows"),
+    ).withColumnsRenamed({
+        "sales_rows": "total_orders", "quantity_ordered": "total_units_ordered", "quantity_fulfilled": "total_units_fulfilled",
+        "backorder_quantity": "total_backorders", "short_rows": "num_stockout_events",
+    }).filter(F.col("total_orders") > min_orders)
     fill = percent("total_units_fulfilled", "total_units_ordered", None)
     result = per_sku.join(t["sku_master"], "sku_id").select(
         "sku_id", "product_name", "category", "total_orders", "total_units_ordered", "total_units_fulfilled",

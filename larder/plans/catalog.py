@@ -15,7 +15,7 @@ from larder.functions.columns import month_start
 from larder.functions.pin import scratch_path
 from larder.plans.audit import query_audit
 from larder.plans.operator import Operator
-from larder.sources import files
+from larder.sources import files, summary
 from larder.sources.star import ALL_COLUMNS, StarViews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,14 @@ def table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sales_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales by SKU and day, written by month and read back."""
+    path = scratch_path(spark, "sales_summary")
+    summary.write_sales_summary(StarViews(spark, folder).table("sales", summary.READS), path)
+    rows = summary.read_sales_summary(spark, path)
+    return rows.withColumn(summary.MONTH, F.col(summary.MONTH).cast("string"))
+
+
 def result_as_csv(spark: SparkSession, folder: str) -> DataFrame:
     """A result written as CSV and read back by its own schema."""
     result = QUERIES["monthly_sales_trends"](spark, folder)
@@ -177,6 +185,7 @@ QUERIES: dict[str, Query] = {
     "parse_dates": parsed_dates,
     "inventory_transactions": stock_movements,
     "query_audit": audited,
+    "sales_summary": sales_summary,
     "report_kv": on_star(explore.report_kv),
     # Exploratory figures
     "data_quality": quality_of_all_tables,

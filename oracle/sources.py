@@ -38,6 +38,15 @@ SQL = {
         UNION ALL SELECT 'Average Order Value', format('${:,.2f}', mean) FROM s
         UNION ALL SELECT 'Date Range', a || ' to ' || b FROM s""", "sales"),
 }
+SQL["sales_summary"] = q("""
+    SELECT sku_id, date, count(*) AS sales_rows, count(quantity_fulfilled) AS fulfilled_rows,
+           CAST(sum(quantity_ordered) AS BIGINT) AS quantity_ordered, CAST(sum(quantity_fulfilled) AS BIGINT) AS quantity_fulfilled,
+           CAST(sum(quantity_fulfilled * quantity_fulfilled) AS BIGINT) AS fulfilled_squares,
+           CAST(sum(backorder_quantity) AS BIGINT) AS backorder_quantity,
+           count(*) FILTER (backorder_quantity > 0) AS backorder_rows, count(*) FILTER (quantity_fulfilled < quantity_ordered) AS short_rows,
+           CAST(min(quantity_fulfilled) AS BIGINT) AS fulfilled_min, CAST(max(quantity_fulfilled) AS BIGINT) AS fulfilled_max,
+           strftime(date, '%Y-%m') AS sales_month
+    FROM sales GROUP BY sku_id, date""", "sales")
 SQL["inventory_transactions"] = q("""
     SELECT warehouse_id, transaction_type, CAST(date_trunc('month', transaction_date) AS DATE) AS month, count(*) AS transactions,
            CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(total_value_cents) AS BIGINT) AS value_cents

@@ -102,7 +102,7 @@ def test_results_do_not_depend_on_partitions(spark, name):
 MODEL_QUERIES = {"profit_classifier", "classifier_metrics", "class_report", "feature_importance", "profit_regressor",
                  "regressor_metrics", "risk_alerts", "alert_actions", "high_risk_count"}
 WRITING = {"query_audit", "read_csv", "read_json_records", "read_json_arrays", "write_table", "read_table", "write_csv",
-           "write_json_records"}
+           "write_json_records", "sales_summary"}
 
 
 def plan_of(df):
