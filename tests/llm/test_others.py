@@ -169,6 +169,58 @@ def test_template_texts_are_counted_over_all_pages(spark):
     assert got[229] == "Story 99 goes on\nAn odd foot"
 
 
+def shop_page(i, n=None):
+    """No article element, and class names that no list has."""
+    story = [f"Paragraph {k} of story {i} goes on for a while." for k in range(n or 2 + i % 3)]
+    teasers = "".join(f"<div class=q7><p>Teaser {i} {k}</p></div>" for k in range(2))
+    body = (f"<body><div class=k1><p>My site</p><ul><li>Home<li>About</ul></div><div class=k2>{teasers}</div>"
+            f"<div class=k3><h1>Story {i}</h1><p>By staff</p>{''.join(f'<p>{s}</p>' for s in story)}<p>All rights reserved</p></div><div class=k4>Imprint</div></body>")
+    return body, "\n".join([f"Story {i}", *story])
+
+
+def test_pages_without_article_and_known_names(spark, monkeypatch):
+    pages = [shop_page(i) for i in range(30)] + [shop_page(30, 400)]
+    rows = [(i, f"http://shop.example/{i}", html) for i, (html, _) in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extracted(table).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(pages)}
+    found = wrappers.infer([html for html, _ in pages[:8]])
+    assert found["place"] == "/body/div.k3" and [wrappers.main_text(html, found) for html, _ in pages] == [want for _, want in pages]
+    monkeypatch.setattr(wrappers, "aligned", lambda one, two: [])
+    blind = wrappers.infer([html for html, _ in pages[:8]])
+    assert all(wrappers.main_text(html, blind) != want for html, want in pages)
+
+
+def test_a_slot_is_content_though_its_text_is_common():
+    def page(i):
+        mood = "calm" if i % 10 else "stormy"  # nine of ten pages agree, at a place where pages differ
+        return f"<body><article><h1>Report {i}</h1><p>Mood</p><div class=m><p>{mood}</p></div><p>Written {i}</p></article></body>"
+
+    marks = {wrappers.mark_of("/body/article/p", "Mood"), wrappers.mark_of("/body/article/div.m/p", "calm")}
+    found = wrappers.infer([page(i) for i in range(3, 11)], marks) | {"marks": marks}
+    assert wrappers.main_text(page(25), found) == "Report 25\ncalm\nWritten 25"
+    assert wrappers.main_text(page(20), found) == "Report 20\nstormy\nWritten 20"
+
+
+def test_a_group_that_stands_once_is_matched_with_its_repeats():
+    def page(i, n):
+        return "<body><div class=x><ul>" + "".join(f"<li>item {i} {k}</li>" for k in range(n)) + "<li>more</li></ul><p>Body</p></div></body>"
+
+    found = wrappers.infer([page(i, 1 + i % 4) for i in range(8)])
+    assert any(k[0] == "(" and n == 8 for k, _, n in found["nodes"])
+    once = wrappers.folded(wrappers.parse(page(9, 0))[0], found["groups"])
+    assert [k for k, _ in once if k[0] == "("] == ["(<li #/body/div.x/ul/li </li)+"]
+    assert wrappers.main_text(page(9, 2), found) == "item 9 0\nitem 9 1"
+
+
+def test_a_very_long_page_is_read_whole(spark):
+    body = "".join(f"<p>part {k}</p><h2>head {k}</h2><div class=c{k % 7}>x{k}</div>" for k in range(5000))
+    html_ = f"<body><div class=top>My site</div><div class=x>{body}</div></body>"
+    rows = [(1, "http://a.example/1", html_), (2, "http://a.example/2", html_.replace("part 17<", "part y<")), (3, "http://a.example/3", "<p>short</p>")]
+    got = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "short" and got[1].count("\n") >= 14_999 - 1 and "part y" in got[2] and "x4999" in got[2]
+
+
 # Vectors
 
 
