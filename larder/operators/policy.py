@@ -172,9 +172,10 @@ def policy_summary(t: Tables, *, as_of: date, mode: str = "reference", service_l
                                         for c in ("eoq", "reorder_point", "safety_stock")),
         F.sum("total_annual_cost").alias("total"),
     )
+    # Sums of decimals do not depend on the order of partitions: a total may lie on half a cent.
     saved = compared(t, mode, **params).agg(
-        F.sum("current_carrying_cost").alias("current"), F.sum("optimized_carrying_cost").alias("optimized"),
-        F.sum("potential_savings").alias("savings"),
+        *(F.sum(F.col(c).cast("decimal(28,6)")).alias(name) for c, name in (
+            ("current_carrying_cost", "current"), ("optimized_carrying_cost", "optimized"), ("potential_savings", "savings"))),
     )
     top = key_values(
         means,
@@ -185,8 +186,8 @@ def policy_summary(t: Tables, *, as_of: date, mode: str = "reference", service_l
     )
     return top.unionByName(key_values(
         saved,
-        Current_Annual_Carrying_Cost=dollars(F.col("current")),
-        Optimized_Annual_Carrying_Cost=dollars(F.col("optimized")),
-        Potential_Annual_Savings=dollars(F.col("savings")),
+        Current_Annual_Carrying_Cost=dollars(F.round("current", 2).cast("double")),
+        Optimized_Annual_Carrying_Cost=dollars(F.round("optimized", 2).cast("double")),
+        Potential_Annual_Savings=dollars(F.round("savings", 2).cast("double")),
         Cost_Reduction_Percentage=with_percent(percent("savings", "current", None), 1),
     ))

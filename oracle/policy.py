@@ -93,7 +93,8 @@ SQL = {
     "policy_summary": q(_compared("reference") + """,
         a AS (SELECT count(*) AS n, avg(eoq) AS e, avg(reorder_point) AS r, avg(safety_stock) AS s,
                      sum(total_annual_cost) AS t FROM policy),
-        b AS (SELECT sum(cur) AS c, sum(opt) AS o, sum(cur - opt) AS d FROM cmp)
+        x AS (SELECT sum(CAST(cur AS DECIMAL(28,6))) AS c, sum(CAST(opt AS DECIMAL(28,6))) AS o, sum(CAST(cur - opt AS DECIMAL(28,6))) AS d FROM cmp),
+        b AS (SELECT CAST(round(c, 2) AS DOUBLE) AS c, CAST(round(o, 2) AS DOUBLE) AS o, CAST(round(d, 2) AS DOUBLE) AS d FROM x)
         SELECT 'Analysis Date' AS metric, '2001-11-05' AS value
         UNION ALL SELECT 'SKUs Analyzed', CAST(n AS VARCHAR) FROM a
         UNION ALL SELECT 'Target Service Level', '95%'
