@@ -14,7 +14,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from larder.functions.kernels import common_days, extend_ar, fit_waves, match_group, smooth, smoothing_pass, sparse_weights
+from larder.functions.kernels import best_pairs, common_days, extend_ar, fit_waves, match_group, smooth, smoothing_pass, sparse_weights
 from larder.operators import demand, forecast, models, profit, service
 from larder.plans.audit import audit_summary, query_audit
 from larder.sources.star import StarViews
@@ -67,6 +67,32 @@ def test_match_keeps_exactly_the_best():
     assert got.qty_a.tolist() == [0] * 5 and got.qty_b.tolist() == [20 * j for j in range(1, 6)]
 
 
+def test_skus_meet_by_blocks_not_by_days(make):
+    listed = make("sku_id long, days array<int>, quantities array<long>", *((k, list(range(40)), [1] * 40) for k in range(60)))
+    groups = {}
+    for r in demand.dealt(listed, 4).select("sku_id", "block", "left", "right").collect():
+        groups.setdefault((r.left, r.right), {})[r.sku_id] = r.block
+    assert sum(map(len, groups.values())) == 60 * 4  # once a block, however many days
+    met = Counter(p for (a, b), own in groups.items() for p in combinations(sorted(own), 2) if a == b or own[p[0]] != own[p[1]])
+    assert len(met) == 60 * 59 / 2 and set(met.values()) == {1}
+
+
+@pytest.mark.parametrize("share", [0.02, 0.9])
+def test_best_pairs_drop_nothing_that_is_among_the_best(monkeypatch, share):
+    monkeypatch.setattr("larder.functions.kernels.HELD", 10)
+    rng = np.random.default_rng(3)
+    days = [np.flatnonzero(rng.random(300) < share) for _ in range(80)]
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in days])])
+    every = np.arange(80)
+    for left, right in ((every, every), (every[::2], every[1::2])):
+        both = {(min(i, j), max(i, j)) for i in left.tolist() for j in right.tolist() if i != j}
+        counts = [(-len(np.intersect1d(days[i], days[j])), i, j) for i, j in both]
+        want = sorted(c for c in counts if c[0] < 0)
+        for top in (7, None):
+            i, j, n = best_pairs(starts, np.concatenate(days), 300, left, left if left is right else right, 0, top)
+            assert sorted(zip((-n).tolist(), i.tolist(), j.tolist())) == want[:top]
+
+
 def test_hot_sku_root_cause_equals_brute_force(make):
     data, sales = hot_sales(make)
     rng = random.Random(3)
