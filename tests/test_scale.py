@@ -14,7 +14,9 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from larder.functions.kernels import best_pairs, common_days, extend_ar, fit_waves, match_group, smooth, smoothing_pass, sparse_weights
+from larder.functions.kernels import (
+    best_pairs, common_days, extend_ar, fit_waves, match_group, smooth, smooth_all, smoothing_pass, sparse_weights, waves_all,
+)
 from larder.operators import demand, forecast, models, profit, service
 from larder.plans.audit import audit_summary, query_audit
 from larder.sources.star import StarViews
@@ -475,3 +477,51 @@ def test_sparse_weights_meet_their_conditions():
     assert kept[[0, 3]].all() and kept.sum() < 6
     assert np.allclose(left[kept], np.sign(weights[kept]) * penalty[kept], atol=1e-3) and np.all(np.abs(left[~kept]) <= penalty[~kept] + 1e-6)
     assert not sparse_weights(np.zeros((3, 3)), np.zeros(3), 1.0).any()
+
+
+def test_series_fitted_side_by_side_equal_those_fitted_alone():
+    rng = np.random.default_rng(5)
+    ys = [rng.poisson(3, n).astype(float) for n in (5, 200, 120, 14, 121)]
+    for y, made in zip(ys, smooth_all(ys, [9] * 5)):
+        alone = smooth(y, 9)
+        assert made.keys() == alone.keys() and all(np.allclose(made[c], alone[c], rtol=1e-12) for c in made)
+    given = [(np.arange(len(y)), y, len(y) + np.arange(9)) for y in ys]
+    for one, made in zip(given, waves_all(given, 3, 3, 1.28)):
+        alone = waves_all([one], 3, 3, 1.28)[0]
+        assert made.keys() == alone.keys() and all(np.allclose(made[c], alone[c], rtol=1e-9) for c in made)
+
+
+def sparse_sales(make):
+    days = {"a": (0, 3, 200, 210), "b": (5, 12), "c": (0, 100, 130, 131, 139, 190)}
+    rows = [(START + timedelta(d), s, "x", d + 1, 100 * d) for s, own in days.items() for d in own]
+    return days, {"sales": make("date date, sku_id string, category string, quantity_fulfilled long, revenue_cents long", *rows)}
+
+
+def test_plain_forecasts_fill_only_the_days_they_read(make):
+    days, t = sparse_sales(make)
+    filled = forecast.demand_series(t["sales"], "sku_id", True, newest=20)
+    assert {(r.series, r.date) for r in filled.collect()} == {
+        (s, START + timedelta(d)) for s, own in days.items() for d in range(max(own[0], own[-1] - 19), own[-1] + 1)}
+    whole = forecast.split(forecast.demand_series(t["sales"], "sku_id", True), 60)
+    want = {tuple(r) for r in forecast.plain(whole, forecast.PLAIN).collect()}
+    got = {tuple(r) for r in forecast.forecast(t, models=forecast.BASELINES, by="sku_id", holdout_days=60, fill=True).collect()}
+    assert got == want and len(got) == 3 * (60 + 8 + 60)
+
+
+def test_fits_fill_empty_days_and_agree_with_plain_forecasts(make):
+    _, t = sparse_sales(make)
+    for fill in (True, False):
+        models = [*forecast.BASELINES, forecast.SMOOTHING]
+        got = forecast.forecast(t, models=models, by="sku_id", holdout_days=60, fill=fill).collect()
+        plain = forecast.forecast(t, models=forecast.BASELINES, by="sku_id", holdout_days=60, fill=fill).collect()
+        assert sorted(map(str, (r for r in got if r.model != forecast.SMOOTHING))) == sorted(map(str, plain))
+        assert {r.status for r in got if r.series == "b"} == {"series too short"}
+
+
+def test_days_are_sorted_before_empty_ones_are_added(make):
+    days, t = sparse_sales(make)
+    filled = forecast.daily_demand(t, by="sku_id", fill=True)
+    assert [(r.series, r.date) for r in filled.collect()] == [
+        (s, START + timedelta(d)) for s, own in days.items() for d in range(own[0], own[-1] + 1)]
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Sort [")  # the tree is printed from the result down
