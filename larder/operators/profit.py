@@ -44,23 +44,33 @@ def month_away(column: str, months: int) -> Column:
 
 
 def monthly(t: Tables, by: str | None = None) -> DataFrame:
-    """Month sums and profit per entity.
+    """Month sums and profit per entity."""
+    return _named(_monthly(t, by))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("entity", F.col("entity").cast("string"))
 
-    Sales shrink to one row per SKU and month before they meet the SKU's cost, so the join is on
-    the small side of the aggregation and a hot SKU is summed map-side.
+
+def _monthly(t: Tables, by: str | None = None) -> DataFrame:
+    """``monthly`` with the entity as it stands in sales, not yet as text.
+
+    SKUs shrink to a row per month before they meet their cost, so a hot SKU is summed map-side; their key stays
+    a bare column, so that a shuffle by SKU serves the join, both sums and the windows. A SKU and month is hardly ever
+    more than a sale, so for wider entities each sale meets its cost and is summed map-side to the entity's months.
     """
-    entity = F.lit("ALL") if by is None else F.col(by).cast("string")
+    entity = F.lit("ALL") if by is None else F.col(by)
     price, lost = F.col("unit_price_cents"), F.col("backorder_quantity")
-    sums = t["sales"].groupBy("sku_id", entity.alias("entity"), month_start("date").alias("year_month")).agg(
-        *(F.sum(c).alias(c) for c in ("revenue_cents", "quantity_fulfilled", "quantity_ordered", "backorder_quantity")),
-        F.sum(lost * price).alias("stockout_cents"), F.sum(price).alias("prices"), F.count(price).alias("priced"),
-        F.count(F.lit(1)).alias("rows"),
-    )
+    whole = ("revenue_cents", "quantity_fulfilled", "quantity_ordered", "backorder_quantity", "stockout_cents", "prices", "priced", "rows")
+    sums = t["sales"].select(
+        "sku_id", entity.alias("entity"), month_start("date").alias("year_month"), *whole[:4], (lost * price).alias("stockout_cents"),
+        price.alias("prices"), price.isNotNull().cast("long").alias("priced"), F.lit(1).cast("long").alias("rows"))
+    if by == "sku_id":
+        sums = sums.groupBy("sku_id", "entity", "year_month").agg(*(F.sum(c).alias(c) for c in whole))
     cost = F.col("unit_cost_cents")
     goods = F.col("quantity_fulfilled") * cost
     rows = sums.join(t["sku_master"], "sku_id", "left").groupBy("entity", "year_month").agg(
-        *(F.sum(c).alias(c) for c in ("revenue_cents", "quantity_fulfilled", "quantity_ordered", "backorder_quantity",
-                                      "stockout_cents", "prices", "priced")),
+        *(F.sum(c).alias(c) for c in whole[:-1]),
         F.sum(goods).alias("cogs_cents"), F.sum(cost * F.col("rows")).alias("costs"),
         F.sum(F.when(cost.isNotNull(), F.col("rows"))).alias("costed"),
         rounded(F.sum(goods * F.col("carrying_cost_rate") / 12) / 100).alias("carrying_cost"),
@@ -83,22 +93,41 @@ def monthly(t: Tables, by: str | None = None) -> DataFrame:
     })
 
 
-def add_lags(rows: DataFrame, lags: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    return rows.withColumns({f"{name}_lag_{k}": month_away(c, -k) for k in lags for c, name in LAGGED.items()})
+def lags_of(lags: tuple[int, ...] = (1, 2, 3)) -> dict[str, Column]:
+    return {f"{name}_lag_{k}": month_away(c, -k) for k in lags for c, name in LAGGED.items()}
 
 
-def add_rolling(rows: DataFrame, size: int = 3) -> DataFrame:
+def rolling_of(size: int = 3) -> dict[str, Column]:
     number = F.year("year_month") * 12 + F.month("year_month")
     w = Window.partitionBy("entity").orderBy(number).rangeBetween(1 - size, 0)  # calendar months, of those with a row
-    return rows.withColumns({f"{name}_rolling_{size}m": F.round(F.avg(c).over(w), 6) for c, name in ROLLED.items()})
+    return {f"{name}_rolling_{size}m": F.avg(c).over(w) for c, name in ROLLED.items()}
+
+
+def before_of() -> dict[str, Column]:
+    return {f"_{name}_before": month_away(c, -1) for c, name in CHANGED.items()}
+
+
+def changes_from_before() -> dict[str, Column]:
+    return {f"{name}_mom_change": F.round(F.try_divide(F.col(c) - F.col(f"_{name}_before"), F.col(f"_{name}_before")) * 100, 6)
+            for c, name in CHANGED.items()}
+
+
+def targets_of(horizon: int = 3) -> dict[str, Column]:
+    return {name: month_away(c, horizon) for c, name in TARGETS.items()}
+
+
+def add_lags(rows: DataFrame, lags: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    return rows.withColumns(lags_of(lags))
+
+
+def add_rolling(rows: DataFrame, size: int = 3) -> DataFrame:
+    means = rolling_of(size)
+    return rows.withColumns(means).withColumns({c: F.round(c, 6) for c in means})
 
 
 def add_changes(rows: DataFrame) -> DataFrame:
-    before = {c: month_away(c, -1) for c in CHANGED}
-    return rows.withColumns({
-        f"{name}_mom_change": F.round(F.try_divide(F.col(c) - before[c], before[c]) * 100, 6)
-        for c, name in CHANGED.items()
-    })
+    before = before_of()
+    return rows.withColumns(before).withColumns(changes_from_before()).drop(*before)
 
 
 def add_calendar(rows: DataFrame) -> DataFrame:
@@ -113,10 +142,14 @@ def add_cost_ratios(rows: DataFrame) -> DataFrame:
     })
 
 
-def add_risk_flags(rows: DataFrame, point_in_time: bool = False) -> DataFrame:
-    """``point_in_time`` takes the median of the months so far, not of all months."""
+def median_stockout(point_in_time: bool = False) -> Column:
     entity = months_of().rowsBetween(Window.unboundedPreceding, 0) if point_in_time else Window.partitionBy("entity")
-    median = F.percentile("stockout_cost", F.lit(0.5)).over(entity)
+    return F.percentile("stockout_cost", F.lit(0.5)).over(entity)
+
+
+def add_risk_flags(rows: DataFrame, point_in_time: bool = False, median: Column | None = None) -> DataFrame:
+    """``point_in_time`` takes the median of the months so far, not of all months. ``median`` is it, if it is known."""
+    median = median_stockout(point_in_time) if median is None else median
 
     def flag(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False)).cast("int")
@@ -134,17 +167,21 @@ TARGETS = {"operating_profit": "target_profit", "is_profitable": "target_is_prof
 def features(t: Tables, by: str | None = None, point_in_time: bool = False, horizon: int | None = None) -> DataFrame:
     """All features, and with ``horizon`` the targets (NULL where that month has no row); months that
     lack any feature are dropped."""
-    rows = monthly(t, by)
-    if horizon is not None:
-        rows = with_target(rows, horizon)
-    for step in (add_lags, add_rolling, add_changes, add_calendar, add_cost_ratios):
+    rows = _monthly(t, by)
+    targets = targets_of(horizon) if horizon is not None else {}
+    lags, means, before = lags_of(), rolling_of(), before_of()
+    # Windows in one step, so that they share one sort; months without all lags go before anything is rounded.
+    rows = rows.withColumns({**targets, **lags, **means, **before, "_median": median_stockout(point_in_time)}).na.drop("any", subset=list(lags))
+    rows = rows.withColumns({c: F.round(c, 6) for c in means}).withColumns(changes_from_before()).drop(*before)
+    for step in (add_calendar, add_cost_ratios):
         rows = rows.transform(step)
-    return add_risk_flags(rows, point_in_time).na.drop("any", subset=[c for c in rows.columns if c not in TARGETS.values()])
+    rows = add_risk_flags(rows, median=F.col("_median")).drop("_median")
+    return _named(rows.na.drop("any", subset=[c for c in rows.columns if c not in TARGETS.values()]))
 
 
 def with_target(rows: DataFrame, horizon: int = 3) -> DataFrame:
     """Profit and its sign ``horizon`` calendar months later."""
-    return rows.withColumns({name: month_away(c, horizon) for c, name in TARGETS.items()})
+    return rows.withColumns(targets_of(horizon))
 
 
 def labelled(t: Tables, by: str | None = None, horizon: int = 3, point_in_time: bool = False) -> DataFrame:
