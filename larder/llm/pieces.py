@@ -22,7 +22,7 @@ from larder.llm.batches import keyed, mapped, texts_of, tidy
 
 SPACE = "▁"  # fixed value of the format: stands for a blank
 NONE = np.iinfo("i4").max
-CHARS = 1 << 18  # characters indexed at once; one longer unit is indexed alone
+CHARS = 1 << 19  # characters indexed at once; one longer unit is indexed alone
 CACHED = 75_000  # units after which a task forgets those that it has not met again; they are encoded anew, with equal results
 SLICE = 1 << 20  # bytes of text whose units are indexed together
 UNIT = re.compile(" *[^ ]+| +")
@@ -103,8 +103,7 @@ class Searcher:
         pieces = np.arange(len(self.ids)) if pieces is None else pieces
         padded = np.concatenate([text, np.zeros(self.longest, "u4")])
 
-        def search(lo: np.ndarray, upper: bool) -> np.ndarray:
-            lo, hi = lo.copy(), np.full(len(pieces), len(order), "i8")
+        def search(lo: np.ndarray, hi: np.ndarray, upper: bool) -> np.ndarray:
             while (open_ := np.flatnonzero(lo < hi)).size:
                 mid = (lo[open_] + hi[open_]) // 2
                 below = self._before(padded, order[mid], pieces[open_], upper)
@@ -112,8 +111,12 @@ class Searcher:
                 hi[open_[~below]] = mid[~below]
             return lo
 
-        first = search(np.zeros(len(pieces), "i8"), False)
-        return first, search(first, True)
+        first = search(np.zeros(len(pieces), "i8"), np.full(len(pieces), len(order), "i8"), False)
+        # A piece that the suffix at its place does not begin with occurs nowhere, so its end is its beginning.
+        end, inside = first.copy(), np.flatnonzero(first < len(order))
+        inside = inside[self._before(padded, order[first[inside]], pieces[inside], True)]
+        end[inside] = len(order)
+        return first, search(first.copy(), end, True)
 
     def _before(self, padded: np.ndarray, at: np.ndarray, piece: np.ndarray, upper: bool) -> np.ndarray:
         """Whether the suffix stands before the piece, or, with ``upper``, before or at it."""
