@@ -9,6 +9,8 @@ one anchor hash have to be looked into.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,7 +22,7 @@ from larder.functions.pin import stored
 from larder.llm.batches import keyed, mapped, slices, small_batches, texts_of, tidy
 from larder.llm.winnow import BASE, _powers, hash_filter, mix
 
-PART = 1 << 22  # units whose windows are searched at once
+PART = 1 << 15  # units hashed or searched at once: their arrays stay in a core's cache
 SLICE = 1 << 20  # bytes of text held at once; the arrays over them take about a hundred times as much
 FILTER_BITS = 26  # the filters that thin out rows before a join have 2**26 bits (8 MB), however large the input
 KEYS = ["anchor", "d1", "d2"]
@@ -40,41 +42,56 @@ class Units:
             self.start, self.end = turn[::2], turn[1::2]
             limits = np.cumsum([len(t) + 1 for t in texts], dtype="i8") if texts else np.zeros(0, "i8")
             self.first = np.concatenate([[0], np.searchsorted(self.start, limits)]).astype("i8")
-            sums = _sums(codes.astype("u8") + np.uint64(1))
-            back = _powers(pow(BASE, -1, 2**64), len(codes) + 1)
-            self.hash = mix((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype("u8"))
+            sums, (_, back) = _sums(codes), _tables(PART)
+            far = _powers(pow(BASE, -PART, 2**64), len(codes) // PART + 1)
+            self.hash = sums[self.end] - sums[self.start]
+            self.hash *= back[self.start % PART] * far[self.start // PART]
+            self.hash += (self.end - self.start).astype("u8")
+            self.hash = mix(self.hash)
         else:
             self.data = b"".join(texts)
             self.start = self.end = None
             self.first = np.cumsum([0, *map(len, texts)], dtype="i8")
-            self.hash = np.frombuffer(self.data, "u1").astype("u8") + np.uint64(1)
+            self.hash = np.frombuffer(self.data, "u1")
 
     def slice(self, a: int, b: int) -> bytes:
         """Units a to b as bytes."""
         return self.data[a:b] if self.start is None else self.data[self.start[a] : self.end[b - 1]] if b > a else b""
 
     def grams(self, size: int) -> np.ndarray:
-        n = len(self.hash) - size + 1
-        if n <= 0:
-            return np.zeros(0, "u8")
-        sums = _sums(self.hash)
-        return mix((sums[size:] - sums[:n]) * _powers(pow(BASE, -1, 2**64), n))
+        n = max(len(self.hash) - size + 1, 0)
+        out = np.empty(n, "u8")
+        powers, back = _tables(PART + size)
+        for a in range(0, n, PART):
+            b = min(a + PART, n)
+            values = self.hash[a : b + size - 1].astype("u8")
+            if self.start is None:  # a zero byte must not be as good as none
+                values += np.uint64(1)
+            values *= powers[: len(values)]
+            sums = np.cumsum(values)
+            part = out[a:b]
+            part[0] = sums[size - 1]
+            np.subtract(sums[size:], sums[: b - a - 1], out=part[1:])
+            part *= back[: b - a]
+            part[:] = mix(part)
+        return out
 
     def chunks(self, span: int, gram: int) -> tuple[np.ndarray, ...]:
         """Text, first and last start of a run (as units of all texts), anchor hash, and units from the
         first start to the anchor, of each chunk."""
         counts = np.maximum(np.diff(self.first) - span + 1, 0)
-        total = int(counts.sum())
-        if not total:
+        if not counts.sum():
             none = np.zeros(0, "i8")
             return none, none, none, none.view("u8"), none
         grams = self.grams(gram)
-        at = _least(grams, span - gram + 1)
-        text = np.repeat(np.arange(len(counts)), counts)
-        begin = np.arange(total) + np.repeat(self.first[:-1] - (np.cumsum(counts) - counts), counts)
-        place = at[begin]
-        cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
-        return text[cut], begin[cut], begin[np.r_[cut[1:], total] - 1], grams[place[cut]], place[cut] - begin[cut]
+        at, turns = _least(grams, span - gram + 1)
+        # A chunk begins with a new anchor or a new text, and ends where its text has no further run.
+        some = np.flatnonzero(counts)
+        cut = np.unique(np.concatenate([turns, self.first[some], self.first[some] + counts[some]]))
+        text = np.searchsorted(self.first, cut, "right") - 1
+        inside = np.flatnonzero(cut - self.first[text] < np.r_[counts, 0][text])
+        lo, place = cut[inside], at[cut[inside]]
+        return text[inside], lo, cut[inside + 1] - 1, grams[place], place - lo
 
     def digests(self, lo: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """128-bit digests of units lo to stop, two signed longs each."""
@@ -83,27 +100,47 @@ class Units:
         return np.frombuffer(b"".join([digest(data[x:y]) for x, y in zip(a.tolist(), b.tolist())]), ">i8").reshape(-1, 2).astype("i8")
 
 
-def _sums(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, "u8")
-    np.cumsum(values * _powers(BASE, len(values)), out=out[1:])
+@lru_cache(maxsize=4)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    return _powers(BASE, n), _powers(pow(BASE, -1, 2**64), n)
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    """Sums of the bytes, each by the power of its place, up to every byte."""
+    out = np.zeros(len(codes) + 1, "u8")
+    powers, _ = _tables(PART)
+    far = _powers(pow(BASE, PART, 2**64), len(codes) // PART + 1)
+    for i, a in enumerate(range(0, len(codes), PART)):
+        values = codes[a : a + PART].astype("u8") + np.uint64(1)
+        values *= powers[: len(values)]
+        values *= far[i]
+        part = out[a + 1 : a + 1 + len(values)]
+        np.cumsum(values, out=part)
+        part += out[a]
     return out
 
 
-def _least(grams: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first least hash in every window of ``width`` hashes."""
-    n = len(grams) - width + 1
-    out = np.empty(max(n, 0), "i8")
+def _least(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first least hash in every window of ``width`` hashes, and the windows whose place
+    is not the one before's."""
+    n = max(len(grams) - width + 1, 0)
+    out = np.empty(n, "i8")
     for a in range(0, n, PART):
         b = min(a + PART, n)
         part = grams[a : b + width - 1]
-        pad = -len(part) % width
         # The place stands below the upper 40 bits, so the least key is the first least hash.
-        keys = (part & ~np.uint64(0xFFFFFF)) | np.arange(len(part), dtype="u8")
-        keys = np.concatenate([keys, np.full(pad, np.iinfo("u8").max)]).reshape(-1, width)
-        ahead = np.minimum.accumulate(keys, axis=1).ravel()
-        behind = np.minimum.accumulate(keys[:, ::-1], axis=1)[:, ::-1].ravel()
-        out[a:b] = a + (np.minimum(behind[: b - a], ahead[width - 1 : width - 1 + b - a]) & np.uint64(0xFFFFFF)).astype("i8")
-    return out
+        keys = part & ~np.uint64(0xFFFFFF)
+        keys |= np.arange(len(part), dtype="u8")
+        reach = 1
+        while 2 * reach <= width:
+            keys = np.minimum(keys[:-reach], keys[reach:])
+            reach *= 2
+        rest = width - reach
+        keys = np.minimum(keys[: b - a], keys[rest : rest + b - a])
+        keys &= np.uint64(0xFFFFFF)
+        np.add(keys.view("i8"), a, out=out[a:b])
+    return out, np.flatnonzero(np.r_[True, out[1:] != out[:-1]])
 
 
 def tested(bits: np.ndarray, values: np.ndarray, size: int = FILTER_BITS) -> np.ndarray:

@@ -23,8 +23,8 @@ from larder.llm.anchors import KEYS, merged  # by name: modules do not travel to
 from larder.llm.batches import runs_of_groups, texts_of, tidy
 
 SPAN, GRAM = 200, 32  # bytes of a repeated string, bytes of a hashed k-gram
-STRIDE = 4  # bytes in a symbol of the transform; divides SPAN
-SHARD, BATCH = 1 << 16, 1 << 20  # bytes sorted on their own, bytes merged in one go
+STRIDE = 8  # bytes in a symbol of the transform, at most
+SHARD, BATCH = 1 << 16, 1 << 18  # bytes sorted on their own, bytes merged in one go: a few shards, whose arrays stay in a core's cache
 RANGES = 8  # of places of the anchor in a string, for the test before the merge
 FULLER = 16_384  # unlike chunks of one anchor that a task takes; a hotter anchor is split by place
 
@@ -33,39 +33,54 @@ class Rotations:
     """Texts as cyclic strings with an end mark, in symbols of ``stride`` bytes."""
 
     def __init__(self, texts: list[bytes], stride: int):
-        data = np.frombuffer(b"\0".join(texts) + b"\0", "u1").astype("u4")
+        kinds, data = np.unique(np.frombuffer(b"\0".join(texts) + b"\0", "u1"), return_inverse=True)
+        kinds = len(kinds) + 1
         ends = np.cumsum([len(t) + 1 for t in texts])
         starts = np.r_[0, ends[:-1]]
-        data += 1
+        data = data.astype("u4") + np.uint32(1)
         data[ends - 1] = 0
         self.ends, self.starts = ends, starts
         self.step = np.arange(1, len(data) + 1, dtype="i4")  # the place after each, around its text
         self.step[ends - 1] = starts
-        packed, at = np.zeros(len(data), "u8"), np.arange(len(data), dtype="i4")
-        for _ in range(stride):
-            packed = packed * np.uint64(257) + data[at]
+        packed, at, most = data.astype("u8"), self.step, kinds
+        for _ in range(stride - 1):
+            if most * kinds > 2**64:  # ranks do as well, and take fewer bits
+                _, packed = np.unique(packed, return_inverse=True)
+                packed, most = packed.astype("u8"), len(packed)
+            packed, most = packed * np.uint64(kinds) + data[at], most * kinds
             at = self.step[at]
-        _, self.symbol = np.unique(packed, return_inverse=True)
-        if self.symbol.max(initial=0) < 2**16:
-            self.symbol = self.symbol.astype("u2")  # sorted by radix
+        _, symbol = np.unique(packed, return_inverse=True)
+        self.symbol = symbol.astype("u2" if symbol.max(initial=0) < 2**16 else "u4")
         self.ahead = at  # the place one symbol on
         self.back = np.empty_like(at)
         self.back[at] = np.arange(len(at), dtype="i4")
 
 
+def by_rank(rank: np.ndarray) -> np.ndarray:
+    """A stable order of ranks below 2**32, by radix: two bytes, or twice two."""
+    if rank.dtype == "u2":
+        return np.argsort(rank, kind="stable")
+    low = np.argsort(rank.astype("u2"), kind="stable")  # the lower two bytes
+    return low[np.argsort((rank >> np.uint32(16)).astype("u2")[low], kind="stable")]
+
+
 def shard_order(text: Rotations, places: np.ndarray, stride: int, span: int) -> np.ndarray:
     """Rotations of one shard by their first ``span`` bytes at least, by doubling."""
-    low = int(places[0])
-    rank, after, reach = text.symbol[places].astype("i8"), text.ahead[places] - low, stride
-    order = np.argsort(rank, kind="stable")
+    low, size = int(places[0]), len(places)
+    rank, after, reach = text.symbol[places], text.ahead[places] - low, stride
+    order = by_rank(rank)
+    back = np.empty(size, "i4")
     while reach < span:
-        both = rank * (len(places) + 1) + rank[after]
-        order = np.argsort(both, kind="stable")
-        ranked = both[order]
-        fresh = np.empty(len(places), "i8")
-        fresh[order] = np.cumsum(np.r_[0, (ranked[1:] != ranked[:-1])])
-        rank, after, reach = fresh, after[after], reach * 2
-        if rank[order[-1]] == len(places) - 1:
+        # What is ``reach`` bytes ahead is in order already, so one sort by the first bytes is left.
+        back[after] = np.arange(size, dtype="i4")
+        second = back[order]
+        order = second[by_rank(rank[second])]
+        first, then = rank[order], rank[after[order]]
+        number = np.cumsum(np.r_[False, (first[1:] != first[:-1]) | (then[1:] != then[:-1])])
+        rank = np.empty(size, "u2" if size <= 2**16 else "u4")
+        rank[order] = number
+        after, reach = after[after], reach * 2
+        if number[-1] == size - 1:
             break
     return places[order]
 
@@ -81,6 +96,7 @@ def repeated(texts: list[bytes], span: int = SPAN, stride: int = STRIDE, shard:
     """
     if not texts:
         return []
+    stride = next(s for s in range(min(stride, span), 0, -1) if span % s == 0)  # whole symbols only
     text = Rotations(texts, stride)
     sizes, cuts, held = text.ends - text.starts, [0], 0
     for i, size in enumerate(sizes.tolist()):
@@ -94,12 +110,13 @@ def repeated(texts: list[bytes], span: int = SPAN, stride: int = STRIDE, shard:
     for _ in range(span // stride):
         before = text.back[order]
         symbol = text.symbol[before]  # the merged transform
-        sort = np.argsort(symbol, kind="stable")
+        sort = by_rank(symbol)
         order, symbol, old = before[sort], symbol[sort], block[sort]
         fresh = np.r_[True, (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])]
         alone = fresh & np.r_[fresh[1:], True]
         block = np.cumsum(fresh, dtype="i4")
-        order, block = order[~alone], block[~alone]
+        stay = np.flatnonzero(~alone)
+        order, block = order[stay], block[stay]
         if not len(order):
             break
     # Only starts with a whole span count; the others run over an end mark.
@@ -113,25 +130,31 @@ def repeated(texts: list[bytes], span: int = SPAN, stride: int = STRIDE, shard:
 
 
 def possible(chunks: list[tuple], span: int, gram: int) -> list[tuple]:
-    """Those of one anchor's chunks (..., shift, bytes) that may share a string with another of them.
+    """Those of one anchor's chunks (..., shift, bytes) that may share a string with another of them, as
+    (..., offset, bytes): the part with all such strings, and where it starts in the chunk.
 
     A string with the anchor ``d`` bytes after its start holds the ``d`` bytes before the anchor and the
     ``span`` - ``d`` from it on. For a range of ``d`` the bytes that all its strings hold have to be
-    equal in two chunks. That drops most chunks that differ in their middle, and none that match.
+    equal in two chunks. That drops most chunks that differ in their middle, and none that match; and
+    equal strings have their anchor at one place, so strings of the other ranges match none.
     """
-    width = -(-(span - gram + 1) // RANGES)
+    width, most = -(-(span - gram + 1) // RANGES), span - gram
     parts, count = [], Counter()
     for *_, shift, chunk in chunks:
-        starts = len(chunk) - span
-        low, high = max(shift - starts, 0), min(shift, span - gram)
-        own = {(d, chunk[shift - d * width : shift + span - min((d + 1) * width - 1, span - gram)]) for d in range(low // width, high // width + 1)}
-        parts.append(own)
+        low, high = max(shift - len(chunk) + span, 0), min(shift, most)
+        own = [(d, chunk[shift - d * width : shift + span - min((d + 1) * width - 1, most)]) for d in range(low // width, high // width + 1)]
+        parts.append((low, high, own))
         count.update(own)
-    return [c for c, own in zip(chunks, parts) if any(count[x] > 1 for x in own)]
+    out = []
+    for (*key, shift, chunk), (low, high, own) in zip(chunks, parts):
+        if fits := [d for d, x in own if count[d, x] > 1]:
+            a, b = shift - min((fits[-1] + 1) * width - 1, high), shift - max(fits[0] * width, low) + span
+            out.append((*key, a, chunk[a:b]))
+    return out
 
 
-def _ranges(marks: np.ndarray) -> list[dict]:
-    turn = np.flatnonzero(np.diff(np.r_[False, marks, False].astype("i1")))
+def _ranges(marks: np.ndarray, offset: int) -> list[dict]:
+    turn = np.flatnonzero(np.diff(np.r_[False, marks, False].astype("i1"))) + offset
     return [{"a": int(a), "b": int(b)} for a, b in zip(turn[::2], turn[1::2])]
 
 
@@ -144,7 +167,7 @@ def merge_chunks(chunks: DataFrame, span: int = SPAN, gram: int = GRAM, stride:
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         marks = repeated([r[-1] for r in rows], span, stride)
-        out = [(r[0], r[1], found) for r, m in zip(rows, marks) if r[2] == 1 and (found := _ranges(m))]
+        out = [(r[0], r[1], found) for r, m in zip(rows, marks) if r[2] == 1 and (found := _ranges(m, r[3]))]
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], kind)], ["d1", "d2", "found"])
 
     def run(batches):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -275,6 +276,34 @@ def test_merged_transforms_equal_counts(texts, span, shard):
     assert [g.tolist() for g in got] == [[seen[t[i:i + span]] > 1 for i in range(max(0, len(t) - span + 1))] for t in data]
 
 
+@pytest.mark.parametrize("span", [7, 10, 12])
+def test_spans_that_symbols_do_not_divide(span):
+    """The last symbols of a span counted for nothing if it was no multiple of them."""
+    data = [b"abcdefghijk1xy", b"abcdefghijk2xy", b"abcdefgh9", b"zabcdefgh8"]
+    seen = Counter(t[i:i + span] for t in data for i in range(len(t) - span + 1))
+    assert [g.tolist() for g in bwt.repeated(data, span)] == [[seen[t[i:i + span]] > 1 for i in range(max(0, len(t) - span + 1))] for t in data]
+
+
+def test_wide_alphabets_merge():
+    rng = random.Random(3)
+    data = [bytes(rng.randrange(1, 256) for _ in range(900)) for _ in range(3)]
+    data.append(data[0][100:400] + data[1][:300])
+    seen = Counter(t[i:i + 200] for t in data for i in range(len(t) - 199))
+    assert [g.tolist() for g in bwt.repeated(data, 200)] == [[seen[t[i:i + 200]] > 1 for i in range(len(t) - 199)] for t in data]
+
+
+def test_only_the_parts_that_may_repeat_are_merged():
+    """Two chunks that differ behind their anchor: strings that reach the difference leave before the merge."""
+    rng = random.Random(4)
+    base = bytes(rng.choice(b"abcdefgh") for _ in range(360))
+    other = base[:280] + b"#" + base[281:]
+    left = bwt.possible([(1, 1, 1, 150, base), (2, 2, 1, 150, other)], 200, 32)
+    for (*_, a, part), whole in zip(left, (base, other)):
+        assert part == whole[a:a + len(part)] and len(part) < 330
+        assert a == 0 and len(part) >= 280  # the strings before it are whole
+    assert bwt.possible([(1, 1, 1, 150, base), (2, 2, 1, 150, base[::-1])], 200, 32) == []
+
+
 @pytest.mark.parametrize("fuller", [16_384, 1])
 def test_repeated_bytes_of_small_alphabets(spark, fuller):
     rng = random.Random(5)
@@ -321,6 +350,34 @@ def test_repeated_words_of_few_kinds(spark):
         assert (got[key].n_removed, got[key].kept) == (gone, " ".join(kept))
 
 
+@pytest.mark.parametrize("words, span, gram", [(False, 24, 8), (True, 12, 4), (True, 9, 9)])
+def test_chunks_over_the_limits_of_parts(monkeypatch, words, span, gram):
+    """Every run lies in one chunk, whose anchor is its first least gram."""
+    monkeypatch.setattr(anchors, "PART", 64)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "d" * 90]) for _ in range(n)).encode() for n in (0, 3, 70, 200, 1, 40)]
+    units = anchors.Units(texts, words)
+    grams = units.grams(gram) >> np.uint64(24)
+    text, lo, hi, _, shift = units.chunks(span, gram)
+    got = {(t, i): a + s for t, a, b, s in zip(text.tolist(), lo.tolist(), hi.tolist(), shift.tolist()) for i in range(a, b + 1)}
+    ends = units.first.tolist()
+    runs = {(t, i) for t, (a, b) in enumerate(zip(ends, ends[1:])) for i in range(a, b - span + 1)}
+    assert set(got) == runs and len(runs) > 100
+    assert all(got[t, i] == i + int(np.argmin(grams[i:i + span - gram + 1])) for t, i in runs)
+
+
+@pytest.mark.parametrize("words, most", [(True, 25), (False, 25)])
+def test_memory_of_chunks(words, most):
+    """Bytes of memory for a byte of text, in tasks of op5 and op6."""
+    rng = random.Random(1)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(2000)).encode() for _ in range(130)]
+    tracemalloc.start()
+    anchors.Units(texts, words).chunks(50 if words else 200, 8 if words else 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < most * sum(map(len, texts))
+
+
 def test_long_paths_compact_to_one_stretch(spark):
     words = [f"w{i}" for i in range(3000)]
     made = spark.createDataFrame([(1, " ".join(words)), (2, "new " + " ".join(words[100:2900]) + " end")], "doc_id long, text string")
