@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 
 from larder.functions.pin import pinned, stored
 from larder.llm import anchors
-from larder.llm.anchors import KEYS, merged  # by name: modules do not travel to tasks by value
-from larder.llm.batches import texts_of, tidy
+from larder.llm.anchors import KEYS, SLICE, merged  # by name: modules do not travel to tasks by value
+from larder.llm.batches import slices, texts_of, tidy
 
 SPAN, GRAM = 50, 8  # words of a k-mer, words of a hashed gram
 EDGE = ["d1", "d2"]
@@ -58,7 +58,7 @@ def paths(found: DataFrame) -> DataFrame:
 def kmers(texts: DataFrame, span: int, id_type: str) -> DataFrame:
     """Every k-mer of unlike chunks with one anchor: ``d1``, ``d2``, ``at`` (place in the chunk), and ``w1``, ``w2``, its digest."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "chunk", SLICE // 4)):
             d1, d2, at, digest = [], [], [], []
             for a, b, chunk in zip(*(batch.column(n).to_pylist() for n in ("d1", "d2", "chunk"))):
                 ends = np.cumsum([len(w) + 1 for w in chunk.split(b" ")])

@@ -378,6 +378,16 @@ def test_memory_of_chunks(words, most):
     assert peak < most * sum(map(len, texts))
 
 
+def test_kmers_of_many_slices(spark, monkeypatch):
+    """A batch's chunks are taken apart a slice at a time."""
+    monkeypatch.setattr(debruijn, "SLICE", 80)
+    texts = [" ".join(f"w{i % 7}" for i in range(n)).encode() for n in (4, 9, 30, 4)]
+    rows = [(i, -i, t) for i, t in enumerate(texts)]
+    got = debruijn.kmers(spark.createDataFrame(rows, "d1 long, d2 long, chunk binary").coalesce(1), 4, "long").collect()
+    want = {(i, j): xxhash.xxh3_128_digest(b" ".join(t.split()[j:j + 4])) for i, t in enumerate(texts) for j in range(len(t.split()) - 3)}
+    assert {(r.d1, r["at"]): r.w1.to_bytes(8, "big", signed=True) + r.w2.to_bytes(8, "big", signed=True) for r in got} == want and len(got) == len(want)
+
+
 def test_long_paths_compact_to_one_stretch(spark):
     words = [f"w{i}" for i in range(3000)]
     made = spark.createDataFrame([(1, " ".join(words)), (2, "new " + " ".join(words[100:2900]) + " end")], "doc_id long, text string")
