@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import random
 import re
 from collections import defaultdict
@@ -213,6 +214,29 @@ def test_a_group_that_stands_once_is_matched_with_its_repeats():
     assert wrappers.main_text(page(9, 2), found) == "item 9 0\nitem 9 1"
 
 
+def test_a_wrapper_is_inferred_from_all_unlike_pages(spark):
+    def page(host, i):
+        mood = "calm" if i % 8 else "stormy"  # five of forty pages differ: less than 0.9 agree, so it is a slot
+        rare = f"<ul><li>a{i}</li><li>b{i}</li></ul>" if i in (3, 31) else ""
+        body = f"<div class=k1><p>{'part ' * 40}{i}</p>{rare}</div>" if i < 30 else f"<div class=k2><p>{'other ' * 40}{i}</p>{rare}</div>"
+        return f"<body><div class=k0>Site {host}</div><div class=all>{body}<div class=m{'' if i < 20 else ' id=n%d' % i}><p>{mood}</p></div></div></body>"
+
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page(h, i)) for h in range(12) for i in range(40)]
+    table = spark.createDataFrame(rows + rows[:40], "page_id long, url string, html string")
+    found = {r.host: json.loads(r.wrapper) for r in wrappers.host_wrappers(table).collect()}
+    assert len(found) == 12
+    for wrapper in found.values():
+        assert wrapper["count"] == 40 and wrapper["place"] == "/body/div.all"  # neither of the two bodies holds 0.7
+        pages = {k: n for k, _, n in wrapper["nodes"]}
+        assert pages["<body"] == 40 and pages["#/body/div.all/div.k2/p"] == 10
+        assert not any(".n2" in k for k in pages)  # what a single page has matches no other page
+    one = wrappers.infer([page(0, i) for i in range(40)])
+    assert one["place"] == "/body/div.all" and one["count"] == 40
+    got = {r.page_id: r.text for r in wrappers.extracted(table).collect()}
+    assert all(got[100 * h + i].startswith(("part", "other")) and "Site" not in got[100 * h + i] for h in range(12) for i in range(40))
+    assert all(got[100 * h + i].endswith("calm" if i % 8 else "stormy") for h in range(12) for i in range(40))
+
+
 def test_a_very_long_page_is_read_whole(spark):
     body = "".join(f"<p>part {k}</p><h2>head {k}</h2><div class=c{k % 7}>x{k}</div>" for k in range(5000))
     html_ = f"<body><div class=top>My site</div><div class=x>{body}</div></body>"
