@@ -525,3 +525,47 @@ def test_days_are_sorted_before_empty_ones_are_added(make):
         (s, START + timedelta(d)) for s, own in days.items() for d in range(own[0], own[-1] + 1)]
     plan = filled._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Sort [")  # the tree is printed from the result down
+
+
+def test_smoothing_ends_runs_early_and_finds_the_same_weights():
+    from larder.functions.kernels import smoothing_runs
+
+    def plain(y, weights):
+        a, b, g = weights
+        level, season = y[:7].mean(), list(y[:7] - y[:7].mean())
+        trend, error = (y[7:14].mean() - level) / 7, 0.0
+        for i in range(7, len(y)):
+            short = y[i] - level - trend - season[i % 7]
+            level, trend = level + trend + a * short, trend + a * b * short
+            season[i % 7] += g * short
+            error += short ** 2
+        return error, level, trend, season
+
+    rng = np.random.default_rng(5)
+    ys = [np.where(rng.random(n) < 0.05, rng.integers(1, 9, n), 0).astype(float) for n in (190, 160)] + [1e6 + 50 * np.sin(np.arange(150) / 3) + rng.normal(0, 5, 150)]
+    axis = [0.01, 0.05, 0.1, 0.2, 0.4, 0.7]
+    for y, made in zip(ys, smooth_all(ys, [9] * 3)):
+        points, width = [(a, b, g) for b in axis for a in axis for g in axis], 0.1 / 3
+        for turn in range(4):
+            found = [plain(y, p) for p in points]
+            at = int(np.argmin([x[0] for x in found]))
+            around = [np.clip(x + width * np.linspace(-1, 1, 5), 0.001, 0.999) for x in points[at]]
+            best, points, width = found[at], [(a, b, g) for b in around[1] for a in around[0] for g in around[2]], width / 3
+        _, level, trend, season = best
+        assert np.allclose(made["forecast"], [level + k * trend + season[(len(y) + k - 1) % 7] for k in range(1, 10)], rtol=1e-7)
+    weights = np.array([[0.1, 0.1, 0.1], [0.7, 0.7, 0.7]])
+    bound = plain(ys[0], weights[0])[0]
+    errors, (level, _, _) = smoothing_runs(ys[:1], np.zeros(2, int), weights, 7, np.array([bound * 1.001]))
+    assert np.isclose(errors[0], bound) and np.isinf(errors[1]) and np.isnan(level[1])
+
+
+def test_series_of_one_length_share_their_waves():
+    rng = np.random.default_rng(6)
+    given = [(np.arange(n), rng.integers(0, 9, n).astype(float), np.arange(n, n + 5)) for n in (300, 200, 300)]
+    given.append((np.delete(np.arange(300), 17), rng.integers(0, 9, 299).astype(float), np.arange(300, 305)))
+    known = {}
+    made = waves_all(given, 3, 2, 1.28, known=known)
+    assert sorted(known) == [200, 300]  # a series that lacks a day shares nothing
+    for one, own in zip(given, made):
+        alone = waves_all([one], 3, 2, 1.28)[0]
+        assert all(np.allclose(own[c], alone[c], rtol=1e-6) for c in alone)
