@@ -40,6 +40,8 @@ def abc_classification(t: Tables, *, a_cut: float = 80, b_cut: float = 95,
         })
     else:
         running = running_total_desc(stock, "total_value_cents", "running", "total")
+    if ordered:  # before the shares are made, so that fewer columns are sorted
+        running = running.orderBy(F.desc("total_value_cents"))
     shares = running.select(
         "sku_id", "product_name", "category", "quantity_on_hand",
         money("unit_cost_cents").alias("unit_cost"),
@@ -48,11 +50,10 @@ def abc_classification(t: Tables, *, a_cut: float = 80, b_cut: float = 95,
         percent("running", "total").alias("cumulative_pct"),
     )
     (_, a_label), (_, b_label) = labels.ABC_BANDS
-    result = shares.withColumn(
+    return shares.withColumn(
         "abc_classification",
         banded(F.col("cumulative_pct"), ((a_cut, a_label), (b_cut, b_label)), labels.ABC_REST, "<="),
     )
-    return result.orderBy(F.desc("total_value")) if ordered else result
 
 
 @operator(
@@ -86,16 +87,17 @@ def inventory_turnover(t: Tables, *, as_of: date, lookback_months: int = 12,
     if apportion:
         whole = F.sum("stock_value").over(Window.partitionBy("sku_id"))
         rows = rows.withColumn("cogs", F.col("cogs") * F.try_divide(F.col("stock_value"), whole))
-    rows = rows.withColumn("turns", ratio("cogs", "stock_value"))
-    result = rows.select(
+    turns = ratio("cogs", "stock_value")
+    if ordered:  # before further columns are made, so that fewer are sorted
+        rows = rows.orderBy(F.desc_nulls_last(F.round(turns, 2)))
+    return rows.select(
         "sku_id", "product_name", "category", "warehouse_id", "warehouse_name",
         F.round(money("stock_value"), 2).alias("avg_inventory_value"),
         F.round(money("cogs"), 2).alias("annual_cogs"),
-        F.round("turns", 2).alias("inventory_turnover_ratio"),
-        F.round(F.try_divide(F.lit(365.0), F.col("turns")), 1).alias("days_inventory_on_hand"),
-        banded(F.col("turns"), labels.TURNOVER_BANDS, labels.TURNOVER_REST).alias("movement_category"),
+        F.round(turns, 2).alias("inventory_turnover_ratio"),
+        F.round(F.try_divide(F.lit(365.0), turns), 1).alias("days_inventory_on_hand"),
+        banded(turns, labels.TURNOVER_BANDS, labels.TURNOVER_REST).alias("movement_category"),
     )
-    return result.orderBy(F.desc_nulls_last("inventory_turnover_ratio")) if ordered else result
 
 
 @operator(
@@ -150,16 +152,18 @@ def slow_moving_inventory(t: Tables, *, as_of: date, lookback_days: int = 90,
         .join(t["sku_master"], "sku_id").join(recent, "sku_id", "left")
     )
     per_day = ratio("sold", F.lit(float(lookback_days)))
-    rows = rows.withColumn("days", F.round(ratio("quantity_on_hand", per_day), 0))
+    days = F.round(ratio("quantity_on_hand", per_day), 0)
     status = F.when(F.col("sold").isNull(), F.lit(labels.STOCK_NO_SALES)).otherwise(
-        banded(F.col("days"), labels.STOCK_BANDS, labels.STOCK_REST)
+        banded(days, labels.STOCK_BANDS, labels.STOCK_REST)
     )
-    result = rows.select(
+    stock_days = F.coalesce(days, F.lit(labels.STOCK_DAYS_UNKNOWN))
+    if ordered:  # before further columns are made, so that fewer are sorted
+        rows = rows.orderBy(F.desc(stock_days))
+    return rows.select(
         "sku_id", "product_name", "category", "warehouse_id", "quantity_on_hand",
         money("total_value_cents").alias("total_value"), "last_sale_date",
         F.datediff(F.lit(as_of), F.col("last_sale_date")).alias("days_since_last_sale"),
         F.coalesce("sold", F.lit(0)).alias("units_sold_last_90days"),
-        F.coalesce("days", F.lit(labels.STOCK_DAYS_UNKNOWN)).alias("days_of_inventory"),
+        stock_days.alias("days_of_inventory"),
         status.alias("inventory_status"),
     )
-    return result.orderBy(F.desc("days_of_inventory")) if ordered else result
