@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from larder.functions.kernels import (
@@ -79,6 +80,24 @@ def test_skus_meet_by_blocks_not_by_days(make):
     assert len(met) == 60 * 59 / 2 and set(met.values()) == {1}
 
 
+def test_blocks_meet_without_copies_of_their_rows(make, spark):
+    rng = random.Random(2)
+    rows = [(k, sorted(rng.sample(range(60), 20))) for k in range(50)]
+    listed = make("sku_id long, days array<int>, quantities array<long>", *((k, days, [k] * 20) for k, days in rows))
+    met = demand.whole_blocks(listed, 6)
+    own = {r.left: [x.sku_id for x in r.left_skus] for r in met.filter("left = right").collect()}
+    assert sorted(k for skus in own.values() for k in skus) == list(range(50))
+    pairs = [(r.left, r.right) for r in met.select("left", "right").collect()]
+    assert sorted(pairs) == sorted((a, b) for a in own for b in own if a <= b)
+    kind = T.StructType([T.StructField(c, T.LongType()) for c in ("sku_a", "sku_b", "days_sold_together", "qty_a", "qty_b")])
+    before = spark.conf.get(demand.BATCH_BYTES)
+    for top in (9, None):
+        got = sorted((-r.days_sold_together, r.sku_a, r.sku_b, r.qty_a, r.qty_b) for r in demand.matched_blocks(met, kind, 5, top).collect())
+        shared = ((a, b, len(set(x) & set(y))) for (a, x), (b, y) in combinations(rows, 2))
+        assert got == sorted((-n, a, b, a * n, b * n) for a, b, n in shared if n > 5)[:top]
+    assert spark.conf.get(demand.BATCH_BYTES) == before
+
+
 @pytest.mark.parametrize("share", [0.02, 0.9])
 def test_best_pairs_drop_nothing_that_is_among_the_best(monkeypatch, share):
     monkeypatch.setattr("larder.functions.kernels.HELD", 10)
